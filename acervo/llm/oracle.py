@@ -1,3 +1,38 @@
 """DuckDB SQL that returns the rows of the queries which SQL can express."""
 
-SQL: dict[str, str] = {}
+from acervo.llm import licenses
+
+UPPER, LOWER = licenses.UPPER, licenses.LOWER
+
+MIX = """
+WITH size AS (SELECT source, sum(length(coalesce(text, '')))::DOUBLE AS size FROM documents GROUP BY source),
+rate AS (SELECT source, CASE WHEN size > 0 THEN (SELECT sum(size) FROM size) / (SELECT count(*) FROM size WHERE size > 0) / size ELSE 0 END AS rate FROM size),
+cdf AS (SELECT source, k, sum(exp(k * ln(rate) - rate - CASE WHEN k < 2 THEN 0 ELSE lgamma(k + 1) END)) OVER (PARTITION BY source ORDER BY k) AS c
+  FROM rate, range(0, 400) t(k) WHERE rate > 0 AND k <= ceil(rate + 12 * sqrt(rate) + 20)),
+own AS (SELECT doc_id, source, text, coalesce(doc_id::VARCHAR, '') || '|' || md5(coalesce(text, '')) AS own FROM documents),
+drawn AS (SELECT own.*, ('0x' || substr(md5('mix|' || own), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM own),
+n AS (SELECT d.doc_id, d.source, d.text, d.own, count(c.k) AS n FROM drawn d LEFT JOIN cdf c ON c.source IS NOT DISTINCT FROM d.source AND c.c <= d.u GROUP BY ALL),
+copies AS (SELECT *, unnest(range(1, n + 1)) AS copy FROM n)
+SELECT doc_id, source, copy::INTEGER AS copy, md5('mix-order|' || own || '|' || copy) AS shuffle_key, text FROM copies
+"""
+
+DECONTAM = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+item AS (SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') AS gram
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM item),
+place AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n),
+hit AS (SELECT p.doc_id, p.i, p.n, item.item_id FROM (SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS gram FROM place) p JOIN item USING (n, gram)),
+covered AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS pos FROM hit) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items FROM (SELECT DISTINCT doc_id, item_id FROM hit) GROUP BY doc_id)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(c.n_hit, 0)::BIGINT AS n_hit, coalesce(i.n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(i.items, '')) AS items_sha256, c.n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN covered c USING (doc_id) LEFT JOIN items i USING (doc_id)
+"""
+
+SQL: dict[str, str] = {
+    "op2_license_scan": licenses.oracle(),
+    "op4_poisson_mix": MIX,
+    "op10_benchmark_decontamination": DECONTAM,
+}

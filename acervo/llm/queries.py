@@ -6,13 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from acervo.llm import decontam, secrets, simhash
+from acervo.llm import ann, decontam, licenses, mixing, secrets, simhash, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_cross_polytope_ann(spark, sf_dir):
+    vectors = _read(spark, sf_dir, "embeddings")
+    return ann.search(vectors, vectors.filter("vec_id % 100 = 0"))
+
+
+def op2_license_scan(spark, sf_dir):
+    return licenses.digest(licenses.scan(_read(spark, sf_dir, "documents")))
+
+
+def op4_poisson_mix(spark, sf_dir):
+    return mixing.mix(_read(spark, sf_dir, "documents")).select("doc_id", "source", "copy", "shuffle_key", "text")
+
+
 def op6_secret_scan(spark, sf_dir):
     return secrets.digest(secrets.find_secrets(_read(spark, sf_dir, "documents")))
 
@@ -21,10 +34,15 @@ def op7_simhash_near_dedup(spark, sf_dir):
     return simhash.digest(simhash.near_duplicates(_read(spark, sf_dir, "documents")))
 
 
+def op9_toxicity(spark, sf_dir):
+    docs = _read(spark, sf_dir, "documents")
+    return toxicity.digest(docs, toxicity.train(docs, _read(spark, sf_dir, "labels")))
+
+
 def op10_benchmark_decontamination(spark, sf_dir):
     return decontam.digest(decontam.decontaminate(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op6_secret_scan, op7_simhash_near_dedup, op10_benchmark_decontamination)
+    f.__name__: f for f in (op1_cross_polytope_ann, op2_license_scan, op4_poisson_mix, op6_secret_scan, op7_simhash_near_dedup, op9_toxicity, op10_benchmark_decontamination)
 }
