@@ -37,8 +37,8 @@ SELF_CLOSING = {"p": "p", "li": "li", "tr": "tr", "td": "td", "th": "td", "dt":
 #: Structural hints used as training labels.
 BOILERPLATE = frozenset("nav header footer aside form button menu ad ads advert advertisement banner cookie cookies notice sidebar comment comments related share social promo sponsor sponsored subscribe newsletter breadcrumb breadcrumbs popup modal login search".split())
 CONTENT = frozenset("article main content post entry story body-text".split())
-PATH_SLOTS, WORD_SLOTS, HIDDEN = 64, 64, 24
-MAX_PAGES = 400
+PATH_SLOTS, WORD_SLOTS, HIDDEN = 64, 32, 16
+MAX_PAGES = 300
 
 
 def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
@@ -108,7 +108,7 @@ def vectors(page: list[tuple[tuple[str, ...], str, int]]) -> np.ndarray:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    return 0.5 * np.tanh(0.5 * x) + 0.5
 
 
 class Labeller:
@@ -132,7 +132,8 @@ class Labeller:
         out, memory = np.zeros((*x.shape[:2], n), np.float32), []
         for t in range(len(x)):
             a = z[t] + h @ k
-            i, f, o = _sigmoid(a[:, :n]), _sigmoid(a[:, n : 2 * n]), _sigmoid(a[:, 3 * n :])
+            gates = _sigmoid(a)
+            i, f, o = gates[:, :n], gates[:, n : 2 * n], gates[:, 3 * n :]
             g = np.tanh(a[:, 2 * n : 3 * n])
             m = mask[t][:, None]
             new = f * c + i * g
@@ -167,7 +168,7 @@ class Labeller:
         b, _ = self._run(x[::-1], mask[::-1], "b", False)
         return _sigmoid(np.concatenate([f, b[::-1]], axis=2) @ self.p["out"] + self.p["bias"])[..., 0]
 
-    def train(self, pages: list[list], epochs: int = 8, batch: int = 16, rate: float = 0.01, seed: int = 5):
+    def train(self, pages: list[list], epochs: int = 6, batch: int = 16, rate: float = 0.01, seed: int = 5):
         rng = np.random.default_rng(seed)
         first = {k: np.zeros_like(v) for k, v in self.p.items()}
         second, step = {k: np.zeros_like(v) for k, v in self.p.items()}, 0
@@ -228,7 +229,7 @@ def train(pages: DataFrame, *, html_col="html", max_pages: int = MAX_PAGES) -> L
     return Labeller().train(known) if known else None
 
 
-def texts(model: Labeller | None, pages: list[str | None], batch: int = 128) -> list[str]:
+def texts(model: Labeller | None, pages: list[str | None], batch: int = 512) -> list[str]:
     """Main text of each page."""
     cut = [blocks(p) for p in pages]
     out = [""] * len(pages)
