@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from acervo.llm import ann, decontam, html_text, licenses, mixing, secrets, simhash, toxicity
+from acervo.llm import ann, decontam, html_text, licenses, mixing, repeats, secrets, simhash, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op2_license_scan(spark, sf_dir):
     return licenses.digest(licenses.scan(_read(spark, sf_dir, "documents")))
 
 
+def op3_suffix_dedup(spark, sf_dir):
+    return repeats.digest(repeats.strip(repeats.repeated_spans(_read(spark, sf_dir, "documents"))))
+
+
 def op4_poisson_mix(spark, sf_dir):
     return mixing.mix(_read(spark, sf_dir, "documents")).select("doc_id", "source", "copy", "shuffle_key", "text")
 
@@ -49,5 +53,5 @@ def op10_benchmark_decontamination(spark, sf_dir):
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_cross_polytope_ann, op2_license_scan, op4_poisson_mix, op5_html_main_text, op6_secret_scan, op7_simhash_near_dedup, op9_toxicity, op10_benchmark_decontamination)
+    f.__name__: f for f in (op1_cross_polytope_ann, op2_license_scan, op3_suffix_dedup, op4_poisson_mix, op5_html_main_text, op6_secret_scan, op7_simhash_near_dedup, op9_toxicity, op10_benchmark_decontamination)
 }
