@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from acervo.llm import ann, decontam, html_text, licenses, mixing, repeats, secrets, simhash, toxicity
+from acervo.llm import ann, decontam, html_text, licenses, lm, mixing, repeats, secrets, simhash, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -43,6 +43,10 @@ def op7_simhash_near_dedup(spark, sf_dir):
     return simhash.digest(simhash.near_duplicates(_read(spark, sf_dir, "documents")))
 
 
+def op8_gru_lm_score(spark, sf_dir):
+    return lm.score(_read(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark, sf_dir):
     docs = _read(spark, sf_dir, "documents")
     return toxicity.digest(docs, toxicity.train(docs, _read(spark, sf_dir, "labels")))
@@ -53,5 +57,5 @@ def op10_benchmark_decontamination(spark, sf_dir):
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_cross_polytope_ann, op2_license_scan, op3_suffix_dedup, op4_poisson_mix, op5_html_main_text, op6_secret_scan, op7_simhash_near_dedup, op9_toxicity, op10_benchmark_decontamination)
+    f.__name__: f for f in (op1_cross_polytope_ann, op2_license_scan, op3_suffix_dedup, op4_poisson_mix, op5_html_main_text, op6_secret_scan, op7_simhash_near_dedup, op8_gru_lm_score, op9_toxicity, op10_benchmark_decontamination)
 }
