@@ -1,0 +1,96 @@
+"""DuckDB SQL for the registered queries."""
+
+from __future__ import annotations
+
+from acervo.adapter import PAGES_SQL, REGISTRY_SQL
+
+FOLD = "strip_accents(lower(trim(coalesce({0}, ''))))"
+DIGITS = "regexp_replace(coalesce({0}, ''), '[^0-9]', '', 'g')"
+BLANK = "(trim(coalesce({0}, '')) = '')"
+
+
+def valor(c: str) -> str:
+    kept = f"regexp_replace(coalesce({c}, ''), '[^0-9,.]', '', 'g')"
+    return f"coalesce(try_cast(CASE WHEN contains({kept}, ',') THEN replace(replace({kept}, '.', ''), ',', '.') ELSE {kept} END AS DOUBLE), 0.0)"
+
+
+def year(c: str) -> str:
+    return f"try_cast(nullif(regexp_extract(coalesce({c}, ''), '\\b(19[0-9]{{2}}|20[0-9]{{2}})\\b', 1), '') AS INTEGER)"
+
+
+def mod11(d: str, weights) -> str:
+    total = " + ".join(f"coalesce(try_cast(substr({d}, {i + 1}, 1) AS INT), 0) * {w}" for i, w in enumerate(weights))
+    return f"(CASE WHEN ({total}) % 11 < 2 THEN 0 ELSE 11 - ({total}) % 11 END)"
+
+
+def valid(c: str, size: int) -> str:
+    d, w = DIGITS.format(c), [5, 4, 3, 2, 9, 8, 7, 6, 5, 4, 3, 2]
+    first, second = (list(range(10, 1, -1)), list(range(11, 1, -1))) if size == 11 else (w, [6, *w])
+    return f"(length({d}) = {size} AND {d} <> repeat(substr({d}, 1, 1), {size}) AND {mod11(d, first)} = try_cast(substr({d}, {size - 1}, 1) AS INT) AND {mod11(d, second)} = try_cast(substr({d}, {size}, 1) AS INT))"
+
+
+LEVEL = "CASE {} ELSE 'Não identificada' END".format(" ".join(
+    f"WHEN regexp_matches({FOLD.format('natureza_curso')}, '{p}') THEN '{n}'" for p, n in (
+        ("stricto|mestrado|doutorado", "Pós-Graduação Stricto Sensu (Mestrado/Doutorado)"),
+        ("lato sensu|especializacao|mba|pos-graduacao|pos graduacao", "Pós-Graduação Lato Sensu (Especialização/MBA)"),
+        ("graduacao|superior|bacharel|licenciatura|tecnologo", "Graduação / Curso Superior"),
+        ("tecnico|profissionalizante", "Curso Técnico / Profissionalizante"),
+        ("extensao|aperfeicoamento|capacitacao", "Curso de Extensão / Aperfeiçoamento"),
+        ("basica|medio|fundamental", "Educação Básica"),
+    )
+))
+HOURS = "(SELECT CASE WHEN h > 0 AND h < 20000 THEN h END FROM (SELECT try_cast(coalesce(nullif(regexp_extract(lower(carga_horaria), '([0-9]+)\\s*(?:horas?|hrs?|h)\\b', 1), ''), nullif(regexp_extract(lower(carga_horaria), '([0-9]+)', 1), '')) AS INT) AS h))"
+# the shapes that the derived registry holds: 'ABC - faculdade de x', 'FACULDADE DE X', 'Faculdade de X LTDA', '(ABC) faculdade de x'
+_PLAIN = "trim(regexp_replace(faculdade, '\\bLTDA\\b\\.?', '', 'g'))"
+_NAME = f"regexp_replace(regexp_replace({_PLAIN}, '^[A-Z0-9]{{2,8}} - ', ''), '^\\([A-Z0-9]+\\) ', '')"
+_SHORT = f"regexp_extract({_PLAIN}, '^\\(?([A-Z0-9]{{2,8}})(?: - |\\) )', 1)"
+_LAST = f"split_part({_NAME}, ' ', 3)"
+INSTITUTION = f"CASE WHEN {BLANK.format('faculdade')} OR lower(faculdade) = 'n/a' THEN NULL ELSE 'Faculdade de ' || upper(substr({_LAST}, 1, 1)) || lower(substr({_LAST}, 2)) || CASE WHEN {_SHORT} <> '' THEN ' (' || {_SHORT} || ')' ELSE '' END END"
+
+REG = f"""WITH reg AS ({REGISTRY_SQL}),
+e AS (SELECT *, {valor("valor_monetario")} AS valor, coalesce(nullif(tipo_documento, ''), 'Não identificado') AS classe, coalesce(status_conferencia, 'pendente') AS conferencia, coalesce(dominio, 'outro') AS dom FROM reg)
+"""
+PAG = f"WITH pag AS ({PAGES_SQL})\n"
+
+
+def pct(a: str, b: str = "count(*)") -> str:
+    return f"round({a} * 100.0 / {b}, 1)"
+
+
+BRACKET = "CASE WHEN valor <= 0 THEN 4 WHEN valor <= 1000 THEN 0 WHEN valor <= 10000 THEN 1 WHEN valor <= 100000 THEN 2 ELSE 3 END"
+HIGH = "(metodo_leitura = 'texto_digital' OR conferencia = 'aprovado')"
+LOW = "(erro IS NOT NULL OR classe IN ('Não identificado', 'Desconhecido'))"
+BRL = "'R$ ' || replace(replace(replace(format('{{:,.2f}}', {0}), ',', 'X'), '.', ','), 'X', '.')"
+
+SQL: dict[str, str] = {
+    "kpis": REG + "SELECT count(*) AS documentos, count(*) FILTER (valor > 0) AS com_valor, round(coalesce(sum(valor), 0), 2) AS total, round(coalesce(avg(valor) FILTER (valor > 0), 0), 2) AS ticket_medio, round(coalesce(max(valor), 0), 2) AS maior FROM e",
+    "class_distribution": REG + "SELECT classe, count(*) AS documentos, round(sum(valor), 2) AS valor_total FROM e GROUP BY 1",
+    "top_classes": REG + "SELECT classe, count(*) AS documentos, round(sum(valor), 2) AS valor_total FROM e GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 8",
+    "value_counts": REG + "SELECT 'status_conferencia' AS grupo, conferencia AS valor, count(*) AS documentos FROM e GROUP BY 2 UNION ALL SELECT 'dominio', dom, count(*) FROM e GROUP BY 2",
+    "preponderant_domain": REG + f"SELECT dominio, documentos, {pct('documentos', 't')} AS percentual, {pct('documentos', 't')} >= 50.0 AS eh_maioria FROM (SELECT dom AS dominio, count(*) AS documentos, (SELECT count(*) FROM e) AS t, min(md5) AS f FROM e GROUP BY 1 ORDER BY 2 DESC, f LIMIT 1)",
+    "flag_counts": REG + "SELECT count(*) FILTER (tem_assinatura_digital) AS tem_assinatura_digital, count(*) FILTER (eh_nativo_digital) AS eh_nativo_digital, count(duplicata_de) AS duplicatas FROM e",
+    "value_brackets": REG + f"SELECT faixa, rotulo, count(f) AS documentos, round(coalesce(sum(valor), 0), 2) AS valor_total FROM (VALUES (0, 'Até R$ 1.000'), (1, 'R$ 1.000 a 10.000'), (2, 'R$ 10.000 a 100.000'), (3, 'Acima de R$ 100.000'), (4, 'Sem Valor Declarado')) t(faixa, rotulo) LEFT JOIN (SELECT {BRACKET} AS f, valor FROM e) ON f = faixa GROUP BY 1, 2",
+    "distinct_entities": REG + "SELECT count(DISTINCT cpf) AS cpfs, count(DISTINCT cnpj) AS cnpjs, count(DISTINCT beneficiario) AS beneficiarios FROM e",
+    "distinct_valid_entities": REG + f"SELECT count(DISTINCT {DIGITS.format('cpf')}) FILTER ({valid('cpf', 11)}) AS cpfs, count(DISTINCT {DIGITS.format('cnpj')}) FILTER ({valid('cnpj', 14)}) AS cnpjs, count(DISTINCT lower(trim(beneficiario))) FILTER (length(trim(beneficiario)) >= 3) AS beneficiarios FROM e",
+    "top_holders": REG + "SELECT nome, documentos, valor_total FROM (SELECT coalesce(beneficiario, 'CPF ' || cpf) AS nome, count(*) AS documentos, round(sum(valor), 2) AS valor_total, min(md5) AS f FROM e WHERE coalesce(beneficiario, cpf) IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, f LIMIT 10)",
+    "temporal_distribution": REG + f"SELECT CASE WHEN coalesce(data, '') IN ('', '-') THEN 'Sem Data' ELSE coalesce({year('data')}::VARCHAR, 'Indeterminado') END AS ano, count(*) AS documentos, round(sum(valor), 2) AS valor_total FROM e GROUP BY 1",
+    "reliability_tiers": REG + f"SELECT count(*) FILTER (NOT {LOW} AND {HIGH}) AS alta, count(*) FILTER (NOT {LOW} AND NOT {HIGH}) AS media, count(*) FILTER ({LOW}) AS baixa FROM e",
+    "metadata_quality": REG + f"SELECT {pct('count(*) FILTER (coalesce(cpf, cnpj) IS NOT NULL)')} AS pct_cpf_cnpj, {pct('count(*) FILTER (valor > 0)')} AS pct_valor, {pct("count(*) FILTER (data <> '-')")} AS pct_data, {pct('count(beneficiario)')} AS pct_beneficiario, {pct('count(*) FILTER (tem_assinatura_digital)')} AS pct_assinado, {pct("count(*) FILTER (conferencia = 'aprovado')")} AS pct_aprovado FROM e",
+    "domain_chart": REG + "SELECT t.dominio, count(x.d) AS documentos FROM (VALUES ('financeiro'), ('juridico'), ('identificacao'), ('cadastral'), ('academico'), ('veicular'), ('outro')) t(dominio) LEFT JOIN (SELECT CASE WHEN dom = 'profissional' THEN 'cadastral' ELSE dom END AS d FROM e) x ON x.d = t.dominio GROUP BY 1",
+    "type_top7_rest": REG + "SELECT CASE WHEN r <= 7 THEN tipo ELSE 'Outros Subtipos' END AS tipo, sum(n)::BIGINT AS documentos FROM (SELECT tipo, n, row_number() OVER (ORDER BY n DESC, f) AS r FROM (SELECT coalesce(tipo_documento, 'Não especificado') AS tipo, count(*) AS n, min(md5) AS f FROM e GROUP BY 1)) GROUP BY 1",
+    "level_chart": REG + f"SELECT {LEVEL} AS nivel, count(*) AS documentos FROM e GROUP BY 1",
+    "hours_buckets": REG + f"SELECT CASE WHEN h IS NULL THEN 'Não informada' WHEN h < 40 THEN '< 40h (Curta Duração)' WHEN h < 180 THEN '40h a 179h (Extensão)' WHEN h < 360 THEN '180h a 359h (Capacitação)' WHEN h < 1000 THEN '360h a 999h (Especialização/MBA)' ELSE '≥ 1000h (Graduação/Técnico)' END AS faixa, count(*) AS documentos FROM (SELECT {HOURS} AS h FROM e) GROUP BY 1",
+    "timeline": REG + f"SELECT ano, count(*) AS documentos, round(sum(valor), 2) AS valor_total FROM (SELECT {year('data')} AS ano, valor FROM e) WHERE ano BETWEEN 1970 AND 2035 GROUP BY 1",
+    "top_institutions": REG + f"SELECT instituicao, count(*) AS documentos FROM (SELECT {INSTITUTION} AS instituicao FROM e) WHERE instituicao IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10",
+    "top_people": REG + "SELECT beneficiario AS nome, count(*) AS documentos FROM e WHERE length(beneficiario) >= 3 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10",
+    "funnel": REG + f"SELECT {pct('count(*) FILTER (eh_nativo_digital)')} AS nativos, {pct("count(*) FILTER (status <> 'erro')")} AS com_texto, {pct(f'count(*) FILTER ({HIGH})')} AS alta_confiabilidade, {pct("count(*) FILTER (conferencia = 'aprovado')")} AS aprovados FROM e",
+    "pivot_domain_review": REG + f"SELECT coalesce(dom, 'Total') AS dominio, coalesce(conferencia, 'Total') AS estado, count(*) AS documentos, {pct('count(*)', '(SELECT count(*) FROM e)')} AS percentual FROM e GROUP BY CUBE (dom, conferencia)",
+    "pivot_class_bracket": REG + "SELECT classe, " + ", ".join(f"count(*) FILTER (f = {i}) AS faixa_{i}" for i in range(5)) + f", count(*) AS total FROM (SELECT classe, {BRACKET} AS f FROM e) WHERE classe IN (SELECT classe FROM e GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 8) GROUP BY 1",
+    "pivot_level_type": REG + f"SELECT nivel, count(*) FILTER (k = 'd') AS diploma, count(*) FILTER (k = 'c') AS certificado, count(*) FILTER (k = 'h') AS historico, count(*) FILTER (k = 'l') AS declaracao, count(*) FILTER (k = 'o') AS outro, count(*) AS total FROM (SELECT {LEVEL} AS nivel, CASE WHEN t LIKE '%diploma%' THEN 'd' WHEN t LIKE '%certificado%' THEN 'c' WHEN t LIKE '%historico%' THEN 'h' WHEN t LIKE '%declaracao%' OR t LIKE '%atestado%' THEN 'l' ELSE 'o' END AS k FROM (SELECT *, {FOLD.format('tipo_documento')} AS t FROM e)) GROUP BY 1",
+    "institution_unify": REG + f"SELECT *, distintos_antes - distintos_depois AS reducao FROM (SELECT count(*) FILTER (faculdade <> n) AS alterados, count(DISTINCT faculdade) AS distintos_antes, count(DISTINCT coalesce(n, faculdade)) AS distintos_depois FROM (SELECT faculdade, {INSTITUTION} AS n FROM e))",
+    "institution_samples": REG + f"SELECT DISTINCT faculdade AS de, n AS para FROM (SELECT faculdade, {INSTITUTION} AS n FROM e) WHERE faculdade <> n ORDER BY 1 LIMIT 15",
+    "run_summary": REG + "SELECT count(*) AS total, count(*) FILTER (status_conferencia = 'aprovado') AS ja_conferidos, count(*) FILTER (status = 'sucesso') AS sucessos, count(*) FILTER (status = 'erro') AS erros, count(*) FILTER (status NOT IN ('sucesso', 'erro')) AS pendentes FROM e",
+    "corpus_counters": REG + "SELECT count(*) FILTER (coalesce(dominio, 'academico') = 'academico') AS academicos, count(*) FILTER (dominio = 'financeiro') AS financeiros, count(*) FILTER (coalesce(dominio, 'academico') NOT IN ('academico', 'financeiro')) AS outros FROM e",
+    "bi_csv": REG + f"SELECT 'Domínio' AS secao, dom AS categoria, count(*) AS documentos, {pct('count(*)', '(SELECT count(*) FROM e)')} AS percentual, round(sum(valor), 2) AS valor FROM e GROUP BY 2 UNION ALL SELECT 'Tipo', classe, count(*), {pct('count(*)', '(SELECT count(*) FROM e)')}, round(sum(valor), 2) FROM e GROUP BY 2",
+    "bi_summary": REG + f"SELECT 0 AS ordem, 'Documentos: ' || count(*) || ' | Com valor: ' || count(*) FILTER (valor > 0) || ' | Total: ' || {BRL.format('round(sum(valor), 2)')} || ' | Ticket: ' || {BRL.format('round(avg(valor) FILTER (valor > 0), 2)')} AS linha FROM e UNION ALL SELECT 1, dom || ': ' || count(*) FROM e GROUP BY dom UNION ALL (SELECT 2, classe || ': ' || n FROM (SELECT classe, count(*) AS n FROM e GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 15))",
+}

@@ -1,0 +1,53 @@
+"""Registered queries of the library: each runs one operator over whole driver tables."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from acervo import adapter
+from acervo.operators import stats
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def over(table: Callable[[SparkSession, str], DataFrame], operator: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf_dir: operator(table(spark, sf_dir))
+
+
+QUERIES: dict[str, Query] = {
+    name: over(adapter.registry, f)
+    for name, f in {
+        "kpis": stats.kpis,
+        "class_distribution": stats.class_distribution,
+        "top_classes": lambda d: stats.class_distribution(d, 8),
+        "value_counts": stats.value_counts,
+        "preponderant_domain": stats.preponderant_domain,
+        "flag_counts": stats.flag_counts,
+        "value_brackets": stats.value_brackets,
+        "distinct_entities": stats.distinct_entities,
+        "distinct_valid_entities": lambda d: stats.distinct_entities(d, True),
+        "top_holders": stats.top_holders,
+        "temporal_distribution": stats.temporal,
+        "reliability_tiers": stats.reliability,
+        "metadata_quality": stats.quality,
+        "domain_chart": stats.domain_chart,
+        "type_top7_rest": stats.type_chart,
+        "level_chart": stats.level_chart,
+        "hours_buckets": stats.hours_chart,
+        "timeline": stats.timeline,
+        "top_institutions": stats.top_institutions,
+        "top_people": stats.top_people,
+        "funnel": stats.funnel,
+        "pivot_domain_review": stats.pivot_domain_review,
+        "pivot_class_bracket": stats.pivot_class_bracket,
+        "pivot_level_type": stats.pivot_level_type,
+        "institution_unify": stats.unification,
+        "institution_samples": stats.unification_samples,
+        "run_summary": stats.run_summary,
+        "corpus_counters": stats.corpus_counters,
+        "bi_csv": stats.bi_csv,
+        "bi_summary": stats.bi_summary,
+    }.items()
+}
