@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from acervo.sources.tables import kept
+
 
 def _check(d: str, first: range | list, second: range | list) -> str:
     """SQL for d followed by its two mod-11 check digits."""
@@ -108,12 +110,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per order: the registry columns the operators use."""
-    return spark.sql(REGISTRY, **{t: read(spark, sf_dir, t) for t in ("orders", "customer", "nation")})
+    return kept(spark, f"registry {sf_dir}", lambda: spark.sql(REGISTRY, **{t: read(spark, sf_dir, t) for t in ("orders", "customer", "nation")}))
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page rows of the registry's documents, from the order lines."""
-    return spark.sql(PAGES, lineitem=read(spark, sf_dir, "lineitem"))
+    return kept(spark, f"pages {sf_dir}", lambda: spark.sql(PAGES, lineitem=read(spark, sf_dir, "lineitem")))
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,6 +42,11 @@ def nonblank(s: Column | str) -> Column:
     return F.nullif(F.trim(col(s)), F.lit(""))
 
 
+def let(value: Column, then) -> Column:
+    """then(value) with the value computed once, however often it is used."""
+    return F.transform(F.array(value), then)[0]
+
+
 def digits(s: Column | str) -> Column:
     """SC-2."""
     return F.regexp_replace(F.coalesce(col(s), F.lit("")), "[^0-9]", "")
@@ -178,16 +183,30 @@ def normalize_institution(s: Column | str, rules=INSTITUTION_RULES) -> Column:
     clean = F.trim(F.regexp_replace(F.regexp_replace(clean, "[\"'`´]", ""), r"\s+", " "))
     clean = F.trim(F.regexp_replace(clean, r"(?i)\b(LTDA|S/?A|EIRELI|ME|EPP)\b\.?", ""))
     clean = F.trim(F.regexp_replace(clean, r"\s*-\s*$", ""))
-    folded = fold(clean)
-    hit = lambda sets: reduce(lambda a, b: a | b, (reduce(lambda a, b: a & b, (folded.contains(w) for w in ws)) for ws in sets))
-    known = F.coalesce(*[F.when(hit(sets), F.lit(name)) for sets, name in rules], F.when(F.regexp_replace(folded, "[^a-z0-9]", "").isin("fab", "faculdadefab"), F.lit("Faculdade Alffa do Brasil (FAB)"))) if rules else F.lit(None).cast("string")
+    return F.when(blank(raw) | F.lower(raw).isin(NO_INSTITUTION), F.lit(None)).otherwise(let(clean, lambda c: F.coalesce(_canonical(c, rules), _shaped(c))))
+
+
+def _canonical(clean: Column, rules) -> Column:
+    if not rules:
+        return F.lit(None).cast("string")
+
+    def known(folded: Column) -> Column:
+        hit = lambda sets: reduce(lambda a, b: a | b, (reduce(lambda a, b: a & b, (folded.contains(w) for w in ws)) for ws in sets))
+        return F.coalesce(*[F.when(hit(sets), F.lit(name)) for sets, name in rules], F.when(F.regexp_replace(folded, "[^a-z0-9]", "").isin("fab", "faculdadefab"), F.lit("Faculdade Alffa do Brasil (FAB)")))
+
+    return let(fold(clean), known)
+
+
+def _shaped(clean: Column) -> Column:
+    """'ACRONYM - Name', 'Name - ACRONYM', '(ACRONYM) Name' and 'Name (ACRONYM)' as (name, acronym), then as one text."""
     part = lambda p, i: F.trim(F.regexp_extract(clean, p, i))
     first, last = r"^([A-Z0-9]{2,8})\s*[-–—:/|]\s*(.+)$", r"^(.+?)\s*[-–—:/|]\s*([A-Z0-9]{2,8})$"
     front, back = r"^\((.+?)\)\s*(.+)$", r"^(.+?)\s*\(([A-Za-z0-9\s\-]+)\)$"
-    named = lambda name, short: F.concat(title_pt(name), F.lit(" ("), F.upper(short), F.lit(")"))
-    shaped = F.when(clean.rlike(first), named(F.regexp_replace(part(first, 2), r"^[-–—:/|]\s*", ""), part(first, 1))).when(clean.rlike(last), named(part(last, 1), part(last, 2)))
-    shaped = shaped.when(clean.rlike(front) & (F.length(part(front, 1)) <= 8), named(part(front, 2), part(front, 1))).when(clean.rlike(back) & (F.length(part(back, 2)) <= 8), named(part(back, 1), part(back, 2)))
-    return F.when(blank(raw) | F.lower(raw).isin(NO_INSTITUTION), F.lit(None)).otherwise(F.coalesce(known, shaped.otherwise(title_pt(clean))))
+    both = lambda name, short: F.struct(name.alias("name"), short.alias("short"))
+    found = F.when(clean.rlike(first), both(F.regexp_replace(part(first, 2), r"^[-–—:/|]\s*", ""), part(first, 1))).when(clean.rlike(last), both(part(last, 1), part(last, 2)))
+    found = found.when(clean.rlike(front) & (F.length(part(front, 1)) <= 8), both(part(front, 2), part(front, 1))).when(clean.rlike(back) & (F.length(part(back, 2)) <= 8), both(part(back, 1), part(back, 2)))
+    found = found.otherwise(both(clean, F.lit("")))
+    return let(found, lambda x: F.concat(title_pt(x["name"]), F.when(x["short"] != "", F.concat(F.lit(" ("), F.upper(x["short"]), F.lit(")"))).otherwise("")))
 
 
 # Academic levels by keywords in the folded text, first match wins.

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from acervo.adapter import PAGES_SQL, REGISTRY_SQL
+from acervo.functions import classes as C
 
 FOLD = "strip_accents(lower(trim(coalesce({0}, ''))))"
 DIGITS = "regexp_replace(coalesce({0}, ''), '[^0-9]', '', 'g')"
@@ -47,10 +48,10 @@ _SHORT = f"regexp_extract({_PLAIN}, '^\\(?([A-Z0-9]{{2,8}})(?: - |\\) )', 1)"
 _LAST = f"split_part({_NAME}, ' ', 3)"
 INSTITUTION = f"CASE WHEN {BLANK.format('faculdade')} OR lower(faculdade) = 'n/a' THEN NULL ELSE 'Faculdade de ' || upper(substr({_LAST}, 1, 1)) || lower(substr({_LAST}, 2)) || CASE WHEN {_SHORT} <> '' THEN ' (' || {_SHORT} || ')' ELSE '' END END"
 
-REG = f"""WITH reg AS ({REGISTRY_SQL}),
-e AS (SELECT *, {valor("valor_monetario")} AS valor, coalesce(nullif(tipo_documento, ''), 'Não identificado') AS classe, coalesce(status_conferencia, 'pendente') AS conferencia, coalesce(dominio, 'outro') AS dom FROM reg)
+REG = f"""WITH reg AS MATERIALIZED ({REGISTRY_SQL}),
+e AS MATERIALIZED (SELECT *, {valor("valor_monetario")} AS valor, coalesce(nullif(tipo_documento, ''), 'Não identificado') AS classe, coalesce(status_conferencia, 'pendente') AS conferencia, coalesce(dominio, 'outro') AS dom FROM reg)
 """
-PAG = f"WITH pag AS ({PAGES_SQL})\n"
+PAG = f"WITH pag AS MATERIALIZED ({PAGES_SQL})\n"
 
 
 def pct(a: str, b: str = "count(*)") -> str:
@@ -94,3 +95,91 @@ SQL: dict[str, str] = {
     "bi_csv": REG + f"SELECT 'Domínio' AS secao, dom AS categoria, count(*) AS documentos, {pct('count(*)', '(SELECT count(*) FROM e)')} AS percentual, round(sum(valor), 2) AS valor FROM e GROUP BY 2 UNION ALL SELECT 'Tipo', classe, count(*), {pct('count(*)', '(SELECT count(*) FROM e)')}, round(sum(valor), 2) FROM e GROUP BY 2",
     "bi_summary": REG + f"SELECT 0 AS ordem, 'Documentos: ' || count(*) || ' | Com valor: ' || count(*) FILTER (valor > 0) || ' | Total: ' || {BRL.format('round(sum(valor), 2)')} || ' | Ticket: ' || {BRL.format('round(avg(valor) FILTER (valor > 0), 2)')} AS linha FROM e UNION ALL SELECT 1, dom || ': ' || count(*) FROM e GROUP BY dom UNION ALL (SELECT 2, classe || ': ' || n FROM (SELECT classe, count(*) AS n FROM e GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 15))",
 }
+
+
+def cascade(text: str, table, default: str) -> str:
+    return "CASE " + " ".join(f"WHEN regexp_matches({text}, '{'|'.join(w.replace('.', chr(92) + '.') for w in words)}') THEN '{label}'" for words, label in table) + f" ELSE {default} END"
+
+
+def masked(c: str, size: int, pieces: list[str]) -> str:
+    d = DIGITS.format(c)
+    return f"CASE WHEN coalesce({c}, '') = '' THEN NULL WHEN length({d}) = {size} THEN {' || '.join(p.format(d=d) for p in pieces)} ELSE trim({c}) END"
+
+
+CPF_MASK = ["substr({d}, 1, 3) || '.'", "substr({d}, 4, 3) || '.'", "substr({d}, 7, 3) || '-'", "substr({d}, 10, 2)"]
+CNPJ_MASK = ["substr({d}, 1, 2) || '.'", "substr({d}, 3, 3) || '.'", "substr({d}, 6, 3) || '/'", "substr({d}, 9, 4) || '-'", "substr({d}, 13, 2)"]
+_T = "lower(coalesce(tipo_documento, ''))"
+RULE_DOMAIN = cascade("{0}", [(w, d) for w, d in C.RULE_DOMAINS], "'academico'")
+DEFAULT_DOMAIN = f"CASE WHEN regexp_matches({_T}, '{'|'.join(C.VEHICLE)}') THEN 'veicular' WHEN NOT regexp_matches({_T}, '{'|'.join(C.NOT_FINANCIAL)}') AND (regexp_matches({_T}, '{'|'.join(C.FINANCIAL)}') OR NOT {BLANK.format('valor_monetario')}) THEN 'financeiro' WHEN regexp_matches({_T}, '{'|'.join(C.PROFESSIONAL)}') THEN 'profissional' WHEN regexp_matches({_T}, '{'|'.join(C.PERSONAL)}') THEN 'identificacao' WHEN regexp_matches({_T}, '{'|'.join(C.LEGAL)}') THEN 'juridico' ELSE 'academico' END"
+FORMAT = "CASE WHEN coalesce(lower(extensao), '') = '.docx' OR lower(nome_arquivo) LIKE '%.docx' THEN 'word' WHEN coalesce(lower(extensao), '') = '.png' OR lower(nome_arquivo) LIKE '%.png' THEN 'image' WHEN coalesce(lower(extensao), '') = '.txt' OR lower(nome_arquivo) LIKE '%.txt' THEN 'text' ELSE 'pdf' END"
+_UNPAID = f"({BLANK.format('valor_monetario')} AND {BLANK.format('beneficiario')} AND coalesce(dados_extras->>'pix_chave', '') = '')"
+UNPROCESSED = f"(status <> 'sucesso' OR CASE WHEN dominio = 'financeiro' THEN {_UNPAID} WHEN coalesce(dominio, 'academico') <> 'academico' THEN {BLANK.format('beneficiario')} AND {BLANK.format('tipo_documento')} ELSE {BLANK.format('beneficiario')} AND {BLANK.format('curso')} END)"
+BUCKET = f"CASE WHEN {UNPROCESSED} THEN 'nao_processado' WHEN status_conferencia = 'aprovado' THEN 'aprovado' ELSE 'pendente' END"
+# the listed classes of the derived registry repeat a main class only in 'recibo' and in equal spelling
+LISTED = "[x for x in string_split(coalesce(todos_tipos_texto, ''), ', ') if lower(x) NOT IN ('', 'documento')]"
+TYPES = f"(SELECT CASE WHEN len(t) = 0 THEN ['Não identificado'] ELSE t END FROM (SELECT CASE WHEN tipo_documento IS NULL THEN {LISTED} ELSE [tipo_documento] || [x for x in {LISTED} if lower(x) <> lower(tipo_documento)] END AS t))"
+TYP = REG + f", t AS MATERIALIZED (SELECT *, {TYPES} AS tipos FROM e)\n"
+_DOMS = f"list_distinct([coalesce(dominio, 'academico')] || [{RULE_DOMAIN.format('lower(x)')} for x in tipos])"
+BLOB = "strip_accents(lower(concat_ws(' ', nome_arquivo, tipo_documento, beneficiario, cpf, rg, cnpj, curso, natureza_curso, faculdade, valor_monetario, data, dominio, status, dados_extras)))"
+IDS = "concat_ws(' ', " + ", ".join(DIGITS.format(c) for c in ("cpf", "rg", "cnpj")) + ")"
+
+
+def macro(tag: str) -> str:
+    domains, found = C.MACROS[tag]
+    some = f"len([x for x in tipos if regexp_matches(strip_accents(lower(x)), '{'|'.join(found)}')]) > 0"
+    own = f"coalesce(dominio, '') IN ({', '.join(repr(d) for d in domains)})"
+    return f"({own} OR {some}" + (f" OR NOT {BLANK.format('cnpj')})" if tag == "profissional" else ")")
+
+
+def facet_sql() -> str:
+    sel = {"dominio": "list_has_any(f_dominio, ['academico', 'financeiro'])", "status": "list_has_any(f_status, ['pendente'])", "formato": "list_has_any(f_formato, ['pdf', 'word'])", "natureza": "list_has_any(f_natureza, ['Nada'])"}
+    macros = "[x for x in [" + ", ".join(f"CASE WHEN {macro(t)} THEN '{t}' END" for t in C.MACROS) + "] if x IS NOT NULL]"
+    cols = {"instituicao": f"[x for x in [{INSTITUTION}] if x IS NOT NULL]", "natureza": f"[{LEVEL}]", "tipo": "tipos", "macro": macros, "dominio": _DOMS, "status": f"[{BUCKET}]", "formato": f"[{FORMAT}]"}
+    rows = "SELECT " + ", ".join(f"{v} AS f_{k}" for k, v in cols.items()) + " FROM t"
+    parts = []
+    for f in cols:
+        ok = " AND ".join(c for k, c in sel.items() if k != f)
+        parts.append(f"SELECT '{f}' AS faceta, valor, count(*) FILTER (ok) AS documentos FROM (SELECT unnest(list_distinct(f_{f})) AS valor, {ok} AS ok FROM r) GROUP BY 2")
+    chosen = "(VALUES ('dominio', 'academico'), ('dominio', 'financeiro'), ('status', 'pendente'), ('formato', 'pdf'), ('formato', 'word'), ('natureza', 'Nada')) s(faceta, valor)"
+    return TYP + f", r AS MATERIALIZED ({rows}), c AS ({' UNION ALL '.join(parts)}) SELECT faceta, valor, coalesce(documentos, 0) AS documentos FROM c FULL JOIN (SELECT *, true AS chosen FROM {chosen}) s USING (faceta, valor) WHERE documentos > 0 OR chosen"
+
+
+_ACAD = f"(coalesce(dominio, '') = 'academico' OR regexp_matches({_T}, 'diploma|certificado|histórico|historico|declaração|declaracao'))"
+_FIN = f"(coalesce(dominio, '') = 'financeiro' OR regexp_matches({_T}, 'comprovante|pagamento|recibo|nota fiscal|extrato'))"
+_HAND = "regexp_matches(lower(concat_ws(' ', tipo_documento, array_to_string(tipos, ' '))), 'manuscrito|manual|mão|mao')"
+REASON = f"CASE WHEN status = 'erro' THEN 'falha_leitura_local (' || coalesce(erro, 'erro_leitura') || ')' WHEN tipo_documento IS NULL THEN 'tipo_documento_inconclusivo' WHEN {_HAND} AND beneficiario IS NULL AND valor_monetario IS NULL AND curso IS NULL AND dados_extras->>'emitente' IS NULL THEN 'manuscrito_incompleto' WHEN {_ACAD} AND beneficiario IS NULL THEN 'beneficiario_ausente' WHEN {_ACAD} AND curso IS NULL AND faculdade IS NULL THEN 'dados_academicos_essenciais_ausentes' WHEN NOT {_ACAD} AND {_FIN} AND valor_monetario IS NULL AND beneficiario IS NULL THEN 'dados_financeiros_essenciais_ausentes' ELSE 'nenhum' END"
+_ACTIVE = "dominio tipo_documento beneficiario cpf rg cnpj curso natureza_curso carga_horaria faculdade valor_monetario data endereco_completo fonte_pagadora vendedor razao_social".split()
+_NULL_LIKE = "('', 'null', 'none', 'n/a', '-', 'não informado', 'nao informado', 'undefined')"
+
+SQL |= {
+    "cpf_validation": REG + f"SELECT md5, {masked('cpf', 11, CPF_MASK)} AS cpf, coalesce({valid('cpf', 11)}, false) AS valido, coalesce({valid('cpf', 11)} AND regexp_full_match(cpf, '[0-9]{{3}}[.][0-9]{{3}}[.][0-9]{{3}}-[0-9]{{2}}'), false) AS estrito FROM e",
+    "cnpj_validation": REG + f"SELECT md5, {masked('cnpj', 14, CNPJ_MASK)} AS cnpj, coalesce({valid('cnpj', 14)}, false) AS valido FROM e",
+    "money_parse": REG + f"SELECT md5, valor, {BRL.format('valor')} AS texto FROM e",
+    "year_extract": REG + f"SELECT md5, {year('data')} AS ano FROM e",
+    "hours_extract": REG + f"SELECT md5, {HOURS} AS horas FROM e",
+    "fold_text": REG + f"SELECT md5, {FOLD.format('tipo_documento')} AS tipo, {FOLD.format('faculdade')} AS faculdade FROM e",
+    "path_parts": REG + "SELECT md5, coalesce(beneficiario, 'Nao_Informado') AS parte FROM e",
+    "institution_names": REG + f"SELECT md5, {INSTITUTION} AS instituicao FROM e",
+    "rule_domains": REG + f"SELECT md5, {RULE_DOMAIN.format(_T)} AS dominio FROM e",
+    "default_domains": REG + f"SELECT md5, {DEFAULT_DOMAIN} AS dominio FROM e",
+    "format_classes": REG + f"SELECT md5, {FORMAT} AS formato FROM e",
+    "tag_categories": REG + f"SELECT tipo_documento, count(*) AS documentos, CASE WHEN tipo_documento IS NULL THEN 'Outros' ELSE {cascade(FOLD.format('tipo_documento'), C.CATEGORIES, repr('Outros'))} END AS categoria FROM e GROUP BY 1",
+    "type_sets": TYP + "SELECT md5, array_to_string(tipos, '|') AS tipos FROM t",
+    "point_lookup": REG + "SELECT md5, nome_arquivo FROM e WHERE md5 = 'c4ca4238a0b923820dcc509a6f75849b'",
+    "unprocessed": REG + f"SELECT md5, {UNPROCESSED} AS nao_processado FROM e",
+    "review_buckets": REG + f"SELECT {BUCKET} AS situacao, count(*) AS documentos, count(*) FILTER (contains(todos_tipos_texto, ',')) AS dossies FROM e GROUP BY 1",
+    "token_search": REG + f"SELECT md5 FROM e WHERE contains({BLOB}, 'diploma') AND (contains({BLOB}, '2024') OR contains({IDS}, '2024'))",
+    "token_search_ids": REG + f"SELECT md5 FROM e WHERE contains({BLOB}, 'certificado') AND (contains({BLOB}, '05-03') OR contains({IDS}, '0503'))",
+    "domain_filter": TYP + f"SELECT md5 FROM t WHERE list_contains({_DOMS}, 'financeiro')",
+    "quick_view_pending": REG + f"SELECT md5 FROM e WHERE {BUCKET} = 'pendente'",
+    "macro_tags": TYP + "SELECT " + ", ".join(f"count(*) FILTER ({macro(t)}) AS {t}" for t in C.MACROS) + " FROM t",
+    "facet_counts": facet_sql(),
+    "escalation_reasons": TYP + f"SELECT {REASON} AS motivo, count(*) AS documentos FROM t GROUP BY 1",
+    "subtags": REG + f"SELECT md5, CASE WHEN dominio = 'financeiro' THEN concat_ws('|', valor_monetario, dados_extras->>'pix_chave') WHEN dominio = 'veicular' THEN '' WHEN dominio = 'profissional' THEN coalesce({masked('cnpj', 14, CNPJ_MASK)}, '') WHEN dominio = 'identificacao' THEN concat_ws('|', {masked('cpf', 11, CPF_MASK)}, rg) WHEN dominio = 'juridico' THEN concat_ws('|', beneficiario, vendedor) ELSE concat_ws('|', curso, {INSTITUTION}) END AS etiquetas FROM e",
+    "final_status": REG + "SELECT md5, CASE WHEN coalesce(tipo_documento, beneficiario, cpf, rg, cnpj, curso, faculdade, valor_monetario, data, carga_horaria, natureza_curso) IS NOT NULL THEN 'sucesso' ELSE 'erro' END AS status, CASE WHEN coalesce(tipo_documento, beneficiario, cpf, rg, cnpj, curso, faculdade, valor_monetario, data, carga_horaria, natureza_curso) IS NULL THEN 'Nenhum dado útil extraído' END AS mensagem FROM e",
+    "scope_classified": REG + "SELECT count(*) AS documentos, count(*) FILTER (valor > 0) AS com_valor, round(coalesce(sum(valor), 0), 2) AS total, round(coalesce(avg(valor) FILTER (valor > 0), 0), 2) AS ticket_medio, round(coalesce(max(valor), 0), 2) AS maior FROM e WHERE status = 'sucesso' AND tipo_documento IS NOT NULL AND dominio = 'financeiro'",
+    "active_fields": REG + "SELECT chave, count(*) AS documentos FROM (" + " UNION ALL ".join([f"SELECT '{c}' AS chave, {c} AS valor FROM e" for c in _ACTIVE] + [f"SELECT '{k}', dados_extras->>'{k}' FROM e" for k in ("pix_chave", "emitente", "n")]) + f") WHERE lower(trim(coalesce(valor, ''))) NOT IN {_NULL_LIKE} GROUP BY 1",
+    "gallery_page": REG + "SELECT md5, data FROM e ORDER BY coalesce(data, data_modificacao, '') DESC, md5 LIMIT 50 OFFSET 20",
+    "gallery_pending": REG + f"SELECT md5 FROM e ORDER BY CASE {BUCKET} WHEN 'pendente' THEN 0 WHEN 'nao_processado' THEN 1 ELSE 2 END, md5 LIMIT 50",
+    "master_values": TYP + "SELECT DISTINCT 'natureza' AS lista, natureza_curso AS valor FROM t WHERE natureza_curso IS NOT NULL UNION ALL SELECT DISTINCT 'instituicao', faculdade FROM t WHERE faculdade IS NOT NULL UNION ALL SELECT DISTINCT 'tipo', unnest(tipos) FROM t",
+}

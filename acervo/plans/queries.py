@@ -5,8 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from acervo import adapter
+from acervo.functions import classes as C
+from acervo.functions import text as X
+from acervo.operators import filters as L
 from acervo.operators import stats
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,3 +55,41 @@ QUERIES: dict[str, Query] = {
         "bi_summary": stats.bi_summary,
     }.items()
 }
+
+SELECTED = {"dominio": ["academico", "financeiro"], "status": ["pendente"], "formato": ["pdf", "word"], "natureza": ["Nada"]}
+
+QUERIES |= {
+    name: over(adapter.registry, f)
+    for name, f in {
+        "cpf_validation": lambda d: d.select("md5", X.format_cpf("cpf").alias("cpf"), X.valid_cpf("cpf").alias("valido"), X.valid_cpf("cpf", True).alias("estrito")),
+        "cnpj_validation": lambda d: d.select("md5", X.format_cnpj("cnpj").alias("cnpj"), X.valid_cnpj("cnpj").alias("valido")),
+        "money_parse": lambda d: d.select("md5", X.parse_money("valor_monetario").alias("valor"), X.format_brl(X.parse_money("valor_monetario")).alias("texto")),
+        "year_extract": lambda d: d.select("md5", X.extract_year("data").alias("ano")),
+        "hours_extract": lambda d: d.select("md5", X.extract_hours("carga_horaria").alias("horas")),
+        "fold_text": lambda d: d.select("md5", X.fold("tipo_documento").alias("tipo"), X.fold("faculdade").alias("faculdade")),
+        "path_parts": lambda d: d.select("md5", X.sanitize_part("beneficiario").alias("parte")),
+        "institution_names": lambda d: d.select("md5", X.normalize_institution("faculdade").alias("instituicao")),
+        "rule_domains": lambda d: d.select("md5", C.type_to_domain("tipo_documento").alias("dominio")),
+        "default_domains": lambda d: d.select("md5", C.default_domain("tipo_documento", "valor_monetario").alias("dominio")),
+        "format_classes": lambda d: d.select("md5", C.format_class("extensao", "nome_arquivo").alias("formato")),
+        "tag_categories": lambda d: d.groupBy("tipo_documento").agg(F.count("*").alias("documentos")).withColumn("categoria", C.tag_category("tipo_documento")),
+        "type_sets": lambda d: L.with_types(d).select("md5", F.array_join("todos_tipos", "|").alias("tipos")),
+        "point_lookup": lambda d: L.get(d, " C4CA4238A0B923820DCC509A6F75849B ").select("md5", "nome_arquivo"),
+        "unprocessed": lambda d: d.select("md5", L.is_unprocessed().alias("nao_processado")),
+        "review_buckets": L.review_buckets,
+        "token_search": lambda d: L.token_search(d, "Diplôma 2024").select("md5"),
+        "token_search_ids": lambda d: L.token_search(d, "certificado 05-03").select("md5"),
+        "domain_filter": lambda d: L.with_types(d).filter(L.domain_filter("financeiro")).select("md5"),
+        "quick_view_pending": lambda d: L.quick_view(d, "pendentes").select("md5"),
+        "macro_tags": lambda d: L.with_types(d).agg(*[F.count_if(C.macro_tag(t, "todos_tipos", "dominio", "cnpj")).alias(t) for t in C.MACROS]),
+        "facet_counts": lambda d: L.facet_counts(d, SELECTED),
+        "subtags": lambda d: d.select("md5", F.array_join(L.subtags(), "|").alias("etiquetas")),
+        "escalation_reasons": lambda d: L.with_types(d).groupBy(F.coalesce(L.escalation_reason(), F.lit("nenhum")).alias("motivo")).agg(F.count("*").alias("documentos")),
+        "final_status": lambda d: d.select("md5", L.final_status()[0].alias("status"), L.final_status()[1].alias("mensagem")),
+        "scope_classified": lambda d: stats.kpis(L.bi_scope(d, "classified", "financeiro")),
+        "active_fields": lambda d: L.active_fields(d).groupBy("chave").agg(F.count("*").alias("documentos")),
+        "gallery_page": lambda d: L.gallery(d, "data_desc", 20, 50).select("md5", "data"),
+        "gallery_pending": lambda d: L.gallery(d, "pendentes", 0, 50).select("md5"),
+        "master_values": L.master_values,
+    }.items()
+}
