@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from acervo.adapter import PAGES_SQL, REGISTRY_SQL
 from acervo.functions import classes as C
+from acervo.operators import pages as P
 
 FOLD = "strip_accents(lower(trim(coalesce({0}, ''))))"
 DIGITS = "regexp_replace(coalesce({0}, ''), '[^0-9]', '', 'g')"
@@ -183,3 +184,117 @@ SQL |= {
     "gallery_pending": REG + f"SELECT md5 FROM e ORDER BY CASE {BUCKET} WHEN 'pendente' THEN 0 WHEN 'nao_processado' THEN 1 ELSE 2 END, md5 LIMIT 50",
     "master_values": TYP + "SELECT DISTINCT 'natureza' AS lista, natureza_curso AS valor FROM t WHERE natureza_curso IS NOT NULL UNION ALL SELECT DISTINCT 'instituicao', faculdade FROM t WHERE faculdade IS NOT NULL UNION ALL SELECT DISTINCT 'tipo', unnest(tipos) FROM t",
 }
+
+
+def squash(name: str) -> str:
+    return f"upper(trim(regexp_replace(strip_accents(coalesce({name}, '')), '\\s+', ' ', 'g')))"
+
+
+_FID = "CASE WHEN length({d}) = 11 THEN {cpf} WHEN length({d}) = 14 THEN {cnpj} END"
+CPF_ID, CNPJ_ID = (_FID.format(d=DIGITS.format(c), cpf=masked(c, 11, CPF_MASK), cnpj=masked(c, 14, CNPJ_MASK)) for c in ("cpf", "cnpj"))
+DOS = REG + f""", k AS MATERIALIZED (SELECT *, CASE WHEN c IS NOT NULL THEN 'CPF' WHEN j IS NOT NULL THEN 'CNPJ' WHEN beneficiario LIKE '% %' AND length(beneficiario) >= 8 THEN 'NOME' END AS tipo_entidade,
+  coalesce(c, j, CASE WHEN beneficiario LIKE '% %' AND length(beneficiario) >= 8 THEN upper(beneficiario) END) AS identificador FROM (SELECT *, {CPF_ID} AS c, {CNPJ_ID} AS j FROM e)),
+dos AS (SELECT 'dossie_' || regexp_replace(lower(tipo_entidade || '_' || identificador), '[^a-z0-9_]', '_', 'g') AS id, tipo_entidade, identificador, coalesce(arg_min(beneficiario, md5) FILTER (beneficiario IS NOT NULL), identificador) AS nome_titular, count(*) AS total_documentos FROM k WHERE tipo_entidade IS NOT NULL GROUP BY 2, 3 HAVING count(*) >= 2)
+"""
+_PF = "CASE WHEN {ok} THEN 'PF_' || {d} WHEN rg IS NOT NULL THEN 'PF_RGNM_' || substr(sha1({n} || '|' || {r}), 1, 16) ELSE 'PF_PROV_' || substr(md5, 1, 16) || '_' || substr(sha1({n}), 1, 8) END".format(ok=valid("cpf", 11), d=DIGITS.format("cpf"), n=squash("beneficiario"), r=DIGITS.format("rg"))
+
+
+def _loose(c: str) -> str:
+    return f"'PF_PROV_' || substr(md5, 1, 16) || '_' || substr(sha1({squash(c)}), 1, 8)"
+
+
+ENT = REG + f""", r AS MATERIALIZED (
+  SELECT md5, 0 AS pos, 'titular' AS papel, 'PF' AS tipo, {_PF} AS id, {squash('beneficiario')} AS nome, CASE WHEN {valid('cpf', 11)} THEN {DIGITS.format('cpf')} ELSE '' END AS cpf,
+    CASE WHEN {valid('cpf', 11)} THEN coalesce(rg, '') WHEN rg IS NOT NULL THEN {DIGITS.format('rg')} ELSE '' END AS rg, '' AS cnpj, NOT {valid('cpf', 11)} AND rg IS NULL AS inc FROM e WHERE beneficiario IS NOT NULL
+  UNION ALL SELECT md5, 0, 'titular', 'PJ', CASE WHEN {valid('cnpj', 14)} THEN 'PJ_' || {DIGITS.format('cnpj')} ELSE 'PJ_PROV_' || substr(md5, 1, 16) || '_' || substr(sha1({squash('razao_social')}), 1, 8) END, {squash('razao_social')}, '', '', CASE WHEN {valid('cnpj', 14)} THEN {DIGITS.format('cnpj')} ELSE '' END, NOT {valid('cnpj', 14)} FROM e WHERE beneficiario IS NULL AND razao_social IS NOT NULL
+  UNION ALL SELECT md5, 1, 'fonte_pagadora', CASE WHEN {valid('cnpj_fonte_pagadora', 14)} THEN 'PJ' ELSE 'PF' END, CASE WHEN {valid('cnpj_fonte_pagadora', 14)} THEN 'PJ_' || {DIGITS.format('cnpj_fonte_pagadora')} ELSE {_loose('fonte_pagadora')} END, {squash('fonte_pagadora')}, '', '', CASE WHEN {valid('cnpj_fonte_pagadora', 14)} THEN cnpj_fonte_pagadora ELSE '' END, NOT {valid('cnpj_fonte_pagadora', 14)} FROM e WHERE fonte_pagadora IS NOT NULL
+  UNION ALL SELECT md5, 2, 'emitente', 'PF', {_loose("(dados_extras->>'emitente')")}, {squash("(dados_extras->>'emitente')")}, '', '', '', true FROM e WHERE dados_extras->>'emitente' IS NOT NULL
+  UNION ALL SELECT md5, 3, 'vendedor', 'PF', {_loose('vendedor')}, {squash('vendedor')}, '', '', '', true FROM e WHERE vendedor IS NOT NULL),
+g AS (SELECT id, tipo, arg_min({{'nome': nome, 'cpf': cpf, 'rg': rg, 'cnpj': cnpj, 'inc': inc}}, md5 || pos) AS f, string_agg(DISTINCT md5, ';' ORDER BY md5) AS documentos_md5 FROM r GROUP BY 1, 2)
+"""
+_HOLD = "LEFT JOIN (SELECT md5, id, tipo FROM r WHERE papel = 'titular') h USING (md5)"
+_S1 = "substr(md5, 1, 1)"
+_REQ = "coalesce((e.status = 'erro' AND contains(erro, 'OCR')), false) OR ((lower(coalesce(tipo_documento, '')) IN ('', 'não identificado', 'nao identificado', 'outro', 'não informado', 'nao informado') OR (cpf IS NOT NULL AND NOT {v})) AND NOT coalesce(tentativa_ocr_llm, false))".format(v=valid("cpf", 11))
+
+
+def plan(again: str, approved: str) -> str:
+    return REG + f", f AS (SELECT CASE WHEN {_S1} < '4' THEN md5(reverse(md5)) ELSE md5 END AS md5, 'a/' || nome_arquivo AS caminho FROM e) SELECT f.md5, min(f.caminho) AS caminho, any_value(CASE WHEN e.md5 IS NULL THEN 'novo' WHEN {approved} THEN 'pronto' WHEN {again} THEN 'refazer' ELSE 'pronto' END) AS acao FROM f LEFT JOIN e ON e.md5 = f.md5 GROUP BY 1"
+
+
+_S2 = "substr(md5, 2, 1)"
+_NEWTYPES = "[x for x in tipos if lower(x) <> 'recibo']"
+_NEWMAIN = f"CASE WHEN lower(tipo_documento) = 'recibo' THEN coalesce(({_NEWTYPES})[1], 'Outro') ELSE tipo_documento END"
+_IS_FIN = f"list_contains([{RULE_DOMAIN.format('lower(coalesce(x, chr(0)))')} for x in {_NEWTYPES} || [{_NEWMAIN}] if x IS NOT NULL], 'financeiro')"
+_NOPIX = "[x for x in tipos if NOT contains(lower(x), 'pix')]"
+_PIXMAIN = f"CASE WHEN contains(lower(tipo_documento), 'pix') THEN coalesce(({_NOPIX})[1], 'Outro') ELSE tipo_documento END"
+_PLACE = FOLD.format("nome_arquivo")
+_FOLDTEXT = "regexp_extract_all(strip_accents(lower(trim(coalesce(text, '')))), '[\\p{L}\\p{N}]+')"
+IDX = f"WITH tok AS MATERIALIZED (SELECT md5(doc_id::VARCHAR) AS md5, {_FOLDTEXT} AS w FROM documents), post AS MATERIALIZED (SELECT md5, len(w) AS n, unnest(w) AS term, generate_subscripts(w, 1) AS pos FROM tok), st AS (SELECT count(*) AS docs, avg(len(w)) AS mean FROM tok)\n"
+
+
+def bm25(parts: list[str], test: str, negative: tuple[int, ...] = ()) -> str:
+    hits = " UNION ALL ".join(f"SELECT {i} AS part, md5, n, count(*) AS tf FROM {p} GROUP BY md5, n" for i, p in enumerate(parts))
+    return IDX + f", hits AS MATERIALIZED ({hits}), d AS (SELECT part, count(*) AS df FROM hits GROUP BY 1), s AS (SELECT md5, list(part) AS parts, sum(CASE WHEN part IN ({', '.join(map(str, negative or (-1,)))}) THEN 0 ELSE greatest(ln((docs - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean)) END) AS s FROM hits JOIN d USING (part), st GROUP BY 1) SELECT md5, round(-s, 6) AS fts_score FROM s WHERE {test} ORDER BY -s, md5 LIMIT 50"
+
+
+def _word(w: str, prefix: bool) -> str:
+    return f"(SELECT * FROM post WHERE {'starts_with(term, ' + repr(w) + ')' if prefix else 'term = ' + repr(w)})"
+
+
+_NORM = "trim(regexp_replace(regexp_replace(lower(coalesce(text, '')), '[^\\p{L}\\p{N}\\p{M}_\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
+_RANKS = {f: "CASE dominio " + " ".join(f"WHEN '{d}' THEN {i}" for i, d in enumerate(ds)) + " END" for f, ds in P.HOLDERS.items()}
+_PRIO = "CASE tipo " + " ".join(f"WHEN '{t}' THEN {i}" for i, t in enumerate(P.PRIORITY)) + " END"
+_ACA, _PES, _CHQ = (", ".join(repr(x) for x in xs) for xs in (P.ACADEMIC, P.PERSONAL, P.CHEQUES))
+
+
+def in_order(c: str) -> str:
+    return f"array_to_string(list_distinct(list({c} ORDER BY pagina) FILTER ({c} IS NOT NULL)), '|')"
+
+
+def first_seen(c: str) -> str:
+    """Distinct values by their first page."""
+    return f"(SELECT coalesce(string_agg(v, '|' ORDER BY p), '') FROM (SELECT {c} AS v, min(pagina) AS p FROM pag q WHERE q.md5 = d.md5 AND {c} IS NOT NULL GROUP BY 1))"
+
+
+SQL |= {
+    "dossier_clusters": DOS + "SELECT * FROM dos",
+    "dossier_documents": DOS + "SELECT id, string_agg(md5, ',' ORDER BY coalesce(data, ''), nome_arquivo, md5) AS documentos FROM dos JOIN k USING (tipo_entidade, identificador) GROUP BY 1",
+    "entity_links": ENT + "SELECT md5 AS documento_md5, id AS entidade_id, tipo AS tipo_entidade, papel FROM r",
+    "entity_people": ENT + "SELECT id AS entidade_id, f.nome AS nome_normalizado, f.cpf AS cpf, f.rg AS rg, f.inc AS identificacao_incompleta, documentos_md5 FROM g WHERE tipo = 'PF'",
+    "entity_companies": ENT + "SELECT id AS entidade_id, f.nome AS razao_social_normalizada, f.cnpj AS cnpj, f.inc AS identificacao_incompleta, documentos_md5 FROM g WHERE tipo = 'PJ'",
+    "entity_addresses": ENT + f"SELECT h.id AS entidade_id, h.tipo AS tipo_entidade, md5 AS documento_md5, endereco_completo FROM e {_HOLD} WHERE endereco_completo IS NOT NULL AND h.id IS NOT NULL",
+    "entity_documents": ENT + f"SELECT md5, nome_arquivo, coalesce(tipo_documento, '') AS tipo_documento, coalesce(data, '') AS data, coalesce(h.id, '') AS entidade_titular_id, status, coalesce(status_conferencia, '') AS status_conferencia FROM e {_HOLD}",
+    "archive_names": REG + "SELECT md5, CASE WHEN r = 1 THEN n || '.pdf' ELSE n || '_' || substr(md5, 1, 6) || '_' || (r - 1) || '.pdf' END AS membro FROM (SELECT md5, coalesce(tipo_documento, 'sem') AS n, row_number() OVER (PARTITION BY coalesce(tipo_documento, 'sem') ORDER BY md5) AS r FROM e)",
+    "incremental_plan": plan("e.status <> 'sucesso'", "e.status_conferencia = 'aprovado'"),
+    "reprocess_plan": plan(_REQ, "e.status_conferencia = 'aprovado'"),
+    "force_plan": "SELECT acao, count(*) AS documentos FROM (" + plan("true", "false") + ") GROUP BY 1",
+    "upsert_merge": REG + f""", o AS (SELECT * FROM e WHERE {_S1} < 'c'), n AS (SELECT md5, nome_arquivo, CASE WHEN {_S2} = 'f' THEN tipo_documento END AS tipo_documento, CASE WHEN {_S2} < '8' THEN 'Novo Titular' END AS beneficiario, cpf, CASE WHEN {_S2} >= 'c' THEN 'R$ 1,00' END AS valor_monetario, faculdade, 'sucesso' AS status, status_conferencia FROM e WHERE {_S1} >= '8')
+SELECT coalesce(o.md5, n.md5) AS md5, coalesce(n.nome_arquivo, o.nome_arquivo) AS nome_arquivo, CASE WHEN n.md5 IS NULL THEN o.tipo_documento ELSE n.tipo_documento END AS tipo_documento, coalesce(n.beneficiario, o.beneficiario) AS beneficiario, coalesce(n.cpf, o.cpf) AS cpf, coalesce(n.valor_monetario, o.valor_monetario) AS valor_monetario, coalesce(n.faculdade, o.faculdade) AS faculdade, coalesce(n.status, o.status) AS status, CASE WHEN n.md5 IS NULL THEN o.status_conferencia ELSE n.status_conferencia END AS status_conferencia FROM o FULL JOIN n ON o.md5 = n.md5""",
+    "review_update": REG + "SELECT md5, nome_arquivo, tipo_documento, beneficiario, cpf, valor_monetario, faculdade, status, CASE WHEN substr(md5, 1, 2) < '20' THEN 'aprovado' ELSE status_conferencia END AS status_conferencia FROM e",
+    "bulk_retag": REG + "SELECT md5, CASE WHEN substr(md5, 1, 2) < '20' THEN 'Diploma' ELSE tipo_documento END AS tipo_documento, CASE WHEN substr(md5, 1, 2) < '20' THEN 'academico' ELSE dominio END AS dominio, CASE WHEN substr(md5, 1, 2) < '20' THEN 'Faculdade Nova (ABC)' ELSE faculdade END AS faculdade FROM e",
+    "preserved_review": REG + f"SELECT md5, status_conferencia FROM e WHERE {_S1} >= '8'",
+    "unified_registry": REG + f"SELECT md5, coalesce({INSTITUTION}, faculdade) AS faculdade FROM e",
+    "registry_reconcile": REG + f"SELECT md5, nome_arquivo, tipo_documento, beneficiario, cpf, valor_monetario, faculdade, status, status_conferencia FROM e WHERE {_S1} < '7'",
+    "placeholders": REG + f"SELECT md5, nome_arquivo, 'academico' AS dominio, 'nao_processado' AS status, 'pendente' AS status_conferencia FROM e WHERE {_S1} >= 'a'",
+    "type_removed": TYP + f"SELECT md5, {_NEWMAIN} AS tipo_documento, CASE WHEN dominio = 'financeiro' AND NOT {_IS_FIN} THEN {RULE_DOMAIN.format(f'lower(coalesce({_NEWMAIN}, chr(0)))')} ELSE dominio END AS dominio, array_to_string({_NEWTYPES}, '|') AS tipos FROM t",
+    "pix_removed": TYP + f"SELECT md5, {_PIXMAIN} AS tipo_documento, {RULE_DOMAIN.format(f'lower(coalesce({_PIXMAIN}, chr(0)))')} AS dominio FROM t",
+    "type_added": TYP + "SELECT md5, array_to_string(CASE WHEN list_contains(tipos, 'RG') THEN tipos ELSE list_append(tipos, 'RG') END, '|') AS tipos FROM t",
+    "duplicate_fields": REG + ", p AS (SELECT a.md5 AS canonico_md5, b.md5 AS duplicata_md5, a, b FROM e b JOIN e a ON a.md5 = b.duplicata_de) " + " UNION ALL ".join(f"SELECT canonico_md5, duplicata_md5, '{c}' AS campo, CASE WHEN a.{c} IS NULL OR b.{c} IS NULL THEN 'nao_comparavel' WHEN lower(a.{c}) = lower(b.{c}) THEN 'igual' ELSE 'difere' END AS resultado FROM p" for c in ("tipo_documento", "cpf", "beneficiario", "curso")),
+    "contract_carry": PAG + "SELECT md5, pagina, CASE WHEN tipo IS NULL AND contains(texto, 'contrato') THEN last_value(CASE WHEN tipo = 'Contrato de Compra e Venda' THEN tipo END IGNORE NULLS) OVER (PARTITION BY md5 ORDER BY pagina ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) ELSE tipo END AS tipo FROM pag",
+    "return_merge": PAG + f"SELECT md5, pagina, CASE WHEN tipo = '{P.RETURN}' AND max((tipo = '{P.RECEIPT}')::INT) OVER (PARTITION BY md5) = 1 THEN '{P.RECEIPT}' ELSE tipo END AS tipo FROM pag",
+    "holder_by_priority": PAG + "SELECT md5, " + ", ".join(f"arg_min({f}, ({r}) * 100000 + pagina) FILTER ({f} IS NOT NULL AND ({r}) IS NOT NULL) AS {f}" for f, r in _RANKS.items()) + " FROM pag GROUP BY 1",
+    "principal_type": PAG + f""", a AS (SELECT md5, count(*) AS n, count(*) FILTER (tipo IN ({_CHQ})) AS c, count(DISTINCT numero_cheque) AS nc, count(*) FILTER (tipo IN ({_ACA})) AS aca, count(*) FILTER (tipo IN ({_PES})) AS pes,
+  count(*) FILTER (dominio = 'veicular') AS v, count(DISTINCT tipo) FILTER (dominio = 'veicular') AS vt, arg_min(tipo, pagina) FILTER (dominio = 'veicular') AS carro, arg_min(tipo, ({_PRIO}) * 100000 + pagina) FILTER (tipo IS NOT NULL) AS tp, arg_min(dominio, ({_PRIO}) * 100000 + pagina) FILTER (tipo IS NOT NULL) AS dp, max(CASE WHEN dominio = 'academico' THEN dominio END) AS acad, arg_min(dominio, pagina) AS d1 FROM pag GROUP BY 1),
+  x AS (SELECT *, (c >= 2 OR nc >= 2 OR (c >= 1 AND n > 1 AND c / n >= 0.5)) AND aca = 0 AS book, aca = 0 AND pes = 0 AS plain FROM a)
+SELECT md5, CASE WHEN book THEN 'Talão de Cheques' WHEN c = 1 AND plain THEN 'Folha de Cheque' WHEN v >= 2 AND vt >= 2 AND aca = 0 THEN 'Dossiê Veicular' WHEN v >= 1 AND plain THEN carro ELSE tp END AS tipo_principal,
+  CASE WHEN book OR (c = 1 AND plain) THEN 'financeiro' WHEN (v >= 2 AND vt >= 2 AND aca = 0) OR (v >= 1 AND plain) THEN 'veicular' ELSE coalesce(dp, acad, d1, 'academico') END AS dominio_principal FROM x""",
+    "page_types_ordered": PAG + f"SELECT md5, {first_seen('tipo')} AS tipos, {first_seen('dominio')} AS dominios FROM (SELECT DISTINCT md5 FROM pag) d",
+    "first_page_values": PAG + f"SELECT md5, (SELECT arg_min(cpf, pagina) FILTER (cpf IS NOT NULL) FROM pag q WHERE q.md5 = d.md5) AS cpf, (SELECT arg_min(cnpj, pagina) FILTER (cnpj IS NOT NULL) FROM pag q WHERE q.md5 = d.md5) AS cnpj, {first_seen('numero_cheque')} AS numeros_cheque FROM (SELECT DISTINCT md5 FROM pag) d",
+    "postings_stats": IDX + "SELECT term, count(DISTINCT md5) AS df, count(*) AS cf FROM post GROUP BY 1",
+    "bm25_search": bm25([_word("stupid", True), _word("idiot", True)], "len(parts) = 2"),
+    "bm25_boolean": bm25([_word("stupid", False), _word("idiot", False), _word("trash", False)], "list_contains(parts, 0) AND list_contains(parts, 1) AND NOT list_contains(parts, 2)", (2,)),
+    "bm25_phrase": bm25(["(SELECT a.md5, a.n FROM post a JOIN post b ON a.md5 = b.md5 AND b.pos = a.pos + 1 WHERE a.term = 'of' AND b.term = 'the')", _word("moron", False)], "true"),
+    "compare_normalized": f"SELECT md5(doc_id::VARCHAR) AS md5, md5({_NORM}) AS norm FROM documents",
+    "exact_duplicates": "SELECT md5(text) AS chave, count(*) AS documentos, min(md5(doc_id::VARCHAR)) AS primeiro FROM documents GROUP BY 1 HAVING count(*) > 1",
+    "highlight_counts": "SELECT md5(doc_id::VARCHAR) AS md5, len(regexp_extract_all(lower(text), 'the'))::BIGINT AS n FROM documents",
+}

@@ -10,8 +10,14 @@ from pyspark.sql import functions as F
 from acervo import adapter
 from acervo.functions import classes as C
 from acervo.functions import text as X
+from acervo.operators import duplicates as D
+from acervo.operators import entities as E
 from acervo.operators import filters as L
+from acervo.operators import pages as P
+from acervo.operators import search as S
+from acervo.operators import state as R
 from acervo.operators import stats
+from acervo.sources.tables import kept
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -93,3 +99,92 @@ QUERIES |= {
         "master_values": L.master_values,
     }.items()
 }
+
+KEEPING = ["beneficiario", "cpf", "valor_monetario", "faculdade"]
+CHANGED = ["md5", "nome_arquivo", "tipo_documento", "beneficiario", "cpf", "valor_monetario", "faculdade", "status", "status_conferencia"]
+
+
+def _part(df: DataFrame, digits: str) -> DataFrame:
+    """Rows whose md5 begins with one of the hex digits: two overlapping parts make an old registry and a batch."""
+    return df.filter(F.substring("md5", 1, 1).isin(*digits))
+
+
+def _batch(df: DataFrame) -> DataFrame:
+    new = _part(df.select(CHANGED), "89abcdef")
+    return new.withColumns({"beneficiario": F.when(F.substring("md5", 2, 1) < "8", F.lit("Novo Titular")), "valor_monetario": F.when(F.substring("md5", 2, 1) >= "c", F.lit("R$ 1,00")), "status": F.lit("sucesso"), "tipo_documento": F.when(F.substring("md5", 2, 1) == "f", F.col("tipo_documento"))})
+
+
+def _files(df: DataFrame) -> DataFrame:
+    twice = df.withColumn("folder", F.explode(F.array(F.lit("b"), F.lit("a"))))
+    return twice.select(F.when(F.substring("md5", 1, 1) < "4", F.md5(F.reverse("md5"))).otherwise(F.col("md5")).alias("md5"), F.concat_ws("/", "folder", "nome_arquivo").alias("caminho"))
+
+
+def _some(df: DataFrame) -> DataFrame:
+    return df.filter(F.substring("md5", 1, 2) < "20").select("md5")
+
+
+QUERIES |= {
+    name: over(adapter.registry, f)
+    for name, f in {
+        "dossier_clusters": E.dossiers,
+        "dossier_documents": lambda d: E.dossier_documents(d).select("id", F.array_join("documentos", ",").alias("documentos")),
+        "entity_links": E.links,
+        "entity_people": lambda d: E.people(d).withColumn("documentos_md5", F.array_join("documentos_md5", ";")),
+        "entity_companies": lambda d: E.companies(d).withColumn("documentos_md5", F.array_join("documentos_md5", ";")),
+        "entity_addresses": E.addresses,
+        "entity_documents": E.document_rows,
+        "organize_plan": E.organize_plan,
+        "archive_names": lambda d: E.archive_names(d.select("md5", F.concat(F.coalesce("tipo_documento", F.lit("sem")), F.lit(".pdf")).alias("nome_arquivo"))),
+        "incremental_plan": lambda d: R.plan(_files(d), d),
+        "reprocess_plan": lambda d: R.plan(_files(d), d, "reprocess_ocr"),
+        "force_plan": lambda d: R.plan(_files(d), d, "force").groupBy("acao").agg(F.count("*").alias("documentos")),
+        "upsert_merge": lambda d: R.upsert(_part(d.select(CHANGED), "0123456789ab"), _batch(d), KEEPING),
+        "review_update": lambda d: R.set_review(d.select(CHANGED), _some(d), "aprovado"),
+        "bulk_retag": lambda d: R.retag(d, _some(d), tipo="Diploma", dominio="academico", faculdade="ABC - faculdade nova").select("md5", "tipo_documento", "dominio", "faculdade"),
+        "preserved_review": lambda d: R.preserve_review(_batch(d).drop("status_conferencia"), d).select("md5", "status_conferencia"),
+        "unified_registry": lambda d: R.unify_institutions(d).select("md5", "faculdade"),
+        "registry_reconcile": lambda d: R.reconcile(_part(d.select(CHANGED), "0123"), _part(d.select(CHANGED), "23456")),
+        "placeholders": lambda d: R.placeholders(d.select("md5", "nome_arquivo"), _part(d, "0123456789")),
+        "type_removed": lambda d: L.with_types(d).withColumns(R.remove_type("Recibo")).select("md5", "tipo_documento", "dominio", F.array_join("todos_tipos", "|").alias("tipos")),
+        "pix_removed": lambda d: R.remove_pix(L.with_types(d)).select("md5", "tipo_documento", "dominio"),
+        "type_added": lambda d: L.with_types(d).select("md5", F.array_join(R.add_type("RG"), "|").alias("tipos")),
+        "duplicate_fields": lambda d: R.compare_pairs(d.filter("duplicata_de is not null").select(F.col("duplicata_de").alias("canonico_md5"), F.col("md5").alias("duplicata_md5")), d, ["tipo_documento", "cpf", "beneficiario", "curso"]),
+    }.items()
+} | {
+    name: over(adapter.pages, f)
+    for name, f in {
+        "contract_carry": lambda p: P.carry_contracts(p).select("md5", "pagina", "tipo"),
+        "return_merge": lambda p: P.merge_returns(p).select("md5", "pagina", "tipo"),
+        "holder_by_priority": P.holders,
+        "principal_type": P.principal,
+        "page_types_ordered": lambda p: P.seen(p).select("md5", F.array_join("tipos", "|").alias("tipos"), F.array_join("dominios", "|").alias("dominios")),
+        "first_page_values": lambda p: P.first_values(p, ["cpf", "cnpj"]).withColumn("numeros_cheque", F.array_join("numeros_cheque", "|")),
+    }.items()
+}
+
+
+def texts_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kept(spark, f"postings {sf_dir}", lambda: S.build_index(adapter.texts(spark, sf_dir), ["texto"]))
+
+
+def text_search(query: str) -> Query:
+    def run(spark, sf_dir):
+        docs = adapter.texts(spark, sf_dir)
+        return S.search(texts_index(spark, sf_dir), S.sizes(docs, ["texto"]), query, 50).withColumn("fts_score", F.round("fts_score", 6))
+
+    return run
+
+
+QUERIES |= {
+    "postings_stats": lambda s, d: texts_index(s, d).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")),
+    "bm25_search": text_search("stupid idiot"),
+    "bm25_boolean": text_search("stupid AND idiot NOT trash"),
+    "bm25_phrase": text_search('"of the" OR moron'),
+    "search_snippets": lambda s, d: S.search_registry(adapter.texts(s, d), texts_index(s, d), S.sizes(adapter.texts(s, d), ["texto"]), "password", "texto").select("md5", "fts_snippet"),
+    "transcript_sanitize": lambda s, d: adapter.texts(s, d).select("md5", P.sanitize_transcript("texto").isNull().alias("descartado")),
+    "compare_normalized": lambda s, d: adapter.texts(s, d).select("md5", F.md5(X.normalize_for_compare("texto")).alias("norm")),
+    "exact_duplicates": lambda s, d: D.exact_groups(adapter.texts(s, d), F.md5("texto")),
+    "shingle_jaccard_pairs": lambda s, d: D.similar_pairs(D._keep(D.classes(adapter.texts(s, d)), "q")).select("a", "b", F.round("jaccard", 6).alias("jaccard")),
+    "near_duplicates_greedy": lambda s, d: D.near_duplicates(adapter.texts(s, d)),
+    "highlight_counts": lambda s, d: adapter.texts(s, d).select("md5", X.highlight("texto", "the")[1].cast("long").alias("n")),
+}
