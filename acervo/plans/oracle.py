@@ -298,3 +298,14 @@ SELECT md5, CASE WHEN book THEN 'Talão de Cheques' WHEN c = 1 AND plain THEN 'F
     "exact_duplicates": "SELECT md5(text) AS chave, count(*) AS documentos, min(md5(doc_id::VARCHAR)) AS primeiro FROM documents GROUP BY 1 HAVING count(*) > 1",
     "highlight_counts": "SELECT md5(doc_id::VARCHAR) AS md5, len(regexp_extract_all(lower(text), 'the'))::BIGINT AS n FROM documents",
 }
+
+SQL |= {
+    "html_metadata": "SELECT page_id, nullif(trim(regexp_extract(html, '(?is)<title>(.*?)</title>', 1)), '') AS title, nullif(regexp_extract(html, '(?i)<html[^>]*\\slang=\"([^\"]+)\"', 1), '') AS language, nullif(regexp_extract(html, '(?i)<meta\\s+charset=\"([^\"]+)\"', 1), '') AS charset, nullif(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1), '') AS source FROM pages",
+    "rule_longest_match": "WITH r AS (SELECT lower(trim(array_to_string(string_split(text, ' ')[1:5], ' '))) AS t, 'Prova' AS valor_atribuido, item_id AS id FROM benchmark UNION ALL VALUES ('the', 'Inglês', 1001), ('und', 'Alemão', 1002), ('idiot', 'Ofensa', 1003)), x AS (SELECT md5(doc_id::VARCHAR) AS md5, lower(text) AS low FROM documents) SELECT md5, arg_max(id, length(t) * 100000 + id) AS id, arg_max(valor_atribuido, length(t) * 100000 + id) AS valor_atribuido FROM x JOIN r ON contains(low, t) AND (length(t) > 4 OR regexp_matches(low, '(^|[^\\p{L}\\p{N}_])' || t || '([^\\p{L}\\p{N}_]|$)')) GROUP BY 1",
+    "consolidated_report": REG + "SELECT 0 AS pos, 'Documentos: ' || count(*) || ' | Com sucesso: ' || count(*) FILTER (status = 'sucesso') AS linha FROM e UNION ALL SELECT pos, concat_ws(' | ', pos, nome_arquivo, coalesce(tipo_documento, '-'), coalesce(beneficiario, '-'), coalesce(CASE WHEN dominio = 'financeiro' THEN valor_monetario ELSE curso END, '-')) FROM (SELECT *, row_number() OVER (ORDER BY md5) AS pos FROM e)",
+    "flat_table": REG + "SELECT md5, nome_arquivo, coalesce(tipo_documento, '') AS tipo_documento, CASE WHEN eh_nativo_digital THEN 'Sim' ELSE 'Não' END AS eh_nativo_digital, coalesce(dados_extras->>'emitente', '') AS emitente, coalesce(dados_extras->>'n', '') AS n, coalesce(dados_extras->>'pix_chave', '') AS pix_chave FROM e",
+    "extras_decode": REG + "SELECT md5, dados_extras->>'pix_chave' AS pix_chave, dados_extras->>'emitente' AS emitente FROM e",
+    "dossier_merge": "WITH p AS (" + SQL["principal_type"] + "), reg AS (" + REGISTRY_SQL + ") SELECT reg.md5, coalesce(tipo_principal, tipo_documento) AS tipo_documento, coalesce(dominio_principal, dominio) AS dominio FROM reg LEFT JOIN p ON p.md5 = reg.md5",
+    "stream_intake": "SELECT md5(user_id::VARCHAR) AS md5, arg_max(event_type, (ts, event_id)) AS status, arg_max(props->>'k', (ts, event_id)) AS k FROM events GROUP BY 1",
+    "stream_progress": "SELECT event_type, count(*) AS documentos FROM events GROUP BY 1",
+}

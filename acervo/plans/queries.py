@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from acervo import adapter
 from acervo.functions import classes as C
 from acervo.functions import text as X
+from acervo.operators import classify as K
 from acervo.operators import duplicates as D
 from acervo.operators import entities as E
 from acervo.operators import filters as L
@@ -17,7 +19,10 @@ from acervo.operators import pages as P
 from acervo.operators import search as S
 from acervo.operators import state as R
 from acervo.operators import stats
-from acervo.sources.tables import kept
+from acervo.sources import files as I
+from acervo.sources import sinks as O
+from acervo.sources.tables import kept, shared_dir
+from acervo.streaming import intake as N
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -188,3 +193,40 @@ QUERIES |= {
     "near_duplicates_greedy": lambda s, d: D.near_duplicates(adapter.texts(s, d)),
     "highlight_counts": lambda s, d: adapter.texts(s, d).select("md5", X.highlight("texto", "the")[1].cast("long").alias("n")),
 }
+
+
+def stream_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events table as a stream of rows keyed by user, merged batch by batch: the last state of every user."""
+    events = adapter.read(spark, sf_dir, "events")
+    root = f"{shared_dir(spark)}/acervo-stream-{uuid.uuid4().hex}"
+    table = N.Snapshots(spark, f"{root}/table")
+    stream = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events.parquet*")
+
+    def last(batch: DataFrame) -> DataFrame:
+        row = F.struct("ts", "event_id")
+        return batch.groupBy(F.md5(F.col("user_id").cast("string")).alias("md5")).agg(F.max_by("event_type", row).alias("status"), F.max_by(F.get_json_object("props", "$.k"), row).alias("k"))
+
+    N.intake(stream, table, last, f"{root}/checkpoint", keep=[]).awaitTermination()
+    return table.latest()
+
+
+def learned_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules from the benchmark's first five words, and from frequent words."""
+    b = adapter.read(spark, sf_dir, "benchmark").select(F.array_join(F.slice(F.split("text", " "), 1, 5), " ").alias("termo_chave"), F.lit("Prova").alias("valor_atribuido"), F.lit("academico").alias("dominio"), F.col("item_id").alias("id"))
+    few = spark.createDataFrame([("the", "Inglês", "outro", 1001), ("und", "Alemão", "outro", 1002), ("idiot", "Ofensa", "outro", 1003)], b.schema)
+    return b.unionByName(few)
+
+
+QUERIES |= {
+    "html_metadata": lambda s, d: I.html_metadata(adapter.read(s, d, "pages")).drop("meta"),
+    "rule_longest_match": lambda s, d: K.match_rules(adapter.texts(s, d), learned_rules(s, d)).select("md5", "id", "valor_atribuido"),
+    "text_signatures": lambda s, d: K.classify_documents(adapter.texts(s, d)).groupBy("tipo", "dominio").agg(F.count("*").alias("documentos")),
+    "text_fields": lambda s, d: K.extract_fields(adapter.texts(s, d)).select("md5", "cpf", "cnpj", "valor_monetario", F.size("nomes_detectados").alias("nomes")),
+    "document_reports": lambda s, d: O.document_reports(adapter.registry(s, d)),
+    "consolidated_report": lambda s, d: O.consolidated_report(adapter.registry(s, d)),
+    "flat_table": lambda s, d: O.flat(adapter.registry(s, d), ["md5", "nome_arquivo", "tipo_documento", "eh_nativo_digital"]),
+    "extras_decode": lambda s, d: I.decode_rows(adapter.registry(s, d), ["pix_chave", "emitente"]).select("md5", "pix_chave", "emitente"),
+    "dossier_merge": lambda s, d: P.merge_dossier(adapter.registry(s, d), adapter.pages(s, d)).select("md5", "tipo_documento", "dominio"),
+    "stream_intake": stream_intake,
+    "stream_progress": lambda s, d: N.progress(adapter.read(s, d, "events"), "event_type"),
+}
