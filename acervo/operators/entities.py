@@ -36,13 +36,13 @@ def dossiers(df: DataFrame) -> DataFrame:
 
 def assign(df: DataFrame) -> DataFrame:
     """ENT-2: the registry with dossie_id, null where there is no dossier."""
-    of = _keyed(df).join(dossiers(df).select("tipo_entidade", "identificador", F.col("id").alias("dossie_id")), ["tipo_entidade", "identificador"]).select("md5", "dossie_id")
+    of = _keyed(df.drop("dossie_id")).join(dossiers(df).select("tipo_entidade", "identificador", F.col("id").alias("dossie_id")), ["tipo_entidade", "identificador"]).select("md5", "dossie_id")
     return df.drop("dossie_id").join(of, "md5", "left")
 
 
 def dossier_documents(df: DataFrame) -> DataFrame:
     """ENT-3, JOI-7: dossiers with their documents ordered by date and file name, largest first."""
-    rows = assign(df).filter("dossie_id is not null").groupBy(F.col("dossie_id").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.coalesce("data", F.lit("")).alias("d"), "nome_arquivo", "md5"))), lambda x: x["md5"]).alias("documentos"))
+    rows = assign(df).filter(F.col("dossie_id").isNotNull()).groupBy(F.col("dossie_id").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.coalesce("data", F.lit("")).alias("d"), "nome_arquivo", "md5"))), lambda x: x["md5"]).alias("documentos"))
     return dossiers(df).join(rows, "id").orderBy(F.desc("total_documentos"), "nome_titular", "id")
 
 

@@ -32,7 +32,7 @@ def split_pages(df: DataFrame, text_col: str = "texto") -> DataFrame:
     """SRC-6: page rows (md5, pagina, texto) from the marker lines of a text."""
     mark = r"(?:---|===) P[ÁA]GINA (\d+) (?:---|===)"
     numbers = F.transform(F.regexp_extract_all(text_col, F.lit(mark), 1), lambda n: n.cast("int"))
-    bodies = F.transform(F.slice(F.split(text_col, mark), 2, 100_000_000), lambda b: F.trim(b))
+    bodies = F.transform(F.slice(F.split(text_col, mark), 2, 100_000_000), lambda b: F.regexp_replace(b, r"^\s+|\s+$", ""))
     return df.select("md5", F.explode(F.arrays_zip(numbers.alias("pagina"), bodies.alias("texto"))).alias("p")).select("md5", "p.pagina", "p.texto")
 
 
