@@ -224,7 +224,10 @@ def padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 def train(pages: DataFrame, *, html_col="html", max_pages: int = MAX_PAGES) -> Labeller | None:
     """A labeller fitted on at most max_pages pages; None if none of them shows both kinds of blocks."""
-    rows = pages.select(F.col(html_col).cast("string").alias("h")).filter("length(h) > 0").orderBy(F.xxhash64("h"), F.length("h")).limit(max_pages).collect()
+    own = pages.select(F.col(html_col).cast("string").alias("h")).filter("length(h) > 0").withColumn("k", F.xxhash64("h"))
+    # the sample's keys first: a task then sends keys, and only the chosen pages travel whole
+    keys = [r.k for r in own.select("k").distinct().orderBy("k").limit(max_pages).collect()]
+    rows = own.filter(F.col("k") <= keys[-1]).dropDuplicates(["k"]).collect() if keys else []
     known = [b for b in (blocks(r.h) for r in rows) if {0, 1} <= {hint(path) for path, _, _ in b}]
     return Labeller().train(known) if known else None
 
