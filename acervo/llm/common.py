@@ -7,7 +7,6 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 _OWN_DIRS: dict[str, str] = {}
 
@@ -51,10 +50,6 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def typed(df: DataFrame, column: str) -> T.DataType:
-    return df.schema[column].dataType
-
-
 
 
 def shuffle_parts(spark: SparkSession) -> int:
