@@ -309,3 +309,18 @@ SQL |= {
     "stream_intake": "SELECT md5(user_id::VARCHAR) AS md5, arg_max(event_type, (ts, event_id)) AS status, arg_max(props->>'k', (ts, event_id)) AS k FROM events GROUP BY 1",
     "stream_progress": "SELECT event_type, count(*) AS documentos FROM events GROUP BY 1",
 }
+
+
+def path_part(c: str, default: str) -> str:
+    return f"coalesce(nullif(regexp_replace(regexp_replace(trim({c}), '[\\\\\\\\/*?:\"<>| ]', '_', 'g'), '^[._]+|[._]+$', '', 'g'), ''), '{default}')"
+
+
+SQL |= {
+    "organize_plan": REG + f"""SELECT md5, nome_arquivo, concat_ws('/', {path_part('tipo_documento', 'Nao_Informado')}, coalesce({year('data')}::VARCHAR, 'Sem_Ano'),
+  concat_ws('_', {path_part("replace(data, '/', '-')", 'Sem_Data')}, {path_part('tipo_documento', 'Nao_Informado')}, {path_part('coalesce(beneficiario, faculdade)', 'Nao_Informado')}, CASE WHEN valor > 0 THEN replace(valor_monetario, 'R$ ', 'R$') END, substr(md5, 1, 8)))
+  || coalesce(extensao, lower(regexp_extract(nome_arquivo, '([.][^./]+)$', 1)), '') AS destino FROM e""",
+    "shingle_jaccard_pairs": f"""WITH n AS MATERIALIZED (SELECT min(md5(doc_id::VARCHAR)) AS rep, string_split(norm, ' ') AS w FROM (SELECT doc_id, {_NORM} AS norm FROM documents) WHERE length(norm) >= 20 GROUP BY norm),
+g AS MATERIALIZED (SELECT DISTINCT rep, len(w) AS words, unnest(CASE WHEN len(w) < 3 THEN w ELSE [array_to_string(w[i:i + 2], ' ') for i in range(1, len(w) - 1)] END) AS g FROM n),
+s AS (SELECT rep, words, count(*) AS n FROM g GROUP BY 1, 2), p AS (SELECT a.rep AS a, b.rep AS b, count(*) AS i FROM g a JOIN g b ON a.g = b.g AND a.rep < b.rep GROUP BY 1, 2)
+SELECT a, b, round(i / (x.n + y.n - i), 6) AS jaccard FROM p JOIN s x ON x.rep = a JOIN s y ON y.rep = b WHERE i / (x.n + y.n - i) >= 0.6 AND least(x.words, y.words) / greatest(x.words, y.words) >= 0.65""",
+}
