@@ -8,11 +8,11 @@ numpy reads a document from its start to its end, carrying its state over the
 windows; the output is factored into the class of the next word and the word in its
 class.
 
-Training is data-parallel: in every round each partition runs truncated
-backpropagation over a passage of each of its training documents, starting from the
-round's common parameters, and the results are averaged in the executors by groups
-(a tree), weighted by tokens.  What it gathers and learns from grows with the corpus;
-the model's own size is fixed.  Counts and scores cover every token.
+Training is data-parallel: every training document belongs to one round (by a hash of its
+whole text), in which its partition runs truncated backpropagation over all its tokens,
+starting from the round's common parameters; the results are averaged in the executors
+by groups (a tree), weighted by tokens.  What it gathers and learns from grows with the
+corpus; the model's own size is fixed.  Training, counts and scores cover every token.
 
 Words beyond a fixed head of the vocabulary are joined with their counts by a shuffle,
 so no table that grows with the corpus is ever broadcast.
@@ -44,7 +44,7 @@ CLASSES, PER_CLASS, EMBED, HIDDEN = 64, 64, 16, 24
 #: Words with their counts held by every task: a fixed number.
 HEAD = 100_000
 WINDOW, LANES, TRAIN_LANES = 32, 256, 96
-ROUNDS, PASSAGE = 3, 64
+ROUNDS = 3
 SMOOTH = 0.1
 
 
@@ -288,12 +288,13 @@ def _symbols(w: list[bytes], vocabulary: dict[bytes, int]) -> np.ndarray:
     return out
 
 
-def fit(docs: DataFrame, vocabulary: dict[bytes, int], model: Model, *, text_col="text", rounds: int = ROUNDS, passage: int = PASSAGE) -> Model:
-    """Rounds of local training on a passage of every document, and averaging.
+def lessons(texts: list[bytes | None], vocabulary: dict[bytes, int], turn: int, rounds: int) -> list[np.ndarray]:
+    """The whole symbols of those texts that a round trains on; each text is in one round."""
+    return [_symbols(words(t), vocabulary) for t in texts if crc32(t or b"") % rounds == turn]
 
-    The passage of a document in a round starts at a token chosen by a hash, so rounds
-    see different ones; its first token follows a fresh state.
-    """
+
+def fit(docs: DataFrame, vocabulary: dict[bytes, int], model: Model, *, text_col="text", rounds: int = ROUNDS) -> Model:
+    """Rounds of local training and averaging, each over its share of the documents; together they read every token once."""
     texts = docs.select(F.col(text_col).cast("string"))
     schema = "part int, weight double, params binary"
     for turn in range(rounds):
@@ -302,13 +303,7 @@ def fit(docs: DataFrame, vocabulary: dict[bytes, int], model: Model, *, text_col
         def learn(batches, model=model, turn=turn, rate=rate):
             own, optimizer, learned = Model({k: v.copy() for k, v in model.p.items()}), {}, 0
             for batch in batches:
-                some = []
-                for text in batch.column(0).cast(pa.binary()).to_pylist():
-                    w = words(text)
-                    spare = len(w) + 1 - passage
-                    start = crc32(b"%d" % turn + (text or b"")[:256]) % (spare + 1) if spare > 0 else 0
-                    some.append(_symbols(w[start : start + passage], vocabulary)[:passage])
-                learned += own.train(some, optimizer, rate)
+                learned += own.train(lessons(batch.column(0).cast(pa.binary()).to_pylist(), vocabulary, turn, rounds), optimizer, rate)
             if learned:
                 yield pa.RecordBatch.from_pydict({"part": [TaskContext.get().partitionId()], "weight": [float(learned)], "params": [own.dump()]}, schema=pa.schema([("part", pa.int32()), ("weight", pa.float64()), ("params", pa.binary())]))
 

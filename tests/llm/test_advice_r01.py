@@ -2,7 +2,9 @@
 
 import random
 
-from acervo.llm import overlap
+import numpy as np
+
+from acervo.llm import lm, overlap
 
 
 def docs_of(spark, texts):
@@ -37,3 +39,15 @@ def test_near_copies_of_the_pipeline(spark, hard_docs):
     same = spark.createDataFrame([(1, "a b c d e f"), (1, "u v w x y z"), (1, "a b c d e f"), (None, "u v w x y z")], "doc_id long, text string")
     assert sorted(r.text for r in P.drop_near_copies(spark, same, "").collect()) == ["a b c d e f", "u v w x y z"]
     assert overlap.keep_one(hard_docs).count() == 5 and overlap.keep_one(hard_docs.limit(0)).count() == 0
+
+
+def test_lm_trains_on_whole_documents():
+    vocabulary = {b"w%d" % i: i + 2 for i in range(50)}
+    texts = [b" ".join(b"w%d" % (i * k % 60) for i in range(n)) for k, n in enumerate((0, 3, 64, 65, 300, 20_000, 700, 701))] + [None]
+    taken = [lm.lessons(texts, vocabulary, turn, 3) for turn in range(3)]
+    assert sum(len(x) for own in taken for x in own) == sum(len(lm.words(t)) + 1 for t in texts)
+    assert sum((x == lm.STOP).sum() for own in taken for x in own) == len(texts)
+    whole = {lm._symbols(lm.words(t), vocabulary).tobytes() for t in texts}
+    assert {x.tobytes() for own in taken for x in own} == whole
+    # all of a long document's windows are learned from
+    assert lm.Model.fresh([1.0] * 60).train([np.full(5000, 7)], {}, 0.01) == 5000
