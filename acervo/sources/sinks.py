@@ -51,8 +51,8 @@ def consolidated_report(df: DataFrame, reviewed: bool = False) -> DataFrame:
 
 def flat(df: DataFrame, columns: list[str]) -> DataFrame:
     """SNK-4: the given columns as texts (yes/no for booleans, JSON for objects, no line ends), and a column for every extra key."""
-    # keys come from the documents' forms: a bounded set of names, not of rows
-    keys = sorted(r.k for r in df.select(F.explode(F.json_object_keys("dados_extras")).alias("k")).distinct().limit(500).collect() if r.k not in columns)
+    # keys come from the documents' forms: names, not rows; every one becomes a column
+    keys = sorted(r.k for r in df.select(F.explode(F.json_object_keys("dados_extras")).alias("k")).distinct().collect() if r.k not in columns)
     kinds = dict(df.dtypes)
 
     def shown(c: str) -> Column:
