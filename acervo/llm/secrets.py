@@ -1,12 +1,15 @@
 """Secret scan with a recursive decoding worklist.
 
-Every layer of a text is scanned for three kinds of secrets.  Runs that look
-encoded (percent escapes, backslash-u escapes, base64, compressed bytes inside
-base64) are unwrapped into a new layer that is scanned and unwrapped in turn.
-A layer seen before in the same chain is not opened again, so the work ends at a
-fixpoint.  Spans found in a deeper layer are mapped back to the code points of
-the original text: exactly where each decoded character has a place of its own
-(escapes), to the run that encodes it otherwise.
+Every layer of a text is scanned for three kinds of secrets.  What looks encoded in it
+(percent escapes, backslash-u escapes, base64 also over line breaks, zlib and gzip
+streams) is unwrapped into a new layer that is scanned and unwrapped in turn.  Escapes
+are decoded one by one, so one that is none leaves the others alone; base64 is read from
+each of the four places of a run at which it may begin, so a path or word before it does
+no harm; bytes that are no UTF-8 are read as Latin-1.  A layer seen before at the same
+place is not opened again, so the work ends at a fixpoint.
+
+Spans found in a deeper layer are mapped back to the code points of the original text: to
+the characters that encode them, or to the whole stream where it was compressed.
 
 Defined results: null is the empty text and has no spans; repeated rows give
 repeated results; an empty table gives an empty result; other columns pass through.
@@ -15,10 +18,11 @@ repeated results; an empty table gives an empty result; other columns pass throu
 from __future__ import annotations
 
 import base64
-import binascii
 import hashlib
 import re
 import zlib
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -29,18 +33,24 @@ from acervo.llm.common import small_batches
 
 KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
-#: The keywords' first letters; a text without any of them has no assignment.
+#: A text without any of these has no assignment.
 HINT = re.compile(r"passw|secret|token|api_?key", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
-ENCODED = (
-    ("url", re.compile(r"[A-Za-z0-9_.~+&=:/?#@!$'*,;%-]+")),
-    ("unicode", re.compile(r"[\x21-\x7e]+")),
-    ("base64", re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")),
-)
-#: Deflate cannot grow data more than about 1032 times, so this bound cuts no valid layer.
-MAX_GROWTH = 2048
-ESCAPE = {"url": re.compile(r"((?:%[0-9A-Fa-f]{2})+)"), "unicode": re.compile(r"((?:\\u[0-9A-Fa-f]{4})+)")}
+PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
+BACKSLASH = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+")
+#: The shortest secret has 12 bytes and so 16 characters of base64.
+BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}")
+WRAPPED = re.compile(r"(?:[A-Za-z0-9+/_-]{16,}\r?\n[ \t]*)+[A-Za-z0-9+/_-]+")
+#: How a gzip stream and a zlib stream (window of 32 KB, no dictionary) begin.
+STREAM = re.compile("\x1f\x8b\x08|x[\x01^\x9c\xda]")
+STREAM_BYTES = re.compile(STREAM.pattern.encode("latin-1"))
+NO_BYTE = re.compile("[^\x00-\xff]")
+CHUNK = 1 << 16
+
+Place = Callable[[int, int], tuple[int, int]]
+#: path step, decoded text, its characters' places in the layer it came from
+Layer = tuple[str, str, Place]
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -53,114 +63,187 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
-def _escapes(kind: str, run: str) -> tuple[str, list[tuple[int, int]]] | None:
-    """Decoded run and, for each of its characters, the place it came from."""
-    out, places, at = [], [], 0
-    for piece in ESCAPE[kind].split(run):
-        if not ESCAPE[kind].fullmatch(piece):
-            got, spread = piece, [(at + i, at + i + 1) for i in range(len(piece))]
-        else:
+class Pieces:
+    """Text put together from pieces of a layer, and where its characters came from."""
+
+    def __init__(self):
+        self.text, self.size = [], 0
+        self.at, self.source, self.width = [], [], []  # per piece; width 0: character by character
+
+    def add(self, text: str, source: int, width: int = 0) -> None:
+        if text:
+            self.text.append(text)
+            self.at.append(self.size)
+            self.source.append(source)
+            self.width.append(width)
+            self.size += len(text)
+
+    def _one(self, i: int) -> tuple[int, int]:
+        k = bisect_right(self.at, i) - 1
+        if self.width[k]:
+            return self.source[k], self.source[k] + self.width[k]
+        return self.source[k] + i - self.at[k], self.source[k] + i - self.at[k] + 1
+
+    def place(self, a: int, b: int) -> tuple[int, int]:
+        return self._one(a)[0], self._one(b - 1)[1]
+
+
+def _utf8(raw: bytes) -> Iterator[tuple[str, int]]:
+    """(character, bytes) of raw; a byte that begins no character stands for itself (Latin-1)."""
+    at = 0
+    while at < len(raw):
+        n = 1 if raw[at] < 0x80 else 2 if raw[at] < 0xE0 else 3 if raw[at] < 0xF0 else 4
+        try:
+            yield raw[at : at + n].decode(), n
+        except UnicodeDecodeError:
+            n = 1
+            yield chr(raw[at]), n
+        at += n
+
+
+def _percent(layer: str) -> Iterator[Layer]:
+    """The layer with its percent escapes decoded: as UTF-8, and byte by byte if a stream may begin in it."""
+    found = list(PERCENT.finditer(layer))
+    if not found:
+        return
+    for as_bytes in (False, True):
+        out, end = Pieces(), 0
+        for m in found:
+            out.add(layer[end : m.start()], end)
+            at, raw = m.start(), bytes.fromhex(m[0].replace("%", ""))
+            for c, n in ((chr(x), 1) for x in raw) if as_bytes else _utf8(raw):
+                out.add(c, at, 3 * n)
+                at += 3 * n
+            end = m.end()
+        out.add(layer[end:], end)
+        text = "".join(out.text)
+        if not as_bytes or STREAM.search(text):
+            yield "url", text, out.place
+
+
+def _backslash(layer: str) -> Iterator[Layer]:
+    """The layer with its backslash-u escapes decoded; half a surrogate pair stays as it is."""
+    out, end = Pieces(), 0
+    for m in BACKSLASH.finditer(layer):
+        out.add(layer[end : m.start()], end)
+        units, at = [int(x, 16) for x in m[0].split("\\u")[1:]], m.start()
+        while units:
+            if len(units) > 1 and 0xD800 <= units[0] < 0xDC00 <= units[1] < 0xE000:
+                got, n = chr(0x10000 + (units[0] - 0xD800 << 10) + units[1] - 0xDC00), 2
+            elif 0xD800 <= units[0] < 0xE000:
+                got, n = layer[at : at + 6], 1
+            else:
+                got, n = chr(units[0]), 1
+            out.add(got, at, 0 if len(got) > 1 else 6 * n)
+            units, at = units[n:], at + 6 * n
+        end = m.end()
+    if end:
+        out.add(layer[end:], end)
+        yield "unicode", "".join(out.text), out.place
+
+
+def _base64_runs(layer: str) -> Iterator[tuple[str, Place]]:
+    for m in BASE64.finditer(layer):
+        yield m[0], lambda a, b, s=m.start(): (s + a, s + b)
+    if "\n" in layer:
+        for m in WRAPPED.finditer(layer):
+            out = Pieces()
+            for x in re.finditer(r"\S+", m[0]):
+                out.add(x[0], m.start() + x.start())
+            yield "".join(out.text), out.place
+
+
+def _base64(layer: str) -> Iterator[Layer]:
+    for run, place in _base64_runs(layer):
+        plain = run.replace("-", "+").replace("_", "/")
+        for first in range(4):
+            size = len(plain) - first
+            size -= size % 4 == 1
+            raw = base64.b64decode(plain[first : first + size] + "=" * (-size % 4))
+
+            def bits(a: int, b: int, first=first, place=place) -> tuple[int, int]:
+                """The characters that hold bytes a to b."""
+                return place(first + a * 4 // 3, first + (8 * b - 1) // 6 + 1)
+
             try:
-                if kind == "url":
-                    got = bytes.fromhex(piece.replace("%", "")).decode()
-                    wide = [3 * len(c.encode()) for c in got]
-                else:
-                    got = bytes.fromhex(piece.replace("\\u", "")).decode("utf-16-be")
-                    wide = [3 * len(c.encode("utf-16-be")) for c in got]
+                text = raw.decode()
             except UnicodeDecodeError:
-                return None
-            spread, x = [], at
-            for n in wide:
-                spread.append((x, x + n))
-                x += n
-        out.append(got)
-        places += spread
+                text = None
+            if text is not None:
+                yield "base64", text, lambda a, b, text=text, bits=bits: bits(len(text[:a].encode()), len(text[:b].encode()))
+            if text is None or not text.isascii() and STREAM_BYTES.search(raw):
+                yield "base64", raw.decode("latin-1"), bits
+
+
+def _inflate(layer: str, at: int) -> tuple[bytes, int] | None:
+    """The stream that begins at a character (each stands for one byte), and where it ends."""
+    engine, out, size = zlib.decompressobj(31 if layer[at] == "\x1f" else 15), [], 32
+    while at < len(layer):
+        piece, size = layer[at : at + size], min(2 * size, CHUNK)
+        last = NO_BYTE.search(piece)
+        piece = piece[: last.start()] if last else piece
+        try:
+            out.append(engine.decompress(piece.encode("latin-1")))
+        except zlib.error:
+            return None
         at += len(piece)
-    return "".join(out), places
-
-
-def _inflate(raw: bytes) -> bytes | None:
-    if raw[:2] == b"\x1f\x8b":
-        engine = zlib.decompressobj(31)
-    elif len(raw) > 2 and raw[0] == 0x78 and (raw[0] << 8 | raw[1]) % 31 == 0:
-        engine = zlib.decompressobj(15)
-    else:
-        return None
-    try:
-        got = engine.decompress(raw, MAX_GROWTH * len(raw))
-    except zlib.error:
-        return None
-    return got if engine.eof else None
-
-
-def _base64(run: str) -> tuple[str, str] | None:
-    plain = run.rstrip("=").replace("-", "+").replace("_", "/")
-    if len(plain) % 4 == 1 or re.fullmatch(r"[0-9a-f]+|[0-9]+", plain):
-        return None
-    return _decoded(plain)
+        if engine.eof:
+            return b"".join(out), at - len(engine.unused_data)
+        if last:
+            return None
+    return None
+
+
+def _streams(layer: str) -> Iterator[Layer]:
+    end = 0
+    for m in STREAM.finditer(layer):
+        if m.start() >= end and (got := _inflate(layer, m.start())) is not None:
+            raw, end = got
+            place = lambda a, b, x=m.start(), y=end: (x, y)
+            try:
+                text = raw.decode()
+            except UnicodeDecodeError:
+                text = None
+            if text is not None:
+                yield "zip", text, place
+            if text is None or not text.isascii() and STREAM_BYTES.search(raw):
+                yield "zip", raw.decode("latin-1"), place
 
 
-def _decoded(plain: str) -> tuple[str, str] | None:
-    try:
-        raw = base64.b64decode(plain + "=" * (-len(plain) % 4))
-    except binascii.Error:
-        return None
-    how = "base64"
-    while (more := _inflate(raw)) is not None:
-        raw, how = more, how + "+zip"
-    try:
-        text = raw.decode()
-    except UnicodeDecodeError:
-        return None
-    shown = sum(c.isprintable() or c in "\t\r\n" for c in text)
-    return (text, how) if text and shown == len(text) else None
+def unwrapped(layer: str) -> Iterator[Layer]:
+    """Every layer that one step of decoding finds in a layer."""
+    if "%" in layer:
+        yield from _percent(layer)
+    if "\\u" in layer:
+        yield from _backslash(layer)
+    yield from _base64(layer)
+    if "x" in layer or "\x1f" in layer:
+        yield from _streams(layer)
 
 
 def scan(text: str | None) -> list[tuple[str, int, int, str]]:
     """(kind, start, end, path): path tells the layers that were opened, empty for the text itself."""
     text = text or ""
-    found = {(k, a, b): "" for k, a, b in base_spans(text)}
-    # each entry: layer, its characters' places in the original (None: the layer is the original;
-    # a pair: every character stands for that span), path, digests of the chain above it
-    work = [(text, None, "", frozenset([_digest(text)]))]
+    found = {span: "" for span in base_spans(text)}
+    seen = {(_digest(text), 0, len(text))}
+    work: list[tuple[str, Place, str]] = [(text, lambda a, b: (a, b), "")]
     while work:
-        layer, places, path, above = work.pop()
-        for kind, pattern in ENCODED:
-            if kind == "url" and "%" not in layer or kind == "unicode" and "\\u" not in layer:
+        layer, above, path = work.pop()
+        for how, inner, local in unwrapped(layer):
+            if not inner:
+                continue
+            place = lambda a, b, above=above, local=local: above(*local(a, b))
+            mark = (_digest(inner), *place(0, len(inner)))
+            if mark in seen:
                 continue
-            for m in pattern.finditer(layer):
-                if kind == "base64":
-                    got = _base64(m[0])
-                    if got is None:
-                        continue
-                    inner, how = got
-                    spread = _map(places, m.start(), m.end())
-                else:
-                    got = _escapes(kind, m[0])
-                    if got is None or got[0] == m[0]:
-                        continue
-                    inner, local = got
-                    how = kind
-                    spread = places if isinstance(places, tuple) else [_map(places, m.start() + a, m.start() + b) for a, b in local]
-                mark = _digest(inner)
-                if mark in above:
-                    continue
-                deeper = f"{path}/{how}" if path else how
-                for k, a, b in base_spans(inner):
-                    x, y = _map(spread, a, b)
-                    found.setdefault((k, x, y), deeper)
-                work.append((inner, spread, deeper, above | {mark}))
+            seen.add(mark)
+            deeper = f"{path}/{how}" if path else how
+            for k, a, b in base_spans(inner):
+                found.setdefault((k, *place(a, b)), deeper)
+            work.append((inner, place, deeper))
     return sorted(((k, a, b, p) for (k, a, b), p in found.items()), key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 
-def _map(places, a: int, b: int) -> tuple[int, int]:
-    if places is None:
-        return a, b
-    if isinstance(places, tuple):
-        return places
-    return places[a][0], places[b - 1][1]
-
-
 def _digest(text: str) -> bytes:
     return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
