@@ -45,12 +45,22 @@ def row_key(*cols: str) -> Column:
     return F.concat(F.hex(F.xxhash64(*values)), F.lit("-"), F.hex(F.xxhash64(F.lit("second"), *values)))
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores behind those that are taken by a column of df."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Bound the Arrow batches handed to Python: texts may be long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-
-
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -6,14 +6,16 @@ UPPER, LOWER = licenses.UPPER, licenses.LOWER
 
 MIX = """
 WITH size AS (SELECT source, sum(length(coalesce(text, '')))::DOUBLE AS size FROM documents GROUP BY source),
-rate AS (SELECT source, CASE WHEN size > 0 THEN (SELECT sum(size) FROM size) / (SELECT count(*) FROM size WHERE size > 0) / size ELSE 0 END AS rate FROM size),
-cdf AS (SELECT source, k, sum(exp(k * ln(rate) - rate - CASE WHEN k < 2 THEN 0 ELSE lgamma(k + 1) END)) OVER (PARTITION BY source ORDER BY k) AS c
-  FROM rate, range(0, 400) t(k) WHERE rate > 0 AND k <= ceil(rate + 12 * sqrt(rate) + 20)),
+rate AS (SELECT source, (SELECT sum(size) FROM size) / (SELECT count(*) FROM size WHERE size > 0) / size AS rate FROM size WHERE size > 0),
+split AS (SELECT source, ceil(rate / 32)::BIGINT AS pieces, rate / ceil(rate / 32) AS rate FROM rate),
+cdf AS (SELECT source, pieces, sum(exp(k * ln(rate) - rate - CASE WHEN k < 2 THEN 0 ELSE lgamma(k + 1) END)) OVER (PARTITION BY source ORDER BY k) AS c
+  FROM split, range(0, 128) t(k) WHERE k <= ceil(rate + 12 * sqrt(rate) + 20)),
+all_of AS (SELECT source, any_value(pieces) AS pieces, list(c) AS cdf FROM cdf GROUP BY source),
 own AS (SELECT doc_id, source, text, coalesce(doc_id::VARCHAR, '') || '|' || md5(coalesce(text, '')) AS own FROM documents),
-drawn AS (SELECT own.*, ('0x' || substr(md5('mix|' || own), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM own),
-n AS (SELECT d.doc_id, d.source, d.text, d.own, count(c.k) AS n FROM drawn d LEFT JOIN cdf c ON c.source IS NOT DISTINCT FROM d.source AND c.c <= d.u GROUP BY ALL),
-copies AS (SELECT *, unnest(range(1, n + 1)) AS copy FROM n)
-SELECT doc_id, source, copy::INTEGER AS copy, md5('mix-order|' || own || '|' || copy) AS shuffle_key, text FROM copies
+piece AS (SELECT o.*, a.cdf, unnest(range(1, a.pieces + 1)) AS piece FROM own o JOIN all_of a ON o.source IS NOT DISTINCT FROM a.source),
+drawn AS (SELECT *, ('0x' || substr(md5('mix|' || own || '|' || piece), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM piece),
+copies AS (SELECT doc_id, source, text, own, unnest(range(1, len([c for c in cdf if c <= u]) + 1)) + (piece - 1) * 128 AS copy FROM drawn)
+SELECT doc_id, source, copy::BIGINT AS copy, md5('mix-order|' || own || '|' || copy) AS shuffle_key, text FROM copies
 """
 
 DECONTAM = f"""
