@@ -1,11 +1,11 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on ordinary text and one on the
-passages that set toxic documents apart.  Each window of a document is compressed
-with the ordinary dictionary alone and with both; the bytes the toxic one saves
-are that window's distance.  Thresholds on the distances of all windows, and a
-logistic calibration fitted on labelled rows that trained no dictionary, turn them
-into a score from 0 to 1.
+Two zstandard dictionaries are trained, one on windows of ordinary text and one on the
+telling passages of toxic text: those whose 5-byte strings are much likelier there.  Each
+window of a document is compressed with the ordinary dictionary and with the toxic one
+behind it; the bytes that the toxic one saves are that window's distance.  Thresholds on
+the distances of all windows, and a logistic calibration fitted on labelled rows that
+trained no dictionary, turn them into a score from 0 to 1.
 
 The model is fitted on at most `max_rows` labelled rows of each class (the bound of the
 sample, chosen by a hash of the id); scoring reads every window of every document.
@@ -13,7 +13,8 @@ sample, chosen by a hash of the id); scoring reads every window of every documen
 Defined results: null or empty text has one empty window and so the score of a text
 without toxic passages; without labels of both classes every score is 0; a null
 doc_id is held out of nothing; repeated rows score alike; an empty table gives an
-empty result; other columns pass through.
+empty result; other columns pass through, and a score column whose name is taken ends in
+an underscore.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from acervo.llm.common import small_batches
+from acervo.llm.common import free, small_batches
 
 WINDOW_WORDS = 16
 MAX_ROWS = 1500
@@ -107,10 +108,8 @@ def fit(toxic: list[str], ordinary: list[str], share: float = 0.5) -> Model:
     rows_a, rows_b = (Counter(g for t in x for g in _grams(t)) for x in (a, b))
     least = max(2, MIN_SHARE * len(a))
     marks = {g for g, n in rows_a.items() if n >= least and math.log((n + 0.5) / (len(a) + 1)) - math.log((rows_b[g] + 0.5) / (len(b) + 1)) > MIN_LOG_ODDS}
-    telling = Counter(x for t in a for w in t.lower().split() for x in _marked(b" " + w + b" ", marks))
-    toxic_bytes = b"".join(reversed([x for x, n in telling.most_common() if n > 2]))[-TOXIC_BYTES:]
-    plain = [w for t in b for w in windows(t, 40)]
-    model = Model(_trained(plain, DICTIONARY_BYTES), toxic_bytes)
+    telling = [b" ".join(x for w in t.lower().split() for x in _marked(b" " + w + b" ", marks)) for t in a]
+    model = Model(_trained([w for t in b for w in windows(t, 40)], DICTIONARY_BYTES), _trained([x for x in telling if x], TOXIC_BYTES))
     plain_c, both_c = _compressor(model.ordinary), _compressor(model.ordinary + model.toxic)
     x = np.array([features(_distances(plain_c, both_c, t)) for t in [*calibrate_a, *calibrate_b]])
     y = np.array([1.0] * len(calibrate_a) + [0.0] * len(calibrate_b))
@@ -162,9 +161,9 @@ def score(docs: DataFrame, model: Model, *, text_col="text", out_col="score") ->
         for texts in batches:
             yield pd.Series([one(t.encode() if t is not None else None) for t in texts], dtype=float)
 
-    return docs.withColumn(out_col, run(F.col(text_col).cast("string")))
+    return docs.withColumn(free(docs, out_col)[0], run(F.col(text_col).cast("string")))
 
 
 def digest(docs: DataFrame, model: Model) -> DataFrame:
     """The contract's columns."""
-    return score(docs, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return score(docs.select("doc_id", "text"), model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
