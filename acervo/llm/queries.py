@@ -19,24 +19,24 @@ def op1_cross_polytope_ann(spark, sf_dir):
 
 
 def op2_license_scan(spark, sf_dir):
-    return licenses.digest(licenses.scan(_read(spark, sf_dir, "documents")))
+    return licenses.digest(licenses.scan(_read(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def op3_suffix_dedup(spark, sf_dir):
-    return repeats.digest(repeats.strip(repeats.repeated_spans(_read(spark, sf_dir, "documents"))))
+    return repeats.digest(repeats.strip(repeats.repeated_spans(_read(spark, sf_dir, "documents").select("doc_id", "text"), short=repeats.SHORT)))
 
 
 def op4_poisson_mix(spark, sf_dir):
-    return mixing.mix(_read(spark, sf_dir, "documents")).select("doc_id", "source", "copy", "shuffle_key", "text")
+    return mixing.mix(_read(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "source", "copy", "shuffle_key", "text")
 
 
 def op5_html_main_text(spark, sf_dir):
-    pages = _read(spark, sf_dir, "pages")
+    pages = _read(spark, sf_dir, "pages").select("page_id", "url", "html")
     return html_text.digest(html_text.extract(pages, html_text.train(pages)))
 
 
 def op6_secret_scan(spark, sf_dir):
-    return secrets.digest(secrets.find_secrets(_read(spark, sf_dir, "documents")))
+    return secrets.digest(secrets.find_secrets(_read(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def op7_simhash_near_dedup(spark, sf_dir):

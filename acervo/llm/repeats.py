@@ -1,7 +1,8 @@
 """Removal of byte strings that occur more than once, by distributed suffix sorting.
 
 A window is `size` consecutive bytes of one document; every byte of a window that also
-starts anywhere else goes.  Sorting one suffix for every byte would move the text
+starts anywhere else goes.  Several sizes can be judged in one go: anchors then serve the
+smallest windows, with which the larger ones begin, and suffixes reach as far as the largest.  Sorting one suffix for every byte would move the text
 hundreds of times over, so suffixes are taken at anchors: each window names the place of its
 smallest 16-byte hash, which depends on the window's own bytes alone, so equal windows
 name the same place in themselves.  About one byte in `reach` / 2 is an anchor.
@@ -14,18 +15,25 @@ with the last winner; prefixes known to be equal are never compared again, and t
 shared lengths of the merged order come for free.  From them, and from hashes of
 the bytes to the left of the anchors, follows for each window whether it has a twin.
 
+The number of parts follows the input's bytes.  A merge holds its runs compressed, one
+block of each unpacked, and resolves the suffixes of a neighbourhood (all that begin with the
+same GRAM bytes) as soon as the order has left it.
+
 Identical surroundings are collapsed inside a map task before the exchange, so a task
-sends one suffix for all copies of a passage; their spans are known at once.
+sends one suffix for all copies of a passage; their spans are known at once.  The merge
+likewise keeps one suffix of equal ones.
 
 Left contexts are compared by 64-bit hashes; everything else is compared byte by byte.
 
 Defined results: null is the empty text; texts shorter than `size` bytes have no
 windows; rows equal in id and text are copies of each other; an empty table gives an
-empty result; other columns pass through.
+empty result; other columns pass through, and an added column whose name is taken ends in
+an underscore.
 """
 
 from __future__ import annotations
 
+import math
 import struct
 from collections.abc import Iterator
 from zlib import crc32
@@ -38,15 +46,19 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from acervo.llm.common import Scratch, shuffle_parts, small_batches
+from acervo.llm.common import Scratch, free, shuffle_parts, small_batches
 
 SIZE = 400
+#: Fifty words of five bytes: passages that are too short for a window of SIZE bytes are reported, but not removed.
+SHORT = 250
 GRAM = 16
 BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Text that a map task turns into one set of sorted runs.
 RUN_BYTES = 16 << 20
 #: Documents' bytes that are hashed together.
 CHUNK = 4 << 20
+#: Input bytes for each part; suffixes in a block of a run; suffixes that are resolved together, if no neighbourhood is cut.
+PART_BYTES, BLOCK, TOGETHER = 32 << 20, 4096, 20_000
 
 
 def _times(a: np.uint64, b: np.uint64) -> np.uint64:
@@ -98,42 +110,55 @@ def anchors(texts: list[bytes], size: int = SIZE) -> Iterator[tuple[int, int, in
 
 
 def encode_run(rows: list[tuple[bytes, bytes, int, int, int, bool]]) -> bytes:
-    """Sorted (right, left, key, key, anchor, copied) as a front-coded, compressed run."""
-    shared, before = [], b""
-    for r in rows:
-        shared.append(common(before, r[0], 0))
-        before = r[0]
-    n = len(rows)
-    rest = b"".join(r[0][s:] for r, s in zip(rows, shared))
-    left = b"".join(r[1] for r in rows)
-    lengths = np.array([shared, [len(r[0]) - s for r, s in zip(rows, shared)], [len(r[1]) for r in rows]], "<u4").tobytes()
-    refs = np.array([[r[2] for r in rows], [r[3] for r in rows], [r[4] for r in rows], [r[5] for r in rows]], "<i8").tobytes()
-    return zstandard.ZstdCompressor(level=3).compress(struct.pack("<II", n, len(rest)) + lengths + refs + rest + left)
+    """Sorted (right, left, key, key, anchor, copied) as a front-coded run of compressed blocks."""
+    out, before = [], b""
+    for at in range(0, len(rows), BLOCK):
+        own, shared = rows[at : at + BLOCK], []
+        for r in own:
+            shared.append(common(before, r[0], 0))
+            before = r[0]
+        rest = b"".join(r[0][s:] for r, s in zip(own, shared))
+        left = b"".join(r[1] for r in own)
+        lengths = np.array([shared, [len(r[0]) - s for r, s in zip(own, shared)], [len(r[1]) for r in own]], "<u4").tobytes()
+        refs = np.array([[r[2] for r in own], [r[3] for r in own], [r[4] for r in own], [r[5] for r in own]], "<i8").tobytes()
+        block = zstandard.ZstdCompressor(level=3).compress(struct.pack("<II", len(own), len(rest)) + lengths + refs + rest + left)
+        out += [struct.pack("<I", len(block)), block]
+    return b"".join(out)
 
 
 class Run:
-    """Reads a run suffix by suffix: right, shared (with the suffix before), left and refs."""
+    """Reads a run suffix by suffix: right, shared (with the suffix before), left and ref."""
 
     def __init__(self, blob: bytes):
-        raw = zstandard.ZstdDecompressor().decompress(blob)
-        n, size = struct.unpack_from("<II", raw)
-        lengths = np.frombuffer(raw, "<u4", 3 * n, 8).reshape(3, n).astype(np.int64)
-        self.refs = np.frombuffer(raw, "<i8", 4 * n, 8 + 12 * n).reshape(4, n)
-        rest, self.n = 8 + 12 * n + 32 * n, n
-        self.rests, self.lefts = rest + np.concatenate([[0], np.cumsum(lengths[1])]), rest + size + np.concatenate([[0], np.cumsum(lengths[2])])
-        self.sharing, self.raw, self.at = lengths[0].tolist(), raw, -1
-        self.rests, self.lefts = self.rests.tolist(), self.lefts.tolist()
+        self.blob, self.next, self.n, self.at = blob, 0, 0, -1
         self.right: bytes | None = b""
         self.step()
 
+    def _open(self) -> None:
+        (size,) = struct.unpack_from("<I", self.blob, self.next)
+        raw = zstandard.ZstdDecompressor().decompress(self.blob[self.next + 4 : self.next + 4 + size])
+        self.next += 4 + size
+        n, size = struct.unpack_from("<II", raw)
+        lengths = np.frombuffer(raw, "<u4", 3 * n, 8).reshape(3, n).astype(np.int64)
+        self.refs = np.frombuffer(raw, "<i8", 4 * n, 8 + 12 * n).reshape(4, n).T.tolist()
+        rest = 8 + 12 * n + 32 * n
+        self.rests = (rest + np.concatenate([[0], np.cumsum(lengths[1])])).tolist()
+        self.lefts = (rest + size + np.concatenate([[0], np.cumsum(lengths[2])])).tolist()
+        self.sharing, self.raw, self.n, self.at = lengths[0].tolist(), raw, n, 0
+
     def step(self) -> None:
         self.at += 1
-        if self.at == self.n:
-            self.right = None
-            return
+        if self.at >= self.n:
+            if self.next == len(self.blob):
+                self.right = None
+                return
+            self._open()
         self.shared = self.sharing[self.at]
         self.right = self.right[: self.shared] + self.raw[self.rests[self.at] : self.rests[self.at + 1]]
 
+    def ref(self) -> list[int]:
+        return self.refs[self.at]
+
     def left(self) -> bytes:
         return self.raw[self.lefts[self.at] : self.lefts[self.at + 1]]
 
@@ -205,10 +230,10 @@ def twins(rights: list[bytes], lefts: list[bytes], shared: np.ndarray, copied: n
 
     copied: the suffix stands for several places already.
     """
-    least = np.array([size - len(r) for r in rights])
+    least = np.array([max(0, size - len(r)) for r in rights])
     most = np.array([len(x) for x in lefts])
     near = np.maximum(shared, np.append(shared[1:], 0))
-    maybe = np.flatnonzero((near >= size - most) | copied)
+    maybe = np.flatnonzero(((near >= size - most) | copied) & (least <= most))
     kinds: dict[tuple[bytes, bytes], list[int]] = {}
     for i in maybe.tolist():
         kinds.setdefault((rights[i], lefts[i]), []).append(i)
@@ -260,12 +285,12 @@ def twins(rights: list[bytes], lefts: list[bytes], shared: np.ndarray, copied: n
     return found
 
 
-RUNS = "part int, run binary, k1 long, k2 long, start long, end long"
-NAMES = ["part", "run", "k1", "k2", "start", "end"]
-ARROW = pa.schema([("part", pa.int32()), ("run", pa.binary()), ("k1", pa.int64()), ("k2", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
+SPANS = "k1 long, k2 long, size long, start long, end long"
+NAMES = ["k1", "k2", "size", "start", "end"]
+ARROW = pa.schema([("part", pa.int32()), ("run", pa.binary()), *[(n, pa.int64()) for n in NAMES]])
 
 
-def _runs(batches, parts: int, size: int):
+def _runs(batches, parts: int, sizes: tuple[int, ...]):
     """Map side: front-coded runs for each part, and spans that copies inside the task prove already."""
     keys: list[tuple[int, int]] = []
     texts: list[bytes] = []
@@ -274,29 +299,29 @@ def _runs(batches, parts: int, size: int):
     def flush():
         nonlocal keys, texts, held
         kinds: dict[tuple[bytes, bytes], list[tuple[int, int]]] = {}
-        for i, anchor, first, last in anchors(texts, size):
+        for i, anchor, first, last in anchors(texts, min(sizes)):
             t = texts[i]
-            kinds.setdefault((t[anchor : last + size], t[first:anchor]), []).append((i, anchor))
+            kinds.setdefault((t[anchor : last + max(sizes)], t[first:anchor]), []).append((i, anchor))
         known, by = [], {}
         for (right, left), places in kinds.items():
             i, anchor = places[0]
             by.setdefault(crc32(right[:GRAM]) % parts, []).append((right, left, *keys[i], anchor, len(places) > 1))
             if len(places) > 1:
-                known += [(*keys[j], a - len(left), a + len(right)) for j, a in places]
+                known += [(*keys[j], size, a - len(left), a + len(right)) for j, a in places for size in sizes if size <= len(left) + len(right)]
         del kinds
         for part, rows in by.items():
             rows.sort()
-            yield pa.RecordBatch.from_pydict({"part": [part], "run": [encode_run(rows)], "k1": [None], "k2": [None], "start": [None], "end": [None]}, schema=ARROW)
-        spans = joined(np.array(known, np.int64).reshape(-1, 4))
+            yield pa.RecordBatch.from_pydict({"part": [part], "run": [encode_run(rows)], **{n: [None] for n in NAMES}}, schema=ARROW)
+        spans = joined(known)
         for at in range(0, len(spans), 10_000):
             s = spans[at : at + 10_000]
             # dealt out by themselves: copies of one passage must not meet in one task
-            yield pa.RecordBatch.from_arrays([pa.array((s[:, 0] % parts).astype(np.int32)), pa.nulls(len(s), pa.binary()), *[pa.array(s[:, c]) for c in range(4)]], schema=ARROW)
+            yield pa.RecordBatch.from_arrays([pa.array((s[:, 0] % parts).astype(np.int32)), pa.nulls(len(s), pa.binary()), *[pa.array(s[:, c]) for c in range(5)]], schema=ARROW)
         keys, texts, held = [], [], 0
 
     for batch in batches:
         for k1, k2, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist()):
-            if text is not None and len(text) >= size:
+            if text is not None and len(text) >= min(sizes):
                 keys.append((k1, k2))
                 texts.append(text)
                 held += len(text)
@@ -306,74 +331,103 @@ def _runs(batches, parts: int, size: int):
         yield from flush()
 
 
-def joined(spans: np.ndarray) -> np.ndarray:
-    """Rows (k1, k2, start, end) with overlapping or touching spans of a document made one."""
-    if not len(spans):
-        return spans
-    spans = spans[np.lexsort((spans[:, 3], spans[:, 2], spans[:, 1], spans[:, 0]))]
-    out = []
-    for row in spans.tolist():
-        if out and out[-1][0] == row[0] and out[-1][1] == row[1] and row[2] <= out[-1][3]:
-            out[-1][3] = max(out[-1][3], row[3])
+def joined(spans: list[tuple[int, ...]]) -> np.ndarray:
+    """Rows (k1, k2, size, start, end) with overlapping or touching spans of a document made one."""
+    out: list[list[int]] = []
+    for row in sorted(spans):
+        if out and out[-1][:3] == list(row[:3]) and row[3] <= out[-1][4]:
+            out[-1][4] = max(out[-1][4], row[4])
         else:
-            out.append(row)
-    return np.array(out, np.int64)
+            out.append(list(row))
+    return np.array(out, np.int64).reshape(-1, 5)
+
+
+def resolved(runs: list[Run], sizes: tuple[int, ...]) -> Iterator[np.ndarray]:
+    """Spans (key, key, size, start, end) of the windows with a twin, of all runs of one part."""
+    rights, lefts, shared, refs, whole, spans = [], [], [], [], [], []
+    places: dict[tuple[bytes, bytes], int] = {}
+    link = 0  # bytes shared with the suffix that was kept last
+
+    def close():
+        for size in sizes:
+            found = twins(rights, lefts, np.array(shared, np.int64), np.array(whole, bool), size)
+            for i, ds in found.items():
+                k1, k2, anchor, copied = refs[i]
+                if not copied:  # else its spans are known
+                    spans.extend((k1, k2, size, anchor - b, anchor - a + size) for a, b in ds)
+        for kept in (rights, lefts, shared, refs, whole, places):
+            kept.clear()
+
+    for run, s in merged(runs):
+        if s < GRAM:
+            if len(rights) >= TOGETHER:
+                close()
+                yield joined(spans)
+                spans.clear()
+            places.clear()
+        link = min(link, s)
+        right, left, ref = run.right, run.left(), run.ref()
+        at = places.setdefault((right, left), len(rights))
+        if at < len(rights):  # all of its windows have a twin
+            whole[at] = True
+            if not ref[3]:
+                spans.extend((ref[0], ref[1], size, ref[2] - len(left), ref[2] + len(right)) for size in sizes if size <= len(left) + len(right))
+            continue
+        rights.append(right)
+        lefts.append(left)
+        shared.append(link)
+        refs.append(ref)
+        whole.append(bool(ref[3]))
+        link = len(right)
+    close()
+    yield joined(spans)
 
 
-def _merge(batches, size: int):
+def _merge(batches, sizes: tuple[int, ...]):
     """Reduce side: rows come ordered by part; each part's runs are merged and its twins looked up."""
     part, blobs = None, []
 
-    def flush():
-        rights, lefts, shared, refs = [], [], [], []
-        for run, s in merged([Run(b) for b in blobs]):
-            rights.append(run.right)
-            lefts.append(run.left())
-            shared.append(s)
-            refs.append(run.refs[:, run.at])
-        refs = np.array(refs, np.int64)
-        copied = refs[:, 3] > 0
-        found = twins(rights, lefts, np.array(shared, np.int64), copied, size)
-        spans = [(refs[i, 0], refs[i, 1], refs[i, 2] - b, refs[i, 2] - a + size) for i, ds in found.items() if not copied[i] for a, b in ds]
-        return joined(np.array(spans, np.int64).reshape(-1, 4))
-
-    def rows(s):
-        return pa.RecordBatch.from_arrays([pa.array(s[:, c]) for c in range(4)], ["k1", "k2", "start", "end"])
+    def rows():
+        for s in resolved([Run(b) for b in blobs], sizes):
+            yield pa.RecordBatch.from_arrays([pa.array(s[:, c]) for c in range(5)], NAMES)
 
     for batch in batches:
         plain = batch.filter(pa.compute.is_null(batch.column(1)))
         if plain.num_rows:
-            yield pa.RecordBatch.from_arrays(plain.columns[2:], NAMES[2:])
+            yield pa.RecordBatch.from_arrays(plain.columns[2:], NAMES)
         for p, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             if blob is None:
                 continue
             if p != part and blobs:
-                yield rows(flush())
+                yield from rows()
                 blobs = []
             part = p
             blobs.append(blob)
     if blobs:
-        yield rows(flush())
+        yield from rows()
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    own = [F.col(id_col).isNull(), F.col(id_col), F.col(text_col)]
-    return docs.withColumn("_k1", F.xxhash64(*own)).withColumn("_k2", F.xxhash64(F.lit("second"), *own))
+def repeated_spans(docs: DataFrame, *, size: int = SIZE, short: int | None = None, id_col="doc_id", text_col="text", out_col="spans", short_col="short_spans", part_bytes: int = PART_BYTES, scratch: Scratch | None = None) -> DataFrame:
+    """docs with out_col: ordered, disjoint byte ranges (start, end) covered by strings of `size` bytes that occur elsewhere too.
 
-
-def repeated_spans(docs: DataFrame, *, size: int = SIZE, id_col="doc_id", text_col="text", scratch: Scratch | None = None) -> DataFrame:
-    """docs with spans: ordered, disjoint byte ranges (start, end) covered by strings of `size` bytes that occur elsewhere too."""
+    short: a smaller size, whose ranges are given in short_col.
+    """
     spark = docs.sparkSession
     small_batches(spark)
-    parts = 2 * shuffle_parts(spark)
-    keyed = _keyed(docs, id_col, text_col)
-    runs = keyed.select("_k1", "_k2", F.col(text_col).cast("string")).mapInArrow(lambda b: _runs(b, parts, size), RUNS)
-    met = runs.repartition(shuffle_parts(spark), "part").sortWithinPartitions("part").mapInArrow(lambda b: _merge(b, size), "k1 long, k2 long, start long, end long")
+    held = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
+    parts = max(shuffle_parts(spark), math.ceil(held / part_bytes))
+    sizes = {out_col: size} if short is None else {out_col: size, short_col: short}
+    *out, k1, k2 = free(docs, *sizes, "k1", "k2")
+    sizes = dict(zip(out, sizes.values()))
+    every = tuple(sizes.values())
+    own = [F.col(id_col).isNull(), F.col(id_col), F.col(text_col)]
+    keyed = docs.withColumn(k1, F.xxhash64(*own)).withColumn(k2, F.xxhash64(F.lit("second"), *own))
+    runs = keyed.select(k1, k2, F.col(text_col).cast("string")).mapInArrow(lambda b: _runs(b, parts, every), f"part int, run binary, {SPANS}")
+    met = runs.repartitionById(parts, "part").mapInArrow(lambda b: _merge(b, every), SPANS)
     scratch = scratch or Scratch(spark, "repeats")
-    spans = scratch.keep(met, "spans").groupBy("k1", "k2").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
-    spans = spans.withColumnsRenamed({"k1": "_k1", "k2": "_k2"})
+    spans = scratch.keep(met, "spans").groupBy(F.col("k1").alias(k1), F.col("k2").alias(k2)).agg(*[F.array_sort(F.collect_set(F.when(F.col("size") == n, F.struct("start", "end")))).alias(c) for c, n in sizes.items()])
     none = F.array().cast("array<struct<start:bigint,end:bigint>>")
-    return keyed.join(spans.hint("shuffle_hash"), ["_k1", "_k2"], "left").drop("_k1", "_k2").withColumn("spans", F.coalesce(_union("spans"), none))
+    return keyed.join(spans.hint("shuffle_hash"), [k1, k2], "left").drop(k1, k2).withColumns({c: F.coalesce(_union(c), none) for c in sizes})
 
 
 def _union(spans: str):
@@ -387,8 +441,8 @@ def _union(spans: str):
     return F.aggregate(spans, start, step)
 
 
-def strip(found: DataFrame, *, text_col="text") -> DataFrame:
-    """repeated_spans()'s rows with kept: the remaining bytes of each text."""
+def strip(found: DataFrame, *, text_col="text", spans_col="spans", out_col="kept") -> DataFrame:
+    """repeated_spans()'s rows with out_col: the remaining bytes of each text."""
 
     @F.pandas_udf("binary")
     def kept(texts: pd.Series, spans: pd.Series) -> pd.Series:
@@ -402,12 +456,19 @@ def strip(found: DataFrame, *, text_col="text") -> DataFrame:
 
         return pd.Series([one(t, s) for t, s in zip(texts, spans)], dtype=object)
 
-    return found.withColumn("kept", kept(F.col(text_col).cast("string"), F.col("spans")))
+    return found.withColumn(free(found, out_col)[0], kept(F.col(text_col).cast("string"), F.col(spans_col)))
 
 
 def digest(found: DataFrame, *, id_col="doc_id", text_col="text") -> DataFrame:
-    """The contract's columns of strip()'s rows."""
-    return found.select(id_col, F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"), F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"]).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    """The contract's columns of strip()'s rows, under its default names; n_repeated: bytes in passages of the shorter size."""
+    return found.select(
+        id_col,
+        F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"),
+        F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"]).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+        *[F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"]).alias("n_repeated") for c in ("short_spans",) if c in found.columns],
+    )
 
 
 def brute_force(texts: list[bytes], size: int = SIZE) -> list[list[tuple[int, int]]]:
