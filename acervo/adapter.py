@@ -104,6 +104,49 @@ FROM base
 """
 
 
+# Papers of twelve kinds, by turns; the columns beside texto are what is written in it.
+FORMS = f"""
+WITH base AS (
+  SELECT o.o_orderkey AS k, c.c_custkey AS ck, o.o_orderkey % 12 AS modelo, cast(round(o.o_totalprice * 100) as bigint) AS cents,
+    lpad(cast((c.c_custkey * 7919 + 12345) % 1000000000 as string), 9, '0') AS c9,
+    concat(lpad(cast((c.c_custkey * 104729 + 777) % 100000000 as string), 8, '0'), '0001') AS c12,
+    cast(2014 + o.o_orderkey % 9 as string) AS ano,
+    concat(case when c.c_custkey % 5 = 0 then 'Maria' when c.c_custkey % 5 = 1 then 'José' when c.c_custkey % 5 = 2 then 'Ana' when c.c_custkey % 5 = 3 then 'Íris' else 'Paulo' end, ' ',
+      case when o.o_orderkey % 7 < 2 then 'Silva' when o.o_orderkey % 7 < 4 then 'Souza Lima' when o.o_orderkey % 7 = 4 then 'Araújo' else 'Dias' end) AS nome
+  FROM {{orders}} o JOIN {{customer}} c ON o.o_custkey = c.c_custkey),
+one AS (SELECT b.*, {_CPF1} AS cpf10, {_CNPJ1} AS cnpj13 FROM base b),
+two AS (SELECT b.*, {_cpf2("b.cpf10")} AS cpf11, {_cnpj2("b.cnpj13")} AS cnpj14 FROM one b),
+parts AS (SELECT k, modelo, ano, nome, md5(cast(k as string)) AS md5,
+  concat(substring(cpf11, 1, 3), '.', substring(cpf11, 4, 3), '.', substring(cpf11, 7, 3), '-', substring(cpf11, 10, 2)) AS cpf,
+  concat(substring(cnpj14, 1, 2), '.', substring(cnpj14, 3, 3), '.', substring(cnpj14, 6, 3), '/', substring(cnpj14, 9, 4), '-', substring(cnpj14, 13, 2)) AS cnpj,
+  concat('00190.00009 03183.378003 ', lpad(cast(k % 100000 as string), 5, '0'), '.500170 6 ', lpad(cast(cents as string), 14, '0')) AS linha,
+  concat('00', lpad(cast(k % 1000000 as string), 6, '0'), '-7') AS nosso,
+  cast(100000 + k % 900000 as string) AS numero_cheque, lpad(cast(k % 1000 as string), 3, '0') AS serie, concat(lpad(cast(ck % 1000000 as string), 6, '0'), '-1') AS conta,
+  concat('12.34.56.78.', lpad(cast(k % 100 as string), 2, '0'), '-', lpad(cast(ck % 100 as string), 2, '0')) AS recibo,
+  concat('ABC', lpad(cast(k % 10000 as string), 4, '0')) AS placa, lpad(cast(k + 10000000000 as string), 11, '0') AS renavam, concat('9BWZZZ377VT', lpad(cast(k % 1000000 as string), 6, '0')) AS chassi,
+  cast(1 + k % 9000 as string) AS numero_nota, concat(lpad(cast(1 + k % 28 as string), 2, '0'), '/05/2024') AS vencimento,
+  concat(cast(1 + k % 999 as string), '.', lpad(cast(ck % 1000 as string), 3, '0'), ',', lpad(cast(cents % 100 as string), 2, '0')) AS valor,
+  case when k % 24 < 12 then 'Pedagogia' else 'Ciências Contábeis' end AS curso, concat('MG-', cast(10000000 + k as string)) AS rg,
+  concat('pessoa', cast(k as string), '@exemplo.com') AS chave, concat('E12345678', lpad(cast(k as string), 22, '0')) AS e2e, concat('A1B2.C3D4-', cast(k as string)) AS autenticacao,
+  case when k % 24 < 12 then 'ATIVA' else 'BAIXADA' end AS situacao, concat('EMPRESA ', upper(nome), ' LTDA') AS razao, cast(1 + k % 900 as string) AS numero_rua
+  FROM two)
+SELECT *, case modelo
+  when 0 then concat('Ficha de Compensação', chr(10), 'Recibo do Pagador', chr(10), 'Nosso Número: ', nosso, chr(10), linha, chr(10), 'Beneficiário: ', nome, chr(10), 'CPF ', cpf, chr(10))
+  when 1 then concat('Banco do Brasil S.A.', chr(10), 'Agência: 1234-5', chr(10), 'Conta Corrente: ', conta, chr(10), 'Série: ', serie, chr(10), 'Cheque nº: ', numero_cheque, chr(10), case when k % 24 = 1 then concat('Cheque nº: ', cast(cast(numero_cheque as int) + 1 as string), chr(10)) else '' end, 'Pague por este cheque a quantia de cem reais', chr(10))
+  when 2 then concat('Ministério da Fazenda', chr(10), 'Receita Federal', chr(10), case when k % 24 = 2 then 'Recibo de Entrega da ' else '' end, 'Declaração de Ajuste Anual', chr(10), 'Exercício: ', cast(cast(ano as int) + 1 as string), chr(10), 'Ano-Calendário: ', ano, chr(10), recibo, chr(10), 'C.P.F: ', replace(replace(cpf, '.', ''), '-', ''), chr(10))
+  when 3 then concat('Informe de Rendimentos Financeiros', chr(10), 'Fonte Pagadora: Banco Bradesco', chr(10), 'CNPJ ', cnpj, chr(10), 'Ano-Calendário de ', ano, chr(10), 'Nome: ', nome, chr(10))
+  when 4 then concat('Certificado de Registro e Licenciamento de Veículo', chr(10), 'Placa ', placa, chr(10), 'RENAVAM: ', renavam, chr(10), 'Chassi: ', chassi, chr(10))
+  when 5 then concat('Compromisso de Compra e Venda', chr(10), 'Promitente Vendedor: ', nome, chr(10), 'C.I. n. ', rg, ' SSP/MG, CPF: ', cpf, chr(10), case when k % 24 < 12 then 'Imóvel residencial' else 'Sala comercial' end, chr(10))
+  when 6 then concat('Nota Promissória', chr(10), 'Nº ', numero_nota, chr(10), 'Valor: R$ ', valor, chr(10), 'Vencimento: ', vencimento, chr(10), 'Pagável a esta praça', chr(10))
+  when 7 then concat('RECIBO', chr(10), 'Recebi de ', nome, ' a importância de R$ ', valor, ' referente a serviços', chr(10), 'Pago por CPF nº ', cpf, chr(10))
+  when 8 then concat('Diploma', chr(10), 'A escola conferiu o grau pela conclusão do curso de ', curso, ', em 2010', chr(10), 'Carteira de Identidade ', rg, ' SSP/MG', chr(10), 'Aluno: ', nome, chr(10))
+  when 9 then concat('Comprovante PIX', chr(10), 'Valor: R$ ', valor, chr(10), 'Chave PIX: ', chave, chr(10), 'ID da transação: ', e2e, chr(10), 'Autenticação: ', autenticacao, chr(10))
+  when 10 then concat('COMPROVANTE DE INSCRIÇÃO E DE SITUAÇÃO CADASTRAL', chr(10), 'CNPJ: ', cnpj, chr(10), 'NOME EMPRESARIAL: ', razao, chr(10), 'LOGRADOURO: RUA DAS FLORES NÚMERO: ', numero_rua, chr(10), 'MUNICÍPIO: VITÓRIA UF: ES', chr(10), 'SITUAÇÃO CADASTRAL: ', situacao, chr(10), 'DATA DE ABERTURA: ', vencimento, chr(10), 'TELEFONE: (27) 3333-', lpad(numero_rua, 4, '0'), chr(10))
+  else concat('Listagem de pagamentos', chr(10), valor, ' ', upper(nome), ' 1 5610 000123', chr(10), 'Favorecido: ', nome, chr(10), 'Titular: BANCO DO ESTADO', chr(10)) end AS texto
+FROM parts
+"""
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -113,6 +156,11 @@ def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept(spark, f"registry {sf_dir}", lambda: spark.sql(REGISTRY, **{t: read(spark, sf_dir, t) for t in ("orders", "customer", "nation")}))
 
 
+def forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A paper's text for each order, of twelve kinds, with what is written in it."""
+    return kept(spark, f"forms {sf_dir}", lambda: spark.sql(FORMS, **{t: read(spark, sf_dir, t) for t in ("orders", "customer")}))
+
+
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page rows of the registry's documents, from the order lines."""
     return kept(spark, f"pages {sf_dir}", lambda: spark.sql(PAGES, lineitem=read(spark, sf_dir, "lineitem")))
@@ -127,3 +175,4 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: The same tables as DuckDB SQL.
 REGISTRY_SQL = REGISTRY.format(orders="orders", customer="customer", nation="nation").replace("{{", "{").replace("}}", "}")
 PAGES_SQL = PAGES.format(lineitem="lineitem")
+FORMS_SQL = FORMS.format(orders="orders", customer="customer")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from acervo.adapter import PAGES_SQL, REGISTRY_SQL
+from acervo.adapter import FORMS_SQL, PAGES_SQL, REGISTRY_SQL
 from acervo.functions import classes as C
 from acervo.operators import pages as P
 
@@ -324,3 +324,48 @@ g AS MATERIALIZED (SELECT DISTINCT rep, len(w) AS words, unnest(CASE WHEN len(w)
 s AS (SELECT rep, words, count(*) AS n FROM g GROUP BY 1, 2), p AS (SELECT a.rep AS a, b.rep AS b, count(*) AS i FROM g a JOIN g b ON a.g = b.g AND a.rep < b.rep GROUP BY 1, 2)
 SELECT a, b, round(i / (x.n + y.n - i), 6) AS jaccard FROM p JOIN s x ON x.rep = a JOIN s y ON y.rep = b WHERE i / (x.n + y.n - i) >= 0.6 AND least(x.words, y.words) / greatest(x.words, y.words) >= 0.65""",
 }
+
+
+# What is written in the papers is known from their making, so these state results and no patterns.
+def form(columns: str, where: str = "true") -> str:
+    return f"WITH f AS ({FORMS_SQL}) SELECT md5, {columns} FROM f WHERE {where}"
+
+
+def of(kinds: dict[int, str], c: str) -> str:
+    return "CASE modelo " + " ".join(f"WHEN {m} THEN {v}" for m, v in kinds.items()) + f" END AS {c}"
+
+
+RETURN = "CASE WHEN k % 24 = 2 THEN 'Recibo de Entrega da Declaração de Ajuste Anual' ELSE 'Declaração de Imposto de Renda' END"
+BOOK = "CASE WHEN k % 24 = 1 THEN 'Talão de Cheques' ELSE 'Folha de Cheque' END"
+CRLV = "'Certificado de Registro e Licenciamento de Veículo (CRLV)'"
+TYPES = {0: "'Boleto Bancário'", 1: BOOK, 2: RETURN, 3: "'Informe de Rendimentos Financeiros'", 4: CRLV, 5: "'Contrato de Compra e Venda'", 6: "'Nota Promissória'", 7: "'Recibo'", 8: "'Diploma'", 9: "'Comprovante PIX'", 10: "'Cartão CNPJ / Situação Cadastral'"}
+DOMAINS = {m: "'financeiro'" for m in (0, 1, 2, 3, 6, 7, 9)} | {4: "'veicular'", 5: "'juridico'", 8: "'academico'", 10: "'profissional'"}
+CPFS, CNPJS, RGS = {m: "cpf" for m in (0, 2, 5, 7)}, {3: "cnpj", 10: "cnpj"}, {5: "rg || ' SSP/MG'", 8: "rg || ' SSP/MG'"}
+MONEY = {m: "'R$ ' || valor" for m in (6, 7, 9)}
+NAMES = {0: "nome", 3: "nome", 8: "nome", 11: "upper(nome) || '|' || nome"}
+PLAIN = "'Comprovante de Pagamento Bancário'"
+
+SQL |= {
+    "form_signatures": form(f"{of(TYPES, 'tipo')}, {of(DOMAINS, 'dominio')}"),
+    "form_documents": form(f"{of({m: TYPES[m] for m in (0, 1, 2, 3, 5, 6, 7, 9)} | {4: PLAIN, 8: PLAIN, 10: PLAIN, 11: chr(39) + 'Listagem de Pagamentos / Depósitos' + chr(39)}, 'tipo_documento')}, CASE WHEN modelo = 5 THEN 'juridico' ELSE 'financeiro' END AS dominio, {of({9: 'e2e'}, 'pix_e2e_id')}, {of({9: 'chave'}, 'pix_chave')}, {of({9: 'autenticacao'}, 'pix_autenticacao')}"),
+    "form_pages": f"WITH f AS ({FORMS_SQL}) SELECT md5(substr(md5, 1, 3)) AS md5, md5 AS pagina, {of(TYPES | {11: chr(39) + 'Documento Diverso' + chr(39)}, 'tipo')}, {of(DOMAINS | {11: chr(39) + 'outros' + chr(39)}, 'dominio')}, {of(CPFS, 'cpf')}, {of(RGS, 'rg')}, {of(CNPJS, 'cnpj')}, {of({8: 'curso'}, 'curso')} FROM f",
+    "form_slips": form(f"modelo = 0 AS sim, {of({0: 'linha'}, 'linha')}, NULL::VARCHAR AS barras, {of({0: 'nosso'}, 'nosso_numero')}"),
+    "form_cheques": form("k % 24 = 1 AS talao, numero_cheque || CASE WHEN k % 24 = 1 THEN '|' || (numero_cheque::INT + 1) ELSE '' END AS numeros, 'Banco do Brasil' AS banco, serie, conta, '1234-5' AS agencia", "modelo = 1"),
+    "form_returns": form("k % 24 = 2 AS recibo, (ano::INT + 1)::VARCHAR AS exercicio, ano, recibo AS numero", "modelo = 2").replace("k % 24 = 2 AS recibo", "f.k % 24 = 2 AS recibo").replace("recibo AS numero", "f.recibo AS numero"),
+    "form_incomes": form("'BANCO BRADESCO' AS fonte, ano, cnpj", "modelo = 3"),
+    "form_vehicles": form(f"{CRLV} AS tipo, placa, renavam, chassi", "modelo = 4"),
+    "form_contracts": form("CASE WHEN k % 24 < 12 THEN 'Imóvel Residencial' ELSE 'Imóvel Comercial' END AS subtipo", "modelo = 5"),
+    "form_notes": form("numero_nota AS numero, valor, vencimento", "modelo = 6"),
+    "form_receipts": form("valor", "modelo = 7"),
+    "form_cpf": form(of(CPFS, "cpf")),
+    "form_cnpj": form(of(CNPJS, "cnpj")),
+    "form_rg": form(of(RGS, "rg")),
+    "form_courses": form(of({8: "curso"}, "curso")),
+    "form_money": form(of(MONEY, "valor")),
+    "form_pix": form(f"{of({9: 'e2e'}, 'e2e')}, {of({9: 'chave'}, 'chave')}, {of({9: 'autenticacao'}, 'autenticacao')}"),
+    "form_pix_checked": form(f"{of({9: 'e2e'}, 'e2e')}, {of({9: 'chave'}, 'chave')}, modelo = 9 AS legitimo, CASE modelo WHEN 9 THEN 'Comprovante PIX' WHEN 11 THEN 'Listagem de Pagamentos / Depósitos' WHEN 2 THEN 'DARF / Guia de Arrecadação Federal' ELSE {PLAIN} END AS tipo"),
+    "form_company_cards": form("cnpj, situacao AS situacao_cadastral, vencimento AS data_abertura, razao AS razao_social, '(27) 3333-' || lpad(numero_rua, 4, '0') AS telefone, 'RUA DAS FLORES, ' || numero_rua || ' - VITÓRIA/ES' AS endereco_completo, 'VITÓRIA/ES' AS municipio_uf", "modelo = 10"),
+    "form_names": form(f"coalesce({of(NAMES, 'x').removesuffix(' AS x')}, '') AS nomes"),
+    "form_all_names": form("upper(nome) || '|' || nome || '|Zeca Dias' AS nomes"),
+    "form_fields": form(f"CASE WHEN substr(md5, 1, 1) < '8' THEN cpf ELSE {of(CPFS, 'x').removesuffix(' AS x')} END AS cpf, {of(CNPJS, 'cnpj')}, {of(RGS, 'rg')}, {of({8: 'curso'}, 'curso')}, {of(MONEY, 'valor_monetario')}, {of({9: 'e2e'}, 'pix_e2e_id')}, coalesce({of(NAMES, 'x').removesuffix(' AS x')}, '') AS nomes_detectados"),
+}

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from acervo import adapter
 from acervo.functions import classes as C
+from acervo.functions import extract as T
 from acervo.functions import text as X
 from acervo.operators import classify as K
 from acervo.operators import duplicates as D
@@ -230,3 +231,31 @@ QUERIES |= {
     "stream_intake": stream_intake,
     "stream_progress": lambda s, d: N.progress(adapter.read(s, d, "events"), "event_type"),
 }
+
+QUERIES |= {
+    name: over(adapter.forms, f)
+    for name, f in {
+        "form_signatures": lambda d: d.select("md5", K.signature("texto").alias("s")).select("md5", "s.*"),
+        "form_documents": lambda d: K.classify_document(d.select("md5", "texto", F.lit("Comprovante PIX").alias("tipo_documento"), F.lit("financeiro").alias("dominio"))).select("md5", "tipo_documento", "dominio", "pix_e2e_id", "pix_chave", "pix_autenticacao"),
+        "form_pages": lambda d: K.classify_pages(d.select(F.md5(F.substring("md5", 1, 3)).alias("md5"), F.col("md5").alias("pagina"), "texto")).select("md5", "pagina", "tipo", "dominio", "cpf", "rg", "cnpj", "curso"),
+        "form_slips": lambda d: d.select("md5", K.slip("texto").alias("s")).select("md5", "s.*"),
+        "form_cheques": lambda d: d.select("md5", K.cheque("texto").alias("s")).filter("s.sim").select("md5", "s.talao", F.array_join("s.numeros", "|").alias("numeros"), "s.banco", "s.serie", "s.conta", "s.agencia"),
+        "form_returns": lambda d: d.select("md5", K.tax_return("texto").alias("s")).filter("s.sim").select("md5", "s.recibo", "s.exercicio", "s.ano", "s.numero"),
+        "form_incomes": lambda d: d.select("md5", K.income_report("texto").alias("s")).filter("s.sim").select("md5", "s.fonte", "s.ano", "s.cnpj"),
+        "form_vehicles": lambda d: d.select("md5", K.vehicle("texto").alias("s")).filter("s.tipo is not null").select("md5", "s.*"),
+        "form_contracts": lambda d: d.select("md5", K.sale_contract("texto").alias("s")).filter("s.sim").select("md5", "s.subtipo"),
+        "form_notes": lambda d: d.select("md5", K.promissory_note("texto").alias("s")).filter("s.sim").select("md5", "s.numero", "s.valor", "s.vencimento"),
+        "form_receipts": lambda d: d.select("md5", K.receipt("texto").alias("s")).filter("s.sim").select("md5", "s.valor"),
+        "form_cpf": lambda d: d.select("md5", T.extract_cpf("texto").alias("cpf")),
+        "form_cnpj": lambda d: d.select("md5", T.extract_cnpj("texto").alias("cnpj")),
+        "form_rg": lambda d: d.select("md5", T.extract_rg("texto").alias("rg")),
+        "form_courses": lambda d: d.select("md5", T.extract_course("texto").alias("curso")),
+        "form_money": lambda d: d.select("md5", T.extract_money("texto").alias("valor")),
+        "form_pix": lambda d: d.select("md5", T.extract_pix_e2e("texto").alias("e2e"), T.extract_pix_key("texto").alias("chave"), T.extract_pix_auth("texto").alias("autenticacao")),
+        "form_pix_checked": lambda d: d.select("md5", T.validate_pix("texto", T.extract_pix_e2e("texto"), T.extract_pix_key("texto"), F.lit("Comprovante PIX")).alias("p")).select("md5", "p.*"),
+        "form_company_cards": lambda d: d.filter("texto like 'COMPROVANTE DE INSCR%'").select("md5", T.extract_company_card("texto").alias("c")).select("md5", "c.cnpj", "c.situacao_cadastral", "c.data_abertura", "c.razao_social", "c.telefone", "c.endereco_completo", "c.municipio_uf"),
+        "form_names": lambda d: d.select("md5", F.array_join(T.extract_names("texto"), "|").alias("nomes")),
+        "form_all_names": lambda d: d.select("md5", F.array_join(T.all_names(F.upper("nome"), F.array("nome", F.lit("Zeca Dias")), "texto"), "|").alias("nomes")),
+        "form_fields": lambda d: K.extract_fields(d.select("md5", "texto", F.when(F.substring("md5", 1, 1) < "8", F.col("cpf")).otherwise("111.111.111-11").alias("cpf"), F.lit("  ").alias("curso"))).select("md5", "cpf", "cnpj", "rg", "curso", "valor_monetario", "pix_e2e_id", F.array_join("nomes_detectados", "|").alias("nomes_detectados")),
+    }.items()
+}
