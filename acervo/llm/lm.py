@@ -27,6 +27,8 @@ from __future__ import annotations
 import heapq
 import math
 from collections import Counter
+from collections.abc import Iterable, Iterator
+from itertools import repeat
 from zlib import crc32
 
 import numpy as np
@@ -39,11 +41,14 @@ from pyspark.sql import types as T
 from acervo.llm.common import Scratch, small_batches
 
 END = b"\n"  # no word can hold it
-RARE, STOP = 0, 1  # the model's symbols for rare words and the end
 CLASSES, PER_CLASS, EMBED, HIDDEN = 64, 64, 16, 24
+STOP, RARE = 0, (CLASSES - 1) * PER_CLASS  # the model's symbols for the end and for rare words, a class of their own
+WORDS = RARE - 1  # symbols for words, from 1
 #: Words with their counts held by every task: a fixed number.
 HEAD = 100_000
-WINDOW, LANES, TRAIN_LANES = 32, 256, 96
+WINDOW, LANES, TRAIN_LANES = 32, 384, 384
+#: Tokens that are packed into lanes together.
+PACK = 1_200_000
 ROUNDS = 3
 SMOOTH = 0.1
 
@@ -78,6 +83,10 @@ def counts(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.select(F.col(text_col).cast("string")).mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+SHAPES = {
+    "embed": (CLASSES * PER_CLASS, EMBED), "in": (EMBED, 3 * HIDDEN), "state": (HIDDEN, 3 * HIDDEN), "bias": (3 * HIDDEN,),
+    "class": (HIDDEN, CLASSES), "class_bias": (CLASSES,), "word": (CLASSES, HIDDEN, PER_CLASS), "word_bias": (CLASSES, PER_CLASS),
+}
 ONES = {n: np.ones(n, np.float32) for n in (CLASSES, PER_CLASS)}
 
 
@@ -99,22 +108,34 @@ def _exp(states: np.ndarray, weights: np.ndarray, bias: np.ndarray, small: bool)
 class Model:
     """GRU with a class-factored softmax over CLASSES * PER_CLASS symbols."""
 
-    def __init__(self, params: dict[str, np.ndarray]):
-        self.p = params
+    def __init__(self, flat: np.ndarray):
+        self.flat, self.p = flat, self.named(flat)
+
+    @staticmethod
+    def named(flat: np.ndarray) -> dict[str, np.ndarray]:
+        """The parts of a vector of all parameters."""
+        at, parts = 0, {}
+        for name, shape in SHAPES.items():
+            size = math.prod(shape)
+            parts[name] = flat[at : at + size].reshape(shape)
+            at += size
+        return parts
 
     @classmethod
-    def fresh(cls, frequencies: list[float], seed: int = 11) -> Model:
-        """frequencies: of the symbols in use; their logarithms are the first biases."""
+    def fresh(cls, stop: float, rare: float, words: list[float], seed: int = 11) -> Model:
+        """Frequencies of the end, of rare words together and of the vocabulary; their logarithms are the first biases."""
         rng = np.random.default_rng(seed)
         share = np.full(CLASSES * PER_CLASS, 1e-9)
-        share[: len(frequencies)] = np.maximum(frequencies, 1e-9)
+        share[[STOP, RARE]] = max(stop, 1e-9), max(rare, 1e-9)
+        share[1 : 1 + len(words)] = np.maximum(words, 1e-9)
         share = (share / share.sum()).reshape(CLASSES, PER_CLASS)
-        draw = lambda *s: (rng.standard_normal(s) * (0.5 / math.sqrt(s[-2]))).astype(np.float32)
-        return cls({
-            "embed": draw(CLASSES * PER_CLASS, EMBED) * 8, "in": draw(EMBED, 3 * HIDDEN), "state": draw(HIDDEN, 3 * HIDDEN), "bias": np.zeros(3 * HIDDEN, np.float32),
-            "class": draw(HIDDEN, CLASSES) * 0.2, "class_bias": np.log(share.sum(1)).astype(np.float32),
-            "word": draw(CLASSES, HIDDEN, PER_CLASS) * 0.2, "word_bias": np.log(share / share.sum(1, keepdims=True)).astype(np.float32),
-        })
+        model = cls(np.zeros(sum(map(math.prod, SHAPES.values())), np.float32))
+        for name, scale in (("embed", 8), ("in", 1), ("state", 1), ("class", 0.2), ("word", 0.2)):
+            shape = SHAPES[name]
+            model.p[name][:] = rng.standard_normal(shape) * (0.5 * scale / math.sqrt(shape[-2]))
+        model.p["class_bias"][:] = np.log(share.sum(1))
+        model.p["word_bias"][:] = np.log(share / share.sum(1, keepdims=True))
+        return model
 
     def walk(self, tokens: np.ndarray, fresh: np.ndarray, h: np.ndarray, table: np.ndarray, keep: bool = False):
         """States that predict tokens [steps, lanes]; fresh marks a document's first token, where the state starts anew.
@@ -161,7 +182,7 @@ class Model:
             back = d @ self.p["class"].T
         order = np.argsort(kind, kind="stable")
         edges = np.searchsorted(kind[order], np.arange(CLASSES + 1))
-        for k in range(CLASSES):
+        for k in range(CLASSES - 1):  # the last class has one symbol
             own = order[edges[k] : edges[k + 1]]
             if not len(own):
                 continue
@@ -209,12 +230,13 @@ class Model:
                     continue
                 table = self.p["embed"] @ self.p["in"]
                 states, h, (before, memory) = self.walk(np.maximum(part, 0), start, h, table, True)
-                g = {k: np.zeros_like(v) for k, v in self.p.items()}
+                gradient = np.zeros_like(self.flat)
+                g = self.named(gradient)
                 _, d = self.outputs(states.reshape(-1, HIDDEN)[real], part.ravel()[real], g)
                 ds = np.zeros((part.size, HIDDEN), np.float32)
                 ds[real] = d
                 self._back(ds.reshape(*part.shape, HIDDEN), start, before, memory, g)
-                self._step(g, n, optimizer, rate)
+                self._step(gradient, n, optimizer, rate)
                 learned += n
         return learned
 
@@ -236,24 +258,26 @@ class Model:
         g["in"] += self.p["embed"][symbols].T @ flat
         np.add.at(g["embed"], symbols, flat @ self.p["in"].T)
 
-    def _step(self, g, n, optimizer, rate):
+    def _step(self, g: np.ndarray, n: int, optimizer: dict, rate: float):
         """Adam, with gradients per token."""
         optimizer["t"] = t = optimizer.get("t", 0) + 1
-        for k, v in g.items():
-            v = np.clip(v / n, -0.1, 0.1)
-            m = optimizer[k] = 0.9 * optimizer.get(k, 0) + 0.1 * v
-            s = optimizer[k + "2"] = 0.99 * optimizer.get(k + "2", 0) + 0.01 * v * v
-            self.p[k] = (self.p[k] - rate * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.99**t)) + 1e-6)).astype(np.float32)
-
-    def dump(self) -> bytes:
-        return np.concatenate([v.ravel() for v in self.p.values()]).astype("<f4").tobytes()
-
-    def load(self, flat: np.ndarray) -> Model:
-        at, p = 0, {}
-        for k, v in self.p.items():
-            p[k] = flat[at : at + v.size].reshape(v.shape).astype(np.float32)
-            at += v.size
-        return Model(p)
+        if t == 1:
+            optimizer["m"], optimizer["s"] = np.zeros_like(g), np.zeros_like(g)
+        m, s = optimizer["m"], optimizer["s"]
+        g /= n
+        np.clip(g, -0.1, 0.1, out=g)
+        m *= 0.9
+        m += 0.1 * g
+        g *= g
+        g *= 0.01
+        s *= 0.99
+        s += g
+        np.divide(s, 1 - 0.99**t, out=g)
+        np.sqrt(g, out=g)
+        g += 1e-6
+        np.divide(m, g, out=g)
+        g *= rate / (1 - 0.9**t)
+        self.flat -= g
 
 
 def packed(docs: list[np.ndarray], lanes: int):
@@ -270,7 +294,7 @@ def packed(docs: list[np.ndarray], lanes: int):
         heapq.heappush(heap, (filled[i], i))
     order = sorted(range(lanes), key=lambda i: -filled[i])
     rows, filled = [rows[i] for i in order], np.array([filled[i] for i in order])
-    tokens, owner = np.full((max(filled), lanes), -1, np.int64), np.zeros((max(filled), lanes), np.int64)
+    tokens, owner = np.full((max(filled), lanes), -1, np.int32), np.zeros((max(filled), lanes), np.int32)
     fresh = np.zeros(tokens.shape, bool)
     for i, own in enumerate(rows):
         at = 0
@@ -282,8 +306,8 @@ def packed(docs: list[np.ndarray], lanes: int):
 
 
 def _symbols(w: list[bytes], vocabulary: dict[bytes, int]) -> np.ndarray:
-    out = np.empty(len(w) + 1, np.int64)
-    out[:-1] = np.fromiter(map(vocabulary.get, w, (RARE for _ in w)), np.int64, len(w))
+    out = np.empty(len(w) + 1, np.int32)
+    out[:-1] = np.fromiter(map(vocabulary.get, w, repeat(RARE)), np.int32, len(w))
     out[-1] = STOP
     return out
 
@@ -293,6 +317,19 @@ def lessons(texts: list[bytes | None], vocabulary: dict[bytes, int], turn: int,
     return [_symbols(words(t), vocabulary) for t in texts if crc32(t or b"") % rounds == turn]
 
 
+def packs(docs: Iterable[np.ndarray], size: int = PACK) -> Iterator[list[np.ndarray]]:
+    """Documents in order, put together until they hold `size` tokens."""
+    held, total = [], 0
+    for d in docs:
+        held.append(d)
+        total += len(d)
+        if total >= size:
+            yield held
+            held, total = [], 0
+    if held:
+        yield held
+
+
 def fit(docs: DataFrame, vocabulary: dict[bytes, int], model: Model, *, text_col="text", rounds: int = ROUNDS) -> Model:
     """Rounds of local training and averaging, each over its share of the documents; together they read every token once."""
     texts = docs.select(F.col(text_col).cast("string"))
@@ -301,11 +338,11 @@ def fit(docs: DataFrame, vocabulary: dict[bytes, int], model: Model, *, text_col
         rate = 0.01 / (1 + turn)
 
         def learn(batches, model=model, turn=turn, rate=rate):
-            own, optimizer, learned = Model({k: v.copy() for k, v in model.p.items()}), {}, 0
-            for batch in batches:
-                learned += own.train(lessons(batch.column(0).cast(pa.binary()).to_pylist(), vocabulary, turn, rounds), optimizer, rate)
+            own, optimizer, learned = Model(model.flat.copy()), {}, 0
+            for pack in packs(x for batch in batches for x in lessons(batch.column(0).cast(pa.binary()).to_pylist(), vocabulary, turn, rounds)):
+                learned += own.train(pack, optimizer, rate)
             if learned:
-                yield pa.RecordBatch.from_pydict({"part": [TaskContext.get().partitionId()], "weight": [float(learned)], "params": [own.dump()]}, schema=pa.schema([("part", pa.int32()), ("weight", pa.float64()), ("params", pa.binary())]))
+                yield pa.RecordBatch.from_pydict({"part": [TaskContext.get().partitionId()], "weight": [float(learned)], "params": [own.flat.tobytes()]}, schema=pa.schema([("part", pa.int32()), ("weight", pa.float64()), ("params", pa.binary())]))
 
         def average(rows):
             w = np.array(rows["weight"])
@@ -318,7 +355,7 @@ def fit(docs: DataFrame, vocabulary: dict[bytes, int], model: Model, *, text_col
             width = math.ceil(width / 16)
         rows = got.toPandas()
         if len(rows):
-            model = model.load(np.frombuffer(average(rows)["params"].iloc[0], "<f4"))
+            model = Model(np.frombuffer(average(rows)["params"].iloc[0], "<f4").copy())
     return model
 
 
@@ -352,10 +389,10 @@ def score(docs: DataFrame, *, id_col="doc_id", text_col="text", rounds: int = RO
     total, kinds = seen.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     head = frequent(seen, kinds)
     ends = head.get(END) or next((r.c for r in seen.filter(F.col("word") == F.lit(END)).collect()), 0)
-    top = [w for w in head if w != END][: CLASSES * PER_CLASS - 2]
-    vocabulary = {w: i + 2 for i, w in enumerate(top)}
+    top = [w for w in head if w != END][:WORDS]
+    vocabulary = {w: i + 1 for i, w in enumerate(top)}
     rare_tokens, rare_kinds = total - ends - sum(head[w] for w in top), kinds - len(top) - (ends > 0)
-    model = Model.fresh([rare_tokens + 0.5, ends + 0.5, *[head[w] for w in top]])
+    model = Model.fresh(ends + 0.5, rare_tokens + 0.5, [head[w] for w in top])
     model = fit(training, vocabulary, model, text_col=text_col, rounds=rounds)
     logs = {w: math.log10(c + SMOOTH) for w, c in head.items()}
     held = spark.sparkContext.broadcast((logs, vocabulary, model))

@@ -43,7 +43,7 @@ def test_near_copies_of_the_pipeline(spark, hard_docs):
 
 
 def test_lm_trains_on_whole_documents():
-    vocabulary = {b"w%d" % i: i + 2 for i in range(50)}
+    vocabulary = {b"w%d" % i: i + 1 for i in range(50)}
     texts = [b" ".join(b"w%d" % (i * k % 60) for i in range(n)) for k, n in enumerate((0, 3, 64, 65, 300, 20_000, 700, 701))] + [None]
     taken = [lm.lessons(texts, vocabulary, turn, 3) for turn in range(3)]
     assert sum(len(x) for own in taken for x in own) == sum(len(lm.words(t)) + 1 for t in texts)
@@ -51,7 +51,7 @@ def test_lm_trains_on_whole_documents():
     whole = {lm._symbols(lm.words(t), vocabulary).tobytes() for t in texts}
     assert {x.tobytes() for own in taken for x in own} == whole
     # all of a long document's windows are learned from
-    assert lm.Model.fresh([1.0] * 60).train([np.full(5000, 7)], {}, 0.01) == 5000
+    assert lm.Model.fresh(1.0, 1.0, [1.0] * 58).train([np.full(5000, 7)], {}, 0.01) == 5000
 
 
 def test_flat_table_has_a_column_for_every_extra_key(spark):

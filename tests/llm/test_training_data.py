@@ -52,10 +52,28 @@ def test_secrets(spark, hard_docs):
     assert [x[:3] for x in secrets.scan(f"ü {key}")] == [("assign", 2, 2 + len(key))]
     assert secrets.scan("secret: abc") == [] and secrets.scan("token = \"" + "a1" * 12 + '"')[1][0] == "hex"
     inner = base64.b64encode(gzip.compress(base64.b64encode(key.encode()))).decode()
-    assert secrets.scan(f"x {inner} y") == [("assign", 2, 2 + len(inner), "base64+zip/base64")]
+    assert secrets.scan(f"x {inner} y") == [("assign", 2, 2 + len(inner), "base64/zip/base64")]
     assert secrets.scan("a p%61ssword%3Dabcdefgh b")[0][:3] == ("assign", 2, 23)
     assert secrets.scan("a \\u0070assword=hunter22 b")[0][:3] == ("assign", 2, 24)
     assert secrets.masked(f"a {key} b", "#") == "a # b" and secrets.masked(None, "#") is None
+    b64 = lambda x: base64.b64encode(x if isinstance(x, bytes) else x.encode()).decode()
+    # escapes that are none leave the others alone
+    assert secrets.scan("x=%FF&u=p%61ssword%3Dabcdefgh")[0][:3] == ("assign", 8, 29)
+    assert secrets.scan("q=caf%E9&token%3Dabcdef12")[0][:3] == ("assign", 9, 25)
+    assert secrets.scan("\\ud800 \\u0070assword=hunter22 b")[0][:3] == ("assign", 7, 29)
+    assert secrets.scan("p%61ssword = hunter2xyz")[0][:3] == ("assign", 0, 23)
+    # base64 of bytes that are no text, behind a path, and over lines
+    assert secrets.scan(b64("\0" + key))[0][:3] == ("assign", 1, 27)
+    assert [secrets.scan(f"{x}{b64(key)} more")[0][:3] for x in ("v/", "a/b", "-x/y")] == [("assign", n, n + 26) for n in (2, 3, 4)]
+    zipped = b64(gzip.compress(("lorem " + key + str(list(range(300)))).encode()))
+    lines = "\r\n  ".join(zipped[i : i + 76] for i in range(0, len(zipped), 76))
+    assert secrets.scan(f"--\n{lines}\n--") == [("assign", 3, 3 + len(lines), "base64/zip")]
+    assert secrets.scan("/path/to/" + zipped)[0][3] == "base64/zip"
+    # a stream in percent escapes; a layer whose stream ends before other characters
+    stream = "".join(f"%{x:02x}" for x in gzip.compress(b"token: abcdef12345"))
+    assert secrets.scan(f"z={stream}\u20ac")[0] == ("assign", 2, 2 + len(stream), "url/zip")
+    inside = "ééé " + key + " ü"
+    assert secrets.scan(b64(inside))[0][:3] == ("assign", 7 * 4 // 3, (8 * (7 + len(key)) - 1) // 6 + 1)
     # an encoding of itself ends
     assert secrets.scan("%2541%2541" * 3) == []
     out = secrets.digest(secrets.find_secrets(hard_docs))
@@ -138,14 +156,54 @@ def test_repeats(spark, hard_docs):
         texts = [b"".join(rng.choice(pool) for _ in range(rng.randint(0, 5))).decode() for _ in range(25)]
         texts = [t[:9] + "z" + t[10:] if k % 3 == 0 else t for k, t in enumerate(texts)]
         df = docs_of(spark, texts).repartition(3)
-        got = {r.doc_id: [tuple(s) for s in r.spans] for r in repeats.repeated_spans(df, size=size).collect()}
-        want = repeats.brute_force([t.encode() for t in texts], size)
-        assert [got[i] for i in range(len(texts))] == want
+        for short in (None, size // 2):
+            got = {r.doc_id: r for r in repeats.repeated_spans(df, size=size, short=short).collect()}
+            for name, n in (("spans", size), ("short_spans", short)):
+                want = repeats.brute_force([t.encode() for t in texts], n) if n else []
+                assert all([tuple(s) for s in got[i][name]] == w for i, w in enumerate(want))
+    found = repeats.repeated_spans(hard_docs)
+    assert found.columns == [*hard_docs.columns, "spans_"] and found.filter("spans = 's'").count() == 8
     out = repeats.digest(repeats.strip(repeats.repeated_spans(hard_docs.drop("spans"))))
     assert out.count() == 8 and {r.n_removed for r in out.filter("doc_id = 5").collect()} == {60_000}
     assert repeats.repeated_spans(hard_docs.drop("spans").limit(0)).count() == 0
 
 
+def window_hashes(text: bytes, size: int) -> np.ndarray:
+    """A 64-bit polynomial hash of every window, by prefix sums of powers."""
+    base, n = 0x9E3779B97F4A7C15, len(text)
+    up, down = (np.cumprod(np.full(n, x, np.uint64)) for x in (base, pow(base, -1, 1 << 64)))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((np.frombuffer(text, np.uint8).astype(np.uint64) + np.uint64(1)) * up)])
+    return (sums[size:] - sums[:-size]) * down[: n - size + 1] if n >= size else np.zeros(0, np.uint64)
+
+
+def test_repeats_of_whole_documents(spark, monkeypatch):
+    """The driver's documents, against hashes of every window; short runs, so that many meet in a merge."""
+    monkeypatch.setattr(repeats, "RUN_BYTES", 200_000)
+    monkeypatch.setattr(repeats, "TOGETHER", 500)
+    monkeypatch.setattr(repeats, "BLOCK", 64)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").repartition(5)
+    texts = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    got = {r.doc_id: r for r in repeats.digest(repeats.strip(repeats.repeated_spans(docs, short=repeats.SHORT, part_bytes=100_000))).collect()}
+    covered = {}
+    for size in (repeats.SIZE, repeats.SHORT):
+        hashes = {i: window_hashes(t, size) for i, t in texts.items()}
+        kinds, count = np.unique(np.concatenate(list(hashes.values())), return_counts=True)
+        for doc, h in hashes.items():
+            edge = np.zeros(len(texts[doc]) + 1, int)
+            for i in np.flatnonzero(count[np.searchsorted(kinds, h)] > 1) if len(h) else ():
+                edge[i] += 1
+                edge[i + size] -= 1
+            covered[doc, size] = np.cumsum(edge)[:-1] > 0
+    removed = 0
+    for doc, t in texts.items():
+        r, gone = got[doc], covered[doc, repeats.SIZE]
+        removed += int(gone.sum())
+        assert r.n_repeated == covered[doc, repeats.SHORT].sum()
+        assert (r.n_bytes, r.n_removed, r.n_spans) == (len(t), gone.sum(), int((np.diff(gone.astype(int), prepend=0) == 1).sum()))
+        assert r.kept_sha256 == hashlib.sha256(np.frombuffer(t, np.uint8)[~gone].tobytes()).hexdigest()
+    assert len(got) == len(texts) and removed > 100_000
+
+
 def test_merge_uses_known_prefixes():
     rng = random.Random(9)
     items = sorted({bytes(rng.choice(b"ab") for _ in range(30)) for _ in range(200)})
@@ -184,6 +242,24 @@ def test_licenses(spark, hard_docs):
     text = "Intro. Licensed under the Apache License, Version 2.0.\nRedistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\nRedistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."
     got = licenses.scan(spark.createDataFrame([(1, text), (2, "plain")], "doc_id long, text string")).select("doc_id", "licences").collect()
     assert {r.doc_id: r.licences for r in got} == {1: ["Apache-2.0", "BSD-1-Clause"], 2: []}
+    mit = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+"""
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:\n1. Redistributions of source code must retain the above copyright\n   notice, this list of conditions and the following disclaimer.\n"
+    gpl = "This program is free software; you can redistribute it and/or\nmodify it under the terms of the GNU General Public License\nas published by the Free Software Foundation; either version 2\nof the License, or (at your option) any later version."
+    marked = lambda mark, t: "".join(f"{mark}{x}\n" for x in t.split("\n"))
+    both = "Licensed under CC BY 4.0. Released under CC0 1.0"
+    cases = {mit: "MIT", "MIT License\n\n" + mit: "MIT", "A heading\n" + mit: "MIT", marked("# ", mit): "MIT", marked(" * ", bsd): "BSD-1-Clause", marked("// ", gpl): "GPL-2.0-or-later", mit.replace("\n", "\r\n"): "MIT", both: "CC-BY-4.0,CC0-1.0"}
+    got = licenses.digest(licenses.scan(docs_of(spark, list(cases)))).collect()
+    assert {list(cases)[r.doc_id]: r.licences for r in got} == cases
+    assert all(any(h in s for h in licenses.HINTS) for known in licenses.SENTENCES.values() for s in known)
     assert licenses.digest(licenses.scan(hard_docs)).count() == 8
 
 
@@ -199,6 +275,13 @@ def test_mixing(spark, hard_docs):
         assert abs(got[s] / total - w / 6) < 0.05
     keys = [r.shuffle_key for r in out.collect()]
     assert keys == sorted(keys)
+    # large rates are sums of small ones; no row's copies are held together
+    few = spark.createDataFrame([(1, "abc", "s"), (2, "x" * 1000, "t"), (3, None, "t")], "doc_id long, text string, source string").withColumns({"copy": F.lit("c"), "part": F.lit(1)})
+    for volume in (1e4, 1e6):
+        many = mixing.mix(few, volume=volume)
+        assert many.columns == [*few.columns, "copy_", "shuffle_key"]
+        n = {r.doc_id: (r.n, r.d) for r in many.groupBy("doc_id").agg(F.count("*").alias("n"), F.countDistinct("copy_").alias("d")).collect()}
+        assert n[1][0] == n[1][1] and abs(n[1][0] - volume / 6) < 6 * math.sqrt(volume / 6)
     cdf = spark.range(1).select(mixing.poisson_cdf(F.lit(2.5)).alias("c")).first().c
     assert all(abs(c - sum(math.exp(-2.5) * 2.5**j / math.factorial(j) for j in range(k + 1))) < 1e-12 for k, c in enumerate(cdf))
     assert mixing.mix(hard_docs).count() >= 1 and mixing.mix(hard_docs.limit(0)).count() == 0
@@ -234,11 +317,12 @@ def test_lm(spark, hard_docs):
 
 
 def test_lm_is_a_distribution_and_its_gradient():
-    model = lm.Model.fresh([5.0, 3.0, *np.linspace(2, 1, 300)])
+    model = lm.Model.fresh(3.0, 5.0, list(np.linspace(2, 1, 300)))
     table, state = model.p["embed"] @ model.p["in"], np.zeros((1, lm.HIDDEN), np.float32)
     model.last = np.array([lm.STOP])
     states, _, _ = model.walk(np.array([[7]]), np.array([[True]]), state, table)
     every = np.arange(lm.CLASSES * lm.PER_CLASS)
+    every = every[every <= lm.RARE]  # the last class has one symbol
     logp, _ = model.outputs(np.repeat(states[0], len(every), 0), every)
     assert np.exp(logp.astype(float)).sum() == pytest.approx(1, abs=1e-4)
     doc = [np.array([5, 9, 30, 5, lm.STOP])]
@@ -250,6 +334,31 @@ def test_lm_is_a_distribution_and_its_gradient():
     assert model.score(doc * 3, lanes=2) == pytest.approx(model.score(doc)[[0, 0, 0]], rel=1e-4)
 
 
+def test_lm_gradient_by_differences():
+    model = lm.Model.fresh(3.0, 5.0, list(np.linspace(2, 1, 300)))
+    tokens, fresh = np.array([[5, 9], [30, lm.STOP], [lm.RARE, 7], [lm.STOP, 80]]), np.array([[True, True], [False, False], [False, True], [False, False]])
+
+    def loss(flat, g=None):
+        m = lm.Model(flat)
+        m.last = np.full(2, lm.STOP)
+        states, _, (before, memory) = m.walk(tokens, fresh, np.zeros((2, lm.HIDDEN)), m.p["embed"] @ m.p["in"], True)
+        logp, back = m.outputs(states.reshape(-1, lm.HIDDEN).astype(flat.dtype), tokens.ravel(), g)
+        if g is not None:
+            m._back(back.reshape(*tokens.shape, lm.HIDDEN), fresh, before, memory, g)
+        return -logp.sum()
+
+    flat = model.flat.astype(np.float64)
+    grad = np.zeros_like(flat)
+    loss(flat, lm.Model.named(grad))
+    # the largest entries of every part
+    checked = [int(i) for name, at in lm.Model.named(np.arange(len(flat))).items() for i in at.ravel()[np.argsort(-np.abs(lm.Model.named(grad)[name]), axis=None)[:6]]]
+    for i in checked:
+        up, down = flat.copy(), flat.copy()
+        up[i] += 1e-2
+        down[i] -= 1e-2
+        assert (loss(up) - loss(down)) / 2e-2 == pytest.approx(grad[i], rel=0.02, abs=2e-3)
+
+
 def test_toxicity(spark, hard_docs):
     rng = random.Random(8)
     plain = lambda: [rng.choice(["house", "river", "stone", "light", "green", "paper", "morning", "water"]) + rng.choice("aeiou") for _ in range(60)]
@@ -283,3 +392,25 @@ def test_pipeline_stages(spark, tmp_path):
         assert at.columns == docs.columns, name
     assert {(r.doc_id, r.text) for r in at.collect()} == {(1, "a b c d e f g h i j k l"), (3, "keep [secret] end"), (None, None)}
     assert set(P.run(spark, d).columns) == {*docs.columns, "copy", "shuffle_key"}
+
+
+def test_pipeline_removes_rows_by_their_values(spark, tmp_path):
+    import corpus_pipeline as P
+
+    leak = "one two three four five six seven eight nine ten"
+    docs = spark.createDataFrame([(1, leak + " more"), (1, "a clean row with the same id"), (None, "x " + leak), (None, "clean without an id"), (2, None)], "doc_id long, text string")
+    spark.createDataFrame([(9, leak)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = P.drop_contaminated(spark, docs, str(tmp_path))
+    assert got.columns == docs.columns and {r.text for r in got.collect()} == {"a clean row with the same id", "clean without an id", None}
+
+
+def test_long_pages_are_labelled_in_small_batches(spark):
+    sizes = [0, 3, 20_000, *[5] * 100, 50_000]
+    cut = list(html_text.batches_of(sizes))
+    assert sorted(i for own in cut for i in own) == [i for i, n in enumerate(sizes) if n]
+    assert all(len(own) * max(sizes[i] for i in own) <= html_text.CELLS for own in cut if len(own) > 1)
+    long = "<article>" + "".join(f"<p>Sentence number {i} of the text.</p>" for i in range(3000)) + "</article><footer>end</footer>"
+    pages = spark.createDataFrame([(1, long), (2, "<nav>menu</nav><article><p>Short text here.</p></article>")], "page_id long, html string").withColumn("text", F.lit("t"))
+    out = html_text.extract(pages, html_text.train(pages))
+    assert out.columns == ["page_id", "html", "text", "text_"]
+    assert {r.page_id: r.text_.count("Sentence number") for r in out.collect()} == {1: 3000, 2: 0}
