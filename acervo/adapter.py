@@ -153,17 +153,17 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per order: the registry columns the operators use."""
-    return kept(spark, f"registry {sf_dir}", lambda: spark.sql(REGISTRY, **{t: read(spark, sf_dir, t) for t in ("orders", "customer", "nation")}))
+    return kept(spark, "registry", sf_dir, lambda: spark.sql(REGISTRY, **{t: read(spark, sf_dir, t) for t in ("orders", "customer", "nation")}))
 
 
 def forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A paper's text for each order, of twelve kinds, with what is written in it."""
-    return kept(spark, f"forms {sf_dir}", lambda: spark.sql(FORMS, **{t: read(spark, sf_dir, t) for t in ("orders", "customer")}))
+    return kept(spark, "forms", sf_dir, lambda: spark.sql(FORMS, **{t: read(spark, sf_dir, t) for t in ("orders", "customer")}))
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page rows of the registry's documents, from the order lines."""
-    return kept(spark, f"pages {sf_dir}", lambda: spark.sql(PAGES, lineitem=read(spark, sf_dir, "lineitem")))
+    return kept(spark, "pages", sf_dir, lambda: spark.sql(PAGES, lineitem=read(spark, sf_dir, "lineitem")))
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,14 +9,17 @@ over the few remaining edges.
 from __future__ import annotations
 
 import uuid
+from itertools import count
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from acervo.functions import text as X
 from acervo.sources.tables import shared_dir
 
 JACCARD, RATIO, LEAST = 0.60, 0.65, 20
+#: Grams that are put last in the order of all texts.
+OFTEN = 2000
 
 
 def _keep(df: DataFrame, name: str) -> DataFrame:
@@ -55,21 +58,25 @@ def classes(docs: DataFrame, text_col: str = "texto") -> DataFrame:
 
 def similar_pairs(kinds: DataFrame, threshold: float = JACCARD) -> DataFrame:
     """DUP-3, JOI-5, SET-3: pairs (a, b), a < b, of classes at `threshold` Jaccard or more, with the word-count and cpf tests."""
-    grams = kinds.select("rep", F.size("grams").alias("n"), F.explode("grams").alias("g"))
-    common = grams.groupBy("g").agg(F.count("*").alias("df")).filter("df > 1")
-    # a gram of one class only cannot make a pair, but it takes part in the order, as the rarest
-    ranked = grams.join(common.hint("merge"), "g", "left").withColumn("r", F.row_number().over(Window.partitionBy("rep").orderBy(F.coalesce("df", F.lit(1)), "g")))
-    prefix = ranked.filter((F.col("r") <= F.col("n") - F.ceil(threshold * F.col("n") - F.lit(1e-9)) + 1) & F.col("df").isNotNull()).select("rep", "n", "g")
+    held_by = kinds.select(F.explode("grams").alias("g")).groupBy("g").agg(F.count("*").alias("df"))
+    # at most OFTEN grams in one row: they stand last in every text's order, which decides the work and not the result
+    often = held_by.filter(F.col("df") >= LEAST).orderBy(F.desc("df"), "g").limit(OFTEN).agg(F.collect_list("g").alias("often"))
+    n = F.size("grams")
+    order = F.concat(F.array_sort(F.array_except("grams", "often")), F.array_sort(F.array_intersect("grams", "often")))
+    first = F.slice(order, 1, (n - F.ceil(threshold * n - F.lit(1e-9)) + 1).cast("int"))
+    prefix = _keep(kinds.crossJoin(F.broadcast(often)).select("rep", n.alias("n"), F.explode(first).alias("g")), "prefix")
     a, b = prefix.select(F.col("rep").alias("a"), F.col("n").alias("na"), "g"), prefix.select(F.col("rep").alias("b"), F.col("n").alias("nb"), "g")
     close = (F.col("na") >= threshold * F.col("nb")) & (F.col("nb") >= threshold * F.col("na"))
     pairs = a.join(b.hint("merge"), "g").filter((F.col("a") < F.col("b")) & close).select("a", "b").distinct()
-    side = lambda p: kinds.select(F.col("rep").alias(p), *[F.col(c).alias(f"{c}_{p}") for c in ("norm", "cpf", "words", "grams")])
-    both = pairs.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b")
+    side = lambda p, *cs: kinds.select(F.col("rep").alias(p), *[F.col(c).alias(f"{c}_{p}") for c in cs])
+    sets = ("cpf", "words", "grams")
+    both = pairs.join(side("a", *sets).hint("merge"), "a").join(side("b", *sets).hint("merge"), "b")
     inter = F.size(F.array_intersect("grams_a", "grams_b"))
     jaccard = inter / (F.size("grams_a") + F.size("grams_b") - inter)
     ratio = F.least("words_a", "words_b") / F.greatest("words_a", "words_b")
     other = (F.col("cpf_a") != "") & (F.col("cpf_b") != "") & (F.col("cpf_a") != F.col("cpf_b"))
-    return both.withColumn("jaccard", jaccard).filter((F.col("jaccard") >= threshold) & (ratio >= RATIO) & ~other).select("a", "b", "jaccard", "norm_a", "norm_b")
+    near = both.withColumn("jaccard", jaccard).filter((F.col("jaccard") >= threshold) & (ratio >= RATIO) & ~other).select("a", "b", "jaccard")
+    return near.join(side("a", "norm").hint("merge"), "a").join(side("b", "norm").hint("merge"), "b")  # texts for the pairs that are left
 
 
 def refine(pairs: DataFrame, threshold: float = 0.88) -> DataFrame:
@@ -85,7 +92,7 @@ def canonical(edges: DataFrame) -> DataFrame:
     """
     edges = _keep(edges.select("a", "b"), "edges")
     state = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumns({"done": F.lit(False), "de": F.lit(None).cast("string")})
-    for step in range(10_000):
+    for step in count():  # the smallest undecided node is always decided, so this ends
         state = _keep(state, f"round-{step}")
         open_ = state.filter("not done")
         if open_.isEmpty():

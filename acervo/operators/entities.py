@@ -50,36 +50,41 @@ def _sha(text: Column, size: int) -> Column:
     return F.substring(F.sha1(text.cast("binary")), 1, size)
 
 
-def person(name: Column, cpf: Column, rg: Column) -> Column:
-    """ENT-4: a person's row; a valid cpf or name and rg merge documents, a name alone never does."""
-    d, n, r = X.digits(cpf), norm(name), F.trim(F.coalesce(rg, F.lit("")))
-    code = F.coalesce(F.nullif(X.digits(rg), F.lit("")), F.upper(r))
-    row = lambda i, c, g, open_: F.struct(i.alias("id"), n.alias("nome"), c.alias("cpf"), g.alias("rg"), F.lit("").alias("cnpj"), F.lit(open_).alias("incompleta"), F.lit("PF").alias("tipo"))
-    none = F.lit("")
-    found = F.when(X.valid_cpf(d), row(F.concat(F.lit("PF_"), d), d, r, False)).when(r != "", row(F.concat(F.lit("PF_RGNM_"), _sha(F.concat(n, F.lit("|"), code), 16)), none, code, False))
-    found = found.otherwise(row(F.concat(F.lit("PF_PROV_"), F.substring("md5", 1, 16), F.lit("_"), _sha(n, 8)), none, none, True))
-    return F.when((d != "") | (r != "") | X.present(name), found)
+def party() -> Column:
+    """ENT-4, ENT-5: the row of a person or a company, of prepared columns (pj, n, d, r, code, valid).
 
-
-def company(name: Column, cnpj: Column) -> Column:
-    """ENT-5."""
-    d, n = X.digits(cnpj), norm(name)
-    row = lambda i, c, open_: F.struct(i.alias("id"), n.alias("nome"), F.lit("").alias("cpf"), F.lit("").alias("rg"), c.alias("cnpj"), F.lit(open_).alias("incompleta"), F.lit("PJ").alias("tipo"))
-    return F.when(X.valid_cnpj(d), row(F.concat(F.lit("PJ_"), d), d, False)).otherwise(row(F.concat(F.lit("PJ_PROV_"), F.substring("md5", 1, 16), F.lit("_"), _sha(n, 8)), F.lit(""), True))
+    A valid cpf or cnpj, or a person's name and rg, merge documents; a name alone never does.
+    """
+    none, n, d = F.lit(""), F.col("n"), F.col("d")
+    row = lambda i, cpf, rg, cnpj, open_, kind: F.struct(i.alias("id"), n.alias("nome"), cpf.alias("cpf"), rg.alias("rg"), cnpj.alias("cnpj"), F.lit(open_).alias("incompleta"), F.lit(kind).alias("tipo"))
+    alone = lambda kind: F.concat(F.lit(f"{kind}_PROV_"), F.substring("md5", 1, 16), F.lit("_"), _sha(n, 8))
+    firm = F.when(F.col("valid"), row(F.concat(F.lit("PJ_"), d), none, none, d, False, "PJ")).otherwise(row(alone("PJ"), none, none, none, True, "PJ"))
+    human = F.when(F.col("valid"), row(F.concat(F.lit("PF_"), d), d, F.col("r"), none, False, "PF")).when(F.col("r") != "", row(F.concat(F.lit("PF_RGNM_"), _sha(F.concat(n, F.lit("|"), F.col("code")), 16)), none, F.col("code"), none, False, "PF"))
+    human = human.otherwise(row(alone("PF"), none, none, none, True, "PF"))
+    return F.when(F.col("pj"), firm).otherwise(human)
 
 
 def roles(df: DataFrame) -> DataFrame:
-    """ENT-6: one row per party of a document: md5, pos, papel and the party's fields."""
+    """ENT-6: one row per party of a document: md5, pos, papel and the party's fields.
+
+    Parties are taken apart as they stand, and each is then put into form once.
+    """
     none = F.lit(None).cast("string")
     field = lambda c: F.col(c) if c in df.columns else none
-    own = F.when(X.present("beneficiario"), person(F.col("beneficiario"), F.col("cpf"), F.col("rg"))).when(X.present(field("razao_social")), company(field("razao_social"), F.col("cnpj")))
-    payer = field("fonte_pagadora")
-    paid = F.when(X.present(payer), F.when(X.valid_cnpj(field("cnpj_fonte_pagadora")), company(payer, field("cnpj_fonte_pagadora"))).otherwise(person(payer, none, none)))
-    simple = [(p, F.when(X.present(v), person(v, none, none))) for p, v in (("emitente", F.coalesce(field("emitente"), extra("emitente"))), ("vendedor", field("vendedor")), ("comprador", field("comprador")), ("proprietario_anterior", field("proprietario_anterior")))]
-    parties = [("titular", own), ("fonte_pagadora", paid), *simple]
-    listed = F.transform(F.filter(F.coalesce(F.from_json(extra("nomes_detectados"), "array<string>"), F.array().cast("array<string>")), lambda x: X.present(x) & (norm(x) != norm("beneficiario"))), lambda x: F.struct(F.lit(9).alias("pos"), F.lit("listado").alias("papel"), person(x, none, none).alias("e")))
-    every = F.concat(F.array(*[F.struct(F.lit(i).alias("pos"), F.lit(p).alias("papel"), e.alias("e")) for i, (p, e) in enumerate(parties)]), listed)
-    return df.select("md5", F.explode(every).alias("x")).select("md5", "x.pos", "x.papel", "x.e.*").filter("id is not null")
+    raw = lambda pos, papel, yes, name, number=none, rg=none, pj=F.lit(False): F.when(yes, F.struct(F.lit(pos).alias("pos"), F.lit(papel).alias("papel"), name.alias("nome"), number.alias("numero"), rg.alias("rg"), pj.alias("pj")))
+    holder, payer = X.present("beneficiario"), field("fonte_pagadora")
+    own = F.coalesce(raw(0, "titular", holder, F.col("beneficiario"), F.col("cpf"), F.col("rg")), raw(0, "titular", X.present(field("razao_social")), field("razao_social"), F.col("cnpj"), none, F.lit(True)))
+    firm = F.coalesce(X.valid_cnpj(field("cnpj_fonte_pagadora")), F.lit(False))
+    paid = raw(1, "fonte_pagadora", X.present(payer), payer, F.when(firm, field("cnpj_fonte_pagadora")), none, firm)
+    simple = [("emitente", F.coalesce(field("emitente"), extra("emitente"))), ("vendedor", field("vendedor")), ("comprador", field("comprador")), ("proprietario_anterior", field("proprietario_anterior"))]
+    listed = F.transform(F.filter(F.coalesce(F.from_json(extra("nomes_detectados"), "array<string>"), F.array().cast("array<string>")), lambda x: X.present(x)), lambda x: raw(9, "listado", F.lit(True), x))
+    every = F.concat(F.array(own, paid, *[raw(2 + i, p, X.present(v), v) for i, (p, v) in enumerate(simple)]), listed)
+    parties = df.select("md5", "beneficiario", F.explode(F.filter(every, lambda x: x.isNotNull())).alias("x")).select("md5", "beneficiario", "x.*")
+    parties = parties.filter((F.col("papel") != "listado") | (norm("nome") != norm("beneficiario")))
+    # in steps, so that no expression is written out more than once
+    ready = parties.select("md5", "pos", "papel", "pj", norm("nome").alias("n"), X.digits("numero").alias("d"), F.trim(F.coalesce("rg", F.lit(""))).alias("r"), X.digits("rg").alias("rd"))
+    ready = ready.select("*", F.coalesce(F.nullif("rd", F.lit("")), F.upper("r")).alias("code"), F.when(F.col("pj"), X.valid_cnpj("d")).otherwise(X.valid_cpf("d")).alias("valid"))
+    return ready.select("md5", "pos", "papel", party().alias("e")).select("md5", "pos", "papel", "e.*")
 
 
 def links(df: DataFrame) -> DataFrame:

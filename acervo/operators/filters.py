@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from acervo.functions import classes as C
 from acervo.functions import text as X
+from acervo.sources.tables import written
 
 UNTYPED = "Não identificado"
 #: Class names that say nothing (fixed values).
@@ -123,18 +124,23 @@ def facet_filter(df: DataFrame, selections: dict[str, list[str]], exclude: str |
 def facet_counts(df: DataFrame, selections: dict[str, list[str]]) -> DataFrame:
     """AGG-23: documents per facet value under all the other facets' filters; selected values stay with 0.
 
-    One scan: every row is stacked as (facet, value) with whether it passes the others.
+    One scan: rows that agree in what the facets are made of are counted first, so the
+    cascades run once for each kind of row; the kinds are written, as their values serve every facet.
     """
     values = facets()
-    rows = with_types(df).select(*[v.alias(f) for f, v in values.items()])
+    made_of = ["faculdade", "natureza_curso", "todos_tipos", "dominio", "cnpj"]
+    row = with_types(df).withColumns({"cnpj": F.when(X.present("cnpj"), F.lit("x")), "_status": values["status"], "_formato": values["formato"]})
+    kinds = row.groupBy(*made_of, "_status", "_formato").agg(F.count("*").alias("n"))
+    done = {"status": F.col("_status"), "formato": F.col("_formato")}
+    rows = written(kinds.select("n", *[done.get(f, v).alias(f) for f, v in values.items()]), "facets")
     own = {f: F.col(f) for f in values}
 
     def stack(facet: str) -> Column:
         ok = passes(own, selections, facet)
-        return F.transform(F.array_distinct(facet), lambda v: F.struct(F.lit(facet).alias("faceta"), v.alias("valor"), ok.alias("ok")))
+        return F.transform(F.array_distinct(facet), lambda v: F.struct(F.lit(facet).alias("faceta"), v.alias("valor"), F.when(ok, F.col("n")).otherwise(0).alias("n")))
 
     stacked = F.flatten(F.array(*[stack(f) for f in values]))
-    counted = rows.select(F.explode(stacked).alias("x")).groupBy("x.faceta", "x.valor").agg(F.count_if("x.ok").alias("documentos"))
+    counted = rows.select(F.explode(stacked).alias("x")).groupBy("x.faceta", "x.valor").agg(F.sum("x.n").alias("documentos"))
     chosen = df.sparkSession.createDataFrame([(f, v) for f, vs in selections.items() for v in vs] or [("", "")], "faceta string, valor string")
     kept = counted.join(F.broadcast(chosen.withColumn("chosen", F.lit(True))), ["faceta", "valor"], "left").filter("documentos > 0 or chosen").drop("chosen")
     missing = F.broadcast(chosen.filter("faceta != ''")).join(counted.select("faceta", "valor"), ["faceta", "valor"], "left_anti").withColumn("documentos", F.lit(0).cast("long"))

@@ -6,6 +6,7 @@ import re
 import unicodedata
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +14,7 @@ from acervo.functions import text as X
 
 TOKEN = r"[\p{L}\p{N}]+"
 K1, B = 1.2, 0.75
+POSTINGS = pa.schema([("term", pa.string()), ("md5", pa.string()), ("field", pa.string()), ("doc_len", pa.int32()), ("tf", pa.int64()), ("positions", pa.list_(pa.int32()))])
 
 
 def tokens(text: Column | str) -> Column:
@@ -20,11 +22,31 @@ def tokens(text: Column | str) -> Column:
 
 
 def build_index(docs: DataFrame, fields: list[str]) -> DataFrame:
-    """FTS-1: postings (term, md5, field, tf, positions, doc_len)."""
-    each = F.array(*[F.struct(F.lit(f).alias("field"), tokens(f).alias("words")) for f in fields])
-    size = F.aggregate(each, F.lit(0), lambda n, x: n + F.size(x["words"]))
-    rows = docs.select("md5", size.alias("doc_len"), F.explode(each).alias("f")).select("md5", "doc_len", "f.field", F.posexplode("f.words").alias("pos", "term"))
-    return rows.groupBy("term", "md5", "field", "doc_len").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
+    """FTS-1: postings (term, md5, field, doc_len, tf, positions).
+
+    A document's postings are made inside its row, so nothing is shuffled to build them.
+    """
+
+    def postings(batches):
+        for batch in batches:
+            out = {c: [] for c in ("term", "md5", "field", "doc_len", "tf", "positions")}
+            for md5, *lists in zip(*(c.to_pylist() for c in batch.columns)):
+                size = sum(len(x or ()) for x in lists)
+                for field, words in zip(fields, lists):
+                    places: dict[str, list[int]] = {}
+                    for i, w in enumerate(words or ()):
+                        places.setdefault(w, []).append(i)
+                    n = len(places)
+                    for c, values in zip(out, (places, [md5] * n, [field] * n, [size] * n, map(len, places.values()), places.values())):
+                        out[c].extend(values)
+            yield pa.RecordBatch.from_pydict(out, schema=POSTINGS)
+
+    return docs.select("md5", *[tokens(f).alias(f"w{i}") for i, f in enumerate(fields)]).mapInArrow(postings, "term string, md5 string, field string, doc_len int, tf long, positions array<int>")
+
+
+def stored_order(postings: DataFrame) -> DataFrame:
+    """Postings as they are best written: by ranges of terms, sorted, so that a search reads the row groups of its terms."""
+    return postings.repartitionByRange("term").sortWithinPartitions("term", "md5")
 
 
 def sizes(docs: DataFrame, fields: list[str]) -> DataFrame:
@@ -57,7 +79,7 @@ def parse(query: str) -> list[tuple[str, str, list[str]]]:
 def _hits(postings: DataFrame, kind: str, words: list[str], n: int) -> DataFrame:
     """(md5, tf) of one part of a query, tagged n."""
     if kind == "phrase" and len(words) > 1:
-        at = reduce(lambda a, b: a.join(b, ["md5", "field", "start"]), [postings.filter(F.col("term") == w).select("md5", "field", "doc_len" if i == 0 else F.lit(0).alias(f"_{i}"), F.explode(_shifted(i)).alias("start")) for i, w in enumerate(words)])
+        at = reduce(lambda a, b: a.join(b.hint("merge"), ["md5", "field", "start"]), [postings.filter(F.col("term") == w).select("md5", "field", "doc_len" if i == 0 else F.lit(0).alias(f"_{i}"), F.explode(_shifted(i)).alias("start")) for i, w in enumerate(words)])
         return at.groupBy("md5").agg(F.count("*").alias("tf"), F.max("doc_len").alias("doc_len")).withColumn("part", F.lit(n))
     test = F.col("term").startswith(words[0]) if kind == "prefix" else F.col("term") == words[0]
     return postings.filter(test).groupBy("md5").agg(F.sum("tf").alias("tf"), F.max("doc_len").alias("doc_len")).withColumn("part", F.lit(n))

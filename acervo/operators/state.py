@@ -187,3 +187,37 @@ def compare_pairs(pairs: DataFrame, registry: DataFrame, fields: list[str]) -> D
     row = lambda c: F.struct(F.lit(c).alias("campo"), F.col(f"canonico.{c}").alias("a"), F.col(f"duplicata.{c}").alias("b"))
     verdict = F.when(X.blank("x.a") | X.blank("x.b"), "nao_comparavel").when(F.lower(F.trim("x.a")) == F.lower(F.trim("x.b")), "igual").otherwise("difere")
     return both.select("canonico_md5", "duplicata_md5", F.explode(F.array(*[row(c) for c in fields])).alias("x")).select("canonico_md5", "duplicata_md5", "x.campo", verdict.alias("resultado"))
+
+
+def save_reviewed(registry: DataFrame, rules: DataFrame, changes: DataFrame, pages: DataFrame, at: str) -> tuple[DataFrame, DataFrame]:
+    """ST-10: the registry with reviewed rows saved and approved, and the rules with those learned from their pages (md5, tipo, texto)."""
+    from acervo.operators.classify import learn_rules
+
+    saved = set_review(upsert(registry, changes), changes, "aprovado", at=at)
+    learned = learn_rules(pages.join(changes.select("md5").distinct().hint("shuffle_hash"), "md5", "left_semi"))
+    return saved, upsert_rules(rules, learned)
+
+
+def reclassify(registry: DataFrame, pages: DataFrame, changes: DataFrame) -> DataFrame:
+    """ST-11: registry rows after page changes (md5, pagina, tipo): main class, domain, classes and page list rebuilt.
+
+    A document without pages first gets a list up to its last changed one: its main class on
+    page 1, "Página n" on the others.  A change of page 1 also sets the main class.  Classes
+    leave out "Página ..."; domains come from the classes.
+    """
+    touched = changes.groupBy("md5").agg(F.max("pagina").alias("last"))
+    own = pages.select("md5", "pagina", "tipo").join(touched.select("md5").hint("shuffle_hash"), "md5", "left_semi")
+    bare = touched.join(pages.select("md5").distinct().hint("shuffle_hash"), "md5", "left_anti").join(registry.select("md5", "tipo_documento").hint("shuffle_hash"), "md5")
+    first = bare.select("md5", "tipo_documento", F.explode(F.sequence(F.lit(1), F.col("last").cast("int"))).alias("pagina"))
+    initial = first.select("md5", "pagina", F.when(F.col("pagina") == 1, F.coalesce("tipo_documento", F.lit("Página 1"))).otherwise(F.concat(F.lit("Página "), "pagina")).alias("tipo"))
+    new = changes.select("md5", "pagina", F.col("tipo").alias("_novo"))
+    rows = own.unionByName(initial).join(new.hint("shuffle_hash"), ["md5", "pagina"], "left").select("md5", "pagina", F.coalesce("_novo", "tipo").alias("tipo"))
+    # a document's pages are a bounded list, as in its own row
+    listed = rows.groupBy("md5").agg(F.array_sort(F.collect_list(F.struct("pagina", "tipo"))).alias("_paginas"))
+    lead = changes.filter("pagina = 1").select("md5", F.col("tipo").alias("_lead"))
+    out = registry.join(listed.hint("shuffle_hash"), "md5", "left").join(lead.hint("shuffle_hash"), "md5", "left")
+    kinds = F.array_distinct(F.filter(F.transform("_paginas", lambda p: p["tipo"]), lambda t: t.isNotNull() & ~t.startswith("Página ")))
+    main = F.coalesce("_lead", "tipo_documento")
+    out = out.withColumns({"tipo_documento": main, "dossie_paginas": F.col("_paginas"), "todos_tipos": F.when(F.col("_paginas").isNotNull(), kinds).otherwise(F.array())})
+    domains = F.when(F.col("_paginas").isNotNull(), C.recalculated_domains("dominio", "todos_tipos"))
+    return out.withColumn("todos_dominios", domains).drop("_paginas", "_lead")

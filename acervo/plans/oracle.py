@@ -272,14 +272,14 @@ SQL |= {
 SELECT coalesce(o.md5, n.md5) AS md5, coalesce(n.nome_arquivo, o.nome_arquivo) AS nome_arquivo, CASE WHEN n.md5 IS NULL THEN o.tipo_documento ELSE n.tipo_documento END AS tipo_documento, coalesce(n.beneficiario, o.beneficiario) AS beneficiario, coalesce(n.cpf, o.cpf) AS cpf, coalesce(n.valor_monetario, o.valor_monetario) AS valor_monetario, coalesce(n.faculdade, o.faculdade) AS faculdade, coalesce(n.status, o.status) AS status, CASE WHEN n.md5 IS NULL THEN o.status_conferencia ELSE n.status_conferencia END AS status_conferencia FROM o FULL JOIN n ON o.md5 = n.md5""",
     "review_update": REG + "SELECT md5, nome_arquivo, tipo_documento, beneficiario, cpf, valor_monetario, faculdade, status, CASE WHEN substr(md5, 1, 2) < '20' THEN 'aprovado' ELSE status_conferencia END AS status_conferencia FROM e",
     "bulk_retag": REG + "SELECT md5, CASE WHEN substr(md5, 1, 2) < '20' THEN 'Diploma' ELSE tipo_documento END AS tipo_documento, CASE WHEN substr(md5, 1, 2) < '20' THEN 'academico' ELSE dominio END AS dominio, CASE WHEN substr(md5, 1, 2) < '20' THEN 'Faculdade Nova (ABC)' ELSE faculdade END AS faculdade FROM e",
-    "preserved_review": REG + f"SELECT md5, status_conferencia FROM e WHERE {_S1} >= '8'",
+    "preserved_review": REG + "SELECT md5, status_conferencia FROM e",
     "unified_registry": REG + f"SELECT md5, coalesce({INSTITUTION}, faculdade) AS faculdade FROM e",
-    "registry_reconcile": REG + f"SELECT md5, nome_arquivo, tipo_documento, beneficiario, cpf, valor_monetario, faculdade, status, status_conferencia FROM e WHERE {_S1} < '7'",
-    "placeholders": REG + f"SELECT md5, nome_arquivo, 'academico' AS dominio, 'nao_processado' AS status, 'pendente' AS status_conferencia FROM e WHERE {_S1} >= 'a'",
+    "registry_reconcile": REG + f"SELECT md5, nome_arquivo, tipo_documento, beneficiario, cpf, valor_monetario, faculdade, status, status_conferencia FROM e",
+    "placeholders": REG + "SELECT md5, coalesce(tipo_documento, 'sem nome') || '.pdf' AS nome_arquivo, CASE WHEN tipo_documento IN ('Comprovante PIX', 'Recibo', 'Boleto Bancário') THEN 'financeiro' ELSE 'academico' END AS dominio, 'nao_processado' AS status, 'pendente' AS status_conferencia FROM e WHERE NOT eh_nativo_digital",
     "type_removed": TYP + f"SELECT md5, {_NEWMAIN} AS tipo_documento, CASE WHEN dominio = 'financeiro' AND NOT {_IS_FIN} THEN {RULE_DOMAIN.format(f'lower(coalesce({_NEWMAIN}, chr(0)))')} ELSE dominio END AS dominio, array_to_string({_NEWTYPES}, '|') AS tipos FROM t",
     "pix_removed": TYP + f"SELECT md5, {_PIXMAIN} AS tipo_documento, {RULE_DOMAIN.format(f'lower(coalesce({_PIXMAIN}, chr(0)))')} AS dominio FROM t",
     "type_added": TYP + "SELECT md5, array_to_string(CASE WHEN list_contains(tipos, 'RG') THEN tipos ELSE list_append(tipos, 'RG') END, '|') AS tipos FROM t",
-    "duplicate_fields": REG + ", p AS (SELECT a.md5 AS canonico_md5, b.md5 AS duplicata_md5, a, b FROM e b JOIN e a ON a.md5 = b.duplicata_de) " + " UNION ALL ".join(f"SELECT canonico_md5, duplicata_md5, '{c}' AS campo, CASE WHEN a.{c} IS NULL OR b.{c} IS NULL THEN 'nao_comparavel' WHEN lower(a.{c}) = lower(b.{c}) THEN 'igual' ELSE 'difere' END AS resultado FROM p" for c in ("tipo_documento", "cpf", "beneficiario", "curso")),
+    "duplicate_fields": REG + ", p AS (SELECT a.md5 AS canonico_md5, b.md5 AS duplicata_md5, a, b FROM e b JOIN e a ON a.md5 = b.duplicata_de) " + " UNION ALL ".join(f"SELECT canonico_md5, duplicata_md5, '{c}' AS campo, CASE WHEN a.{c} IS NULL OR b.{c} IS NULL THEN 'nao_comparavel' WHEN lower(a.{c}) = lower(b.{c}) THEN 'igual' ELSE 'difere' END AS resultado FROM p" for c in ("tipo_documento", "dominio", "cpf", "rg", "cnpj", "beneficiario", "curso", "natureza_curso", "carga_horaria", "faculdade", "valor_monetario", "data")),
     "contract_carry": PAG + "SELECT md5, pagina, CASE WHEN tipo IS NULL AND contains(texto, 'contrato') THEN last_value(CASE WHEN tipo = 'Contrato de Compra e Venda' THEN tipo END IGNORE NULLS) OVER (PARTITION BY md5 ORDER BY pagina ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) ELSE tipo END AS tipo FROM pag",
     "return_merge": PAG + f"SELECT md5, pagina, CASE WHEN tipo = '{P.RETURN}' AND max((tipo = '{P.RECEIPT}')::INT) OVER (PARTITION BY md5) = 1 THEN '{P.RECEIPT}' ELSE tipo END AS tipo FROM pag",
     "holder_by_priority": PAG + "SELECT md5, " + ", ".join(f"arg_min({f}, ({r}) * 100000 + pagina) FILTER ({f} IS NOT NULL AND ({r}) IS NOT NULL) AS {f}" for f, r in _RANKS.items()) + " FROM pag GROUP BY 1",
@@ -369,3 +369,40 @@ SQL |= {
     "form_all_names": form("upper(nome) || '|' || nome || '|Zeca Dias' AS nomes"),
     "form_fields": form(f"CASE WHEN substr(md5, 1, 1) < '8' THEN cpf ELSE {of(CPFS, 'x').removesuffix(' AS x')} END AS cpf, {of(CNPJS, 'cnpj')}, {of(RGS, 'rg')}, {of({8: 'curso'}, 'curso')}, {of(MONEY, 'valor_monetario')}, {of({9: 'e2e'}, 'pix_e2e_id')}, coalesce({of(NAMES, 'x').removesuffix(' AS x')}, '') AS nomes_detectados"),
 }
+
+RULES = "WITH r AS (SELECT item_id AS id, array_to_string(string_split(text, ' ')[1:5], ' ') AS t, 'Prova' AS v FROM benchmark UNION ALL VALUES (1001, 'the', 'Inglês'), (1002, 'und', 'Alemão'), (1003, 'idiot', 'Ofensa'))\n"
+# lines of a text, the runs of equal ones, and the most frequent one
+LOOPS = """WITH d AS (SELECT md5(doc_id::VARCHAR) AS md5, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+l AS (SELECT md5, generate_subscripts(l, 1) AS i, lower(trim(unnest(l))) AS x FROM d),
+m AS (SELECT md5, i, x, sum(CASE WHEN x = before AND length(x) > 3 THEN 0 ELSE 1 END) OVER (PARTITION BY md5 ORDER BY i) AS run FROM (SELECT *, lag(x) OVER (PARTITION BY md5 ORDER BY i) AS before FROM l)),
+runs AS (SELECT md5, max(n) AS linhas FROM (SELECT md5, run, count(*) AS n FROM m GROUP BY 1, 2) GROUP BY 1)
+"""
+
+SQL |= {
+    "everything": REG + "SELECT md5, status FROM e WHERE coalesce(status, '') <> 'nao_processado'",
+    "recalculated_domains": TYP + f"SELECT md5, array_to_string([x for x, i in own if list_position(own, x) = i], '|') AS dominios FROM (SELECT t.md5, [coalesce(nullif(trim(e.dominio), ''), 'academico')] || [{RULE_DOMAIN.format('lower(x)')} for x in tipos] AS own FROM t JOIN e USING (md5))",
+    "listified": TYP + "SELECT md5, array_to_string(tipos, ', ') AS todos_tipos FROM t",
+    "restricted": REG + "SELECT md5, tipo_documento FROM e WHERE md5 IN (SELECT coalesce(duplicata_de, md5) FROM e WHERE tipo_documento = 'RG')",
+    "flags_updated": REG + "SELECT md5, CASE WHEN tipo_documento = 'RG' THEN NOT eh_nativo_digital ELSE eh_nativo_digital END AS eh_nativo_digital, tem_assinatura_digital FROM e",
+    "duplicates_marked": REG + "SELECT md5, CASE WHEN tipo_documento = 'CPF' THEN md5(md5) ELSE duplicata_de END AS duplicata_de FROM e",
+    "duplicates_confirmed": REG + "SELECT md5, CASE WHEN duplicata_de IS NULL THEN status_conferencia ELSE 'duplicado' END AS status_conferencia, duplicata_de FROM e",
+    "duplicates_discarded": REG + "SELECT md5, status_conferencia, CASE WHEN eh_nativo_digital THEN NULL ELSE duplicata_de END AS duplicata_de FROM e",
+    "primary_type_set": REG + "SELECT md5, CASE WHEN tipo_documento = 'RG' THEN 'Boleto Bancário' ELSE tipo_documento END AS tipo_documento, CASE WHEN tipo_documento = 'RG' THEN 'financeiro' ELSE dominio END AS dominio FROM e",
+    "file_attrs_filled": REG + "SELECT md5, nome_arquivo, coalesce(extensao, '.bin') AS extensao FROM e",
+    "approved_type": REG + "SELECT md5, CASE WHEN tipo_documento = 'RG' THEN 'CNH' ELSE tipo_documento END AS tipo_documento, CASE WHEN tipo_documento = 'RG' THEN 'aprovado' ELSE status_conferencia END AS status_conferencia FROM e",
+    "rules_upserted": RULES + """, b AS (SELECT CASE WHEN id % 2 = 0 THEN lower(t) ELSE lower(t) || ' novo' END AS t, min(id) AS id FROM r GROUP BY 1)
+SELECT r.id, lower(r.t) AS termo_chave, CASE WHEN b.t IS NULL THEN r.v ELSE 'Outro' END AS valor_atribuido FROM r LEFT JOIN b ON lower(r.t) = b.t
+UNION ALL SELECT (SELECT max(id) FROM r) + row_number() OVER (ORDER BY x.t || ' novo'), lower(x.t) || ' novo', 'Outro' FROM r x WHERE x.id % 2 = 1 AND lower(x.t) || ' novo' NOT IN (SELECT lower(t) FROM r)""",
+    "rules_newest_first": RULES + "SELECT id, t AS termo_chave FROM r WHERE id <> 1002",
+    "rules_learned": "VALUES ('diploma', 'Diploma', 'academico', true), ('recibo', 'Recibo', 'financeiro', false), ('recebi de', 'Recibo', 'financeiro', false), ('nota promissória', 'Nota Promissória', 'financeiro', false)".replace("VALUES", "SELECT * FROM (VALUES") + ") t(termo_chave, valor_atribuido, dominio, remover_pix)",
+    "index_updated": IDX.replace("text", "CASE WHEN doc_id % 3 = 0 THEN 'termo inédito ' || coalesce(text, '') ELSE text END", 1) + "SELECT term, count(DISTINCT md5) AS df, count(*) AS cf FROM post GROUP BY 1",
+    "pages_reclassified": REG + f""", pag AS MATERIALIZED ({PAGES_SQL}), c AS (SELECT md5, pagina FROM pag WHERE tipo = 'RG' AND pagina <= 2),
+known AS (SELECT md5, pagina, tipo FROM pag WHERE substr(md5, 1, 1) < '8' AND md5 IN (SELECT md5 FROM c)),
+blank AS (SELECT md5, p AS pagina, CASE WHEN p = 1 THEN coalesce(tipo_documento, 'Página 1') ELSE 'Página ' || p END AS tipo FROM (SELECT md5, unnest(range(1, max(pagina) + 1)) AS p FROM c WHERE substr(md5, 1, 1) >= '8' GROUP BY md5) JOIN e USING (md5)),
+done AS (SELECT r.md5, r.pagina, CASE WHEN c.md5 IS NULL THEN tipo ELSE 'Diploma' END AS tipo FROM (FROM known UNION ALL FROM blank) r LEFT JOIN c ON c.md5 = r.md5 AND c.pagina = r.pagina),
+lists AS (SELECT md5, string_agg(concat_ws('=', pagina, tipo), '|' ORDER BY pagina) AS paginas, list(tipo ORDER BY pagina) FILTER (tipo IS NOT NULL AND NOT starts_with(tipo, 'Página ')) AS ts FROM done GROUP BY 1)
+SELECT e.md5, CASE WHEN e.md5 IN (SELECT md5 FROM c WHERE pagina = 1) THEN 'Diploma' ELSE tipo_documento END AS tipo_documento, paginas, coalesce(array_to_string([x for x, i in ts if list_position(ts, x) = i], '|'), '') AS tipos FROM e LEFT JOIN lists USING (md5)""",
+    "pages_split": "SELECT conv_id::VARCHAR AS md5, turn AS pagina, md5(regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g')) AS texto FROM conversations",
+    "line_runs": LOOPS + "SELECT md5, linhas FROM runs",
+    "comparison_texts": "SELECT md5(doc_id::VARCHAR) AS md5, md5(CASE WHEN doc_id % 3 < 2 AND trim(coalesce(text, '')) <> '' THEN trim(text) ELSE 'texto_' || doc_id || '.txt' END) AS texto FROM documents",
+}

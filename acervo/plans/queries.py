@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from acervo import adapter
@@ -107,6 +107,7 @@ QUERIES |= {
 }
 
 KEEPING = ["beneficiario", "cpf", "valor_monetario", "faculdade"]
+COMPARED = ["tipo_documento", "dominio", "cpf", "rg", "cnpj", "beneficiario", "curso", "natureza_curso", "carga_horaria", "faculdade", "valor_monetario", "data"]
 CHANGED = ["md5", "nome_arquivo", "tipo_documento", "beneficiario", "cpf", "valor_monetario", "faculdade", "status", "status_conferencia"]
 
 
@@ -147,14 +148,14 @@ QUERIES |= {
         "upsert_merge": lambda d: R.upsert(_part(d.select(CHANGED), "0123456789ab"), _batch(d), KEEPING),
         "review_update": lambda d: R.set_review(d.select(CHANGED), _some(d), "aprovado"),
         "bulk_retag": lambda d: R.retag(d, _some(d), tipo="Diploma", dominio="academico", faculdade="ABC - faculdade nova").select("md5", "tipo_documento", "dominio", "faculdade"),
-        "preserved_review": lambda d: R.preserve_review(_batch(d).drop("status_conferencia"), d).select("md5", "status_conferencia"),
+        "preserved_review": lambda d: R.preserve_review(d.select(CHANGED).drop("status_conferencia"), d).select("md5", "status_conferencia"),
         "unified_registry": lambda d: R.unify_institutions(d).select("md5", "faculdade"),
-        "registry_reconcile": lambda d: R.reconcile(_part(d.select(CHANGED), "0123"), _part(d.select(CHANGED), "23456")),
-        "placeholders": lambda d: R.placeholders(d.select("md5", "nome_arquivo"), _part(d, "0123456789")),
+        "registry_reconcile": lambda d: R.reconcile(_part(d.select(CHANGED), "0123456789"), _part(d.select(CHANGED), "789abcdef")),
+        "placeholders": lambda d: R.placeholders(d.select("md5", F.concat(F.coalesce("tipo_documento", F.lit("sem nome")), F.lit(".pdf")).alias("nome_arquivo")), d.filter("eh_nativo_digital")),
         "type_removed": lambda d: L.with_types(d).withColumns(R.remove_type("Recibo")).select("md5", "tipo_documento", "dominio", F.array_join("todos_tipos", "|").alias("tipos")),
         "pix_removed": lambda d: R.remove_pix(L.with_types(d)).select("md5", "tipo_documento", "dominio"),
         "type_added": lambda d: L.with_types(d).select("md5", F.array_join(R.add_type("RG"), "|").alias("tipos")),
-        "duplicate_fields": lambda d: R.compare_pairs(d.filter("duplicata_de is not null").select(F.col("duplicata_de").alias("canonico_md5"), F.col("md5").alias("duplicata_md5")), d, ["tipo_documento", "cpf", "beneficiario", "curso"]),
+        "duplicate_fields": lambda d: R.compare_pairs(d.filter("duplicata_de is not null").select(F.col("duplicata_de").alias("canonico_md5"), F.col("md5").alias("duplicata_md5")), d, COMPARED),
     }.items()
 } | {
     name: over(adapter.pages, f)
@@ -170,7 +171,7 @@ QUERIES |= {
 
 
 def texts_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kept(spark, f"postings {sf_dir}", lambda: S.build_index(adapter.texts(spark, sf_dir), ["texto"]))
+    return kept(spark, "postings", sf_dir, lambda: S.stored_order(S.build_index(adapter.texts(spark, sf_dir), ["texto"])))
 
 
 def text_search(query: str) -> Query:
@@ -259,3 +260,62 @@ QUERIES |= {
         "form_fields": lambda d: K.extract_fields(d.select("md5", "texto", F.when(F.substring("md5", 1, 1) < "8", F.col("cpf")).otherwise("111.111.111-11").alias("cpf"), F.lit("  ").alias("curso"))).select("md5", "cpf", "cnpj", "rg", "curso", "valor_monetario", "pix_e2e_id", F.array_join("nomes_detectados", "|").alias("nomes_detectados")),
     }.items()
 }
+
+
+def taught(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return learned_rules(spark, sf_dir).withColumn("campo_alvo", F.lit("tipo_documento"))
+
+
+def updated_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = adapter.texts(spark, sf_dir)
+    changed = docs.filter("doc_id % 3 = 0").select("md5", F.concat(F.lit("termo inédito "), F.coalesce("texto", F.lit(""))).alias("texto"))
+    return S.update_index(texts_index(spark, sf_dir), changed, ["texto"]).groupBy("term").agg(F.countDistinct("md5").alias("df"), F.sum("tf").alias("cf"))
+
+
+def page_changes(pages: DataFrame) -> DataFrame:
+    """The first page of documents whose lines came back, and a page of documents that have none."""
+    return pages.filter("tipo = 'RG' and pagina <= 2").select("md5", "pagina", F.lit("Diploma").alias("tipo"))
+
+
+def reclassified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    registry, pages = adapter.registry(spark, sf_dir), adapter.pages(spark, sf_dir)
+    known = pages.filter("substring(md5, 1, 1) < '8'")  # the others' lists are still empty
+    out = R.reclassify(registry, known, page_changes(pages))
+    shown = F.array_join(F.transform("dossie_paginas", lambda p: F.concat_ws("=", p["pagina"].cast("string"), p["tipo"])), "|")
+    return out.select("md5", "tipo_documento", shown.alias("paginas"), F.array_join("todos_tipos", "|").alias("tipos"))
+
+
+def marked() -> Column:
+    """The turns of a conversation as one text with page marks."""
+    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: F.concat(F.lit("--- PÁGINA "), x["turn"].cast("string"), F.lit(" ---\n"), F.coalesce(x["text"], F.lit("")))), "\n")
+
+
+def lines() -> Column:
+    return F.transform(F.split(F.coalesce("texto", F.lit("")), "\n"), lambda x: F.trim(x))
+
+
+QUERIES |= {
+    name: over(adapter.registry, f)
+    for name, f in {
+        "everything": lambda d: L.everything(d, True).select("md5", "status"),
+        "recalculated_domains": lambda d: L.with_types(d).select("md5", F.array_join(C.recalculated_domains("dominio", "todos_tipos"), "|").alias("dominios")),
+        "listified": lambda d: L.listify(L.with_types(d).select("md5", "todos_tipos")),
+        "restricted": lambda d: R.restrict(d, d.filter("tipo_documento = 'RG'").select(F.coalesce("duplicata_de", "md5").alias("md5"))).select("md5", "tipo_documento"),
+        "flags_updated": lambda d: R.set_flags(d, d.filter("tipo_documento = 'RG'").select("md5", (~F.col("eh_nativo_digital")).alias("eh_nativo_digital"), F.lit(None).cast("boolean").alias("tem_assinatura_digital"))).select("md5", "eh_nativo_digital", "tem_assinatura_digital"),
+        "duplicates_marked": lambda d: R.mark_duplicates(d, d.filter("tipo_documento = 'CPF'").select(F.md5("md5").alias("canonico_md5"), F.col("md5").alias("duplicata_md5"), F.lit(0.95).alias("similaridade"))).select("md5", "duplicata_de"),
+        "duplicates_confirmed": lambda d: R.resolve_duplicates(d, d.filter("duplicata_de is not null"), True).select("md5", "status_conferencia", "duplicata_de"),
+        "duplicates_discarded": lambda d: R.resolve_duplicates(d, d.filter("duplicata_de is not null and eh_nativo_digital"), False).select("md5", "status_conferencia", "duplicata_de"),
+        "primary_type_set": lambda d: R.set_primary_type(d, d.filter("tipo_documento = 'RG'"), "Boleto Bancário").select("md5", "tipo_documento", "dominio"),
+        "file_attrs_filled": lambda d: R.fill_file_attrs(d, d.select("md5", F.concat(F.lit("novo_"), "nome_arquivo").alias("nome_arquivo"), F.lit(".bin").alias("extensao"))).select("md5", "nome_arquivo", "extensao"),
+        "approved_type": lambda d: R.save_reviewed(d.select("md5", "tipo_documento", "status_conferencia"), d.sparkSession.createDataFrame([], "id long, termo_chave string, campo_alvo string, valor_atribuido string, dominio string, remover_pix boolean, origem_md5 string"), d.filter("tipo_documento = 'RG'").select("md5", F.lit("CNH").alias("tipo_documento"), F.lit("pendente").alias("status_conferencia")), d.select("md5", F.col("tipo_documento").alias("tipo"), F.lit("").alias("texto")), "2024")[0],
+    }.items()
+} | {
+    "rules_upserted": lambda s, d: R.upsert_rules(taught(s, d), taught(s, d).select(F.when(F.col("id") % 2 == 0, F.col("termo_chave")).otherwise(F.concat("termo_chave", F.lit(" novo"))).alias("termo_chave"), "campo_alvo", F.lit("Outro").alias("valor_atribuido"), "dominio")).select("id", F.lower("termo_chave").alias("termo_chave"), "valor_atribuido"),
+    "rules_newest_first": lambda s, d: K.newest_first(R.delete_rule(taught(s, d), 1002)).select("id", "termo_chave"),
+    "rules_learned": lambda s, d: K.learn_rules(adapter.forms(s, d).select("md5", K.signature("texto")["tipo"].alias("tipo"), "texto")).filter("termo_chave in ('diploma', 'recibo', 'nota promissória', 'confere o grau', 'recebi de')").select("termo_chave", "valor_atribuido", "dominio", "remover_pix"),
+    "index_updated": updated_index,
+    "pages_reclassified": reclassified,
+    "pages_split": lambda s, d: P.split_pages(adapter.read(s, d, "conversations").groupBy(F.col("conv_id").cast("string").alias("md5")).agg(marked().alias("texto"))).select("md5", F.col("pagina").cast("long").alias("pagina"), F.md5("texto").alias("texto")),
+    "line_runs": lambda s, d: adapter.texts(s, d).select("md5", P.longest_run(lines()).cast("long").alias("linhas")),
+    "comparison_texts": lambda s, d: adapter.texts(s, d).withColumns({"a": F.when(F.col("doc_id") % 3 == 0, F.col("texto")).otherwise("  "), "b": F.when(F.col("doc_id") % 3 == 1, F.col("texto"))}).select("md5", F.md5(D.comparison_text("a", "b", "nome_arquivo")).alias("texto")),
+}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -9,21 +10,39 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
-_KEPT: dict[tuple[str, str], str] = {}
+_KEPT: dict[tuple[str, str, str], str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of our own where it is unset (tests)."""
+    """spark.checkpoint.dir; where it is unset, a folder of our own in local mode alone (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
-    if not named and app not in _OWN:
+    if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="acervo-")
-    return named or _OWN[app]
+    return _OWN[app]
 
 
-def kept(spark: SparkSession, key: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """The table make() gives, written at its first use in this application and read back from then on."""
-    at = (spark.sparkContext.applicationId, key)
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df, written once in the shared folder: cuts its lineage, and its expressions are computed once."""
+    path = f"{shared_dir(df.sparkSession)}/acervo-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def stamp(spark: SparkSession, folder: str) -> str:
+    """Names, sizes and change times in a folder: another text after any table in it was replaced."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
+    return ",".join(sorted(f"{x.getPath().getName()} {x.getLen()} {x.getModificationTime()}" for x in found))
+
+
+def kept(spark: SparkSession, name: str, folder: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table make() derives from a folder, written at its first use in this application and read back while the folder stays as it is."""
+    at = (spark.sparkContext.applicationId, name, stamp(spark, folder))
     if at not in _KEPT:
         path = f"{shared_dir(spark)}/acervo-table-{uuid.uuid4().hex}"
         make().write.parquet(path)
