@@ -2,8 +2,8 @@
 
 The index is sharded by document: each shard holds some megabytes of text, one
 row per term with the sorted token positions of that term, and one row (null
-term) with the shard's documents.  A search takes every benchmark window,
-starts from its rarest term in the shard, and intersects the offset-adjusted
+term) with the shard's documents.  A search picks the benchmark windows whose words the
+shard all has, starts each from its rarest term there, and intersects the offset-adjusted
 lists of the next terms until the phrase is found or the list is empty.
 
 Defined results: null or empty text has no words; a benchmark item without
@@ -17,6 +17,7 @@ import hashlib
 import math
 import re
 from collections import defaultdict
+from collections.abc import Iterable
 from itertools import repeat
 
 import numpy as np
@@ -33,7 +34,8 @@ from acervo.llm.common import Scratch, small_batches
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 WINDOW = 10
 SHARD_BYTES = 8 << 20
-BLOCK_CHARS = 20_000_000
+#: Benchmark text whose windows (about one for seven characters, 40 bytes each) are searched in one pass.
+BLOCK_CHARS = 4_000_000
 
 
 def words(text: str | bytes | None) -> list[bytes]:
@@ -110,9 +112,38 @@ def benchmark_windows(items: list[tuple], size: int = WINDOW) -> dict[tuple[byte
     return found
 
 
-def _shard_lists(rows: pd.DataFrame):
+class Windows:
+    """The windows of some items as rows of word numbers (-1 behind a short one), and the item of each."""
+
+    def __init__(self, items: list[tuple], size: int = WINDOW):
+        self.vocabulary: dict[bytes, int] = {}
+        self.names, codes, owner = [], [], []
+        for item, text in items:
+            own = np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words(text)], np.int32)
+            if not len(own):
+                continue
+            if len(own) < size:
+                own = np.pad(own, (0, size - len(own)), constant_values=-1)
+            codes.append(np.lib.stride_tricks.sliding_window_view(own, size))
+            owner.append(np.full(len(codes[-1]), len(self.names), np.int32))
+            self.names.append("" if item is None else str(item))
+        self.codes = np.concatenate(codes) if codes else np.zeros((0, size), np.int32)
+        self.owner = np.concatenate(owner) if owner else np.zeros(0, np.int32)
+
+    def candidates(self, known: Iterable[int], missing: int = 0) -> np.ndarray:
+        """Windows of which all but `missing` words are among the known ones."""
+        there = np.zeros(len(self.vocabulary) + 1, bool)
+        there[list(known)] = True
+        there[-1] = True
+        return np.flatnonzero((~there[self.codes]).sum(1) <= missing)
+
+    def __getitem__(self, i: int) -> tuple[int, ...]:
+        return tuple(c for c in self.codes[i].tolist() if c >= 0)
+
+
+def _shard_lists(rows: pd.DataFrame, vocabulary: dict[bytes, int]):
     head = rows[rows["term"].isna()].iloc[0]
-    lists = {bytes(t): np.cumsum(np.frombuffer(p, "<u4"), dtype=np.int64) for t, p in zip(rows["term"], rows["positions"]) if t is not None}
+    lists = {vocabulary[bytes(t)]: np.cumsum(np.frombuffer(p, "<u4"), dtype=np.int64) for t, p in zip(rows["term"], rows["positions"]) if t is not None and bytes(t) in vocabulary}
     return list(head["doc_ids"]), np.frombuffer(head["starts"], "<u4").astype(np.int64), lists
 
 
@@ -122,7 +153,7 @@ def _members(needles: np.ndarray, hay: np.ndarray) -> np.ndarray:
     return hay[at] == needles
 
 
-def phrase_starts(window: tuple[bytes, ...], lists: dict[bytes, np.ndarray]) -> np.ndarray:
+def phrase_starts(window: tuple, lists: dict) -> np.ndarray:
     """Positions at which the whole window occurs."""
     order = sorted(range(len(window)), key=lambda i: len(lists[window[i]]))
     starts = lists[window[order[0]]] - order[0]
@@ -133,14 +164,14 @@ def phrase_starts(window: tuple[bytes, ...], lists: dict[bytes, np.ndarray]) ->
     return starts
 
 
-def near_starts(window: tuple[bytes, ...], lists: dict[bytes, np.ndarray], slop: int, missing: int) -> np.ndarray:
+def near_starts(window: tuple, lists: dict, slop: int, missing: int) -> np.ndarray:
     """Positions at which all but `missing` terms stand within `slop` of their place.
 
-    One of the missing+1 rarest terms must be there, so only their lists are walked.
+    One of the missing+1 rarest terms must be there, up to `slop` from its place, so only their lists are walked.
     """
     none = np.zeros(0, np.int64)
     order = sorted(range(len(window)), key=lambda i: len(lists.get(window[i], none)))
-    starts = np.unique(np.concatenate([lists.get(window[i], none) - i for i in order[: missing + 1]]))
+    starts = np.unique(np.concatenate([lists.get(window[i], none) - i + k for i in order[: missing + 1] for k in range(-slop, slop + 1)]))
     lost = np.zeros(len(starts), np.int64)
     for n, i in enumerate(order):
         hay = lists.get(window[i], none)
@@ -155,27 +186,39 @@ def near_starts(window: tuple[bytes, ...], lists: dict[bytes, np.ndarray], slop:
     return starts
 
 
-def _search(index: DataFrame, windows: dict, slop: int | None, missing: int) -> DataFrame:
+def fits(window: tuple, lists: dict, start: int, slop: int, missing: int, low: int, high: int) -> bool:
+    """Whether all but `missing` words of a window that begins at start stand within `slop` of their place and inside [low, high)."""
+    lost = 0
+    for i, w in enumerate(window):
+        hay = lists.get(w)
+        a, b = max(start + i - slop, low), min(start + i + slop, high - 1)
+        lost += hay is None or np.searchsorted(hay, a) >= np.searchsorted(hay, b, "right")
+    return lost <= missing
+
+
+def _search(index: DataFrame, windows: Windows, slop: int | None, missing: int) -> DataFrame:
     id_type = index.schema["doc_ids"].dataType.elementType
     schema = T.StructType([T.StructField("shard", T.StringType()), T.StructField("doc_no", T.IntegerType()), T.StructField("doc_id", id_type), T.StructField("n_words", T.LongType()), T.StructField("hits", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("near_items", T.ArrayType(T.StringType()))])
-    held = index.sparkSession.sparkContext.broadcast([(w, sorted(i)) for w, i in windows.items()])
+    held = index.sparkSession.sparkContext.broadcast(windows)
 
     def search(rows: pd.DataFrame) -> pd.DataFrame:
-        ids, bounds, lists = _shard_lists(rows)
+        windows = held.value
+        ids, bounds, lists = _shard_lists(rows, windows.vocabulary)
         marks = np.zeros(bounds[-1] + 1, np.int32)
         exact, near = defaultdict(set), defaultdict(set)
-        for window, items in held.value:
-            there = sum(w in lists for w in window)
-            if there == len(window):
-                starts = phrase_starts(window, lists)
-                if len(starts):
-                    np.add.at(marks, starts, 1)
-                    np.add.at(marks, starts + len(window), -1)
-                    for d in np.unique(np.searchsorted(bounds, starts, "right") - 1):
-                        exact[d].update(items)
-            if slop is not None and there >= len(window) - missing:
-                for d in np.unique(np.searchsorted(bounds, near_starts(window, lists, slop, missing), "right") - 1):
-                    near[int(min(max(d, 0), len(ids) - 1))].update(items)
+        for i in windows.candidates(lists):
+            starts = phrase_starts(windows[i], lists)
+            if len(starts):
+                np.add.at(marks, starts, 1)
+                np.add.at(marks, starts + len(windows[i]), -1)
+                for d in np.unique(np.searchsorted(bounds, starts, "right") - 1):
+                    exact[d].add(windows.names[windows.owner[i]])
+        for i in windows.candidates(lists, missing) if slop is not None else ():
+            for at in near_starts(windows[i], lists, slop, missing):
+                # the document of the words that are there
+                for d in {int(np.searchsorted(bounds, p, "right") - 1) for c, place in zip(windows[i], range(at, at + WINDOW)) if c in lists for p in lists[c][np.searchsorted(lists[c], place - slop) : np.searchsorted(lists[c], place + slop, "right")]}:
+                    if fits(windows[i], lists, at, slop, missing, int(bounds[d]), int(bounds[d + 1])):
+                        near[d].add(windows.names[windows.owner[i]])
         covered = np.cumsum(marks) > 0
         edge = np.diff(covered.astype(np.int8), prepend=0, append=0)
         spans = defaultdict(list)
@@ -204,9 +247,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col="doc_id", tex
     part = F.pmod(F.xxhash64(*items.columns), F.lit(blocks))
     found = index = None
     for b in range(blocks):
-        windows = benchmark_windows(items.filter(part == b).collect())
+        windows = Windows(items.filter(part == b).collect())
         if index is None:
-            terms = {w for window in windows for w in window} if blocks == 1 else None
+            terms = set(windows.vocabulary) if blocks == 1 else None
             index = scratch.keep(build_index(docs, terms, id_col=id_col, text_col=text_col), "index")
         hit = _search(index, windows, slop, missing)
         found = hit if found is None else found.unionByName(hit)
@@ -248,3 +291,18 @@ def brute_force(docs: list[tuple], benchmark: list[tuple], size: int = WINDOW) -
                     items |= got
         out.append((doc, len(w), len(hit), len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), bool(hit)))
     return out
+
+
+def brute_near(docs: list[tuple], benchmark: list[tuple], slop: int, missing: int, size: int = WINDOW) -> list[set[str]]:
+    """The items near each document, by trying every start; for tests."""
+    out, windows = [], benchmark_windows(benchmark, size)
+    for _, text in docs:
+        w, found = words(text), set()
+        for window, items in windows.items():
+            for start in range(-slop - len(window), len(w) + slop + len(window)):
+                lost = sum(not any(0 <= p < len(w) and w[p] == x for p in range(start + i - slop, start + i + slop + 1)) for i, x in enumerate(window))
+                if lost <= missing:
+                    found |= items
+                    break
+        out.append(found)
+    return out
