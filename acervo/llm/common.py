@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH_BYTES = 64 << 20
 _OWN_DIRS: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors can read: spark.checkpoint.dir, else one of our own (tests)."""
+    """Folder all executors can read: spark.checkpoint.dir; where it is unset, one of our own in local mode alone."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_DIRS:
         _OWN_DIRS[app] = "file://" + tempfile.mkdtemp(prefix="acervo-")
@@ -58,8 +62,12 @@ def free(df: DataFrame, *names: str) -> list[str]:
 
 
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Bound the Arrow batches handed to Python: texts may be long."""
+    """Bound the Arrow batches handed to Python, in rows and in bytes, as texts may be long.
+
+    Plans read these settings when they run, so they stay set for the session.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shuffle_parts(spark: SparkSession) -> int:

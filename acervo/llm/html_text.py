@@ -11,7 +11,8 @@ renamed at random while training, so no single tag name decides.
 
 Defined results: null or empty html has no text; without a page to learn from, the
 structural hints decide; repeated rows give repeated results; an empty table gives an
-empty result; other columns pass through.
+empty result; other columns pass through, and a text column whose name is taken ends in
+an underscore.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from acervo.llm.common import small_batches
+from acervo.llm.common import free, small_batches
 
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(script|style|template|noscript|title|svg)\b[^>]*>.*?(?:</\1\s*>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)/?>", re.S | re.I)
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*["']?([^"'>]+)""", re.I)
@@ -39,6 +40,8 @@ BOILERPLATE = frozenset("nav header footer aside form button menu ad ads advert
 CONTENT = frozenset("article main content post entry story body-text".split())
 PATH_SLOTS, WORD_SLOTS, HIDDEN = 64, 32, 16
 MAX_PAGES = 300
+#: Blocks, with the padding, that are labelled together; a longer page is labelled alone.
+CELLS = 40_000
 
 
 def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
@@ -232,13 +235,23 @@ def train(pages: DataFrame, *, html_col="html", max_pages: int = MAX_PAGES) -> L
     return Labeller().train(known) if known else None
 
 
-def texts(model: Labeller | None, pages: list[str | None], batch: int = 512) -> list[str]:
+def batches_of(sizes: list[int], cells: int = CELLS) -> Iterator[list[int]]:
+    """Indexes of the sizes over 0, smallest first, in batches that padding to the largest keeps within `cells`."""
+    own: list[int] = []
+    for i in sorted((i for i, n in enumerate(sizes) if n), key=lambda i: sizes[i]):
+        if own and (len(own) + 1) * sizes[i] > cells:
+            yield own
+            own = []
+        own.append(i)
+    if own:
+        yield own
+
+
+def texts(model: Labeller | None, pages: list[str | None]) -> list[str]:
     """Main text of each page."""
     cut = [blocks(p) for p in pages]
     out = [""] * len(pages)
-    order = sorted((i for i in range(len(cut)) if cut[i]), key=lambda i: len(cut[i]))
-    for at in range(0, len(order), batch):
-        some = order[at : at + batch]
+    for some in batches_of([len(c) for c in cut]):
         if model is None:
             for i in some:
                 out[i] = " ".join(t for path, t, _ in cut[i] if hint(path) != 0)
@@ -259,7 +272,7 @@ def extract(pages: DataFrame, model: Labeller | None, *, html_col="html", out_co
         for htmls in batches:
             yield pd.Series(texts(model, [h if isinstance(h, str) else None for h in htmls]), dtype=object)
 
-    return pages.withColumn(out_col, run(F.col(html_col).cast("string")))
+    return pages.withColumn(free(pages, out_col)[0], run(F.col(html_col).cast("string")))
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -12,7 +12,8 @@ Spans found in a deeper layer are mapped back to the code points of the original
 the characters that encode them, or to the whole stream where it was compressed.
 
 Defined results: null is the empty text and has no spans; repeated rows give
-repeated results; an empty table gives an empty result; other columns pass through.
+repeated results; an empty table gives an empty result; other columns pass through, and an added column whose
+name is taken ends in an underscore.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from acervo.llm.common import small_batches
+from acervo.llm.common import free, small_batches
 
 KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -259,7 +260,7 @@ def find_secrets(docs: DataFrame, *, text_col="text", out_col="secrets") -> Data
     def spans(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: [dict(zip(("kind", "start", "end", "path"), x)) for x in scan(t)])
 
-    return docs.withColumn(out_col, spans(F.col(text_col).cast("string")))
+    return docs.withColumn(free(docs, out_col)[0], spans(F.col(text_col).cast("string")))
 
 
 def redact(docs: DataFrame, *, text_col="text", mask="[secret]") -> DataFrame:
