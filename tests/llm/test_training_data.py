@@ -42,6 +42,11 @@ def test_decontamination(spark, hard_docs):
     assert sorted(blocks) == sorted(want)
     near = decontam.decontaminate(docs_of(spark, ["w5 w6 x w7 w8 w9 w10 w11 w12 w13 w14"]), spark.createDataFrame([(1, "w5 w6 w7 w8 w9 w10 w11 w12 w13 w14")], "item_id long, text string"), slop=1).first()
     assert (near["items"], near.near_items) == ([], ["1"])
+    bent = ["w5 w6 w7 w8 w9 x w10 w11 w12 w13 w14 y", "w6 w5 w7 w8 w9 w10 w11 w12 w14 w13", "w0 w1 w5 w7", "w6 w7 w8 w9 w10 w11 w12", *corpus()[:20]]
+    exam = [(1, "w5 w6 w7 w8 w9 w10 w11 w12 w13 w14 w15"), (2, corpus()[3]), (3, "w1 w5 w7")]
+    for slop, missing in ((0, 0), (1, 0), (1, 2), (2, 1)):
+        out = decontam.decontaminate(docs_of(spark, bent), spark.createDataFrame(exam, "item_id long, text string"), slop=slop, missing=missing).collect()
+        assert [set(r.near_items) for r in sorted(out, key=lambda r: r.doc_id)] == decontam.brute_near(list(enumerate(bent)), exam, slop, missing)
     hard = decontam.digest(decontam.decontaminate(hard_docs, items))
     assert hard.count() == 8 and hard.filter("doc_id = 2").first().n_words == 0
     assert decontam.decontaminate(hard_docs.limit(0), items).count() == 0 and decontam.decontaminate(hard_docs, items.limit(0)).count() == 8
@@ -216,13 +221,14 @@ def test_merge_uses_known_prefixes():
     assert seen == items
 
 
-def test_ann(spark):
+@pytest.mark.parametrize("functions", [None, 2])
+def test_ann(spark, functions):
     rng = np.random.default_rng(0)
     x = rng.standard_normal((600, 16))
     data = [(i, [float(v) for v in x[i]]) for i in range(600)]
     data += [(600 + i, data[7][1]) for i in range(30)] + [(700, None), (701, [0.0] * 16), (702, [float("nan")] * 16), (703, []), (704, [1.0, None] + [0.0] * 14), (None, data[1][1])]
     df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
-    got = ann.search(df, df.filter("vec_id % 50 = 0 or vec_id > 690"), k=10).collect()
+    got = ann.search(df, df.filter("vec_id % 50 = 0 or vec_id > 690"), k=10, functions=functions).collect()
     good = {i: np.array(v) for i, v in data if i is not None and i < 700}
     by, hit, total = {}, 0, 0
     for r in got:
@@ -236,6 +242,8 @@ def test_ann(spark):
         assert all(abs(r.score - np.sqrt(((good[q] - good[r.vec_id]) ** 2).sum())) < 1e-12 for r in found)
     assert hit / total >= 0.9
     assert ann.search(df.limit(0), df.limit(0)).count() == 0
+    huge = spark.createDataFrame([(0, [1e200, 0.0]), (100, [1e200, 3e200]), (200, [-1e200, 1e180])], "vec_id long, embedding array<double>")
+    assert {(r.query_id, r.vec_id): r.score for r in ann.search(huge, huge.filter("vec_id = 0"), functions=1).collect()} == pytest.approx({(0, 200): 2e200, (0, 100): 3e200})
 
 
 def test_licenses(spark, hard_docs):
@@ -414,3 +422,20 @@ def test_long_pages_are_labelled_in_small_batches(spark):
     out = html_text.extract(pages, html_text.train(pages))
     assert out.columns == ["page_id", "html", "text", "text_"]
     assert {r.page_id: r.text_.count("Sentence number") for r in out.collect()} == {1: 3000, 2: 0}
+
+
+def test_ann_recall_on_the_embeddings(spark):
+    """Two functions a table, on the driver's vectors: those of the nearest ten that are found."""
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    got = {}
+    for r in ann.search(df, df.filter("vec_id % 100 = 0"), functions=2).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    rows_ = df.collect()
+    ids, x = np.array([r.vec_id for r in rows_]), np.array([r.embedding for r in rows_], float)
+    hit = total = 0
+    for q in np.flatnonzero(ids % 100 == 0):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[q] = np.inf
+        hit += len(got[ids[q]] & set(ids[np.argsort(d, kind="stable")[:10]].tolist()))
+        total += 10
+    assert hit / total >= 0.9
