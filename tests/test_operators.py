@@ -213,3 +213,42 @@ def test_entry_without_training_data_operators(monkeypatch):
     entry = importlib.import_module("__spark_entry__")
     assert "kpis" in entry.queries() and not any(q.startswith("op") and q[2].isdigit() for q in entry.queries())
     monkeypatch.delitem(sys.modules, "__spark_entry__", raising=False)
+
+
+def test_rules_match_alike_at_every_size(spark, monkeypatch):
+    docs = spark.createDataFrame([("a", "superrecibo de venda"), ("b", "o x. aqui"), ("c", "ab cd"), ("d", "R$ 10 e 50% off"), ("e", None), ("f", "abcdefgh")], "md5 string, texto string")
+    terms = ["recibo de", "x", "ab", "r$", "%", "cdef", "bcdefg", "zzz", " "]
+    rules = spark.createDataFrame([(i, t, f"v{i}", "outro") for i, t in enumerate(terms)], "id long, termo_chave string, valor_atribuido string, dominio string")
+    found = []
+    for most in (2000, 2):
+        monkeypatch.setattr(K, "MOST_RULES", most)
+        found.append({r.md5: r.termo_chave for r in K.match_rules(docs, rules).collect()})
+    assert found[0] == found[1] and found[0]["a"] == "recibo de" and found[0]["b"] == "x" and found[0]["c"] == "ab" and found[0]["f"] == "bcdefg"
+    assert [r.id for r in K.newest_first(rules).collect()] == list(range(len(terms) - 1, -1, -1))
+
+
+def test_slips_and_cheques_in_scanned_text(spark):
+    of = lambda f, t: spark.createDataFrame([(t,)], "t string").select(f("t").alias("x")).first().x
+    utility = "836900000012345678901234567890123456789012345678"
+    spaced = " ".join(utility[i : i + 12] for i in range(0, 48, 12))
+    assert of(K.slip, f"conta {spaced} fim").linha == spaced
+    assert of(K.slip, "leitura SS3690000001234567890123 4567890123456789012345").linha == "88" + "3690000001234567890123 4567890123456789012345"
+    assert not of(K.slip, "ola").sim
+    got = of(K.cheque, "SICOOB cooperativa 3008 série 001 conta: 00038123-4\ncheque 000123 e cheque 000124")
+    assert (got.sim, got.talao, got.numeros, got.banco, got.serie, got.conta, got.agencia) == (True, True, ["000123", "000124"], "SICOOB", "001", "00038123-4", "3008")
+    assert of(K.cheque, "folha de cheque do banco 850017").numeros == ["850017"]
+
+
+def test_reclassified_pages_and_saved_rows(spark):
+    df = spark.createDataFrame([("a", "RG", "identificacao", "pendente"), ("b", "Recibo", "financeiro", "pendente"), ("c", "CNH", "identificacao", "pendente")], "md5 string, tipo_documento string, dominio string, status_conferencia string")
+    pages = spark.createDataFrame([("a", 1, "RG", "registro geral de fulano"), ("a", 2, "Recibo", "recebi de beltrano a quantia")], "md5 string, pagina int, tipo string, texto string")
+    changes = spark.createDataFrame([("a", 1, "Diploma"), ("b", 3, "RG")], "md5 string, pagina int, tipo string")
+    got = {r.md5: r for r in R.reclassify(df, pages, changes).collect()}
+    assert (got["a"].tipo_documento, got["a"].todos_tipos) == ("Diploma", ["Diploma", "Recibo"])
+    assert [(p.pagina, p.tipo) for p in got["b"].dossie_paginas] == [(1, "Recibo"), (2, "Página 2"), (3, "RG")]
+    assert (got["b"].tipo_documento, got["b"].todos_tipos, got["b"].todos_dominios) == ("Recibo", ["Recibo", "RG"], ["financeiro", "identificacao"])
+    assert got["c"].dossie_paginas is None and got["c"].tipo_documento == "CNH"
+    rules = spark.createDataFrame([], "id long, termo_chave string, campo_alvo string, valor_atribuido string, dominio string, remover_pix boolean, origem_md5 string")
+    saved, learned = R.save_reviewed(df, rules, df.filter("md5 = 'a'").withColumn("tipo_documento", F.lit("CNH")), pages, "hoje")
+    assert {r.md5: (r.tipo_documento, r.status_conferencia) for r in saved.collect()} == {"a": ("CNH", "aprovado"), "b": ("Recibo", "pendente"), "c": ("CNH", "pendente")}
+    assert {r.valor_atribuido for r in learned.collect()} <= {"RG", "Recibo"} and learned.count() > 0
