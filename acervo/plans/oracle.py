@@ -5,6 +5,8 @@ from __future__ import annotations
 from acervo.adapter import FORMS_SQL, PAGES_SQL, REGISTRY_SQL
 from acervo.functions import classes as C
 from acervo.operators import pages as P
+from acervo.operators.filters import NULL_LIKE
+from acervo.sources import sinks
 
 FOLD = "strip_accents(lower(trim(coalesce({0}, ''))))"
 DIGITS = "regexp_replace(coalesce({0}, ''), '[^0-9]', '', 'g')"
@@ -406,3 +408,21 @@ SELECT e.md5, CASE WHEN e.md5 IN (SELECT md5 FROM c WHERE pagina = 1) THEN 'Dipl
     "line_runs": LOOPS + "SELECT md5, linhas FROM runs",
     "comparison_texts": "SELECT md5(doc_id::VARCHAR) AS md5, md5(CASE WHEN doc_id % 3 < 2 AND trim(coalesce(text, '')) <> '' THEN trim(text) ELSE 'texto_' || doc_id || '.txt' END) AS texto FROM documents",
 }
+
+
+def report(fields: list[tuple[str, str]]) -> str:
+    empty = ", ".join(f"'{x}'" for x in NULL_LIKE)
+    return "concat_ws(chr(10), " + ", ".join(f"CASE WHEN lower(trim(coalesce({c}, ''))) NOT IN ({empty}) THEN rpad('{label}:', 18, ' ') || trim({c}) END" for label, c in fields) + ")"
+
+
+SQL |= {
+    "document_reports": REG + f"""SELECT md5, concat_ws(chr(10), 'Documento: ' || nome_arquivo, 'Tipo: ' || nullif(trim(tipo_documento), ''),
+  CASE WHEN dominio = 'financeiro' THEN {report(sinks.FINANCIAL)} WHEN coalesce(dominio, 'academico') = 'academico' THEN {report(sinks.ACADEMIC)} ELSE {report(sinks.GENERAL)} END) AS relatorio FROM e""",
+    "transcript_sanitize": """WITH d AS (SELECT md5(doc_id::VARCHAR) AS md5, trim(text) AS t FROM documents),
+l AS (SELECT md5, row_number() OVER (PARTITION BY md5 ORDER BY i) AS i, x FROM (SELECT md5, generate_subscripts(s, 1) AS i, trim(unnest(s)) AS x FROM (SELECT md5, string_split(t, chr(10)) AS s FROM d)) WHERE x <> ''),
+m AS (SELECT md5, i, lower(x) AS x, CASE WHEN lower(x) = lag(lower(x)) OVER (PARTITION BY md5 ORDER BY i) AND length(x) > 3 THEN 0 ELSE 1 END AS new FROM l),
+runs AS (SELECT md5, max(n) AS run FROM (SELECT md5, r, count(*) AS n FROM (SELECT md5, sum(new) OVER (PARTITION BY md5 ORDER BY i) AS r FROM m) GROUP BY 1, 2) GROUP BY 1),
+often AS (SELECT md5, max(n) AS most FROM (SELECT md5, x, count(*) AS n FROM m WHERE length(x) > 4 GROUP BY 1, 2) GROUP BY 1),
+size AS (SELECT md5, count(*) AS n FROM m GROUP BY 1)
+SELECT md5, coalesce(length(t) < 20 OR n IS NULL OR run >= 4 OR (coalesce(most, 0) >= 5 AND most / n > 0.35), true) AS descartado FROM d LEFT JOIN runs USING (md5) LEFT JOIN often USING (md5) LEFT JOIN size USING (md5)""",
+}
