@@ -201,7 +201,7 @@ def stream_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as a stream of rows keyed by user, merged batch by batch: the last state of every user."""
     events = adapter.read(spark, sf_dir, "events")
     root = f"{shared_dir(spark)}/acervo-stream-{uuid.uuid4().hex}"
-    table = N.Snapshots(spark, f"{root}/table")
+    table = N.Table(spark, f"{root}/table")
     stream = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events.parquet*")
 
     def last(batch: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,32 +10,44 @@ from pyspark.sql import functions as F
 
 from acervo.operators import search, state
 
+#: The first two hex digits of md5: 256 partitions, so a batch rewrites only those that its rows fall to.
+PART = "_parte"
 
-class Snapshots:
-    """Versions of a table in one folder; the newest complete one counts, a repeated batch changes nothing."""
+
+class Table:
+    """A Parquet table by md5, partitioned by PART; a repeated merge of a batch changes nothing."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root
 
-    def _versions(self) -> list[int]:
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
-        fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(path):
-            return []
-        names = [s.getPath() for s in fs.listStatus(path)]
-        done = [p for p in names if fs.exists(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-        return sorted(int(p.getName()[1:]) for p in done if p.getName().startswith("v"))
-
-    def latest(self) -> DataFrame | None:
-        v = self._versions()
-        return self.spark.read.parquet(f"{self.root}/v{v[-1]}") if v else None
+    def _path(self, name: str):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
 
-    def put(self, df: DataFrame, batch: int) -> None:
-        if batch not in self._versions():
-            df.write.mode("overwrite").parquet(f"{self.root}/v{batch}")
+    def _parts(self) -> DataFrame | None:
+        fs, path = self._path("rows")
+        return self.spark.read.option("basePath", f"{self.root}/rows").parquet(f"{self.root}/rows") if fs.exists(path) else None
 
-
-def intake(stream: DataFrame, table: Snapshots, prepare: Callable[[DataFrame], DataFrame], checkpoint: str, keep: list[str] = state.KEEP, index: Snapshots | None = None, fields: list[str] = (), late: tuple[str, str] | None = None):
+    def latest(self) -> DataFrame | None:
+        parts = self._parts()
+        return None if parts is None else parts.drop(PART)
+
+    def merge(self, batch: DataFrame, combine: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
+        """combine(old rows of the batch's partitions, batch) takes their place."""
+        part = F.concat(F.lit("p"), F.substring("md5", 1, 2)).alias(PART)
+        touched = [r[0] for r in batch.select(part).distinct().collect()]  # 256 at most
+        old = self._parts()
+        new = batch if old is None else combine(old.filter(F.col(PART).isin(touched)).drop(PART), batch)
+        # written beside the table first: a job cannot replace what it reads
+        staged = f"staged-{uuid.uuid4().hex}"
+        new.withColumn(PART, part).write.parquet(f"{self.root}/{staged}")
+        ready = self.spark.read.schema(new.schema.add(PART, "string")).parquet(f"{self.root}/{staged}")
+        ready.repartition(PART).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(PART).parquet(f"{self.root}/rows")
+        fs, path = self._path(staged)
+        fs.delete(path, True)
+
+
+def intake(stream: DataFrame, table: Table, prepare: Callable[[DataFrame], DataFrame], checkpoint: str, keep: list[str] = state.KEEP, index: Table | None = None, fields: list[str] = (), late: tuple[str, str] | None = None):
     """STR-1, STR-3: new rows are prepared once and merged into the registry (and the search index) batch by batch.
 
     late: (time column, delay) bounds what is remembered of md5s already seen.
@@ -43,11 +56,11 @@ def intake(stream: DataFrame, table: Snapshots, prepare: Callable[[DataFrame], D
         stream = stream.withWatermark(*late).dropDuplicatesWithinWatermark(["md5"])
 
     def merge(batch: DataFrame, number: int) -> None:
-        fresh, old = prepare(batch).dropDuplicates(["md5"]), table.latest()
-        table.put(fresh if old is None else state.upsert(old, fresh.select(old.columns), keep), number)
+        fresh = prepare(batch).dropDuplicates(["md5"]).persist()
+        table.merge(fresh, lambda old, new: state.upsert(old, new.select(old.columns), keep))
         if index is not None:
-            known = index.latest()
-            index.put(search.build_index(fresh, list(fields)) if known is None else search.update_index(known, fresh, list(fields)), number)
+            index.merge(search.build_index(fresh, list(fields)), lambda old, new: old.join(fresh.select("md5").hint("merge"), "md5", "left_anti").unionByName(new))
+        fresh.unpersist()
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -175,7 +175,7 @@ def test_stream_equals_batch(spark, tmp_path):
     schema = "md5 string, status string, at timestamp"
     for k in range(2):
         spark.createDataFrame(rows[k * 10 : k * 10 + 10], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    table = N.Snapshots(spark, f"file://{tmp_path}/table")
+    table = N.Table(spark, f"file://{tmp_path}/table")
     last = lambda b: b.groupBy("md5").agg(F.max_by("status", "at").alias("status"), F.max("at").alias("at"))
 
     def run():
@@ -252,3 +252,15 @@ def test_reclassified_pages_and_saved_rows(spark):
     saved, learned = R.save_reviewed(df, rules, df.filter("md5 = 'a'").withColumn("tipo_documento", F.lit("CNH")), pages, "hoje")
     assert {r.md5: (r.tipo_documento, r.status_conferencia) for r in saved.collect()} == {"a": ("CNH", "aprovado"), "b": ("Recibo", "pendente"), "c": ("CNH", "pendente")}
     assert {r.valor_atribuido for r in learned.collect()} <= {"RG", "Recibo"} and learned.count() > 0
+
+
+def test_intake_updates_the_index(spark, tmp_path):
+    root = f"file://{tmp_path}"
+    table, index = N.Table(spark, f"{root}/table"), N.Table(spark, f"{root}/index")
+    schema = "md5 string, texto string, n int"
+    for k, rows in enumerate([[("aa1", "velho termo", 1), ("bb2", "outro", 1)], [("aa1", "novo termo", 2)]]):
+        spark.createDataFrame(rows, schema).write.parquet(f"{root}/in/{k}")
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{root}/in")
+        N.intake(stream, table, lambda b: b, f"{root}/checkpoint", keep=[], index=index, fields=["texto"]).awaitTermination()
+    assert {r.md5: (r.texto, r.n) for r in table.latest().collect()} == {"aa1": ("novo termo", 2), "bb2": ("outro", 1)}
+    assert sorted((r.term, r.md5) for r in index.latest().collect()) == [("novo", "aa1"), ("outro", "bb2"), ("termo", "aa1")]
