@@ -54,9 +54,9 @@ SHORT = 250
 GRAM = 16
 BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Text that a map task turns into one set of sorted runs.
-RUN_BYTES = 16 << 20
+RUN_BYTES = 8 << 20
 #: Documents' bytes that are hashed together.
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 #: Input bytes for each part; suffixes in a block of a run; suffixes that are resolved together, if no neighbourhood is cut.
 PART_BYTES, BLOCK, TOGETHER = 32 << 20, 4096, 20_000
 
