@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from acervo.llm import ann, decontam, html_text, licenses, lm, mixing, repeats, secrets, simhash, toxicity
+from acervo.llm import ann, chat, decontam, html_text, licenses, lm, mixing, repeats, runs, secrets, simhash, toxicity, variants
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -56,6 +56,25 @@ def op10_benchmark_decontamination(spark, sf_dir):
     return decontam.digest(decontam.decontaminate(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")))
 
 
+def op11_spelling_variants(spark, sf_dir):
+    return variants.group(variants.vocabulary(_read(spark, sf_dir, "documents").select("doc_id", "text"), change=variants.deleted))
+
+
+def op12_chat_format(spark, sf_dir):
+    said = "</s>[INST] ok [/INST]"
+    added = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(added)
+    return chat.digest(chat.format_chats(turns))
+
+
+def op13_word_runs(spark, sf_dir):
+    return runs.digest(runs.find_runs(runs.with_periods(_read(spark, sf_dir, "documents").select("doc_id", "text"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_cross_polytope_ann, op2_license_scan, op3_suffix_dedup, op4_poisson_mix, op5_html_main_text, op6_secret_scan, op7_simhash_near_dedup, op8_gru_lm_score, op9_toxicity, op10_benchmark_decontamination)
-}
+    f.__name__: f
+    for f in (
+        op1_cross_polytope_ann, op2_license_scan, op3_suffix_dedup, op4_poisson_mix, op5_html_main_text, op6_secret_scan, op7_simhash_near_dedup, op8_gru_lm_score, op9_toxicity,
+        op10_benchmark_decontamination, op11_spelling_variants, op12_chat_format, op13_word_runs,
+    )
+}
