@@ -159,6 +159,8 @@ def near_pairs(words: DataFrame) -> DataFrame:
                     held.append(rows.column("word"))
                     held_n.append(rows.column("n"))
                     continue
+                if not held:  # no word was dealt into this piece
+                    continue
                 if piece is None:
                     piece, piece_n = Piece(pa.concat_arrays(held)), pa.concat_arrays(held_n)
                 size = max(1, PIECE_LETTERS // piece.code.shape[1])
