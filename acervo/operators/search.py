@@ -6,7 +6,6 @@ import re
 import unicodedata
 from functools import reduce
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +13,6 @@ from acervo.functions import text as X
 
 TOKEN = r"[\p{L}\p{N}]+"
 K1, B = 1.2, 0.75
-POSTINGS = pa.schema([("term", pa.string()), ("md5", pa.string()), ("field", pa.string()), ("doc_len", pa.int32()), ("tf", pa.int64()), ("positions", pa.list_(pa.int32()))])
 
 
 def tokens(text: Column | str) -> Column:
@@ -24,29 +22,23 @@ def tokens(text: Column | str) -> Column:
 def build_index(docs: DataFrame, fields: list[str]) -> DataFrame:
     """FTS-1: postings (term, md5, field, doc_len, tf, positions).
 
-    A document's postings are made inside its row, so nothing is shuffled to build them.
+    A document's postings are made inside its row: its tokens sorted with their positions, cut
+    where the term changes, so nothing is shuffled to build them and nothing leaves the JVM.
     """
+    listed = docs.select("md5", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), tokens(f).alias("w")) for f in fields])).alias("f"), sum((F.size(tokens(f)) for f in fields), F.lit(0)).alias("doc_len"))
+    placed = listed.select("md5", "f.field", "doc_len", F.array_sort(F.transform("f.w", lambda w, i: F.struct(w.alias("term"), i.alias("p")))).alias("all"))
+    cut = placed.filter(F.size("all") > 0).withColumn("starts", F.expr("filter(sequence(1, size(all)), i -> i = 1 OR element_at(all, i).term <> element_at(all, if(i = 1, 1, i - 1)).term)"))
+    each = F.expr("transform(starts, (a, k) -> struct(element_at(all, a).term AS term, transform(slice(all, a, coalesce(get(starts, k + 1), size(all) + 1) - a), x -> x.p) AS positions))")
+    return cut.select("md5", "field", "doc_len", F.explode(each).alias("e")).select("e.term", "md5", "field", "doc_len", F.size("e.positions").cast("long").alias("tf"), "e.positions")
 
-    def postings(batches):
-        for batch in batches:
-            out = {c: [] for c in ("term", "md5", "field", "doc_len", "tf", "positions")}
-            for md5, *lists in zip(*(c.to_pylist() for c in batch.columns)):
-                size = sum(len(x or ()) for x in lists)
-                for field, words in zip(fields, lists):
-                    places: dict[str, list[int]] = {}
-                    for i, w in enumerate(words or ()):
-                        places.setdefault(w, []).append(i)
-                    n = len(places)
-                    for c, values in zip(out, (places, [md5] * n, [field] * n, [size] * n, map(len, places.values()), places.values())):
-                        out[c].extend(values)
-            yield pa.RecordBatch.from_pydict(out, schema=POSTINGS)
 
-    return docs.select("md5", *[tokens(f).alias(f"w{i}") for i, f in enumerate(fields)]).mapInArrow(postings, "term string, md5 string, field string, doc_len int, tf long, positions array<int>")
+#: A term's postings are spread over so many files at most.
+SPREAD = 16
 
 
 def stored_order(postings: DataFrame) -> DataFrame:
-    """Postings as they are best written: by ranges of terms, sorted, so that a search reads the row groups of its terms."""
-    return postings.repartitionByRange("term").sortWithinPartitions("term", "md5")
+    """Postings as they are best written: a term's in few files, sorted, so that a search reads the row groups of its terms."""
+    return postings.repartition("term", F.pmod(F.xxhash64("md5"), F.lit(SPREAD))).sortWithinPartitions("term", "md5")
 
 
 def sizes(docs: DataFrame, fields: list[str]) -> DataFrame:
@@ -111,14 +103,38 @@ def search(postings: DataFrame, stats: DataFrame, query: str, limit: int | None
 
 
 def snippet(text: Column | str, query: str, size: int = 15) -> Column:
-    """FTS-4: up to `size` words around the first hit, hits marked."""
-    words = [w for _, _, ws in parse(query) for w in ws]
+    """FTS-4: the `size` words in which most different words of the query meet, its hits marked.
+
+    The positions of all query words are merged into one list; of the windows that begin at a hit
+    the one with the most different words counts, then the one with the most hits, then the first, and
+    it is shown with its hits in the middle.
+    """
+    tests = [(kind, w) for op, kind, ws in parse(query) if op != "NOT" for w in ws]
+
+    def is_hit(word: Column, kind: str, wanted: str) -> Column:
+        return F.exists(tokens(word), lambda t: t.startswith(wanted) if kind == "prefix" else t == wanted)
+
+    def hits(raw: Column) -> Column:
+        at = lambda w, i: F.array_compact(F.array(*[F.when(is_hit(w, k, x), F.struct(i.alias("p"), F.lit(j).alias("word"))) for j, (k, x) in enumerate(tests)]))
+        return F.flatten(F.transform(raw, at))
+
+    def best(found: Column) -> Column:
+        def window(h: Column, i: Column) -> Column:
+            inside = F.filter(F.slice(found, i + 1, size * len(tests)), lambda x: x["p"] < h["p"] + size)
+            return F.struct(F.size(F.array_distinct(inside["word"])).alias("words"), F.size(inside).alias("hits"), (-h["p"]).alias("first"), F.element_at(inside, -1)["p"].alias("last"))
+
+        return F.array_max(F.transform(found, window))
+
+    def show(raw: Column, found: Column, w: Column) -> Column:
+        middle = -w["first"] - F.floor((size - (w["last"] + w["first"] + 1)) / 2)
+        start = F.greatest(F.lit(0), F.least(F.coalesce(middle, F.lit(0)), F.size(raw) - size)).cast("int")
+        shown = F.transform(F.slice(raw, start + 1, size), lambda x, i: F.when(F.array_contains(found["p"], i + start), F.concat(F.lit("<mark>"), x, F.lit("</mark>"))).otherwise(x))
+        return F.concat(F.when(start > 0, "... ").otherwise(""), F.array_join(shown, " "), F.when(F.size(raw) > start + size, " ...").otherwise(""))
+
+    if not tests:
+        return X.col(text).cast("string")
     raw = F.filter(F.split(X.col(text), r"\s+"), lambda w: w != "")
-    hit = lambda w: reduce(lambda a, b: a | b, (X.fold(F.regexp_replace(w, r"^[^\p{L}\p{N}]+", "")).startswith(x) for x in words), F.lit(False))
-    flags = F.transform(raw, lambda w: hit(w))
-    first = F.greatest(F.array_position(flags, True) - size // 2, F.lit(1)).cast("int")
-    shown = F.transform(F.slice(raw, first, size), lambda w: F.when(hit(w), F.concat(F.lit("<mark>"), w, F.lit("</mark>"))).otherwise(w))
-    return F.concat(F.when(first > 1, "... ").otherwise(""), F.array_join(shown, " "), F.when(F.size(raw) >= first + size, " ...").otherwise(""))
+    return X.let(raw, lambda r: X.let(hits(r), lambda h: X.let(best(h), lambda w: show(r, h, w))))
 
 
 def search_registry(docs: DataFrame, postings: DataFrame, stats: DataFrame, query: str, text_col: str, limit: int = 50) -> DataFrame:

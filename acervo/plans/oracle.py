@@ -295,6 +295,14 @@ SELECT md5, CASE WHEN book THEN 'Talão de Cheques' WHEN c = 1 AND plain THEN 'F
     "postings_stats": IDX + "SELECT term, count(DISTINCT md5) AS df, count(*) AS cf FROM post GROUP BY 1",
     "bm25_search": bm25([_word("stupid", True), _word("idiot", True)], "len(parts) = 2"),
     "bm25_boolean": bm25([_word("stupid", False), _word("idiot", False), _word("trash", False)], "list_contains(parts, 0) AND list_contains(parts, 1) AND NOT list_contains(parts, 2)", (2,)),
+    "search_snippets": "WITH best AS (" + bm25([_word(w, False) for w in ("stupid", "idiot", "trash")], "true") + r"""),
+raw AS (SELECT md5(doc_id::VARCHAR) AS md5, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS raw FROM documents),
+hit AS (SELECT md5, i, q FROM (SELECT md5, unnest(raw) AS w, generate_subscripts(raw, 1) - 1 AS i FROM raw SEMI JOIN best USING (md5)), (VALUES ('stupid'), ('idiot'), ('trash')) v(q) WHERE list_contains(regexp_extract_all(strip_accents(lower(w)), '[\p{L}\p{N}]+'), q)),
+win AS (SELECT a.md5, a.i, count(DISTINCT b.q) AS words, count(*) AS n, max(b.i) AS last FROM (SELECT DISTINCT md5, i FROM hit) a JOIN hit b ON a.md5 = b.md5 AND b.i BETWEEN a.i AND a.i + 14 GROUP BY 1, 2),
+top AS (SELECT md5, arg_max(struct_pack(i, last), (words, n, -i)) AS t FROM win GROUP BY 1),
+place AS (SELECT md5, raw, greatest(0, least(t.i - floor((15 - (t.last - t.i + 1)) / 2)::BIGINT, len(raw) - 15)) AS s FROM top JOIN raw USING (md5)),
+shown AS (SELECT md5, raw, s, list_transform(range(s, least(s + 15, len(raw))), lambda k: CASE WHEN list_contains(places, k) THEN '<mark>' || raw[k + 1] || '</mark>' ELSE raw[k + 1] END) AS w FROM place JOIN (SELECT md5, list(i) AS places FROM hit GROUP BY 1) USING (md5))
+SELECT md5, CASE WHEN s > 0 THEN '... ' ELSE '' END || array_to_string(w, ' ') || CASE WHEN len(raw) > s + 15 THEN ' ...' ELSE '' END AS fts_snippet FROM shown""",
     "bm25_phrase": bm25(["(SELECT a.md5, a.n FROM post a JOIN post b ON a.md5 = b.md5 AND b.pos = a.pos + 1 WHERE a.term = 'of' AND b.term = 'the')", _word("moron", False)], "true"),
     "compare_normalized": f"SELECT md5(doc_id::VARCHAR) AS md5, md5({_NORM}) AS norm FROM documents",
     "exact_duplicates": "SELECT md5(text) AS chave, count(*) AS documentos, min(md5(doc_id::VARCHAR)) AS primeiro FROM documents GROUP BY 1 HAVING count(*) > 1",
@@ -305,6 +313,19 @@ SQL |= {
     "html_metadata": "SELECT page_id, nullif(trim(regexp_extract(html, '(?is)<title>(.*?)</title>', 1)), '') AS title, nullif(regexp_extract(html, '(?i)<html[^>]*\\slang=\"([^\"]+)\"', 1), '') AS language, nullif(regexp_extract(html, '(?i)<meta\\s+charset=\"([^\"]+)\"', 1), '') AS charset, nullif(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1), '') AS source FROM pages",
     "rule_longest_match": "WITH r AS (SELECT lower(trim(array_to_string(string_split(text, ' ')[1:5], ' '))) AS t, 'Prova' AS valor_atribuido, item_id AS id FROM benchmark UNION ALL VALUES ('the', 'Inglês', 1001), ('und', 'Alemão', 1002), ('idiot', 'Ofensa', 1003)), x AS (SELECT md5(doc_id::VARCHAR) AS md5, lower(text) AS low FROM documents) SELECT md5, arg_max(id, length(t) * 100000 + id) AS id, arg_max(valor_atribuido, length(t) * 100000 + id) AS valor_atribuido FROM x JOIN r ON contains(low, t) AND (length(t) > 4 OR regexp_matches(low, '(^|[^\\p{L}\\p{N}_])' || t || '([^\\p{L}\\p{N}_]|$)')) GROUP BY 1",
     "consolidated_report": REG + "SELECT 0 AS pos, 'Documentos: ' || count(*) || ' | Com sucesso: ' || count(*) FILTER (status = 'sucesso') AS linha FROM e UNION ALL SELECT pos, concat_ws(' | ', pos, nome_arquivo, coalesce(tipo_documento, '-'), coalesce(beneficiario, '-'), coalesce(CASE WHEN dominio = 'financeiro' THEN valor_monetario ELSE curso END, '-')) FROM (SELECT *, row_number() OVER (ORDER BY md5) AS pos FROM e)",
+    # a term of two words stands in a text where a word ends with its first and the next begins with its second, one blank between them
+    "rule_match_many": r"""WITH d AS (SELECT md5(doc_id::VARCHAR) AS md5, lower(text) AS low FROM documents),
+w AS (SELECT md5, list_filter(regexp_split_to_array(low, '[ \n\r\t]+'), lambda x: x <> '') AS w FROM d),
+r AS MATERIALIZED (SELECT t, ('0x' || substr(md5(t), 1, 15))::BIGINT AS id, string_split(t, ' ')[1] AS x FROM (SELECT DISTINCT md5, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS t FROM w)
+  WHERE length(t) > 4 GROUP BY t HAVING count(*) >= 2),
+line AS (SELECT md5, string_split(unnest(regexp_split_to_array(low, '[\n\r\t]')), ' ') AS p FROM d),
+near AS MATERIALIZED (SELECT DISTINCT md5, z[1] AS a, z[2] AS b FROM (SELECT md5, unnest(list_zip(p[1:len(p) - 1], p[2:])) AS z FROM line)),
+duo AS MATERIALIZED (SELECT DISTINCT a, b FROM near WHERE a <> '' AND b <> ''),
+ends AS (SELECT a, b, a[i:] AS x FROM (SELECT a, b, unnest(range(1, length(a) + 1)) AS i FROM duo) SEMI JOIN (SELECT DISTINCT x FROM r) k ON a[i:] = k.x),
+cut AS (SELECT a, b, x || ' ' || b[1:j] AS t FROM (SELECT *, unnest(range(1, length(b) + 1)) AS j FROM ends)),
+found AS MATERIALIZED (SELECT a, b, max((length(t), id, t)) AS best FROM cut JOIN r USING (t) GROUP BY a, b),
+top AS (SELECT md5, max(best) AS best FROM near JOIN found USING (a, b) GROUP BY md5)
+SELECT md5, best[2] AS id, best[3] AS termo_chave, 'Regra ' || substr(md5(best[3]), 1, 2) AS valor_atribuido FROM top""",
     "flat_table": REG + "SELECT md5, nome_arquivo, coalesce(tipo_documento, '') AS tipo_documento, CASE WHEN eh_nativo_digital THEN 'Sim' ELSE 'Não' END AS eh_nativo_digital, coalesce(dados_extras->>'emitente', '') AS emitente, coalesce(dados_extras->>'n', '') AS n, coalesce(dados_extras->>'pix_chave', '') AS pix_chave FROM e",
     "extras_decode": REG + "SELECT md5, dados_extras->>'pix_chave' AS pix_chave, dados_extras->>'emitente' AS emitente FROM e",
     "dossier_merge": "WITH p AS (" + SQL["principal_type"] + "), reg AS (" + REGISTRY_SQL + ") SELECT reg.md5, coalesce(tipo_principal, tipo_documento) AS tipo_documento, coalesce(dominio_principal, dominio) AS dominio FROM reg LEFT JOIN p ON p.md5 = reg.md5",

@@ -187,7 +187,7 @@ QUERIES |= {
     "bm25_search": text_search("stupid idiot"),
     "bm25_boolean": text_search("stupid AND idiot NOT trash"),
     "bm25_phrase": text_search('"of the" OR moron'),
-    "search_snippets": lambda s, d: S.search_registry(adapter.texts(s, d), texts_index(s, d), S.sizes(adapter.texts(s, d), ["texto"]), "password", "texto").select("md5", "fts_snippet"),
+    "search_snippets": lambda s, d: S.search_registry(adapter.texts(s, d), texts_index(s, d), S.sizes(adapter.texts(s, d), ["texto"]), "stupid OR idiot OR trash", "texto").select("md5", "fts_snippet"),
     "transcript_sanitize": lambda s, d: adapter.texts(s, d).select("md5", P.sanitize_transcript("texto").isNull().alias("descartado")),
     "compare_normalized": lambda s, d: adapter.texts(s, d).select("md5", F.md5(X.normalize_for_compare("texto")).alias("norm")),
     "exact_duplicates": lambda s, d: D.exact_groups(adapter.texts(s, d), F.md5("texto")),
@@ -219,7 +219,17 @@ def learned_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.unionByName(few)
 
 
+def common_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules for every two neighbouring words that at least two documents share."""
+    words = adapter.texts(spark, sf_dir).select("md5", F.filter(F.split(F.lower("texto"), r"[ \n\r\t]+"), lambda w: w != "").alias("w")).filter(F.size("w") > 1)
+    pairs = F.transform(F.slice("w", 1, F.size("w") - 1), lambda w, i: F.concat_ws(" ", w, F.element_at("w", i + 2)))
+    shared = words.select("md5", F.explode(F.array_distinct(pairs)).alias("termo_chave")).groupBy("termo_chave").agg(F.count("*").alias("n")).filter("n >= 2 AND length(termo_chave) > 4")
+    number = F.conv(F.substring(F.md5("termo_chave"), 1, 15), 16, 10).cast("long")
+    return shared.select(number.alias("id"), "termo_chave", F.concat(F.lit("Regra "), F.substring(F.md5("termo_chave"), 1, 2)).alias("valor_atribuido"), F.lit("outro").alias("dominio"))
+
+
 QUERIES |= {
+    "rule_match_many": lambda s, d: K.match_rules(adapter.texts(s, d), kept(s, "rules", d, lambda: common_pairs(s, d))).select("md5", "id", "termo_chave", "valor_atribuido"),
     "html_metadata": lambda s, d: I.html_metadata(adapter.read(s, d, "pages")).drop("meta"),
     "rule_longest_match": lambda s, d: K.match_rules(adapter.texts(s, d), learned_rules(s, d)).select("md5", "id", "valor_atribuido"),
     "text_signatures": lambda s, d: K.classify_documents(adapter.texts(s, d)).groupBy("tipo", "dominio").agg(F.count("*").alias("documentos")),
