@@ -9,7 +9,9 @@ from acervo.functions import text as X
 
 CONTRACTS = ["Contrato de Compra e Venda", "Contrato Particular de Compra e Venda de Imóvel", "Contrato"]
 #: Words of a continued contract.
-CONTRACT_TERMS = ["contrato", "cláusula", "clausula", "as partes", "vendedor", "comprador", "foro"]
+CONTRACT_TERMS = ["clausula", "cláusula", "foro", "testemunha", "cartorio", "cartório", "vendedor", "comprador", "instrumento", "eviccao", "evicção", "irrevogavel", "irrevogável"]
+#: Class of a page that nothing names.
+NOTHING = "Documento Diverso"
 RETURN, RECEIPT = "Declaração de Imposto de Renda", "Recibo de Entrega da Declaração de Ajuste Anual"
 CHEQUES = ["Folha de Cheque", "Talão de Cheques"]
 #: Classes by precedence in a file of many pages; the first seven are academic.
@@ -41,11 +43,27 @@ def first_per_key(df: DataFrame, key: str = "md5", order: str = "caminho") -> Da
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(order))).filter("_n = 1").drop("_n")
 
 
+def _before(order: str = "pagina"):
+    return Window.partitionBy("md5").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+
+
+def stick_receipts(pages: DataFrame, read: Column) -> DataFrame:
+    """SIG-11: a tax return page behind a receipt page is a receipt's, until another class comes between.
+
+    read: whether a page's class was read off its own text as a tax return's (and not given by a rule).
+    """
+    follows = (F.col("tipo") == RETURN) & read
+    # such pages take the state they find, so the state before one is the last other class
+    state = F.last(F.when((F.col("tipo") != NOTHING) & ~F.coalesce(follows, F.lit(False)), F.col("tipo")), ignorenulls=True).over(_before())
+    return pages.withColumn("tipo", F.when(follows & (state == RECEIPT), RECEIPT).otherwise(F.col("tipo")))
+
+
 def carry_contracts(pages: DataFrame) -> DataFrame:
-    """WIN-2: an untyped page with contract words takes the last contract class before it."""
-    last = F.last(F.when(F.col("tipo").isin(CONTRACTS), F.col("tipo")), ignorenulls=True).over(Window.partitionBy("md5").orderBy("pagina").rowsBetween(Window.unboundedPreceding, -1))
-    goes_on = F.col("tipo").isNull() & X.any_of(F.lower(F.coalesce("texto", F.lit(""))), CONTRACT_TERMS)
-    return pages.withColumn("tipo", F.when(goes_on, last).otherwise(F.col("tipo")))
+    """WIN-2: an untyped page with contract words takes the class of the last typed page before it, if that is a contract's."""
+    typed = F.when(F.col("tipo") != NOTHING, F.col("tipo"))
+    last = F.last(typed, ignorenulls=True).over(_before())
+    goes_on = F.coalesce(typed.isNull() & last.isin(CONTRACTS) & X.any_of(F.lower(F.coalesce("texto", F.lit(""))), CONTRACT_TERMS), F.lit(False))
+    return pages.withColumns({"tipo": F.when(goes_on, last).otherwise(F.col("tipo")), **({"dominio": F.when(goes_on, "juridico").otherwise(F.col("dominio"))} if "dominio" in pages.columns else {})})
 
 
 def merge_returns(pages: DataFrame) -> DataFrame:
@@ -74,6 +92,14 @@ def seen(pages: DataFrame) -> DataFrame:
     return pages.groupBy("md5").agg(ordered("tipo").alias("tipos"), ordered("dominio").alias("dominios"))
 
 
+def details(pages: DataFrame) -> DataFrame:
+    """SIG-11: what the pages of a file tell on the way: distinct cheque numbers in page order, and the first of every other detail."""
+    names = [f.name for f in pages.schema["detalhes"].dataType.fields if f.name != "numeros_cheque"]
+    rows = F.array_sort(F.collect_list(F.struct(F.col("pagina").alias("o"), F.coalesce("detalhes.numeros_cheque", F.array().cast("array<string>")).alias("v"))))
+    first = [F.min_by(F.col(f"detalhes.{n}"), F.when(F.col(f"detalhes.{n}").isNotNull(), F.col("pagina"))).alias(n) for n in names]
+    return pages.groupBy("md5").agg(F.array_distinct(F.flatten(F.transform(rows, lambda r: r["v"]))).alias("numeros_cheque"), *first)
+
+
 def first_values(pages: DataFrame, fields: list[str]) -> DataFrame:
     """WIN-6: the first value of each field, and the distinct cheque numbers in order."""
     return pages.groupBy("md5").agg(*[F.min_by(f, F.when(F.col(f).isNotNull(), F.col("pagina"))).alias(f) for f in fields], ordered("numero_cheque").alias("numeros_cheque"))

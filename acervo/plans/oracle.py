@@ -282,7 +282,10 @@ SELECT coalesce(o.md5, n.md5) AS md5, coalesce(n.nome_arquivo, o.nome_arquivo) A
     "pix_removed": TYP + f"SELECT md5, {_PIXMAIN} AS tipo_documento, {RULE_DOMAIN.format(f'lower(coalesce({_PIXMAIN}, chr(0)))')} AS dominio FROM t",
     "type_added": TYP + "SELECT md5, array_to_string(CASE WHEN list_contains(tipos, 'RG') THEN tipos ELSE list_append(tipos, 'RG') END, '|') AS tipos FROM t",
     "duplicate_fields": REG + ", p AS (SELECT a.md5 AS canonico_md5, b.md5 AS duplicata_md5, a, b FROM e b JOIN e a ON a.md5 = b.duplicata_de) " + " UNION ALL ".join(f"SELECT canonico_md5, duplicata_md5, '{c}' AS campo, CASE WHEN a.{c} IS NULL OR b.{c} IS NULL THEN 'nao_comparavel' WHEN lower(a.{c}) = lower(b.{c}) THEN 'igual' ELSE 'difere' END AS resultado FROM p" for c in ("tipo_documento", "dominio", "cpf", "rg", "cnpj", "beneficiario", "curso", "natureza_curso", "carga_horaria", "faculdade", "valor_monetario", "data")),
-    "contract_carry": PAG + "SELECT md5, pagina, CASE WHEN tipo IS NULL AND contains(texto, 'contrato') THEN last_value(CASE WHEN tipo = 'Contrato de Compra e Venda' THEN tipo END IGNORE NULLS) OVER (PARTITION BY md5 ORDER BY pagina ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) ELSE tipo END AS tipo FROM pag",
+    # pages one by one, with the class that the page before left behind
+    "contract_carry": PAG.replace("WITH", "WITH RECURSIVE", 1) + """, walk AS (SELECT md5, pagina, tipo, tipo AS state FROM pag WHERE pagina = 1
+  UNION ALL SELECT p.md5, p.pagina, CASE WHEN p.tipo IS NULL AND w.state LIKE 'Contrato%' AND contains(p.texto, 'clausula') THEN w.state ELSE p.tipo END, coalesce(p.tipo, w.state) FROM walk w JOIN pag p ON p.md5 = w.md5 AND p.pagina = w.pagina + 1)
+SELECT md5, pagina, tipo FROM walk""",
     "return_merge": PAG + f"SELECT md5, pagina, CASE WHEN tipo = '{P.RETURN}' AND max((tipo = '{P.RECEIPT}')::INT) OVER (PARTITION BY md5) = 1 THEN '{P.RECEIPT}' ELSE tipo END AS tipo FROM pag",
     "holder_by_priority": PAG + "SELECT md5, " + ", ".join(f"arg_min({f}, ({r}) * 100000 + pagina) FILTER ({f} IS NOT NULL AND ({r}) IS NOT NULL) AS {f}" for f, r in _RANKS.items()) + " FROM pag GROUP BY 1",
     "principal_type": PAG + f""", a AS (SELECT md5, count(*) AS n, count(*) FILTER (tipo IN ({_CHQ})) AS c, count(DISTINCT numero_cheque) AS nc, count(*) FILTER (tipo IN ({_ACA})) AS aca, count(*) FILTER (tipo IN ({_PES})) AS pes,
@@ -368,10 +371,29 @@ MONEY = {m: "'R$ ' || valor" for m in (6, 7, 9)}
 NAMES = {0: "nome", 3: "nome", 8: "nome", 11: "upper(nome) || '|' || nome"}
 PLAIN = "'Comprovante de Pagamento Bancário'"
 
+# files of several pages, walked page by page with the class left behind
+CHAIN = f"""WITH RECURSIVE f AS ({FORMS_SQL}),
+base AS (SELECT *, md5(substr(md5, 1, 3)) AS doc, row_number() OVER (PARTITION BY substr(md5, 1, 3) ORDER BY md5) AS n,
+  CASE WHEN modelo = 8 THEN 'Histórico Escolar' WHEN modelo = 11 AND k % 24 = 11 THEN 'Listagem' ELSE {of(TYPES, 'x').removesuffix(' AS x')} END AS own,
+  CASE WHEN k % 24 = 11 THEN 'financeiro' WHEN modelo = 8 THEN 'academico' ELSE {of(DOMAINS, 'x').removesuffix(' AS x')} END AS area FROM f),
+step AS (SELECT doc, 0::BIGINT AS n, NULL::VARCHAR AS md5, NULL::VARCHAR AS tipo, NULL::VARCHAR AS dominio, NULL::VARCHAR AS state FROM base WHERE n = 1
+  UNION ALL SELECT b.doc, b.n, b.md5,
+    CASE WHEN b.own = 'Declaração de Imposto de Renda' AND s.state LIKE 'Recibo de Entrega%' THEN s.state WHEN b.own IS NULL AND s.state LIKE 'Contrato%' THEN s.state ELSE coalesce(b.own, 'Documento Diverso') END,
+    CASE WHEN b.own IS NULL AND s.state LIKE 'Contrato%' THEN 'juridico' ELSE coalesce(b.area, 'outros') END,
+    CASE WHEN b.own = 'Declaração de Imposto de Renda' AND s.state LIKE 'Recibo de Entrega%' THEN s.state ELSE coalesce(b.own, s.state) END
+  FROM step s JOIN base b ON b.doc = s.doc AND b.n = s.n + 1),
+walk AS (SELECT * FROM step WHERE n > 0)
+"""
+
 SQL |= {
     "form_signatures": form(f"{of(TYPES, 'tipo')}, {of(DOMAINS, 'dominio')}"),
     "form_documents": form(f"{of({m: TYPES[m] for m in (0, 1, 2, 3, 5, 6, 7, 9)} | {4: PLAIN, 8: PLAIN, 10: PLAIN, 11: chr(39) + 'Listagem de Pagamentos / Depósitos' + chr(39)}, 'tipo_documento')}, CASE WHEN modelo = 5 THEN 'juridico' ELSE 'financeiro' END AS dominio, {of({9: 'e2e'}, 'pix_e2e_id')}, {of({9: 'chave'}, 'pix_chave')}, {of({9: 'autenticacao'}, 'pix_autenticacao')}"),
-    "form_pages": f"WITH f AS ({FORMS_SQL}) SELECT md5(substr(md5, 1, 3)) AS md5, md5 AS pagina, {of(TYPES | {11: chr(39) + 'Documento Diverso' + chr(39)}, 'tipo')}, {of(DOMAINS | {11: chr(39) + 'outros' + chr(39)}, 'dominio')}, {of(CPFS, 'cpf')}, {of(RGS, 'rg')}, {of(CNPJS, 'cnpj')}, {of({8: 'curso'}, 'curso')} FROM f",
+    "form_pages": CHAIN + f"SELECT doc AS md5, md5 AS pagina, tipo, dominio, {of(CPFS, 'cpf')}, {of(RGS, 'rg')}, {of(CNPJS, 'cnpj')}, {of({8: 'curso'}, 'curso')} FROM walk JOIN f USING (md5)",
+    "form_page_details": CHAIN + """SELECT doc AS md5, coalesce((SELECT string_agg(x, '|' ORDER BY place) FROM (SELECT x, min(n * 2 + second) AS place FROM (SELECT n, 0 AS second, numero_cheque AS x FROM base b WHERE b.doc = o.doc AND modelo = 1
+    UNION ALL SELECT n, 1, (numero_cheque::INT + 1)::VARCHAR FROM base b WHERE b.doc = o.doc AND k % 24 = 1) GROUP BY x)), '') AS numeros_cheque,
+  max('Banco do Brasil') FILTER (modelo = 1) AS banco_cheque, arg_min(conta, n) FILTER (modelo = 1) AS conta_corrente, arg_min(serie, n) FILTER (modelo = 1) AS serie_cheque, max('1234-5') FILTER (modelo = 1) AS agencia_cheque,
+  arg_min(recibo, n) FILTER (modelo = 2) AS numero_recibo, arg_min((ano::INT + 1)::VARCHAR, n) FILTER (modelo = 2) AS exercicio_irpf, arg_min(ano, n) FILTER (modelo IN (2, 3)) AS ano_calendario,
+  max('BANCO BRADESCO') FILTER (modelo = 3) AS fonte_pagadora, arg_min(cnpj, n) FILTER (modelo = 3) AS cnpj_fonte_pagadora FROM base o GROUP BY doc""",
     "form_slips": form(f"modelo = 0 AS sim, {of({0: 'linha'}, 'linha')}, NULL::VARCHAR AS barras, {of({0: 'nosso'}, 'nosso_numero')}"),
     "form_cheques": form("k % 24 = 1 AS talao, numero_cheque || CASE WHEN k % 24 = 1 THEN '|' || (numero_cheque::INT + 1) ELSE '' END AS numeros, 'Banco do Brasil' AS banco, serie, conta, '1234-5' AS agencia", "modelo = 1"),
     "form_returns": form("k % 24 = 2 AS recibo, (ano::INT + 1)::VARCHAR AS exercicio, ano, recibo AS numero", "modelo = 2").replace("k % 24 = 2 AS recibo", "f.k % 24 = 2 AS recibo").replace("recibo AS numero", "f.recibo AS numero"),

@@ -243,12 +243,24 @@ QUERIES |= {
     "stream_progress": lambda s, d: N.progress(adapter.read(s, d, "events"), "event_type"),
 }
 
+def bound(papers: DataFrame) -> DataFrame:
+    """Papers bound to files of several pages, in the order of their own keys; half of the lists are a contract's last page instead."""
+    text = F.when(F.col("k") % 24 == 23, "Fica eleito o foro desta cidade.").otherwise(F.col("texto"))
+    return papers.select(F.md5(F.substring("md5", 1, 3)).alias("md5"), F.col("md5").alias("pagina"), text.alias("texto"))
+
+
+def bound_rules(spark: SparkSession) -> DataFrame:
+    """Learned rules for such files: of lists, of diplomas without a domain, and one that must not turn slips into receipts."""
+    return spark.createDataFrame([(1, "Listagem de Pagamentos", "Listagem", "financeiro"), (2, "carteira de identidade", "Histórico Escolar", None), (3, "recibo do pagador", "Recibo", "financeiro")], "id long, termo_chave string, valor_atribuido string, dominio string")
+
+
 QUERIES |= {
     name: over(adapter.forms, f)
     for name, f in {
-        "form_signatures": lambda d: d.select("md5", K.signature("texto").alias("s")).select("md5", "s.*"),
+        "form_signatures": lambda d: K.with_signals(d.select("md5", "texto"), "texto").select("md5", K.signature("texto", True).alias("s")).select("md5", "s.*"),
         "form_documents": lambda d: K.classify_document(d.select("md5", "texto", F.lit("Comprovante PIX").alias("tipo_documento"), F.lit("financeiro").alias("dominio"))).select("md5", "tipo_documento", "dominio", "pix_e2e_id", "pix_chave", "pix_autenticacao"),
-        "form_pages": lambda d: K.classify_pages(d.select(F.md5(F.substring("md5", 1, 3)).alias("md5"), F.col("md5").alias("pagina"), "texto")).select("md5", "pagina", "tipo", "dominio", "cpf", "rg", "cnpj", "curso"),
+        "form_pages": lambda d: K.classify_pages(bound(d), bound_rules(d.sparkSession)).select("md5", "pagina", "tipo", "dominio", "cpf", "rg", "cnpj", "curso"),
+        "form_page_details": lambda d: P.details(K.classify_pages(bound(d), bound_rules(d.sparkSession))).withColumn("numeros_cheque", F.array_join("numeros_cheque", "|")),
         "form_slips": lambda d: d.select("md5", K.slip("texto").alias("s")).select("md5", "s.*"),
         "form_cheques": lambda d: d.select("md5", K.cheque("texto").alias("s")).filter("s.sim").select("md5", "s.talao", F.array_join("s.numeros", "|").alias("numeros"), "s.banco", "s.serie", "s.conta", "s.agencia"),
         "form_returns": lambda d: d.select("md5", K.tax_return("texto").alias("s")).filter("s.sim").select("md5", "s.recibo", "s.exercicio", "s.ano", "s.numero"),
@@ -322,7 +334,7 @@ QUERIES |= {
 } | {
     "rules_upserted": lambda s, d: R.upsert_rules(taught(s, d), taught(s, d).select(F.when(F.col("id") % 2 == 0, F.col("termo_chave")).otherwise(F.concat("termo_chave", F.lit(" novo"))).alias("termo_chave"), "campo_alvo", F.lit("Outro").alias("valor_atribuido"), "dominio")).select("id", F.lower("termo_chave").alias("termo_chave"), "valor_atribuido"),
     "rules_newest_first": lambda s, d: K.newest_first(R.delete_rule(taught(s, d), 1002)).select("id", "termo_chave"),
-    "rules_learned": lambda s, d: K.learn_rules(adapter.forms(s, d).select("md5", K.signature("texto")["tipo"].alias("tipo"), "texto")).filter("termo_chave in ('diploma', 'recibo', 'nota promissória', 'confere o grau', 'recebi de')").select("termo_chave", "valor_atribuido", "dominio", "remover_pix"),
+    "rules_learned": lambda s, d: K.learn_rules(K.with_signals(adapter.forms(s, d).select("md5", "texto"), "texto").select("md5", K.signature("texto", True)["tipo"].alias("tipo"), "texto")).filter("termo_chave in ('diploma', 'recibo', 'nota promissória', 'confere o grau', 'recebi de')").select("termo_chave", "valor_atribuido", "dominio", "remover_pix"),
     "index_updated": updated_index,
     "pages_reclassified": reclassified,
     "pages_split": lambda s, d: P.split_pages(adapter.read(s, d, "conversations").groupBy(F.col("conv_id").cast("string").alias("md5")).agg(marked().alias("texto"))).select("md5", F.col("pagina").cast("long").alias("pagina"), F.md5("texto").alias("texto")),
