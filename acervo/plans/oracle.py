@@ -333,7 +333,10 @@ SELECT md5, best[2] AS id, best[3] AS termo_chave, 'Regra ' || substr(md5(best[3
     "extras_decode": REG + "SELECT md5, dados_extras->>'pix_chave' AS pix_chave, dados_extras->>'emitente' AS emitente FROM e",
     "dossier_merge": "WITH p AS (" + SQL["principal_type"] + "), reg AS (" + REGISTRY_SQL + ") SELECT reg.md5, coalesce(tipo_principal, tipo_documento) AS tipo_documento, coalesce(dominio_principal, dominio) AS dominio FROM reg LEFT JOIN p ON p.md5 = reg.md5",
     "stream_intake": "SELECT md5(user_id::VARCHAR) AS md5, arg_max(event_type, (ts, event_id)) AS status, arg_max(props->>'k', (ts, event_id)) AS k FROM events GROUP BY 1",
-    "stream_progress": "SELECT event_type, count(*) AS documentos FROM events GROUP BY 1",
+    "stream_progress": """WITH e AS (SELECT strftime(ts, '%Y-%m-%d') AS run, event_type, ts, event_id, (props->>'k')::BIGINT AS k FROM events),
+r AS (SELECT run, coalesce(arg_max(k, (ts, event_id)) FILTER (event_type = 'signup') + 300, 0) AS total, coalesce(arg_max(k, (ts, event_id)) FILTER (event_type = 'signup'), 0) AS already,
+  count(*) FILTER (event_type NOT IN ('signup', 'error')) AS success, count(*) FILTER (event_type = 'error') AS errors FROM e GROUP BY 1)
+SELECT run, total, already, success + errors AS done, success, errors, CASE WHEN total > 0 THEN least(1000, (2000 * (already + success + errors) + total) // (2 * total)) / 10.0 END AS percent FROM r""",
 }
 
 

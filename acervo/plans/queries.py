@@ -22,8 +22,9 @@ from acervo.operators import state as R
 from acervo.operators import stats
 from acervo.sources import files as I
 from acervo.sources import sinks as O
-from acervo.sources.tables import kept, shared_dir
+from acervo.sources.tables import kept, shared_dir, written
 from acervo.streaming import intake as N
+from acervo.streaming import progress as G
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -212,6 +213,21 @@ def stream_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table.latest()
 
 
+def stream_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events of a day as those of a run, arriving in mixed order over several batches: sign-ups say how many files there are, the rest that one is done."""
+    root = f"{shared_dir(spark)}/acervo-stream-{uuid.uuid4().hex}"
+    k = F.get_json_object("props", "$.k").cast("long")
+    event = F.when(F.col("event_type") == "signup", "ready").otherwise("file_done")
+    rows = adapter.read(spark, sf_dir, "events").select(
+        F.date_format("ts", "yyyy-MM-dd").alias("run"), event.alias("event"), "ts", F.col("event_id").alias("number"), (k + 300).alias("total"), k.alias("already"), (F.col("event_type") != "error").alias("ok")
+    )
+    rows.repartition(6, "number").write.parquet(f"{root}/events")
+    table = N.Table(spark, f"{root}/table")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{root}/events")
+    G.follow(stream, table, f"{root}/checkpoint").awaitTermination()
+    return G.runs(table.latest())
+
+
 def learned_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules from the benchmark's first five words, and from frequent words."""
     b = adapter.read(spark, sf_dir, "benchmark").select(F.array_join(F.slice(F.split("text", " "), 1, 5), " ").alias("termo_chave"), F.lit("Prova").alias("valor_atribuido"), F.lit("academico").alias("dominio"), F.col("item_id").alias("id"))
@@ -240,7 +256,7 @@ QUERIES |= {
     "extras_decode": lambda s, d: I.decode_rows(adapter.registry(s, d), ["pix_chave", "emitente"]).select("md5", "pix_chave", "emitente"),
     "dossier_merge": lambda s, d: P.merge_dossier(adapter.registry(s, d), adapter.pages(s, d)).select("md5", "tipo_documento", "dominio"),
     "stream_intake": stream_intake,
-    "stream_progress": lambda s, d: N.progress(adapter.read(s, d, "events"), "event_type"),
+    "stream_progress": stream_progress,
 }
 
 def bound(papers: DataFrame) -> DataFrame:
@@ -334,7 +350,7 @@ QUERIES |= {
 } | {
     "rules_upserted": lambda s, d: R.upsert_rules(taught(s, d), taught(s, d).select(F.when(F.col("id") % 2 == 0, F.col("termo_chave")).otherwise(F.concat("termo_chave", F.lit(" novo"))).alias("termo_chave"), "campo_alvo", F.lit("Outro").alias("valor_atribuido"), "dominio")).select("id", F.lower("termo_chave").alias("termo_chave"), "valor_atribuido"),
     "rules_newest_first": lambda s, d: K.newest_first(R.delete_rule(taught(s, d), 1002)).select("id", "termo_chave"),
-    "rules_learned": lambda s, d: K.learn_rules(K.with_signals(adapter.forms(s, d).select("md5", "texto"), "texto").select("md5", K.signature("texto", True)["tipo"].alias("tipo"), "texto")).filter("termo_chave in ('diploma', 'recibo', 'nota promissória', 'confere o grau', 'recebi de')").select("termo_chave", "valor_atribuido", "dominio", "remover_pix"),
+    "rules_learned": lambda s, d: K.learn_rules(written(K.with_signals(adapter.forms(s, d).select("md5", "texto"), "texto").select("md5", K.signature("texto", True)["tipo"].alias("tipo"), "texto"), "typed")).filter("termo_chave in ('diploma', 'recibo', 'nota promissória', 'confere o grau', 'recebi de')").select("termo_chave", "valor_atribuido", "dominio", "remover_pix"),
     "index_updated": updated_index,
     "pages_reclassified": reclassified,
     "pages_split": lambda s, d: P.split_pages(adapter.read(s, d, "conversations").groupBy(F.col("conv_id").cast("string").alias("md5")).agg(marked().alias("texto"))).select("md5", F.col("pagina").cast("long").alias("pagina"), F.md5("texto").alias("texto")),

@@ -63,8 +63,3 @@ def intake(stream: DataFrame, table: Table, prepare: Callable[[DataFrame], DataF
         fresh.unpersist()
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def progress(rows: DataFrame, column: str = "status") -> DataFrame:
-    """STR-2: counts by state, over a stream or a table."""
-    return rows.groupBy(column).agg(F.count("*").alias("documentos"))
