@@ -329,7 +329,12 @@ cut AS (SELECT a, b, x || ' ' || b[1:j] AS t FROM (SELECT *, unnest(range(1, len
 found AS MATERIALIZED (SELECT a, b, max((length(t), id, t)) AS best FROM cut JOIN r USING (t) GROUP BY a, b),
 top AS (SELECT md5, max(best) AS best FROM near JOIN found USING (a, b) GROUP BY md5)
 SELECT md5, best[2] AS id, best[3] AS termo_chave, 'Regra ' || substr(md5(best[3]), 1, 2) AS valor_atribuido FROM top""",
-    "flat_table": REG + "SELECT md5, nome_arquivo, coalesce(tipo_documento, '') AS tipo_documento, CASE WHEN eh_nativo_digital THEN 'Sim' ELSE 'Não' END AS eh_nativo_digital, coalesce(dados_extras->>'emitente', '') AS emitente, coalesce(dados_extras->>'n', '') AS n, coalesce(dados_extras->>'pix_chave', '') AS pix_chave FROM e",
+    "flat_table": REG + "SELECT " + ", ".join({"beneficiario": "coalesce(beneficiario, '')", "cpf": "coalesce(cpf, '')", "faculdade": "coalesce(faculdade, '')", "tipo_documento": "coalesce(tipo_documento, '')", "status": "coalesce(status, '')",
+      "tentativa_ocr_llm": "CASE WHEN tentativa_ocr_llm THEN 'Sim' ELSE 'Não' END", "nome_arquivo": "nome_arquivo", "md5": "md5"}.get(c, "''") + f' AS "{h}"' for c, h in sinks.HEADERS.items())
+      + """, CASE WHEN eh_nativo_digital THEN 'Sim' ELSE 'Não' END AS eh_nativo_digital, coalesce(dados_extras->>'emitente', '') AS emitente, coalesce(dados_extras->>'n', '') AS n, coalesce(dados_extras->>'pix_chave', '') AS pix_chave,
+      CASE WHEN dados_extras IS NULL THEN '' ELSE 'um dois ' || substr(md5, 1, 4) END AS "a.b", CASE WHEN dados_extras IS NULL THEN '' ELSE '7' END AS "c[0]", CASE WHEN dados_extras IS NULL THEN '' ELSE '{"f":[1,true]}' END AS "d ""e""\", '' AS g FROM e""",
+    "extras_long": REG + """SELECT md5, unnest(['emitente', 'n', 'pix_chave', 'a.b', 'c[0]', 'd "e"', 'g']) AS chave, unnest([dados_extras->>'emitente', dados_extras->>'n', dados_extras->>'pix_chave', 'um' || chr(10) || 'dois ' || substr(md5, 1, 4), '7', '{"f":[1,true]}', NULL]) AS valor
+      FROM e WHERE dados_extras IS NOT NULL""",
     "extras_decode": REG + "SELECT md5, dados_extras->>'pix_chave' AS pix_chave, dados_extras->>'emitente' AS emitente FROM e",
     "dossier_merge": "WITH p AS (" + SQL["principal_type"] + "), reg AS (" + REGISTRY_SQL + ") SELECT reg.md5, coalesce(tipo_principal, tipo_documento) AS tipo_documento, coalesce(dominio_principal, dominio) AS dominio FROM reg LEFT JOIN p ON p.md5 = reg.md5",
     "stream_intake": "SELECT md5(user_id::VARCHAR) AS md5, arg_max(event_type, (ts, event_id)) AS status, arg_max(props->>'k', (ts, event_id)) AS k FROM events GROUP BY 1",
@@ -444,6 +449,7 @@ UNION ALL SELECT (SELECT max(id) FROM r) + row_number() OVER (ORDER BY x.t || '
     "rules_newest_first": RULES + "SELECT id, t AS termo_chave FROM r WHERE id <> 1002",
     "rules_learned": "VALUES ('diploma', 'Diploma', 'academico', true), ('recibo', 'Recibo', 'financeiro', false), ('recebi de', 'Recibo', 'financeiro', false), ('nota promissória', 'Nota Promissória', 'financeiro', false)".replace("VALUES", "SELECT * FROM (VALUES") + ") t(termo_chave, valor_atribuido, dominio, remover_pix)",
     "index_updated": IDX.replace("text", "CASE WHEN doc_id % 3 = 0 THEN 'termo inédito ' || coalesce(text, '') ELSE text END", 1) + "SELECT term, count(DISTINCT md5) AS df, count(*) AS cf FROM post GROUP BY 1",
+    "index_segments": IDX.replace("text", "CASE WHEN doc_id % 3 = 0 THEN 'termo inédito ' || coalesce(text, '') ELSE text END", 1) + "SELECT term, count(DISTINCT md5) AS df, count(*) AS cf FROM post GROUP BY 1",
     "pages_reclassified": REG + f""", pag AS MATERIALIZED ({PAGES_SQL}), c AS (SELECT md5, pagina FROM pag WHERE tipo = 'RG' AND pagina <= 2),
 known AS (SELECT md5, pagina, tipo FROM pag WHERE substr(md5, 1, 1) < '8' AND md5 IN (SELECT md5 FROM c)),
 blank AS (SELECT md5, p AS pagina, CASE WHEN p = 1 THEN coalesce(tipo_documento, 'Página 1') ELSE 'Página ' || p END AS tipo FROM (SELECT md5, unnest(range(1, max(pagina) + 1)) AS p FROM c WHERE substr(md5, 1, 1) >= '8' GROUP BY md5) JOIN e USING (md5)),

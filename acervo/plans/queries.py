@@ -25,6 +25,7 @@ from acervo.sources import sinks as O
 from acervo.sources.tables import kept, shared_dir, written
 from acervo.streaming import intake as N
 from acervo.streaming import progress as G
+from acervo.streaming.segments import Segments, index_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -244,6 +245,12 @@ def common_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared.select(number.alias("id"), "termo_chave", F.concat(F.lit("Regra "), F.substring(F.md5("termo_chave"), 1, 2)).alias("valor_atribuido"), F.lit("outro").alias("dominio"))
 
 
+def odd_extras(df: DataFrame) -> DataFrame:
+    """The registry with extra keys that hold dots, brackets and quotes, and values that are objects and lines."""
+    odd = F.concat(F.lit(',"a.b":"um\\ndois '), F.substring("md5", 1, 4), F.lit('","c[0]":7,"d \\"e\\"":{"f":[1,true]},"g":null}'))
+    return df.withColumn("dados_extras", F.concat(F.regexp_replace("dados_extras", r"\}$", ""), odd))
+
+
 QUERIES |= {
     "rule_match_many": lambda s, d: K.match_rules(adapter.texts(s, d), kept(s, "rules", d, lambda: common_pairs(s, d))).select("md5", "id", "termo_chave", "valor_atribuido"),
     "html_metadata": lambda s, d: I.html_metadata(adapter.read(s, d, "pages")).drop("meta"),
@@ -252,7 +259,8 @@ QUERIES |= {
     "text_fields": lambda s, d: K.extract_fields(adapter.texts(s, d)).select("md5", "cpf", "cnpj", "valor_monetario", F.size("nomes_detectados").alias("nomes")),
     "document_reports": lambda s, d: O.document_reports(adapter.registry(s, d)),
     "consolidated_report": lambda s, d: O.consolidated_report(adapter.registry(s, d)),
-    "flat_table": lambda s, d: O.flat(adapter.registry(s, d), ["md5", "nome_arquivo", "tipo_documento", "eh_nativo_digital"]),
+    "flat_table": lambda s, d: O.flat(odd_extras(adapter.registry(s, d)).select("md5", "nome_arquivo", "tipo_documento", "beneficiario", "cpf", "faculdade", "status", "tentativa_ocr_llm", "eh_nativo_digital", "dados_extras")),
+    "extras_long": lambda s, d: O.extras(odd_extras(adapter.registry(s, d))),
     "extras_decode": lambda s, d: I.decode_rows(adapter.registry(s, d), ["pix_chave", "emitente"]).select("md5", "pix_chave", "emitente"),
     "dossier_merge": lambda s, d: P.merge_dossier(adapter.registry(s, d), adapter.pages(s, d)).select("md5", "tipo_documento", "dominio"),
     "stream_intake": stream_intake,
@@ -310,6 +318,22 @@ def updated_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.update_index(texts_index(spark, sf_dir), changed, ["texto"]).groupBy("term").agg(F.countDistinct("md5").alias("df"), F.sum("tf").alias("cf"))
 
 
+def segmented_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents streamed into an index in batches, compacted, then a third of them again with another text."""
+    docs = adapter.texts(spark, sf_dir).select("md5", "doc_id", "texto")
+    root = f"{shared_dir(spark)}/acervo-segments-{uuid.uuid4().hex}"
+    index = Segments(spark, f"{root}/index")
+    again = docs.filter("doc_id % 3 = 0").withColumn("texto", F.concat(F.lit("termo inédito "), F.coalesce("texto", F.lit(""))))
+    for part, compacted in ((docs.repartition(3, "md5"), True), (again.repartition(2, "md5"), False)):
+        part.write.mode("append").parquet(f"{root}/in")
+        stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 2).parquet(f"{root}/in")
+        index_stream(stream, index, ["texto"], f"{root}/checkpoint").awaitTermination()
+        if compacted:
+            index.compact()
+            index.vacuum()
+    return index.postings().groupBy("term").agg(F.countDistinct("md5").alias("df"), F.sum("tf").alias("cf"))
+
+
 def page_changes(pages: DataFrame) -> DataFrame:
     """The first page of documents whose lines came back, and a page of documents that have none."""
     return pages.filter("tipo = 'RG' and pagina <= 2").select("md5", "pagina", F.lit("Diploma").alias("tipo"))
@@ -352,6 +376,7 @@ QUERIES |= {
     "rules_newest_first": lambda s, d: K.newest_first(R.delete_rule(taught(s, d), 1002)).select("id", "termo_chave"),
     "rules_learned": lambda s, d: K.learn_rules(written(K.with_signals(adapter.forms(s, d).select("md5", "texto"), "texto").select("md5", K.signature("texto", True)["tipo"].alias("tipo"), "texto"), "typed")).filter("termo_chave in ('diploma', 'recibo', 'nota promissória', 'confere o grau', 'recebi de')").select("termo_chave", "valor_atribuido", "dominio", "remover_pix"),
     "index_updated": updated_index,
+    "index_segments": segmented_index,
     "pages_reclassified": reclassified,
     "pages_split": lambda s, d: P.split_pages(adapter.read(s, d, "conversations").groupBy(F.col("conv_id").cast("string").alias("md5")).agg(marked().alias("texto"))).select("md5", F.col("pagina").cast("long").alias("pagina"), F.md5("texto").alias("texto")),
     "line_runs": lambda s, d: adapter.texts(s, d).select("md5", P.longest_run(lines()).cast("long").alias("linhas")),

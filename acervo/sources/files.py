@@ -62,7 +62,8 @@ def encode_rows(df: DataFrame) -> DataFrame:
 def decode_rows(df: DataFrame, promote: list[str] = ()) -> DataFrame:
     """SRC-8: list texts as arrays with the main class first, and overflow keys as columns where the row has none."""
     have = [c for c in promote if c in df.columns]
-    got = lambda k: F.get_json_object("dados_extras", f"$.{k}")
+    bag = F.from_json("dados_extras", "map<string,string>")  # keys are never put into a path
+    got = lambda k: F.try_element_at(bag, F.lit(k))
     out = df.withColumns({k: F.coalesce(X.nonblank(k), got(k)) if k in have else got(k) for k in promote})
     return out.withColumn("todos_tipos", type_set("tipo_documento", listed("todos_tipos_texto"))) if "todos_tipos_texto" in df.columns else out
 

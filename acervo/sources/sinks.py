@@ -49,18 +49,48 @@ def consolidated_report(df: DataFrame, reviewed: bool = False) -> DataFrame:
     return head.unionByName(numbered(df).select("pos", F.concat_ws(" | ", *parts, *([F.coalesce("status_conferencia", F.lit("pendente"))] if reviewed else [])).alias("linha"))).orderBy("pos")
 
 
-def flat(df: DataFrame, columns: list[str]) -> DataFrame:
-    """SNK-4: the given columns as texts (yes/no for booleans, JSON for objects, no line ends), and a column for every extra key."""
-    # keys come from the documents' forms: names, not rows; every one becomes a column
-    keys = sorted(r.k for r in df.select(F.explode(F.json_object_keys("dados_extras")).alias("k")).distinct().collect() if r.k not in columns)
+#: The flat export's columns and their headers, in order.
+HEADERS = {
+    "beneficiario": "Beneficiario", "cpf": "CPF", "rg": "RG", "cnpj": "CNPJ", "faculdade": "Instituicao_Ensino", "curso": "Curso", "natureza_curso": "Natureza_Curso",
+    "tipo_documento": "Tipo_Documento", "carga_horaria": "Carga_Horaria", "data": "Data_Documento", "status_conferencia": "Status_Conferencia", "revisado_em": "Revisado_Em",
+    "observacoes_conferencia": "Observacoes_Conferencia", "status": "Status_Processamento", "metodo_leitura": "Metodo_Leitura", "tentativa_ocr_llm": "Tentativa_OCR_LLM",
+    "erro": "Mensagem_Erro", "processado_em": "Processado_Em", "nome_arquivo": "Nome_Arquivo_PDF", "caminho_relativo": "Caminho_Relativo", "md5": "MD5",
+    "data_modificacao": "Data_Ultima_Alteracao_PDF", "autor": "dc_creator", "dc_title": "dc_title", "dc_subject": "dc_subject", "dc_creator_tool": "dc_creator_tool",
+}
+LEFT_OUT = ["data_criacao", "dados_extras"]
+
+
+def extras(df: DataFrame) -> DataFrame:
+    """SNK-4, SRC-8: (md5, chave, valor), a row for each extra key of each document: keys as they are, texts bare, anything else as JSON, null for null.
+
+    The bag is read as VARIANT and keys are never put into a path, so any key is found; what is no JSON object has none.
+    """
+    bags = df.select("md5", F.try_parse_json("dados_extras").alias("v")).filter("schema_of_variant(v) LIKE 'OBJECT%'")
+    return bags.lateralJoin(df.sparkSession.tvf.variant_explode(F.col("v").outer())).select("md5", F.col("key").alias("chave"), F.col("value").cast("string").alias("valor"))
+
+
+def flat(df: DataFrame) -> DataFrame:
+    """SNK-4: the 26 columns of the export under their headers (empty where df has none), then df's others and a column for every extra key.
+
+    Yes and no for booleans, JSON for objects, no line ends, empty texts for nulls.  Extra keys are names
+    from forms and become the header, so their list passes through the driver; `extras` has them without.
+    """
+    known = {c.lower() for c in [*df.columns, *HEADERS, *HEADERS.values()]}
+    keys = sorted(r.chave for r in extras(df).select("chave").distinct().collect() if r.chave.lower() not in known)
     kinds = dict(df.dtypes)
 
-    def shown(c: str) -> Column:
-        v = F.when(F.col(c), "Sim").otherwise("Não") if kinds[c] == "boolean" else F.to_json(c) if kinds[c].startswith(("array", "map", "struct")) else F.col(c).cast("string")
-        return F.regexp_replace(F.coalesce(v, F.lit("")), r"[\r\n]+", " ").alias(c)
+    def shown(v: Column, kind: str) -> Column:
+        told = F.when(v, "Sim").when(~v, "Não") if kind == "boolean" else F.to_json(v) if kind.startswith(("array", "map", "struct")) else v.cast("string")
+        return F.trim(F.regexp_replace(F.coalesce(told, F.lit("")), r"\r?\n|\r", " "))
 
-    return df.select(*[shown(c) for c in columns if c in df.columns], *[F.regexp_replace(F.coalesce(F.get_json_object("dados_extras", f"$.{k}"), F.lit("")), r"[\r\n]+", " ").alias(k) for k in keys])
+    fixed = [(shown(F.col(c), kinds[c]) if c in kinds else F.lit("")).alias(h) for c, h in HEADERS.items()]
+    others = [shown(F.col(c), kinds[c]).alias(c) for c in df.columns if c not in HEADERS and c not in LEFT_OUT]
+    # a bag that is no object has no keys
+    bag = F.expr("CASE WHEN schema_of_variant(_bag) LIKE 'OBJECT%' THEN CAST(_bag AS MAP<STRING, VARIANT>) END")
+    held = df.withColumn("_bag", F.try_parse_json("dados_extras")).withColumn("_bag", bag) if keys else df
+    return held.select(*fixed, *others, *[shown(F.try_element_at("_bag", F.lit(k)).cast("string"), "string").alias(k) for k in keys])
 
 
-def flat_csv(df: DataFrame, columns: list[str], path: str) -> None:
-    flat(df, columns).write.mode("overwrite").option("sep", ";").option("quoteAll", True).option("header", True).csv(path)
+def flat_csv(df: DataFrame, path: str) -> None:
+    """The flat table as CSV: semicolons, everything quoted."""
+    flat(df).write.mode("overwrite").option("sep", ";").option("quoteAll", True).option("header", True).csv(path)
