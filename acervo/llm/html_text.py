@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -29,7 +30,10 @@ from pyspark.sql import functions as F
 
 from acervo.llm.common import free, small_batches
 
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(script|style|template|noscript|title|svg)\b[^>]*>.*?(?:</\1\s*>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)/?>", re.S | re.I)
+#: A quote opens a value behind an equals sign alone, anywhere else (or without its fellow) it is a character like others.
+ATTRIBUTES = r"""(?:[^>=]++|=[ \t\n\f\r]*+(?:"[^"]*+"|'[^']*+')?+)*+"""
+#: Comments, elements without text, declarations, tags; what the page's end cuts off is consumed whole, so nothing is read twice.
+TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(script|style|template|noscript|title|svg)\b[^>]*+>.*?(?:</\1\s*+>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)({ATTRIBUTES})(?:>|(\Z))", re.S | re.I)
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*["']?([^"'>]+)""", re.I)
 INLINE = frozenset("a abbr b bdi bdo big cite code dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -44,69 +48,95 @@ MAX_PAGES = 300
 CELLS = 40_000
 
 
-def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
-    """(path, text, link characters) of every leaf block, in page order; path has tags and their class, id and role names."""
+class Path:
+    """The tags around a block and their class, id and role names, from the root; it shares what its parent has."""
+
+    __slots__ = ("above", "names", "size", "slots", "boilerplate", "content")
+
+    def __init__(self, above: Path | None = None, names: tuple[str, ...] = ()):
+        self.above, self.names = above, names
+        self.size = len(names) + (above.size if above else 0)
+        self.slots = above.slots.copy() if above else np.zeros(PATH_SLOTS, np.float32)
+        for name in names:
+            self.slots[crc32(name.encode()) % PATH_SLOTS] += 1
+        self.boilerplate = bool(above and above.boilerplate) or not BOILERPLATE.isdisjoint(names)
+        self.content = bool(above and above.content) or not CONTENT.isdisjoint(names)
+
+    def __iter__(self) -> Iterator[str]:
+        levels, at = [], self
+        while at:
+            levels.append(at.names)
+            at = at.above
+        return (name for names in reversed(levels) for name in names)
+
+
+#: Elements beyond which a start tag closes nothing.
+BARRIERS = ("div", "ul", "ol", "table", "article", "section")
+
+
+def blocks(page: str | None) -> list[tuple[Path, str, int]]:
+    """(path, text, link characters) of every leaf block, in page order."""
     page = page or ""
-    stack: list[tuple[str, tuple[str, ...]]] = []
-    out, piece, linked, at = [], [], 0, 0
+    stack: list[tuple[str, Path]] = []
+    places: dict[str, list[int]] = defaultdict(list)  # where a tag is open
+    root, out, piece, linked, at = Path(), [], [], 0, 0
 
     def add(raw: str):
         nonlocal linked
         if raw:
             piece.append(raw)
-            if any(t == "a" for t, _ in stack):
+            if places["a"]:
                 linked += len(raw.strip())
 
     def flush():
         nonlocal piece, linked
         text = " ".join(html.unescape("".join(piece)).split()) if piece else ""
         if text:
-            out.append((tuple(x for _, names in stack for x in names), text, linked))
+            out.append((stack[-1][1] if stack else root, text, linked))
         piece, linked = [], 0
 
+    def close(tag: str, beyond: int = -1):
+        if places[tag] and (i := places[tag][-1]) > beyond:
+            for t, _ in stack[i:]:
+                places[t].pop()
+            del stack[i:]
+
     for m in TOKEN.finditer(page):
         add(page[at : m.start()])
         at = m.end()
-        if m[3] is None:
+        if m[5] is not None:  # no tag after all
+            add(m[0])
+        if m[3] is None or m[5] is not None:
             continue
         tag = m[3].lower()
         if tag not in INLINE:
             flush()
         if m[2]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
+            close(tag)
         elif tag not in VOID:
             if tag in SELF_CLOSING:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == SELF_CLOSING[tag]:
-                        del stack[i:]
-                        break
-                    if stack[i][0] in ("div", "ul", "ol", "table", "article", "section"):
-                        break
-            stack.append((tag, (tag, *[n.lower() for x in NAMES.findall(m[4] or "") for n in re.split(r"[\s_-]+", x) if n])))
+                close(SELF_CLOSING[tag], max((places[t][-1] for t in BARRIERS if places[t]), default=-1))
+            names = (tag, *[n.lower() for x in NAMES.findall(m[4] or "") for n in re.split(r"[\s_-]+", x) if n])
+            places[tag].append(len(stack))
+            stack.append((tag, Path(stack[-1][1] if stack else root, names)))
     add(page[at:])
     flush()
     return out
 
 
-def hint(path: tuple[str, ...]) -> int | None:
+def hint(path: Path) -> int | None:
     """1 for content, 0 for boilerplate, None where the structure does not tell."""
-    if not BOILERPLATE.isdisjoint(path):
-        return 0
-    return 1 if not CONTENT.isdisjoint(path) else None
+    return 0 if path.boilerplate else 1 if path.content else None
 
 
-def vectors(page: list[tuple[tuple[str, ...], str, int]]) -> np.ndarray:
+def vectors(page: list[tuple[Path, str, int]]) -> np.ndarray:
     x = np.zeros((len(page), PATH_SLOTS + WORD_SLOTS + 6), np.float32)
     for row, (path, text, linked) in zip(x, page):
-        for name in path:
-            row[crc32(name.encode()) % PATH_SLOTS] += 1
+        row[:PATH_SLOTS] = path.slots
         w = text.lower().encode().split()
         row[PATH_SLOTS : PATH_SLOTS + WORD_SLOTS] = np.bincount(np.fromiter(map(crc32, w), np.int64, len(w)) % WORD_SLOTS, minlength=WORD_SLOTS) / np.sqrt(len(w) * 4)
         n = len(text)
-        row[-6:] = (np.log1p(n) / 5, min(1.0, linked / n), np.log1p(len(w)) / 4, sum(text.count(c) for c in ".,;") * 8 / n, text.endswith((".", "!", "?")), len(path) / 8)
+        row[-6:] = (np.log1p(n) / 5, min(1.0, linked / n), np.log1p(len(w)) / 4, sum(text.count(c) for c in ".,;") * 8 / n, text.endswith((".", "!", "?")), path.size / 8)
     return x
 
 
@@ -214,7 +244,7 @@ def renamed(page: list, rng) -> list:
                 r = rng.random()
                 same = choice[int(name in CONTENT)]
                 swap[name] = name if r < 0.5 else same[rng.integers(len(same))] if r < 0.8 else "div"
-    return [(tuple(swap.get(n, n) for n in path), text, linked) for path, text, linked in page]
+    return [(Path(None, tuple(swap.get(n, n) for n in path)), text, linked) for path, text, linked in page]
 
 
 def padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:

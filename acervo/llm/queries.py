@@ -23,7 +23,7 @@ def op2_license_scan(spark, sf_dir):
 
 
 def op3_suffix_dedup(spark, sf_dir):
-    return repeats.digest(repeats.strip(repeats.repeated_spans(_read(spark, sf_dir, "documents").select("doc_id", "text"), short=repeats.SHORT)))
+    return repeats.digest(repeats.strip(repeats.repeated_spans(_read(spark, sf_dir, "documents").select("doc_id", "text"))))
 
 
 def op4_poisson_mix(spark, sf_dir):

@@ -9,7 +9,10 @@ no harm; bytes that are no UTF-8 are read as Latin-1.  A layer seen before at th
 place is not opened again, so the work ends at a fixpoint.
 
 Spans found in a deeper layer are mapped back to the code points of the original text: to
-the characters that encode them, or to the whole stream where it was compressed.
+the characters that encode them, or to the whole stream where it was compressed.  Places are
+arrays that each layer composes once with those above it, so any depth works; the time is that of
+the layers, one pass over each.  A stream is read in overlapping windows; what would be cut
+by them is only a stream inside it whose compressed form is itself longer than OVERLAP.
 
 Defined results: null is the empty text and has no spans; repeated rows give
 repeated results; an empty table gives an empty result; other columns pass through, and an added column whose
@@ -22,9 +25,9 @@ import base64
 import hashlib
 import re
 import zlib
-from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,16 +45,23 @@ PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 BACKSLASH = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+")
 #: The shortest secret has 12 bytes and so 16 characters of base64.
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}")
-WRAPPED = re.compile(r"(?:[A-Za-z0-9+/_-]{16,}\r?\n[ \t]*)+[A-Za-z0-9+/_-]+")
+#: Lines of base64, each going on with the next; a run is tried from its beginning alone and whole.
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{16,}+\r?\n[ \t]*+)+[A-Za-z0-9+/_-]++")
 #: How a gzip stream and a zlib stream (window of 32 KB, no dictionary) begin.
 STREAM = re.compile("\x1f\x8b\x08|x[\x01^\x9c\xda]")
 STREAM_BYTES = re.compile(STREAM.pattern.encode("latin-1"))
 NO_BYTE = re.compile("[^\x00-\xff]")
 CHUNK = 1 << 16
+#: A larger stream is read in windows of so many bytes, each beginning OVERLAP bytes before the end of the last.
+WINDOW, OVERLAP = 32 << 20, 4 << 20
 
-Place = Callable[[int, int], tuple[int, int]]
-#: path step, decoded text, its characters' places in the layer it came from
-Layer = tuple[str, str, Place]
+#: A path longer than this is not made longer by deeper layers.
+PATH = 1000
+
+#: First characters and ends (exclusive) of what each character of a decoded text came from.
+Origin = tuple[np.ndarray, np.ndarray]
+#: path step, decoded text, its extent in the layer it came from, its origin there (none: the extent, whole)
+Layer = tuple[str, str, tuple[int, int], Callable[[], Origin] | None]
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -79,14 +89,46 @@ class Pieces:
             self.width.append(width)
             self.size += len(text)
 
-    def _one(self, i: int) -> tuple[int, int]:
-        k = bisect_right(self.at, i) - 1
-        if self.width[k]:
-            return self.source[k], self.source[k] + self.width[k]
-        return self.source[k] + i - self.at[k], self.source[k] + i - self.at[k] + 1
+    def extent(self) -> tuple[int, int]:
+        return self.source[0], self.source[-1] + (self.width[-1] or self.size - self.at[-1])
+
+    def origin(self) -> Origin:
+        at, source, width = (np.array(x, np.int64) for x in (self.at, self.source, self.width))
+        piece = np.repeat(np.arange(len(at)), np.diff(np.append(at, self.size)))
+        lo = source[piece] + np.where(width[piece] == 0, np.arange(self.size) - at[piece], 0)
+        return lo, np.where(width[piece] == 0, lo + 1, source[piece] + width[piece])
+
+
+class Origins:
+    """Where a layer's characters stand in the original text, worked out once and only if something asks.
+
+    A layer asks when it is scanned, after the one above it did, so nothing nests.
+    """
+
+    def __init__(self, above: Origins | None, extent: tuple[int, int], local: Callable[[], Origin] | None):
+        self.above, self.local, self.lo = above, local, None
+        self.whole = local is None or (above is not None and above.whole)
+        self.extent = above.place(*extent) if above is not None else extent
+
+    def place(self, a: int, b: int) -> tuple[int, int]:
+        if self.whole:
+            return self.extent
+        if self.lo is None:
+            lo, hi = self.local()
+            above = self.above
+            self.lo, self.hi = (lo, hi) if above is None or isinstance(above, Text) else (above.lo[lo], above.hi[hi - 1])
+            self.above = self.local = None
+        return int(self.lo[a]), int(self.hi[b - 1])
+
+
+class Text(Origins):
+    """The original text itself."""
+
+    def __init__(self):
+        self.whole = False
 
     def place(self, a: int, b: int) -> tuple[int, int]:
-        return self._one(a)[0], self._one(b - 1)[1]
+        return a, b
 
 
 def _utf8(raw: bytes) -> Iterator[tuple[str, int]]:
@@ -119,7 +161,7 @@ def _percent(layer: str) -> Iterator[Layer]:
         out.add(layer[end:], end)
         text = "".join(out.text)
         if not as_bytes or STREAM.search(text):
-            yield "url", text, out.place
+            yield "url", text, out.extent(), out.origin
 
 
 def _backslash(layer: str) -> Iterator[Layer]:
@@ -140,18 +182,19 @@ def _backslash(layer: str) -> Iterator[Layer]:
         end = m.end()
     if end:
         out.add(layer[end:], end)
-        yield "unicode", "".join(out.text), out.place
+        yield "unicode", "".join(out.text), out.extent(), out.origin
 
 
-def _base64_runs(layer: str) -> Iterator[tuple[str, Place]]:
+def _base64_runs(layer: str) -> Iterator[tuple[str, Callable[[np.ndarray], np.ndarray]]]:
+    """Every run of base64, and where its characters stand; then lines that go on with the next, joined."""
     for m in BASE64.finditer(layer):
-        yield m[0], lambda a, b, s=m.start(): (s + a, s + b)
+        yield m[0], lambda at, s=m.start(): s + at
     if "\n" in layer:
         for m in WRAPPED.finditer(layer):
             out = Pieces()
             for x in re.finditer(r"\S+", m[0]):
                 out.add(x[0], m.start() + x.start())
-            yield "".join(out.text), out.place
+            yield "".join(out.text), lambda at, out=out: out.origin()[0][at]
 
 
 def _base64(layer: str) -> Iterator[Layer]:
@@ -162,53 +205,93 @@ def _base64(layer: str) -> Iterator[Layer]:
             size -= size % 4 == 1
             raw = base64.b64decode(plain[first : first + size] + "=" * (-size % 4))
 
-            def bits(a: int, b: int, first=first, place=place) -> tuple[int, int]:
+            def bits(a: np.ndarray, b: np.ndarray, first=first, place=place) -> Origin:
                 """The characters that hold bytes a to b."""
-                return place(first + a * 4 // 3, first + (8 * b - 1) // 6 + 1)
+                return place(first + a * 4 // 3), place(first + (8 * b - 1) // 6) + 1
 
+            def of_text(text: str, bits=bits) -> Origin:
+                ends = np.arange(1, len(text) + 1)
+                if not text.isascii():
+                    code = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+                    ends = np.cumsum(1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000))
+                return bits(np.append(0, ends[:-1]), ends)
+
+            if not raw:
+                continue
+            lo, hi = bits(np.array([0]), np.array([len(raw)]))
+            extent = int(lo[0]), int(hi[0])
             try:
                 text = raw.decode()
             except UnicodeDecodeError:
                 text = None
             if text is not None:
-                yield "base64", text, lambda a, b, text=text, bits=bits: bits(len(text[:a].encode()), len(text[:b].encode()))
+                yield "base64", text, extent, lambda text=text, of_text=of_text: of_text(text)
             if text is None or not text.isascii() and STREAM_BYTES.search(raw):
-                yield "base64", raw.decode("latin-1"), bits
+                yield "base64", raw.decode("latin-1"), extent, lambda n=len(raw), bits=bits: bits(np.arange(n), np.arange(1, n + 1))
 
 
-def _inflate(layer: str, at: int) -> tuple[bytes, int] | None:
-    """The stream that begins at a character (each stands for one byte), and where it ends."""
-    engine, out, size = zlib.decompressobj(31 if layer[at] == "\x1f" else 15), [], 32
+def _inflated(layer: str, at: int) -> Iterator[bytes | int]:
+    """The bytes of the stream that begins at a character (each stands for one byte), piece by piece, and last where it ends; no end if it breaks off."""
+    engine, size = zlib.decompressobj(31 if layer[at] == "\x1f" else 15), 32
     while at < len(layer):
         piece, size = layer[at : at + size], min(2 * size, CHUNK)
         last = NO_BYTE.search(piece)
         piece = piece[: last.start()] if last else piece
+        raw = piece.encode("latin-1")
+        at += len(piece)
         try:
-            out.append(engine.decompress(piece.encode("latin-1")))
+            while raw and not engine.eof:
+                yield engine.decompress(raw, WINDOW)
+                raw = engine.unconsumed_tail
         except zlib.error:
-            return None
-        at += len(piece)
+            return
         if engine.eof:
-            return b"".join(out), at - len(engine.unused_data)
+            yield at - len(engine.unused_data)
+            return
         if last:
-            return None
-    return None
+            return
+
+
+def _windows(layer: str, at: int) -> Iterator[bytes]:
+    """A stream's bytes in windows that overlap, so that no more than one is held."""
+    held = bytearray()
+    for piece in _inflated(layer, at):
+        if isinstance(piece, int):
+            break
+        held += piece
+        while len(held) >= 2 * WINDOW:
+            yield bytes(held[:WINDOW])
+            del held[: WINDOW - OVERLAP]
+    yield bytes(held)
+
+
+def _readings(raw: bytes) -> Iterator[str]:
+    """Bytes as UTF-8 if they are (a window may cut a character at either end), and as Latin-1 if not or if a stream may begin in them."""
+    lead = next((k for k in range(min(4, len(raw))) if raw[k] & 0xC0 != 0x80), 0) if len(raw) >= WINDOW else 0
+    text = None
+    for cut in range(4 if len(raw) >= WINDOW else 1):
+        try:
+            text = raw[lead : len(raw) - cut].decode()
+            break
+        except UnicodeDecodeError:
+            pass
+    if text is not None:
+        yield text
+    if text is None or not text.isascii() and STREAM_BYTES.search(raw):
+        yield raw.decode("latin-1")
 
 
 def _streams(layer: str) -> Iterator[Layer]:
     end = 0
     for m in STREAM.finditer(layer):
-        if m.start() >= end and (got := _inflate(layer, m.start())) is not None:
-            raw, end = got
-            place = lambda a, b, x=m.start(), y=end: (x, y)
-            try:
-                text = raw.decode()
-            except UnicodeDecodeError:
-                text = None
-            if text is not None:
-                yield "zip", text, place
-            if text is None or not text.isascii() and STREAM_BYTES.search(raw):
-                yield "zip", raw.decode("latin-1"), place
+        if m.start() < end:
+            continue
+        over = next((x for x in _inflated(layer, m.start()) if isinstance(x, int)), None)
+        if over is not None:
+            end = over
+            for raw in _windows(layer, m.start()):
+                for text in _readings(raw):
+                    yield "zip", text, (m.start(), end), None
 
 
 def unwrapped(layer: str) -> Iterator[Layer]:
@@ -227,21 +310,21 @@ def scan(text: str | None) -> list[tuple[str, int, int, str]]:
     text = text or ""
     found = {span: "" for span in base_spans(text)}
     seen = {(_digest(text), 0, len(text))}
-    work: list[tuple[str, Place, str]] = [(text, lambda a, b: (a, b), "")]
+    work: list[tuple[str, Origins, str]] = [(text, Text(), "")]
     while work:
         layer, above, path = work.pop()
-        for how, inner, local in unwrapped(layer):
+        for how, inner, extent, local in unwrapped(layer):
             if not inner:
                 continue
-            place = lambda a, b, above=above, local=local: above(*local(a, b))
-            mark = (_digest(inner), *place(0, len(inner)))
+            origins = Origins(above, extent, local)
+            mark = (_digest(inner), *origins.extent)
             if mark in seen:
                 continue
             seen.add(mark)
-            deeper = f"{path}/{how}" if path else how
+            deeper = f"{path}/{how}" if path and len(path) < PATH else how if not path else path
             for k, a, b in base_spans(inner):
-                found.setdefault((k, *place(a, b)), deeper)
-            work.append((inner, place, deeper))
+                found.setdefault((k, *origins.place(a, b)), deeper)
+            work.append((inner, origins, deeper))
     return sorted(((k, a, b, p) for (k, a, b), p in found.items()), key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 

@@ -1,14 +1,17 @@
-"""Spelling variants, chat formatting and word runs against brute force, and on hard inputs."""
+"""Spelling variants, chat formatting and word runs against brute force; hard inputs of these, of secrets and of pages."""
 
+import base64
 import hashlib
 import random
+import re
+import time
 import zlib
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from acervo.llm import chat, runs, variants
+from acervo.llm import chat, html_text, runs, secrets, variants
 
 TURNS = "conv_id long, turn long, role string, text string"
 
@@ -47,8 +50,6 @@ def test_vocabulary_and_its_slips(spark, hard_docs):
     docs = spark.createDataFrame([*((i, texts[i % 4]) for i in range(200)), (None, texts[0])], "doc_id long, text string")
     want = Counter()
     for i, text in [*((i, texts[i % 4]) for i in range(200)), (None, texts[0])]:
-        import re
-
         for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
             run = run.translate(str.maketrans(variants.UPPER, variants.LOWER))
             h = zlib.crc32(f"{i}:{run}".encode())
@@ -91,8 +92,6 @@ def test_chat_reads_back_what_it_wrote(spark):
 
 
 def test_chat_escapes_are_bijective():
-    import re
-
     rng = random.Random(7)
     for _ in range(3000):
         text = "".join(rng.choice(["<", "[", "\\", "/", "s>", "INST]", "x", "</s>", "[INST]"]) for _ in range(rng.randint(0, 9)))
@@ -146,3 +145,39 @@ def test_runs_of_documents(spark, hard_docs):
     assert tuple(out[2])[1:] == (0, None, None, None, None, empty, empty)
     assert tuple(out[5])[1:6] == (1, 0, 30_000, 1, 30_000_000) and out[5].collapsed_sha256 == hashlib.sha256(b"w").hexdigest()
     assert runs.digest(runs.find_runs(runs.with_periods(hard_docs))).count() == 8 and runs.find_runs(hard_docs.limit(0)).count() == 0
+
+
+def test_secrets_in_many_layers(spark):
+    deep = "%" + "25" * 1500 + "70assword=abcdefghij"
+    found = secrets.scan(deep)
+    assert ("assign", 0, len(deep)) in [x[:3] for x in found] and max(len(x[3]) for x in found) <= secrets.PATH + 4
+    five = secrets.scan("%" + "25" * 5000 + "70assword=abcdefghij")
+    assert five[0][:3] == ("assign", 0, 10_021)
+    out = secrets.digest(secrets.find_secrets(spark.createDataFrame([(1, deep)], "doc_id long, text string"))).first()
+    assert "assign:0:3021" in out.spans and secrets.masked(deep, "#") == "#"
+
+
+def test_secrets_in_long_runs_and_streams(monkeypatch):
+    began = time.process_time()
+    assert secrets.scan("a\n" + "xy" * 1_000_000) == []
+    assert time.process_time() - began < 10
+    monkeypatch.setattr(secrets, "WINDOW", 4096)
+    monkeypatch.setattr(secrets, "OVERLAP", 1024)
+    for at in (0, 4000, 4090, 20_000, 65_530):
+        text = "ü " * (at // 2) + " password=hunter2xyz " + "- " * 30_000
+        packed = base64.b64encode(zlib.compress(text.encode())).decode()
+        assert secrets.scan(packed) == [("assign", 0, len(packed.rstrip("=")), "base64/zip")] or secrets.scan(packed)[0][3] == "base64/zip"
+    assert secrets.scan(base64.b64encode(zlib.compress(b"token=abcdefgh " * 9)[:-7]).decode()) == []
+
+
+def test_pages_with_stray_quotes_and_open_tags():
+    said = lambda page: [x[1] for x in html_text.blocks(page)]
+    assert said("<p title=it's>first text</p><p>second text</p><p>it's third</p>") == ["first text", "second text", "it's third"]
+    assert said('<a href="x"">one</a><p>two <b title="a>b">three</b></p>') == ["one", "two three"]
+    assert said("<p>a<!-- gone") == ["a"] and said("<p>a <script>x") == ["a"] and said("<p>a</p>b <i") == ["a", "b <i"]
+    began = time.process_time()
+    assert len(html_text.blocks("<a b " * 400_000)) == 1 and len(html_text.blocks("<div>x" * 20_000)) == 20_000
+    assert html_text.blocks("<div>" * 20_000 + "</x>" * 20_000 + "<!" * 20_000) == [] and len(html_text.blocks('<a b="' * 100_000)) == 1
+    assert time.process_time() - began < 10
+    path = html_text.blocks("<main><nav class='Top-bar'><p>x</p></nav></main>")[0][0]
+    assert list(path) == ["main", "nav", "top", "bar", "p"] and html_text.hint(path) == 0
