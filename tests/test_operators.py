@@ -7,6 +7,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from acervo.operators import automaton
 from acervo.operators import classify as K
 from acervo.operators import duplicates as D
 from acervo.operators import entities as E
@@ -19,6 +20,8 @@ from acervo.schema import DOC_SCHEMA, reconcile_schema
 from acervo.sources import files as I
 from acervo.sources import sinks as O
 from acervo.streaming import intake as N
+from acervo.streaming import progress as G
+from acervo.streaming.segments import Segments, index_stream
 
 
 def registry(spark, rows):
@@ -75,11 +78,6 @@ def test_rules(spark):
     docs = spark.createDataFrame([("a", "um TESTE Fatura Especial oab"), ("b", "oaba"), ("c", "a OAB, sim")], "md5 string, texto string")
     want = {"a": "Fatura", "c": "OAB"}
     assert {r.md5: r.valor_atribuido for r in K.match_rules(docs, rules).collect()} == want
-    most, K.MOST_RULES = K.MOST_RULES, 1
-    try:
-        assert {r.md5: r.valor_atribuido for r in K.match_rules(docs, rules).collect()} == want
-    finally:
-        K.MOST_RULES = most
 
 
 def similarity(a, b):
@@ -134,9 +132,10 @@ def test_search(spark):
 
 
 def test_pages(spark):
-    rows = [("a", 1, "Contrato", "juridico", "x"), ("a", 2, None, "outros", "cláusula dois"), ("a", 3, None, "outros", "nada"), ("b", 1, P.RETURN, "financeiro", ""), ("b", 2, P.RECEIPT, "financeiro", "")]
+    rows = [("a", 1, "Contrato", "juridico", "x"), ("a", 2, None, "outros", "cláusula dois"), ("a", 3, P.NOTHING, "outros", "o foro"), ("a", 4, "RG", "identificacao", "x"), ("a", 5, None, "outros", "cláusula três"), ("b", 1, P.RETURN, "financeiro", ""), ("b", 2, P.RECEIPT, "financeiro", "")]
     p = spark.createDataFrame(rows, "md5 string, pagina int, tipo string, dominio string, texto string")
-    assert [r.tipo for r in P.carry_contracts(p).filter("md5 = 'a'").orderBy("pagina").collect()] == ["Contrato", "Contrato", None]
+    assert [r.tipo for r in P.carry_contracts(p).filter("md5 = 'a'").orderBy("pagina").collect()] == ["Contrato", "Contrato", "Contrato", "RG", None]
+    assert [r.dominio for r in P.carry_contracts(p).filter("md5 = 'a'").orderBy("pagina").collect()] == ["juridico", "juridico", "juridico", "identificacao", "outros"]
     assert {r.tipo for r in P.merge_returns(p).filter("md5 = 'b'").collect()} == {P.RECEIPT}
     marked = spark.createDataFrame([("a", "--- PÁGINA 1 ---\num\n=== PÁGINA 2 ===\ndois")], "md5 string, texto string")
     assert [(r.pagina, r.texto) for r in P.split_pages(marked).orderBy("pagina").collect()] == [(1, "um"), (2, "dois")]
@@ -220,9 +219,10 @@ def test_rules_match_alike_at_every_size(spark, monkeypatch):
     terms = ["recibo de", "x", "ab", "r$", "%", "cdef", "bcdefg", "zzz", " "]
     rules = spark.createDataFrame([(i, t, f"v{i}", "outro") for i, t in enumerate(terms)], "id long, termo_chave string, valor_atribuido string, dominio string")
     found = []
-    for most in (2000, 2):
-        monkeypatch.setattr(K, "MOST_RULES", most)
+    for letters in (automaton.BLOCK_LETTERS, 3):
+        monkeypatch.setattr(automaton, "BLOCK_LETTERS", letters)
         found.append({r.md5: r.termo_chave for r in K.match_rules(docs, rules).collect()})
+    assert K.match_rules(docs, rules.limit(0)).count() == 0 and K.match_rules(docs.limit(0), rules).count() == 0
     assert found[0] == found[1] and found[0]["a"] == "recibo de" and found[0]["b"] == "x" and found[0]["c"] == "ab" and found[0]["f"] == "bcdefg"
     assert [r.id for r in K.newest_first(rules).collect()] == list(range(len(terms) - 1, -1, -1))
 
@@ -264,3 +264,100 @@ def test_intake_updates_the_index(spark, tmp_path):
         N.intake(stream, table, lambda b: b, f"{root}/checkpoint", keep=[], index=index, fields=["texto"]).awaitTermination()
     assert {r.md5: (r.texto, r.n) for r in table.latest().collect()} == {"aa1": ("novo termo", 2), "bb2": ("outro", 1)}
     assert sorted((r.term, r.md5) for r in index.latest().collect()) == [("novo", "aa1"), ("outro", "bb2"), ("termo", "aa1")]
+
+
+def test_longest_terms_equal_brute_force(spark, monkeypatch):
+    import random
+    import re
+
+    rng = random.Random(1)
+    word = lambda n: "".join(rng.choice("ab .é") for _ in range(n))
+    terms = {word(rng.randint(1, 7)).strip(): i for i in range(150)}
+    terms.pop("", None)
+    texts = {str(i): word(rng.randint(0, 40)) for i in range(120)}
+    want = {}
+    for k, text in texts.items():
+        holds = [(len(t), i) for t, i in terms.items() if (re.search(r"\b" + re.escape(t) + r"\b", text) if len(t) <= 4 else t in text)]
+        if holds:
+            want[k] = max(holds)
+    monkeypatch.setattr(automaton, "BLOCK_LETTERS", 100)
+    got = automaton.longest_terms(spark.createDataFrame([*texts.items(), ("none", None)], "md5 string, low string"), spark.createDataFrame(list(terms.items()), "t string, id long"))
+    assert {r.md5: (r.size, r.id) for r in got.collect()} == want
+
+
+def test_snippet_shows_the_window_with_most_words(spark):
+    text = " ".join(["alfa", *["x"] * 30, "beta", "y", "Alfa,", "z", "gama", *["w"] * 30, "alfa", "alfa"])
+    show = lambda q, size=5: spark.createDataFrame([(text,)], "t string").select(S.snippet("t", q, size).alias("s")).first().s
+    assert show("alfa beta gama") == "... <mark>beta</mark> y <mark>Alfa,</mark> z <mark>gama</mark> ..."
+    assert show("beta", 5) == "... x x <mark>beta</mark> y Alfa, ..."
+    assert show("alfa AND NOT beta", 3).startswith("... w <mark>alfa</mark> <mark>alfa</mark>")
+    assert show("nada", 2) == "alfa x ..."
+
+
+def test_page_chain_and_its_details(spark):
+    receipt = "Receita Federal\nRecibo de Entrega da Declaração de Ajuste Anual\nExercício: 2023"
+    tax = "Receita Federal\nDeclaração de Ajuste Anual\nExercício: 2024\nAno-Calendário: 2023"
+    texts = [tax, receipt, tax, "texto solto qualquer", tax, "Nota Promissória\nPagável a esta praça", tax, "Compromisso de Compra e Venda\nPromitente Vendedor: Ana", "perante a testemunha", "lista de compras", "o foro da cidade"]
+    rules = spark.createDataFrame([(1, "lista de compras", P.RETURN, None)], "id long, termo_chave string, valor_atribuido string, dominio string")
+    out = K.classify_pages(spark.createDataFrame([("a", i, t) for i, t in enumerate(texts)], "md5 string, pagina int, texto string"), rules)
+    rows = out.orderBy("pagina").collect()
+    assert [r.tipo for r in rows] == [P.RETURN, P.RECEIPT, P.RECEIPT, P.NOTHING, P.RECEIPT, "Nota Promissória", P.RETURN, "Contrato de Compra e Venda", "Contrato de Compra e Venda", P.RETURN, P.NOTHING]
+    assert [r.dominio for r in rows][7:] == ["juridico", "juridico", "academico", "outros"]
+    told = P.details(out).first()
+    assert (told.exercicio_irpf, told.ano_calendario, told.numeros_cheque) == ("2024", "2023", [])
+
+
+def test_progress_over_batches_in_any_order(spark, tmp_path):
+    root = f"file://{tmp_path}"
+    at = lambda n: datetime.datetime(2024, 1, 1, 0, 0, n)
+    schema = "run string, event string, ts timestamp, number long, total long, already long, ok boolean"
+    batches = [
+        [("a", "file_done", at(5), 1, None, None, True), ("a", "ready", at(9), 2, 7, 1, None), ("b", "file_done", at(1), 3, None, None, None)],
+        [("a", "ready", at(2), 4, 99, 0, None), ("a", "file_done", at(6), 5, None, None, False), (None, "file_done", at(6), 6, None, None, True), ("a", "init", at(1), 7, None, None, None)],
+        [("a", "file_done", at(7), n, None, None, True) for n in range(10, 20)],
+    ]
+    table = N.Table(spark, f"{root}/table")
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).write.parquet(f"{root}/in/{k}")
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{root}/in")
+        G.follow(stream, table, f"{root}/checkpoint").awaitTermination()
+        if k == 1:
+            assert {tuple(r) for r in G.runs(table.latest()).collect()} == {("a", 7, 1, 2, 1, 1, 42.9), ("b", 0, 0, 1, 0, 1, None)}
+    assert {tuple(r) for r in G.runs(table.latest()).collect()} == {("a", 7, 1, 12, 11, 1, 100.0), ("b", 0, 0, 1, 0, 1, None)}
+
+
+def test_segments_bury_what_came_before(spark, tmp_path):
+    index = Segments(spark, f"file://{tmp_path}/index")
+    add = lambda rows, n: index.append(spark.createDataFrame(rows, "md5 string, t string"), ["t"], n)
+    alive = lambda: sorted((r.term, r.md5, r.tf) for r in index.postings().collect())
+    assert alive() == [] and index.docs().count() == 0
+    add([("a", "um dois um"), ("b", "três")], 0)
+    add([("a", "quatro"), ("c", None)], 1)
+    want = [("quatro", "a", 1), ("tres", "b", 1)]
+    assert alive() == want and {tuple(r) for r in index.docs().collect()} == {("a", 1, 1), ("b", 1, 0), ("c", 0, 1)}
+    add([("a", "quatro"), ("c", None)], 1)  # the same batch again
+    assert alive() == want
+    index.compact()
+    assert alive() == want and [n for _, n in index._folders()] == ["base-1"]
+    index.vacuum()
+    add([("b", ""), ("d", "um")], 2)
+    assert alive() == [("quatro", "a", 1), ("um", "d", 1)]
+    size = index.sizes().first()
+    assert (size.docs, size.mean) == (4, 0.5)
+    assert [r.md5 for r in S.search(index.postings(), index.sizes(), "quatro").collect()] == ["a"]
+
+
+def test_flat_table_and_extras_with_any_key(spark):
+    bags = ['{"a.b": "x\\ny", "c[0]": {"d": [1, true]}, "e\\"f": null, "CPF": "0"}', '{"g": 1.5}', "[1]", "no json", None]
+    df = spark.createDataFrame([(str(i), True if i else None, b) for i, b in enumerate(bags)], "md5 string, tem_assinatura_digital boolean, dados_extras string")
+    out = O.flat(df)
+    assert out.columns == [*O.HEADERS.values(), "tem_assinatura_digital", "a.b", "c[0]", 'e"f', "g"] and len(O.HEADERS) == 26
+    rows = {r.MD5: r for r in out.collect()}
+    assert rows["0"]["a.b"] == "x y" and rows["0"]["c[0]"] == '{"d":[1,true]}' and rows["0"]['e"f'] == "" and rows["0"]["tem_assinatura_digital"] == "" and rows["1"]["tem_assinatura_digital"] == "Sim"
+    assert rows["1"]["g"] == "1.5" and all(rows[k]["g"] == "" for k in "0234") and rows["0"]["CPF"] == ""
+    assert {tuple(r) for r in O.extras(df).collect()} == {("0", "a.b", "x\ny"), ("0", "c[0]", '{"d":[1,true]}'), ("0", 'e"f', None), ("0", "CPF", "0"), ("1", "g", "1.5")}
+    many = spark.range(300).selectExpr("cast(id as string) as md5", """concat('{"k', id, '": "v', id, '"}') as dados_extras""")
+    wide = O.flat(many)
+    assert set(wide.columns) == {*O.HEADERS.values(), *(f"k{i}" for i in range(300))}
+    assert wide.filter("MD5 = '299'").select("k299", "k1").collect() == [("v299", "")]
+    assert I.decode_rows(df, ["a.b"]).orderBy("md5").first()["a.b"] == "x\ny"
