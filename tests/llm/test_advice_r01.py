@@ -5,7 +5,6 @@ import random
 import numpy as np
 
 from acervo.llm import lm, overlap
-from acervo.sources import sinks
 
 
 def docs_of(spark, texts):
@@ -52,10 +51,3 @@ def test_lm_trains_on_whole_documents():
     assert {x.tobytes() for own in taken for x in own} == whole
     # all of a long document's windows are learned from
     assert lm.Model.fresh(1.0, 1.0, [1.0] * 58).train([np.full(5000, 7)], {}, 0.01) == 5000
-
-
-def test_flat_table_has_a_column_for_every_extra_key(spark):
-    df = spark.range(700).selectExpr("cast(id as string) as md5", """concat('{"k', id, '": "v', id, '"}') as dados_extras""")
-    out = sinks.flat(df, ["md5"])
-    assert set(out.columns) == {"md5", *(f"k{i}" for i in range(700))}
-    assert out.filter("md5 = '699'").select("k699", "k1").collect() == [("v699", "")]
