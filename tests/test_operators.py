@@ -361,3 +361,16 @@ def test_flat_table_and_extras_with_any_key(spark):
     assert set(wide.columns) == {*O.HEADERS.values(), *(f"k{i}" for i in range(300))}
     assert wide.filter("MD5 = '299'").select("k299", "k1").collect() == [("v299", "")]
     assert I.decode_rows(df, ["a.b"]).orderBy("md5").first()["a.b"] == "x\ny"
+
+
+def test_returns_notes_and_vehicles_by_other_signs(spark):
+    one = lambda f, text: spark.createDataFrame([(text,)], "t string").select(f("t").alias("s")).first().s
+    note = one(K.promissory_note, "Vencimento 10/05/2024 avalista Fulano")
+    assert note.sim and note.vencimento == "10/05/2024" and not one(K.promissory_note, "Vencimento 10/05/2024, sem mais").sim
+    assert one(K.promissory_note, "Pagarei por esta ... Emitente: ANA DIAS\nR$ 1.234,50 Nº 12").emitente.startswith("ANA DIAS")
+    got = one(K.tax_return, "Receita Federal\nNúmero do recibo 12.34.56.78.90 - 12\nTotal de rendimentos tributáveis: 1.234,56\nExercicio 2024")
+    assert (got.sim, got.recibo, got.numero, got.total, got.exercicio) == (True, True, "12.34.56.78.90 - 12", "1.234,56", "2024")
+    assert not one(K.tax_return, "Informe de Rendimentos, recibo de entrega, Receita Federal").sim
+    car = one(K.vehicle, "AGENDAMENTO no Detran, placa ABC1D23, Chassi: 9BWZZZ377VT004251, renavam 12345678901")
+    assert tuple(car) == ("Comprovante de Agendamento DETRAN", "ABC1D23", "12345678901", "9BWZZZ377VT004251")
+    assert one(K.vehicle, "mandado de\nbusca e apreensao").tipo.startswith("Citação") and one(K.vehicle, "nada").tipo is None
