@@ -1,15 +1,17 @@
 """Near-duplicate detection by exact set similarity (DUP-1..8, JOI-5, SET-3).
 
-Candidates come from an equi-join on the rarest shingles of each text (prefix filter),
-which loses no pair at the threshold; equal texts are collapsed to one class first, so
-copies never meet pair by pair.  The greedy choice of canonical documents runs in rounds
-over the few remaining edges.
+Candidates come from a positional index of the rarest shingles of each text, which loses
+no pair at the threshold; shingles of many texts are dealt out over a square of tasks.
+Equal texts are collapsed to one class first, so copies never meet pair by pair.  The greedy
+choice of canonical documents runs in rounds over the edges that are still undecided.
 """
 
 from __future__ import annotations
 
+import logging
+import math
 import uuid
-from itertools import count
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,8 +20,11 @@ from acervo.functions import text as X
 from acervo.sources.tables import shared_dir
 
 JACCARD, RATIO, LEAST = 0.60, 0.65, 20
-#: Grams that are put last in the order of all texts.
-OFTEN = 2000
+#: Entries of a shingle and size band that meet in one task.
+BLOCK = 2000
+#: Slack of comparisons that rounding must not decide.
+EPS = 1e-9
+LOG = logging.getLogger(__name__)
 
 
 def _keep(df: DataFrame, name: str) -> DataFrame:
@@ -56,18 +61,50 @@ def classes(docs: DataFrame, text_col: str = "texto") -> DataFrame:
     return rows.withColumns({"words": F.size(F.split("norm", " ")), "grams": F.array_distinct(F.transform(shingles("norm"), lambda g: F.xxhash64(g)))})
 
 
-def similar_pairs(kinds: DataFrame, threshold: float = JACCARD) -> DataFrame:
+def prefix_index(kinds: DataFrame, threshold: float = JACCARD) -> DataFrame:
+    """(g, rep, pos, n, band): the rarest grams of every class that a partner at `threshold` must share one of.
+
+    Grams are ordered by the number of classes that hold them, so pos, a gram's place in its
+    set, bounds what two sets still can share behind it.  A band holds sizes within a factor of
+    1 / threshold: partners are of the same or of neighbouring bands.
+    """
+    grams = kinds.select("rep", F.size("grams").alias("n"), F.explode("grams").alias("g"))
+    held_by = grams.groupBy("g").agg(F.count("*").alias("df"))
+    ranked = grams.join(held_by.hint("merge"), "g").groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("s"))
+    first = F.slice("s", 1, (F.col("n") - F.ceil(threshold * F.col("n") - F.lit(EPS)) + 1).cast("int"))
+    band = F.floor(F.log("n") / -math.log(threshold) + F.lit(EPS)) if threshold < 1 else F.col("n").cast("bigint")
+    placed = ranked.select("rep", "n", band.alias("band"), F.posexplode(first).alias("pos", "x"))
+    return placed.filter("x.df > 1").select(F.col("x.g").alias("g"), "rep", "pos", "n", "band")
+
+
+def candidates(index: DataFrame, threshold: float = JACCARD, block: int = BLOCK) -> DataFrame:
+    """Pairs (a, b), a < b, that share a gram of the index at places and sizes which leave `threshold` possible.
+
+    The smaller set meets partners of its band and of the next.  Entries of a gram and band are
+    counted; over `block` of them are dealt out on a square of tasks, each of about block by block.
+    """
+    small = index.select("g", "band", F.lit(True).alias("is_small"), "rep", "pos", "n")
+    steps = F.array(F.col("band"), F.col("band") - 1) if threshold < 1 else F.array("band")
+    large = index.select("g", F.explode(steps).alias("band"), F.lit(False).alias("is_small"), "rep", "pos", "n")
+    both = small.unionByName(large)
+    crowded = both.groupBy("g", "band").agg(F.count("*").alias("c")).filter(F.col("c") > block).select("g", "band", F.ceil(F.col("c") / block).cast("int").alias("k"))
+    dealt = both.join(crowded.hint("merge"), ["g", "band"], "left").withColumn("k", F.coalesce("k", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("k")).cast("int"))
+    each = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    row, column = F.when(F.col("is_small"), F.col("own")).otherwise(F.col("other")), F.when(F.col("is_small"), F.col("other")).otherwise(F.col("own"))
+    cells = each.select("g", "band", row.alias("row"), column.alias("column"), "is_small", "rep", "pos", "n")
+    x = cells.filter("is_small").select("g", "band", "row", "column", F.col("rep").alias("x"), F.col("pos").alias("px"), F.col("n").alias("nx"))
+    y = cells.filter("not is_small").select("g", "band", "row", "column", F.col("rep").alias("y"), F.col("pos").alias("py"), F.col("n").alias("ny"))
+    ordered = (F.col("nx") < F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("x") < F.col("y")))
+    sized = F.col("nx") >= threshold * F.col("ny") - F.lit(EPS)
+    needed = threshold / (1 + threshold) * (F.col("nx") + F.col("ny"))
+    reach = F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py"))  # this gram and all behind it
+    pairs = x.join(y.hint("merge"), ["g", "band", "row", "column"]).filter(ordered & sized & (reach >= needed - F.lit(EPS)))
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def similar_pairs(kinds: DataFrame, threshold: float = JACCARD, block: int = BLOCK) -> DataFrame:
     """DUP-3, JOI-5, SET-3: pairs (a, b), a < b, of classes at `threshold` Jaccard or more, with the word-count and cpf tests."""
-    held_by = kinds.select(F.explode("grams").alias("g")).groupBy("g").agg(F.count("*").alias("df"))
-    # at most OFTEN grams in one row: they stand last in every text's order, which decides the work and not the result
-    often = held_by.filter(F.col("df") >= LEAST).orderBy(F.desc("df"), "g").limit(OFTEN).agg(F.collect_list("g").alias("often"))
-    n = F.size("grams")
-    order = F.concat(F.array_sort(F.array_except("grams", "often")), F.array_sort(F.array_intersect("grams", "often")))
-    first = F.slice(order, 1, (n - F.ceil(threshold * n - F.lit(1e-9)) + 1).cast("int"))
-    prefix = _keep(kinds.crossJoin(F.broadcast(often)).select("rep", n.alias("n"), F.explode(first).alias("g")), "prefix")
-    a, b = prefix.select(F.col("rep").alias("a"), F.col("n").alias("na"), "g"), prefix.select(F.col("rep").alias("b"), F.col("n").alias("nb"), "g")
-    close = (F.col("na") >= threshold * F.col("nb")) & (F.col("nb") >= threshold * F.col("na"))
-    pairs = a.join(b.hint("merge"), "g").filter((F.col("a") < F.col("b")) & close).select("a", "b").distinct()
+    pairs = candidates(_keep(prefix_index(kinds, threshold), "prefix"), threshold, block)
     side = lambda p, *cs: kinds.select(F.col("rep").alias(p), *[F.col(c).alias(f"{c}_{p}") for c in cs])
     sets = ("cpf", "words", "grams")
     both = pairs.join(side("a", *sets).hint("merge"), "a").join(side("b", *sets).hint("merge"), "b")
@@ -88,22 +125,26 @@ def refine(pairs: DataFrame, threshold: float = 0.88) -> DataFrame:
 def canonical(edges: DataFrame) -> DataFrame:
     """DUP-6: (canonico, duplicata): in md5 order, whatever is no duplicate yet is canonical and takes its later neighbours.
 
-    A round decides every undecided node without an undecided smaller neighbour.
+    A round carries the edges between undecided nodes alone.  Nodes without a smaller undecided
+    neighbour lead, their neighbours are duplicates, and every edge that touches one goes.  What
+    loses its last edge so is canonical.  Digests are random places in the order, so the rounds
+    grow as the logarithm of the nodes, long chains included.  At the end each duplicate
+    goes to its smallest canonical neighbour.
     """
-    edges = _keep(edges.select("a", "b"), "edges")
-    state = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumns({"done": F.lit(False), "de": F.lit(None).cast("string")})
-    for step in count():  # the smallest undecided node is always decided, so this ends
-        state = _keep(state, f"round-{step}")
-        open_ = state.filter("not done")
-        if open_.isEmpty():
-            break
-        leads = state.filter("done and de is null").select(F.col("node").alias("a"))
-        waits = edges.join(open_.select(F.col("node").alias("a")).hint("merge"), "a", "left_semi").select(F.col("b").alias("node")).distinct()
-        taken = edges.join(leads.hint("merge"), "a", "left_semi").groupBy(F.col("b").alias("node")).agg(F.min("a").alias("by"))
-        both = state.join(taken.hint("merge"), "node", "left").join(waits.withColumn("w", F.lit(True)).hint("merge"), "node", "left")
-        free = F.col("done") | F.col("by").isNotNull() | F.col("w").isNull()
-        state = both.select("node", F.when(F.col("done"), F.col("de")).otherwise(F.col("by")).alias("de"), free.alias("done")).select("node", "done", "de")
-    return state.filter("de is not null").select(F.col("de").alias("canonico"), F.col("node").alias("duplicata"))
+    edges = _keep(edges.select("a", "b").distinct(), "edges")
+    left, taken, rounds = edges, [], 0
+    while not left.isEmpty():
+        leads = left.select(F.col("a").alias("node")).join(left.select(F.col("b").alias("node")).hint("merge"), "node", "left_anti").distinct()
+        dups = _keep(left.join(leads.withColumnRenamed("node", "a").hint("merge"), "a", "left_semi").select(F.col("b").alias("node")).distinct(), f"taken-{rounds}")
+        a, b = (dups.withColumnRenamed("node", c).hint("merge") for c in "ab")
+        left = _keep(left.join(a, "a", "left_anti").join(b, "b", "left_anti"), f"left-{rounds}")
+        taken.append(dups)
+        rounds += 1
+    LOG.info("greedy choice ended after %d rounds", rounds)
+    if not taken:
+        return edges.select(F.col("a").alias("canonico"), F.col("b").alias("duplicata"))
+    gone = reduce(DataFrame.union, taken).withColumnRenamed("node", "a")
+    return edges.join(gone.hint("merge"), "a", "left_anti").groupBy(F.col("b").alias("duplicata")).agg(F.min("a").alias("canonico")).select("canonico", "duplicata")
 
 
 def near_duplicates(docs: DataFrame, text_col: str = "texto", threshold: float = 0.88) -> DataFrame:
@@ -111,7 +152,7 @@ def near_duplicates(docs: DataFrame, text_col: str = "texto", threshold: float =
     kinds = _keep(classes(docs, text_col), "classes")
     edges = _keep(refine(similar_pairs(kinds), threshold), "pairs")
     chosen = canonical(edges)
-    near = chosen.join(edges.withColumnsRenamed({"a": "canonico", "b": "duplicata"}), ["canonico", "duplicata"])
+    near = chosen.join(edges.withColumnsRenamed({"a": "canonico", "b": "duplicata"}).hint("merge"), ["canonico", "duplicata"])
     cpf = F.coalesce("cpf", F.lit("")) if "cpf" in docs.columns else F.lit("")
     member = docs.select("md5", X.normalize_for_compare(text_col).alias("norm"), cpf.alias("cpf")).join(kinds.select("norm", "cpf", "rep"), ["norm", "cpf"]).select("md5", "rep")
     of = member.join(near.withColumnRenamed("duplicata", "rep").hint("merge"), "rep", "left")
