@@ -55,18 +55,51 @@ def default_domain(t: Column | str, value: Column | str | None = None) -> Column
     return F.when(X.any_of(low, VEHICLE), "veicular").when(~X.any_of(low, NOT_FINANCIAL) & paid, "financeiro").when(X.any_of(low, PROFESSIONAL), "profissional").when(X.any_of(low, PERSONAL), "identificacao").when(X.any_of(low, LEGAL), "juridico").otherwise("academico")
 
 
-def consolidate_domain(t: Column | str, text: Column | str, given: Column | str) -> Column:
-    """SC-31: slip, cheque, tax return, income report and payment evidence first, then academic, company, identity and legal ones, then the given domain."""
-    k, s = F.lower(F.coalesce(X.col(t), F.lit(""))), F.lower(F.coalesce(X.col(text), F.lit("")))
-    both = F.concat_ws(" ", k, s)
+# Fixed values for the consolidated domain (SC-31): what a class is called that proves a payment, does not, or belongs to a field.
+UNKNOWN = ["não identificado", "nao identificado", "outro", "não informado", "nao informado"]
+PAID = ["nota promissória", "nota promissoria", "recibo", "comprovante de pagamento", "comprovante de transferência", "comprovante de transferencia", "comprovante bancário", "comprovante bancario", "boleto", "cheque", "talao", "talão", "informe de rendimentos", "imposto de renda", "ajuste anual"]
+NO_PAYMENT = ["inscrição", "inscricao", "situação cadastral", "situacao cadastral", "cnpj", "residência", "residencia", "matrícula", "matricula", "votação", "votacao"]
+INCOME = ["informe de rendimentos", "rendimentos financeiros"]
+ACADEMIC = ["diploma", "certificado", "histórico", "historico", "declaração", "declaracao", "ementa", "dissertação", "dissertacao", "tese", "graduação", "graduacao", "pós-graduação", "pos-graduacao", "especialização", "especializacao"]
+COMPANY = ["situação cadastral", "situacao cadastral", "cartão cnpj", "cartao cnpj", "cartão do cnpj", "cartao do cnpj", "cadastro nacional da pessoa"]
+CAREER = ["currículo", "curriculo", "experiência profissional", "experiencia profissional", "lattes", "ctps", "carteira de trabalho"]
+IDENTITY = ["rg", "cnh", "identidade", "cpf", "certidão", "certidao", "eleitor", "passaporte"]
+LAW = ["contrato", "procuração", "procuracao", "posse", "juridico", "petição", "peticao"]
+GIVEN = ["academico", "financeiro", "identificacao", "juridico", "profissional", "outro"]
+HANDWRITTEN = ["preenchido a mão", "preenchido à mão", "de próprio punho", "de proprio punho"]
+HAND_KINDS = ["manuscrito", "preenchido a mão", "preenchido à mão", "proprio punho", "próprio punho", "recibo manual", "nota promissória manual"]
+
+
+def _low(c: Column | str) -> Column:
+    return F.lower(F.coalesce(X.col(c), F.lit("")))
+
+
+def consolidate_domain(kind: Column, domain: Column, told_kind: Column, told_domain: Column, certain: Column, pix: Column, payment: Column, value: Column) -> Column:
+    """SC-31: (tipo, dominio) of a document.
+
+    kind and domain are those found so far, told_kind and told_domain those given at first.
+    certain: a slip, cheque, tax return or income report; pix: a genuine PIX; payment: the kind of
+    another payment its text tells, or null; value: its amount.  The first that holds decides:
+    certain, evidence of a payment (none for classes that only look like it), academic,
+    company, identity and legal classes, the domain found, "academico".  Unnamed payments and
+    company cards get a name.
+    """
+    k, told = _low(kind), _low(told_kind)
+    unnamed = X.blank(kind) | k.isin(*UNKNOWN)
+    no = F.coalesce(X.any_of(k, NO_PAYMENT) & ~X.any_of(k, INCOME), F.lit(False))
+    paid = pix | payment.isNotNull() | X.any_of(k, PAID) | X.present(value) | F.coalesce(domain == "financeiro", F.lit(False))
+    academic = X.any_of(told, ACADEMIC) | F.coalesce(told_domain == "academico", F.lit(False))
+    company = X.any_of(told, COMPANY) | (F.coalesce(told_domain == "profissional", F.lit(False)) & X.any_of(told, ["cnpj", "cadastral"]))
+    both = lambda t, d: F.struct((t if isinstance(t, Column) else F.lit(t)).alias("tipo"), (d if isinstance(d, Column) else F.lit(d)).alias("dominio"))
+    name = F.when(pix, "Comprovante PIX").otherwise(F.coalesce(payment, F.lit("Recibo de Pagamento")))
     return (
-        F.when(X.any_of(k, ["boleto", "cheque", "imposto de renda", "ajuste anual", "informe de rendimentos", "promiss"]), "financeiro")
-        .when(X.any_of(k, FINANCIAL) & ~X.any_of(k, NOT_FINANCIAL), "financeiro")
-        .when(X.any_of(k, "diploma certificado histórico historico ementa dissertação dissertacao".split()), "academico")
-        .when(X.any_of(k, PROFESSIONAL) | X.any_of(both, ["situação cadastral", "situacao cadastral"]), "profissional")
-        .when(X.any_of(k, PERSONAL), "identificacao")
-        .when(X.any_of(k, LEGAL), "juridico")
-        .otherwise(F.coalesce(X.nonblank(given), F.lit("academico")))
+        F.when(certain, both(kind, "financeiro"))
+        .when(~no & paid, both(F.when(unnamed, name).otherwise(kind), "financeiro"))
+        .when(academic, both(kind, "academico"))
+        .when(company | X.any_of(k, CAREER), both(F.when(unnamed, "Cartão CNPJ / Situação Cadastral").otherwise(kind), "profissional"))
+        .when(X.any_of(k, IDENTITY), both(kind, "identificacao"))
+        .when(X.any_of(k, LAW), both(kind, "juridico"))
+        .otherwise(both(kind, F.when(domain.isin(*GIVEN), domain).otherwise("academico")))
     )
 
 
@@ -76,10 +109,20 @@ def is_handwritten(t: Column | str, types: Column | str) -> Column:
     return X.any_of(F.lower(every), ["manuscrito", "manual", "mão", "mao"])
 
 
+def written_by_hand(flag: Column | str, t: Column | str, *texts: Column | str) -> Column:
+    """SC-32: by a given flag (true, 1, sim, yes), by the class, or by words of any of the texts."""
+    said = F.lower(F.trim(F.coalesce(X.col(flag).cast("string"), F.lit("")))).isin("true", "1", "sim", "yes")
+    found = said | X.any_of(_low(t), HAND_KINDS)
+    for x in texts:
+        found = found | X.any_of(_low(x), HANDWRITTEN)
+    return found
+
+
 def with_handwritten(types: Column | str, yes: Column) -> Column:
-    """SC-32: the tag appended once."""
+    """SC-32: the tag appended where no class tells it already."""
     c = F.coalesce(X.col(types), F.array().cast("array<string>"))
-    return F.when(yes & ~F.array_contains(c, "Manuscrito"), F.array_append(c, F.lit("Manuscrito"))).otherwise(c)
+    told = F.exists(c, lambda t: X.any_of(_low(t), ["manuscrito", "mão", "mao"]))
+    return F.when(yes & ~told, F.array_append(c, F.lit("Manuscrito"))).otherwise(c)
 
 
 def page_terms(t: Column | str, text: Column | str) -> Column:

@@ -395,7 +395,19 @@ walk AS (SELECT * FROM step WHERE n > 0)
 
 SQL |= {
     "form_signatures": form(f"{of(TYPES, 'tipo')}, {of(DOMAINS, 'dominio')}"),
-    "form_documents": form(f"{of({m: TYPES[m] for m in (0, 1, 2, 3, 5, 6, 7, 9)} | {4: PLAIN, 8: PLAIN, 10: PLAIN, 11: chr(39) + 'Listagem de Pagamentos / Depósitos' + chr(39)}, 'tipo_documento')}, CASE WHEN modelo = 5 THEN 'juridico' ELSE 'financeiro' END AS dominio, {of({9: 'e2e'}, 'pix_e2e_id')}, {of({9: 'chave'}, 'pix_chave')}, {of({9: 'autenticacao'}, 'pix_autenticacao')}"),
+    # by what was written in (modelo) and what was given (g)
+    "form_documents": f"""WITH f AS (SELECT *, (k // 12) % 8 AS g FROM ({FORMS_SQL})),
+t AS (SELECT *, CASE g WHEN 0 THEN CASE modelo WHEN 9 THEN 'Pagamento_PIX' WHEN 11 THEN 'Listagem de Pagamentos / Depósitos' ELSE {PLAIN} END WHEN 1 THEN 'Comprovante de Residência' WHEN 2 THEN 'Diploma de Graduação'
+  WHEN 3 THEN CASE modelo WHEN 9 THEN 'Comprovante PIX' WHEN 11 THEN 'Listagem de Pagamentos / Depósitos' END WHEN 4 THEN 'Carteira de Trabalho' WHEN 5 THEN 'Petição' WHEN 6 THEN 'Certidão' ELSE 'Cartão CNPJ' END AS given FROM f)
+SELECT md5, CASE WHEN modelo IN (4, 8, 9, 10, 11) THEN given ELSE {of(TYPES, 'x').removesuffix(' AS x')} END AS tipo_documento,
+  CASE WHEN modelo IN (0, 1, 2, 3, 6, 7) THEN 'financeiro' WHEN modelo = 5 THEN CASE g WHEN 2 THEN 'academico' WHEN 7 THEN 'profissional' ELSE 'juridico' END
+    WHEN g = 1 THEN 'outro' WHEN g = 7 THEN 'profissional' WHEN modelo IN (9, 11) OR g = 0 THEN 'financeiro'
+    WHEN g IN (2, 3) THEN 'academico' WHEN g = 4 THEN 'profissional' WHEN g = 5 THEN 'juridico' ELSE 'identificacao' END AS dominio,
+  {of({9: 'e2e'}, 'pix_e2e_id')}, {of({9: 'chave'}, 'pix_chave')}, {of({9: 'autenticacao'}, 'pix_autenticacao')} FROM t""",
+    "form_handwritten": form("CASE WHEN k % 3 = 1 THEN 'Recibo|Manuscrito' ELSE concat_ws('|', CASE WHEN k % 3 = 0 THEN 'RG' END, CASE WHEN k % 7 = 0 OR k % 5 = 0 OR modelo = 7 THEN 'Manuscrito' END) END AS todos_tipos"),
+    "form_best_texts": form("""md5(CASE k % 5 WHEN 4 THEN '' WHEN 3 THEN array_to_string(list_filter(['[TRANSCRIÇÃO DE ESCRITA MANUAL / PREENCHIMENTO À MÃO]', repeat('-', 60), 'Emitente / Assinante: ' || nome,
+  CASE WHEN k % 2 = 0 THEN 'Referente a         : serviços' END, repeat('-', 60), trim(' ' || texto)], lambda x: x IS NOT NULL), chr(10)) ELSE trim(' ' || texto) END) AS texto,
+  (['camada_digital', 'ocr_tesseract', 'ocr_llm', 'manuscrito_ocr', 'pendente_ocr'])[k % 5 + 1] AS origem"""),
     "form_pages": CHAIN + f"SELECT doc AS md5, md5 AS pagina, tipo, dominio, {of(CPFS, 'cpf')}, {of(RGS, 'rg')}, {of(CNPJS, 'cnpj')}, {of({8: 'curso'}, 'curso')} FROM walk JOIN f USING (md5)",
     "form_page_details": CHAIN + """SELECT doc AS md5, coalesce((SELECT string_agg(x, '|' ORDER BY place) FROM (SELECT x, min(n * 2 + second) AS place FROM (SELECT n, 0 AS second, numero_cheque AS x FROM base b WHERE b.doc = o.doc AND modelo = 1
     UNION ALL SELECT n, 1, (numero_cheque::INT + 1)::VARCHAR FROM base b WHERE b.doc = o.doc AND k % 24 = 1) GROUP BY x)), '') AS numeros_cheque,
@@ -416,7 +428,7 @@ SQL |= {
     "form_courses": form(of({8: "curso"}, "curso")),
     "form_money": form(of(MONEY, "valor")),
     "form_pix": form(f"{of({9: 'e2e'}, 'e2e')}, {of({9: 'chave'}, 'chave')}, {of({9: 'autenticacao'}, 'autenticacao')}"),
-    "form_pix_checked": form(f"{of({9: 'e2e'}, 'e2e')}, {of({9: 'chave'}, 'chave')}, modelo = 9 AS legitimo, CASE modelo WHEN 9 THEN 'Comprovante PIX' WHEN 11 THEN 'Listagem de Pagamentos / Depósitos' WHEN 2 THEN 'DARF / Guia de Arrecadação Federal' ELSE {PLAIN} END AS tipo"),
+    "form_pix_checked": form(f"{of({9: 'e2e'}, 'e2e')}, {of({9: 'chave'}, 'chave')}, modelo = 9 AS legitimo, CASE modelo WHEN 9 THEN 'Pagamento_PIX' WHEN 11 THEN 'Listagem de Pagamentos / Depósitos' WHEN 2 THEN 'DARF / Guia de Arrecadação Federal' ELSE {PLAIN} END AS tipo"),
     "form_company_cards": form("cnpj, situacao AS situacao_cadastral, vencimento AS data_abertura, razao AS razao_social, '(27) 3333-' || lpad(numero_rua, 4, '0') AS telefone, 'RUA DAS FLORES, ' || numero_rua || ' - VITÓRIA/ES' AS endereco_completo, 'VITÓRIA/ES' AS municipio_uf", "modelo = 10"),
     "form_names": form(f"coalesce({of(NAMES, 'x').removesuffix(' AS x')}, '') AS nomes"),
     "form_all_names": form("upper(nome) || '|' || nome || '|Zeca Dias' AS nomes"),
@@ -478,3 +490,37 @@ often AS (SELECT md5, max(n) AS most FROM (SELECT md5, x, count(*) AS n FROM m W
 size AS (SELECT md5, count(*) AS n FROM m GROUP BY 1)
 SELECT md5, coalesce(length(t) < 20 OR n IS NULL OR run >= 4 OR (coalesce(most, 0) >= 5 AND most / n > 0.35), true) AS descartado FROM d LEFT JOIN runs USING (md5) LEFT JOIN often USING (md5) LEFT JOIN size USING (md5)""",
 }
+
+# pairs of texts that share shingles: their Jaccard similarity, and that of their letters
+SIMILAR = f"""WITH RECURSIVE n AS MATERIALIZED (SELECT min(md5(doc_id::VARCHAR)) AS rep, norm, string_split(norm, ' ') AS w FROM (SELECT doc_id, {_NORM} AS norm FROM documents) WHERE length(norm) >= 20 GROUP BY norm),
+g AS MATERIALIZED (SELECT DISTINCT rep, len(w) AS words, unnest(CASE WHEN len(w) < 3 THEN w ELSE [array_to_string(w[i:i + 2], ' ') for i in range(1, len(w) - 1)] END) AS g FROM n),
+s AS (SELECT rep, words, count(*) AS n FROM g GROUP BY 1, 2), p AS (SELECT a.rep AS a, b.rep AS b, count(*) AS i FROM g a JOIN g b ON a.g = b.g AND a.rep < b.rep GROUP BY 1, 2),
+j AS MATERIALIZED (SELECT a, b, i / (x.n + y.n - i) AS jaccard FROM p JOIN s x ON x.rep = a JOIN s y ON y.rep = b WHERE i / (x.n + y.n - i) >= 0.6 AND least(x.words, y.words) / greatest(x.words, y.words) >= 0.65),
+c AS MATERIALIZED (SELECT rep, c, count(*) AS k FROM (SELECT rep, unnest(string_split(substr(norm, 1, 2000), '')) AS c FROM n WHERE rep IN (SELECT a FROM j UNION SELECT b FROM j)) GROUP BY 1, 2),
+z AS (SELECT rep, sum(k) AS k FROM c GROUP BY 1),
+m AS (SELECT a, b, sum(least(x.k, y.k)) AS m FROM j JOIN c x ON x.rep = a JOIN c y ON y.rep = b AND y.c = x.c GROUP BY 1, 2),
+r AS MATERIALIZED (SELECT a, b, round(0.5 * jaccard + 0.5 * (2.0 * coalesce(m, 0) / (x.k + y.k)), 4)::DOUBLE AS similaridade FROM j LEFT JOIN m USING (a, b) JOIN z x ON x.rep = a JOIN z y ON y.rep = b)
+"""
+KIND = "round(similaridade * 100, 1) AS similaridade_pct, CASE WHEN similaridade >= 0.99 THEN 'Exata' ELSE 'Quase-Duplicata' END AS tipo"
+
+SQL |= {
+    "near_duplicate_pairs": SIMILAR + f"SELECT a, b, similaridade, {KIND} FROM r WHERE similaridade >= 0.8",
+    # the texts one by one in the order of their digests, with all duplicates so far
+    "near_duplicates_greedy": SIMILAR + f""", e AS MATERIALIZED (SELECT * FROM r WHERE similaridade >= 0.88),
+v AS MATERIALIZED (SELECT node, row_number() OVER (ORDER BY node) AS i, later FROM (SELECT a AS node FROM e UNION SELECT b FROM e) LEFT JOIN (SELECT a AS node, list(b) AS later FROM e GROUP BY a) USING (node)),
+walk AS (SELECT 0::BIGINT AS i, []::VARCHAR[] AS dups, NULL::VARCHAR AS leads UNION ALL
+  SELECT v.i, CASE WHEN list_contains(dups, node) THEN dups ELSE list_concat(dups, coalesce(later, [])) END, CASE WHEN list_contains(dups, node) THEN NULL ELSE node END FROM walk JOIN v ON v.i = walk.i + 1),
+chosen AS (SELECT b AS rep, min(a) AS canonico FROM e WHERE a IN (SELECT leads FROM walk WHERE leads IS NOT NULL) GROUP BY b),
+d AS (SELECT md5(doc_id::VARCHAR) AS md5, {_NORM} AS norm FROM documents)
+SELECT coalesce(canonico, rep) AS canonico_md5, md5 AS duplicata_md5, coalesce(similaridade, 1.0::DOUBLE) AS similaridade, coalesce(similaridade_pct, 100.0::DOUBLE) AS similaridade_pct, coalesce(tipo, 'Exata') AS tipo
+FROM d JOIN n USING (norm) LEFT JOIN chosen USING (rep) LEFT JOIN (SELECT a AS canonico, b AS rep, similaridade, {KIND} FROM e) USING (canonico, rep) WHERE coalesce(canonico, rep) <> md5""",
+    "compared_texts": f"""WITH d AS MATERIALIZED (SELECT md5(doc_id::VARCHAR) AS md5, {_NORM} AS norm, string_split({_NORM}, ' ') AS w FROM documents),
+k AS (SELECT md5, norm, w, array_to_string(w[1:3], ' ') AS key FROM d), f AS (SELECT key, min(md5) AS a FROM k GROUP BY key),
+g AS (SELECT md5, norm, list_distinct(CASE WHEN len(w) < 3 THEN w ELSE [array_to_string(w[i:i + 2], ' ') for i in range(1, len(w) - 1)] END) AS g FROM k),
+p AS (SELECT f.a, k.md5 AS b FROM k JOIN f USING (key) WHERE f.a <> k.md5),
+j AS (SELECT a, b, x.norm AS na, y.norm AS nb, len(list_intersect(x.g, y.g)) AS i, len(x.g) + len(y.g) AS n FROM p JOIN g x ON x.md5 = a JOIN g y ON y.md5 = b),
+c AS (SELECT md5, c, count(*) AS k FROM (SELECT md5, unnest(string_split(substr(norm, 1, 2000), '')) AS c FROM d) GROUP BY 1, 2),
+m AS (SELECT a, b, sum(least(x.k, y.k)) AS m FROM p JOIN c x ON x.md5 = a JOIN c y ON y.md5 = b AND y.c = x.c GROUP BY 1, 2)
+SELECT a, b, (CASE WHEN na = '' OR nb = '' THEN 0.0 WHEN na = nb THEN 1.0 WHEN i / (n - i) >= 0.7 THEN round(0.5 * i / (n - i) + 0.5 * (2.0 * m / (least(length(na), 2000) + least(length(nb), 2000))), 4) ELSE round(i / (n - i), 4) END)::DOUBLE AS similaridade
+FROM j LEFT JOIN m USING (a, b)""",
+}

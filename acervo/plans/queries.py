@@ -194,6 +194,8 @@ QUERIES |= {
     "compare_normalized": lambda s, d: adapter.texts(s, d).select("md5", F.md5(X.normalize_for_compare("texto")).alias("norm")),
     "exact_duplicates": lambda s, d: D.exact_groups(adapter.texts(s, d), F.md5("texto")),
     "shingle_jaccard_pairs": lambda s, d: D.similar_pairs(D._keep(D.classes(adapter.texts(s, d)), "q")).select("a", "b", F.round("jaccard", 6).alias("jaccard")),
+    "near_duplicate_pairs": lambda s, d: D.refine(D.similar_pairs(D._keep(D.classes(adapter.texts(s, d)), "q")), 0.8),
+    "compared_texts": lambda s, d: by_opening(adapter.texts(s, d)).select("a", "b", D.compare("texto_a", "texto_b").alias("similaridade")),
     "near_duplicates_greedy": lambda s, d: D.near_duplicates(adapter.texts(s, d)),
     "highlight_counts": lambda s, d: adapter.texts(s, d).select("md5", X.highlight("texto", "the")[1].cast("long").alias("n")),
 }
@@ -267,6 +269,39 @@ QUERIES |= {
     "stream_progress": stream_progress,
 }
 
+#: What papers were given at first, by their order key: classes and domains.
+TOLD = [("Pagamento_PIX", "financeiro"), ("Comprovante de Residência", "outro"), ("Diploma de Graduação", "academico"), (None, None), ("Carteira de Trabalho", "x"), ("Petição", "veicular"), ("Certidão", ""), ("Cartão CNPJ", "profissional")]
+
+
+def told(papers: DataFrame) -> DataFrame:
+    """Papers with a class and a domain given."""
+    g = F.pmod(F.floor(F.col("k") / 12), F.lit(len(TOLD)))
+    given = lambda i: F.element_at(F.array(*[F.lit(x[i]).cast("string") for x in TOLD]), g.cast("int") + 1)
+    return papers.select("md5", "texto", given(0).alias("tipo_documento"), given(1).alias("dominio"))
+
+
+def scanned(papers: DataFrame) -> DataFrame:
+    """Papers of which a quarter is a picture, read by optical recognition, with ids given to some."""
+    picture = F.substring("md5", 2, 1) < "4"
+    return papers.select("md5", F.when(~picture, F.col("texto")).alias("texto"), F.when(picture, F.col("texto")).alias("lido"), F.when(F.substring("md5", 1, 1) < "8", F.col("cpf")).otherwise("111.111.111-11").alias("cpf"), F.lit("  ").alias("curso"))
+
+
+def layered(papers: DataFrame) -> DataFrame:
+    """Papers with their text in one of four layers, by their order key, and scraps in the layers before it."""
+    at = lambda i, scrap: F.when(F.col("k") % 5 == i, F.concat(F.lit(" "), "texto")).when(F.col("k") % 5 > i, F.lit(scrap))
+    loop = "linha de novo\n" * 4
+    return papers.select("md5", at(0, "  trinta letras faltam a esta  ").alias("digital"), at(1, "ilegível").alias("ocr"), at(2, loop).alias("transcrito"), at(3, " ").alias("mao"), F.col("nome").alias("emitente"), F.when(F.col("k") % 2 == 0, "serviços").alias("assunto"))
+
+
+def by_opening(d: DataFrame) -> DataFrame:
+    """Pairs (a, b, texto_a, texto_b): every text beside the first of those that begin with the same three words."""
+    key = F.array_join(F.slice(F.split(X.normalize_for_compare("texto"), " "), 1, 3), " ")
+    texts = d.select("md5", "texto", key.alias("key"))
+    first = texts.groupBy("key").agg(F.min("md5").alias("a"))
+    named = texts.select(F.col("md5").alias("b"), F.col("texto").alias("texto_b"), "key").join(first.hint("merge"), "key").filter("a != b")
+    return named.join(texts.select(F.col("md5").alias("a"), F.col("texto").alias("texto_a")).hint("merge"), "a").select("a", "b", "texto_a", "texto_b")
+
+
 def bound(papers: DataFrame) -> DataFrame:
     """Papers bound to files of several pages, in the order of their own keys; half of the lists are a contract's last page instead."""
     text = F.when(F.col("k") % 24 == 23, "Fica eleito o foro desta cidade.").otherwise(F.col("texto"))
@@ -282,7 +317,9 @@ QUERIES |= {
     name: over(adapter.forms, f)
     for name, f in {
         "form_signatures": lambda d: K.with_signals(d.select("md5", "texto"), "texto").select("md5", K.signature("texto", True).alias("s")).select("md5", "s.*"),
-        "form_documents": lambda d: K.classify_document(d.select("md5", "texto", F.lit("Comprovante PIX").alias("tipo_documento"), F.lit("financeiro").alias("dominio"))).select("md5", "tipo_documento", "dominio", "pix_e2e_id", "pix_chave", "pix_autenticacao"),
+        "form_documents": lambda d: K.classify_document(told(d)).select("md5", "tipo_documento", "dominio", "pix_e2e_id", "pix_chave", "pix_autenticacao"),
+        "form_handwritten": lambda d: d.select("md5", F.array_join(C.with_handwritten(F.when(F.col("k") % 3 == 0, F.array(F.lit("RG"))).when(F.col("k") % 3 == 1, F.array(F.lit("Recibo"), F.lit("Manuscrito"))), C.written_by_hand(F.when(F.col("k") % 7 == 0, "Sim"), F.when(F.col("k") % 5 == 0, "Recibo Manual"), F.when(F.col("modelo") == 7, F.concat("texto", F.lit("De próprio punho"))))), "|").alias("todos_tipos")),
+        "form_best_texts": lambda d: layered(d).select("md5", T.best_text(*[F.col(c) for c in ("digital", "ocr", "transcrito", "mao", "emitente", "assunto")]).alias("t")).select("md5", F.md5("t.texto").alias("texto"), "t.origem"),
         "form_pages": lambda d: K.classify_pages(bound(d), bound_rules(d.sparkSession)).select("md5", "pagina", "tipo", "dominio", "cpf", "rg", "cnpj", "curso"),
         "form_page_details": lambda d: P.details(K.classify_pages(bound(d), bound_rules(d.sparkSession))).withColumn("numeros_cheque", F.array_join("numeros_cheque", "|")),
         "form_slips": lambda d: d.select("md5", K.slip("texto").alias("s")).select("md5", "s.*"),
@@ -299,11 +336,11 @@ QUERIES |= {
         "form_courses": lambda d: d.select("md5", T.extract_course("texto").alias("curso")),
         "form_money": lambda d: d.select("md5", T.extract_money("texto").alias("valor")),
         "form_pix": lambda d: d.select("md5", T.extract_pix_e2e("texto").alias("e2e"), T.extract_pix_key("texto").alias("chave"), T.extract_pix_auth("texto").alias("autenticacao")),
-        "form_pix_checked": lambda d: d.select("md5", T.validate_pix("texto", T.extract_pix_e2e("texto"), T.extract_pix_key("texto"), F.lit("Comprovante PIX")).alias("p")).select("md5", "p.*"),
+        "form_pix_checked": lambda d: d.select("md5", T.validate_pix("texto", T.extract_pix_e2e("texto"), T.extract_pix_key("texto"), F.lit("Pagamento_PIX")).alias("p")).select("md5", "p.*"),
         "form_company_cards": lambda d: d.filter("texto like 'COMPROVANTE DE INSCR%'").select("md5", T.extract_company_card("texto").alias("c")).select("md5", "c.cnpj", "c.situacao_cadastral", "c.data_abertura", "c.razao_social", "c.telefone", "c.endereco_completo", "c.municipio_uf"),
         "form_names": lambda d: d.select("md5", F.array_join(T.extract_names("texto"), "|").alias("nomes")),
         "form_all_names": lambda d: d.select("md5", F.array_join(T.all_names(F.upper("nome"), F.array("nome", F.lit("Zeca Dias")), "texto"), "|").alias("nomes")),
-        "form_fields": lambda d: K.extract_fields(d.select("md5", "texto", F.when(F.substring("md5", 1, 1) < "8", F.col("cpf")).otherwise("111.111.111-11").alias("cpf"), F.lit("  ").alias("curso"))).select("md5", "cpf", "cnpj", "rg", "curso", "valor_monetario", "pix_e2e_id", F.array_join("nomes_detectados", "|").alias("nomes_detectados")),
+        "form_fields": lambda d: K.extract_fields(scanned(d), ocr_col="lido").select("md5", "cpf", "cnpj", "rg", "curso", "valor_monetario", "pix_e2e_id", F.array_join("nomes_detectados", "|").alias("nomes_detectados")),
     }.items()
 }
 

@@ -2,11 +2,13 @@
 
 import datetime
 import itertools
+import re
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
+from acervo.functions import classes as C
 from acervo.operators import automaton
 from acervo.operators import classify as K
 from acervo.operators import duplicates as D
@@ -118,6 +120,88 @@ def test_greedy_canonical(spark):
     assert {(r.canonico, r.duplicata) for r in D.canonical(edges).collect()} == {("a", "b"), ("c", "d")}
 
 
+def greedy(edges):
+    """Canonical choice node by node, in order."""
+    later, of = {}, {}
+    for a, b in edges:
+        later.setdefault(a, set()).add(b)
+    for node in sorted({x for e in edges for x in e}):
+        if node not in of:
+            for b in later.get(node, ()):
+                of.setdefault(b, node)
+    return {(a, b) for b, a in of.items()}
+
+
+def test_greedy_canonical_brute_force(spark):
+    import random
+
+    # z9 has the leader z3 at once, but z2 leads too, a round later, and is smaller
+    late = [("z0", "z1"), ("z1", "z2"), ("z2", "z9"), ("z3", "z9")]
+    rng = random.Random(5)
+    names = [f"{i:02d}" for i in range(40)]
+    drawn = [late, [], [("a", "b"), ("a", "b")], *[list({tuple(sorted(rng.sample(names, 2))) for _ in range(n)}) for n in (20, 60)]]
+    for edges in drawn:
+        got = [(r.canonico, r.duplicata) for r in D.canonical(spark.createDataFrame(edges, "a string, b string")).collect()]
+        assert set(got) == greedy(edges) and len(got) == len(set(got))
+
+
+def test_greedy_canonical_long_chain(spark, caplog):
+    import hashlib
+
+    nodes = [hashlib.md5(str(i).encode()).hexdigest() for i in range(10_000)]
+    edges = [tuple(sorted(e)) for e in itertools.pairwise(nodes)]
+    with caplog.at_level("INFO", logger="acervo.operators.duplicates"):
+        got = {(r.canonico, r.duplicata) for r in D.canonical(spark.createDataFrame(edges, "a string, b string")).collect()}
+    rounds = int(re.search(r"after (\d+) rounds", caplog.text)[1])
+    assert got == greedy(edges) and rounds <= 12
+
+
+def test_similar_pairs_with_a_gram_in_every_text(spark):
+    import random
+
+    rng = random.Random(9)
+    base = [[f"w{rng.randint(0, 400)}" for _ in range(rng.randint(5, 30))] for _ in range(60)]
+    texts = []
+    for b in base:
+        for _ in range(4):
+            t = list(b)
+            t[rng.randrange(len(t))] = "x"
+            texts.append("um mesmo começo " * rng.randint(1, 2) + " ".join(t))
+    texts = list(dict.fromkeys(texts))
+    docs = spark.createDataFrame([(f"{i:03d}", t) for i, t in enumerate(texts)], "md5 string, texto string")
+    kinds = D._keep(D.classes(docs), "t")
+    want = {(f"{i:03d}", f"{j:03d}") for i, j in itertools.combinations(range(len(texts)), 2) if (s := similarity(texts[i], texts[j]))[0] >= 0.6 and s[1] >= 0.65 and s[2]}
+    for block in (7, 2000):
+        assert {(r.a, r.b) for r in D.similar_pairs(kinds, block=block).collect()} == want and want
+    # every entry of a crowded gram and band is dealt out: no cell holds more than its share
+    index = D.prefix_index(kinds, 0.1)
+    crowded = index.groupBy("g", "band").count().agg(F.max("count")).first()[0]
+    assert crowded > 50
+    every = {(f"{i:03d}", f"{j:03d}") for i, j in itertools.combinations(range(len(texts)), 2) if similarity(texts[i], texts[j])[0] >= 0.3}
+    near = {(r.a, r.b) for r in D.candidates(D.prefix_index(kinds, 0.3), 0.3, 7).collect()}
+    assert every <= near
+
+
+def test_domain_consolidation(spark):
+    rows = [
+        ("Diploma", None, "Diploma", None, False, False, None, None, "Diploma", "academico"),
+        ("Diploma", None, "Diploma", None, False, False, None, "R$ 1,00", "Diploma", "financeiro"),
+        ("Comprovante de Inscrição", "financeiro", None, None, False, True, "DARF", "R$ 1,00", "Comprovante de Inscrição", "financeiro"),
+        ("Comprovante de Inscrição", "outro", None, None, False, True, "DARF", "R$ 1,00", "Comprovante de Inscrição", "outro"),
+        (None, None, None, None, False, True, None, None, "Comprovante PIX", "financeiro"),
+        ("Outro", None, "Outro", None, False, False, "DARF", None, "DARF", "financeiro"),
+        ("outro", "financeiro", "outro", "financeiro", False, False, None, None, "Recibo de Pagamento", "financeiro"),
+        (None, None, "Cartão CNPJ", None, False, False, None, None, "Cartão CNPJ / Situação Cadastral", "profissional"),
+        ("Passaporte", "juridico", None, None, False, False, None, None, "Passaporte", "identificacao"),
+        ("Procuração", "x", None, None, False, False, None, None, "Procuração", "juridico"),
+        ("Jornal", "veicular", None, None, False, False, None, None, "Jornal", "academico"),
+        ("Matrícula", None, None, None, True, False, None, None, "Matrícula", "financeiro"),
+    ]
+    df = spark.createDataFrame(rows, "kind string, domain string, told string, area string, certain boolean, pix boolean, payment string, value string, tipo string, dominio string")
+    got = df.select("tipo", "dominio", C.consolidate_domain(*[F.col(c) for c in ("kind", "domain", "told", "area", "certain", "pix", "payment", "value")]).alias("g")).collect()
+    assert [(r.g.tipo, r.g.dominio) for r in got] == [(r.tipo, r.dominio) for r in got]
+
+
 def test_search(spark):
     docs = spark.createDataFrame([("1", "Índice alfa beta"), ("2", "alfa gama")], "md5 string, t string")
     post, size = S.build_index(docs, ["t"]), S.sizes(docs, ["t"])
