@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from acervo.functions import text as X
 from acervo.operators.filters import extra
+from acervo.sources.publish import publish
 
 
 def norm(name: Column | str) -> Column:
@@ -111,20 +112,38 @@ def _holders(df: DataFrame) -> DataFrame:
 
 def addresses(df: DataFrame) -> DataFrame:
     """One row per document with an address and a holder."""
-    return df.filter(X.present("endereco_completo")).join(_holders(df), "md5").select(F.col("entidade_titular_id").alias("entidade_id"), "tipo_entidade", F.col("md5").alias("documento_md5"), F.trim("endereco_completo").alias("endereco_completo"))
+    return df.filter(X.present("endereco_completo")).join(_holders(df).hint("merge"), "md5").select(F.col("entidade_titular_id").alias("entidade_id"), "tipo_entidade", F.col("md5").alias("documento_md5"), F.trim("endereco_completo").alias("endereco_completo"))
 
 
 def document_rows(df: DataFrame) -> DataFrame:
     blank = lambda c: F.coalesce(c, F.lit("")).alias(c)
-    return df.join(_holders(df), "md5", "left").select("md5", *[blank(c) for c in ("nome_arquivo", "tipo_documento", "data", "entidade_titular_id", "status", "status_conferencia")])
+    return df.join(_holders(df).hint("merge"), "md5", "left").select("md5", *[blank(c) for c in ("nome_arquivo", "tipo_documento", "data", "entidade_titular_id", "status", "status_conferencia")])
 
 
-def export(df: DataFrame, path: str) -> None:
-    """SNK-5: the five tables as CSV folders under path."""
-    tables = {"pessoas_fisicas": people(df), "pessoas_juridicas": companies(df), "enderecos": addresses(df), "documentos": document_rows(df), "vinculos": links(df)}
-    for name, t in tables.items():
-        flat = t.withColumn("documentos_md5", F.array_join("documentos_md5", ";")) if "documentos_md5" in t.columns else t
-        flat.write.mode("overwrite").option("header", True).csv(f"{path}/{name}")
+def relational(df: DataFrame) -> dict[str, DataFrame]:
+    """SNK-5: the five tables of people, companies, addresses, documents and links."""
+    return {"pessoas_fisicas": people(df), "pessoas_juridicas": companies(df), "enderecos": addresses(df), "documentos": document_rows(df), "vinculos": links(df)}
+
+
+def export(df: DataFrame, path: str) -> str:
+    """SNK-5: the five tables as CSV folders under a new version of path, published when whole."""
+    return publish(relational(df), path)
+
+
+def organize(df: DataFrame, files: DataFrame) -> DataFrame:
+    """SNK-8: (md5, nome_arquivo, origem, destino, classe, estado) of every document, by the files (caminho, relative) that exist.
+
+    A document's file stands at its relative path, else under its name; without either its
+    estado is "ausente" and it has neither origem nor destino.
+    """
+    there = files.select(F.col("caminho").alias("origem")).distinct()
+    relative = F.coalesce(X.nonblank("caminho_relativo"), F.col("nome_arquivo")) if "caminho_relativo" in df.columns else F.col("nome_arquivo")
+    asked = df.withColumn("classe", F.coalesce(X.nonblank("tipo_documento"), F.lit("Geral"))).select("md5", "classe", relative.alias("_p"), F.col("nome_arquivo").alias("_n"))
+    by = lambda c: there.select(F.col("origem").alias(c), F.col("origem").alias(f"{c}_da"))
+    found = asked.join(by("_p").hint("merge"), "_p", "left").join(by("_n").hint("merge"), "_n", "left").select("md5", "classe", F.coalesce("_p_da", "_n_da").alias("origem"))
+    whole = organize_plan(df).join(found.hint("merge"), "md5")
+    state = F.when(F.col("origem").isNull(), "ausente").otherwise("planejado")
+    return whole.select("md5", "nome_arquivo", "origem", F.when(F.col("origem").isNotNull(), F.col("destino")).alias("destino"), "classe", state.alias("estado"))
 
 
 def organize_plan(df: DataFrame) -> DataFrame:

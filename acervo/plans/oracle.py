@@ -524,3 +524,14 @@ m AS (SELECT a, b, sum(least(x.k, y.k)) AS m FROM p JOIN c x ON x.md5 = a JOIN c
 SELECT a, b, (CASE WHEN na = '' OR nb = '' THEN 0.0 WHEN na = nb THEN 1.0 WHEN i / (n - i) >= 0.7 THEN round(0.5 * i / (n - i) + 0.5 * (2.0 * m / (least(length(na), 2000) + least(length(nb), 2000))), 4) ELSE round(i / (n - i), 4) END)::DOUBLE AS similaridade
 FROM j LEFT JOIN m USING (a, b)""",
 }
+
+SQL |= {
+    "published_people": "SELECT coalesce(COLUMNS(*)::VARCHAR, '') AS \"\\0\" FROM (" + SQL["entity_people"] + ")",
+    "published_manifest": " UNION ALL ".join(f"SELECT '{t}' AS tabela, (SELECT count(*) FROM ({SQL[q]})) AS linhas" for t, q in {"pessoas_fisicas": "entity_people", "pessoas_juridicas": "entity_companies", "enderecos": "entity_addresses", "documentos": "entity_documents", "vinculos": "entity_links"}.items()),
+    "published_texts": "SELECT md5(doc_id::VARCHAR) AS md5, 'texto_' || doc_id || '.txt' AS nome_arquivo, md5(coalesce(text, '')) AS texto, coalesce(lang, '') AS lang FROM documents",
+    # the file names of a registry are taken as they come: a name that several documents bear lies where any of them has it
+    "organized_files": "WITH plan AS (" + SQL["organize_plan"] + "), reg AS (" + REGISTRY_SQL + """),
+disk AS (SELECT DISTINCT CASE WHEN md5 < '8' THEN 'pasta/' || nome_arquivo WHEN md5 < 'c' THEN nome_arquivo END AS f FROM reg),
+o AS (SELECT md5, coalesce(nullif(trim(tipo_documento), ''), 'Geral') AS classe, coalesce((SELECT f FROM disk WHERE f = 'pasta/' || nome_arquivo), (SELECT f FROM disk WHERE f = nome_arquivo)) AS origem FROM reg)
+SELECT plan.md5, nome_arquivo, origem, CASE WHEN origem IS NOT NULL THEN destino END AS destino, classe, CASE WHEN origem IS NULL THEN 'ausente' ELSE 'planejado' END AS estado FROM plan JOIN o ON o.md5 = plan.md5""",
+}

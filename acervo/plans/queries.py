@@ -21,6 +21,7 @@ from acervo.operators import search as S
 from acervo.operators import state as R
 from acervo.operators import stats
 from acervo.sources import files as I
+from acervo.sources import publish as W
 from acervo.sources import sinks as O
 from acervo.sources.tables import kept, shared_dir, written
 from acervo.streaming import intake as N
@@ -34,6 +35,20 @@ def over(table: Callable[[SparkSession, str], DataFrame], operator: Callable[[Da
     return lambda spark, sf_dir: operator(table(spark, sf_dir))
 
 
+def exported(tables: dict[str, DataFrame]) -> Callable[[str | None], DataFrame]:
+    """Tables as CSV in a folder of their own, published; what is asked of it by name, or its manifest."""
+    spark = next(iter(tables.values())).sparkSession
+    root = f"{shared_dir(spark)}/acervo-export-{uuid.uuid4().hex}"
+    W.publish(tables, root)
+    return lambda name: W.manifest(spark, root) if name is None else W.published(spark, root, name)
+
+
+def on_disk(d: DataFrame) -> DataFrame:
+    """Files of a registry's documents: half in a folder, a quarter by their names alone, the rest lost."""
+    place = F.substring("md5", 1, 1)
+    return d.select(F.when(place < "8", F.concat(F.lit("pasta/"), "nome_arquivo")).when(place < "c", F.col("nome_arquivo")).alias("caminho")).filter("caminho is not null")
+
+
 QUERIES: dict[str, Query] = {
     name: over(adapter.registry, f)
     for name, f in {
@@ -143,6 +158,9 @@ QUERIES |= {
         "entity_addresses": E.addresses,
         "entity_documents": E.document_rows,
         "organize_plan": E.organize_plan,
+        "organized_files": lambda d: E.organize(d.withColumn("caminho_relativo", F.concat(F.lit("pasta/"), "nome_arquivo")), on_disk(d)),
+        "published_people": lambda d: exported({"pessoas_fisicas": E.people(d)})("pessoas_fisicas"),
+        "published_manifest": lambda d: exported(E.relational(d))(None).select("tabela", "linhas"),
         "archive_names": lambda d: E.archive_names(d.select("md5", F.concat(F.coalesce("tipo_documento", F.lit("sem")), F.lit(".pdf")).alias("nome_arquivo"))),
         "incremental_plan": lambda d: R.plan(_files(d), d),
         "reprocess_plan": lambda d: R.plan(_files(d), d, "reprocess_ocr"),
@@ -192,6 +210,7 @@ QUERIES |= {
     "search_snippets": lambda s, d: S.search_registry(adapter.texts(s, d), texts_index(s, d), S.sizes(adapter.texts(s, d), ["texto"]), "stupid OR idiot OR trash", "texto").select("md5", "fts_snippet"),
     "transcript_sanitize": lambda s, d: adapter.texts(s, d).select("md5", P.sanitize_transcript("texto").isNull().alias("descartado")),
     "compare_normalized": lambda s, d: adapter.texts(s, d).select("md5", F.md5(X.normalize_for_compare("texto")).alias("norm")),
+    "published_texts": lambda s, d: exported({"textos": adapter.texts(s, d).select("md5", "nome_arquivo", "texto", "lang")})("textos").select("md5", "nome_arquivo", F.md5("texto").alias("texto"), "lang"),
     "exact_duplicates": lambda s, d: D.exact_groups(adapter.texts(s, d), F.md5("texto")),
     "shingle_jaccard_pairs": lambda s, d: D.similar_pairs(D._keep(D.classes(adapter.texts(s, d)), "q")).select("a", "b", F.round("jaccard", 6).alias("jaccard")),
     "near_duplicate_pairs": lambda s, d: D.refine(D.similar_pairs(D._keep(D.classes(adapter.texts(s, d)), "q")), 0.8),

@@ -20,6 +20,7 @@ from acervo.operators import state as R
 from acervo.operators import stats
 from acervo.schema import DOC_SCHEMA, reconcile_schema
 from acervo.sources import files as I
+from acervo.sources import publish as W
 from acervo.sources import sinks as O
 from acervo.streaming import intake as N
 from acervo.streaming import progress as G
@@ -202,6 +203,28 @@ def test_domain_consolidation(spark):
     assert [(r.g.tipo, r.g.dominio) for r in got] == [(r.tipo, r.dominio) for r in got]
 
 
+def test_export_in_two_phases(spark, tmp_path):
+    root = f"file://{tmp_path}/out"
+    odd = [("a", ' um "dois"\n\ttrês, quatro \r\n', ["x", "y"]), ("b", None, []), ("c", "", None), ("d", '"', ["\\"])]
+    df = spark.createDataFrame(odd, "md5 string, texto string, lista array<string>")
+    first = W.publish({"t": df, "vazia": df.filter("false")}, root)
+    read = lambda: {(r.md5, r.texto, r.lista) for r in W.published(spark, root, "t").collect()}
+    assert read() == {(m, t or "", ";".join(x or [])) for m, t, x in odd}
+    assert {(r.tabela, r.linhas) for r in W.manifest(spark, root).collect()} == {("t", 4), ("vazia", 0)}
+    assert W.published(spark, root, "vazia").columns == df.columns and W.published(spark, root, "vazia").isEmpty()
+    # readers of the first version keep it, new ones see the second
+    old = W.published(spark, root, "t")
+    second = W.publish({"t": df.limit(1)}, root)
+    assert W.current(spark, root) == second != first and old.count() == 4 and len(read()) == 1
+    # a run that fails publishes nothing
+    broken = df.withColumn("texto", F.raise_error(F.lit("x")))
+    with pytest.raises(Exception):
+        W.publish({"t": broken}, root)
+    assert W.current(spark, root) == second and len(read()) == 1
+    with pytest.raises(KeyError):
+        W.published(spark, root, "outra")
+
+
 def test_search(spark):
     docs = spark.createDataFrame([("1", "Índice alfa beta"), ("2", "alfa gama")], "md5 string, t string")
     post, size = S.build_index(docs, ["t"]), S.sizes(docs, ["t"])
