@@ -65,10 +65,11 @@ def party() -> Column:
     return F.when(F.col("pj"), firm).otherwise(human)
 
 
-def roles(df: DataFrame) -> DataFrame:
-    """ENT-6: one row per party of a document: md5, pos, papel and the party's fields.
+def roles(df: DataFrame, kind: str | None = None) -> DataFrame:
+    """ENT-6: one row per party (of one kind, PF or PJ) of a document: md5, pos, papel and the party's fields.
 
-    Parties are taken apart as they stand, and each is then put into form once.
+    Parties are taken apart as they stand, and each is then put into form once.  The kind is
+    asked before that: a filter behind it would write the whole form out again.
     """
     none = F.lit(None).cast("string")
     field = lambda c: F.col(c) if c in df.columns else none
@@ -82,6 +83,7 @@ def roles(df: DataFrame) -> DataFrame:
     every = F.concat(F.array(own, paid, *[raw(2 + i, p, X.present(v), v) for i, (p, v) in enumerate(simple)]), listed)
     parties = df.select("md5", "beneficiario", F.explode(F.filter(every, lambda x: x.isNotNull())).alias("x")).select("md5", "beneficiario", "x.*")
     parties = parties.filter((F.col("papel") != "listado") | (norm("nome") != norm("beneficiario")))
+    parties = parties if kind is None else parties.filter(F.col("pj") if kind == "PJ" else ~F.col("pj"))
     # in steps, so that no expression is written out more than once
     ready = parties.select("md5", "pos", "papel", "pj", norm("nome").alias("n"), X.digits("numero").alias("d"), F.trim(F.coalesce("rg", F.lit(""))).alias("r"), X.digits("rg").alias("rd"))
     ready = ready.select("*", F.coalesce(F.nullif("rd", F.lit("")), F.upper("r")).alias("code"), F.when(F.col("pj"), X.valid_cnpj("d")).otherwise(X.valid_cpf("d")).alias("valid"))
@@ -95,7 +97,7 @@ def links(df: DataFrame) -> DataFrame:
 def _entities(df: DataFrame, kind: str) -> DataFrame:
     """ENT-7: one row per entity: the fields of its first document, and its documents."""
     first = F.min_by(F.struct("nome", "cpf", "rg", "cnpj", "incompleta"), F.struct("md5", "pos"))
-    return roles(df).filter(F.col("tipo") == kind).groupBy(F.col("id").alias("entidade_id")).agg(first.alias("f"), F.array_sort(F.collect_set("md5")).alias("documentos_md5"))
+    return roles(df, kind).groupBy(F.col("id").alias("entidade_id")).agg(first.alias("f"), F.array_sort(F.collect_set("md5")).alias("documentos_md5"))
 
 
 def people(df: DataFrame) -> DataFrame:
