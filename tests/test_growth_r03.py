@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from acervo import adapter
+from acervo.functions import extract as T
+from acervo.operators import classify as K
 from acervo.operators import entities as E
 from acervo.operators import pages as P
+from acervo.operators import search as S
 from acervo.operators import stats
+from acervo.plans import queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -62,3 +66,22 @@ def test_parties_are_taken_apart_once_for_all_tables(spark, monkeypatch):
     tables = E.relational(adapter.registry(spark, SF))
     assert len(calls) == 1
     assert tables["pessoas_juridicas"].exceptAll(E.companies(adapter.registry(spark, SF))).isEmpty() and tables["pessoas_juridicas"].count() == E.companies(adapter.registry(spark, SF)).count()
+
+
+def test_plain_searches_before_patterns_change_nothing(spark):
+    texts = ["CHASSI 9BWZZZ377VT004251", "chaſſi 9BWZZZ377VT004251", "Vencİmento 1/5/2024", "vencımento: 1/5/2024", "Ano  Calendario: 2020", "R$ 10,00", "r$ 9,99", "itaú", "nada", "", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    low = F.lower("t")
+    asked = [(["Chassi"], r"[A-Z\d]{17}"), (["Vencimento"], r"[\d/]+"), (K.CALENDAR_YEAR[0], K.YEAR), (["R$"], T.AMOUNT)]
+    new = [f for labels, value in asked for f in (T.found_after("t", low, labels, value), T.every_after("t", low, labels, value))]
+    old = [f for labels, value in asked for f in (T.found("t", T.after(labels, value)), T.every("t", T.after(labels, value)))]
+    got = rows.select("i", F.array(*[F.to_json(F.array(x)) for x in new]).alias("x")).collect()
+    assert got == rows.select("i", F.array(*[F.to_json(F.array(x)) for x in old]).alias("x")).collect()
+    assert sum('"' in y for r in got for y in r.x) == 14
+    assert all(any(w in x for w in K.pieces(p)) for p, x in zip(K.BANKS, ["sicoob", "sicredi", "o bb", "bradesco", "itau", "santander", "caixa  economica", "banestes", "brb", "safra", "inter", "nubank"]))
+
+
+def test_classified_texts_are_dealt_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(S, "PER_PART", 50)
+    found = queries.QUERIES["text_signatures"](spark, SF)
+    assert "RepartitionByExpression [md5" in plan(found)
