@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from acervo import adapter
 from acervo.functions import extract as T
 from acervo.operators import classify as K
+from acervo.operators import duplicates as D
 from acervo.operators import entities as E
 from acervo.operators import pages as P
 from acervo.operators import search as S
@@ -85,3 +86,11 @@ def test_classified_texts_are_dealt_by_their_number(spark, monkeypatch):
     monkeypatch.setattr(S, "PER_PART", 50)
     found = queries.QUERIES["text_signatures"](spark, SF)
     assert "RepartitionByExpression [md5" in plan(found)
+
+
+def test_compared_texts_are_put_into_form_once(spark):
+    rows = spark.createDataFrame([("a b c d e", "a b c d e f"), ("a b", "a b"), ("um dois tres quatro", "um dois tres cinco"), ("a b c", "c b"), ("", "x"), (None, "x")], "a string, b string")
+    asked = rows.select(D.compare("a", "b").alias("s"))
+    assert asked._jdf.queryExecution().analyzed().toString().count("array_intersect") == 1
+    assert [r.s for r in asked.collect()] == [0.825, 1.0, 0.3333, 0.0, 0.0, 0.0]
+    assert rows.limit(1).select(D.shingles("b").alias("g")).first().g == ["a b c", "b c d", "c d e", "d e f"]
