@@ -225,10 +225,11 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     last, step = None, 0
     while True:
         step += 1
-        both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        # dealt out by a node once, for its smallest neighbour and the join with it
+        both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).repartition("a")
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
         large = both.filter("b > a").join(low.hint("merge"), "a").select(F.col("b").alias("a"), F.col("low").alias("b"))
-        down = large.filter("a > b").distinct()
+        down = large.filter("a > b").repartition("a").distinct()
         low = down.groupBy("a").agg(F.min("b").alias("low"))
         small = down.join(low.hint("merge"), "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("low").alias("b")), F.struct("a", F.col("low").alias("b")))).alias("e")).select("e.*")
         edges = scratch.keep(small.filter("a > b").distinct(), f"edges-{step}")
