@@ -11,6 +11,7 @@ from acervo.operators import duplicates as D
 from acervo.operators import entities as E
 from acervo.operators import pages as P
 from acervo.operators import search as S
+from acervo.operators import state as R
 from acervo.operators import stats
 from acervo.plans import queries
 
@@ -94,3 +95,15 @@ def test_compared_texts_are_put_into_form_once(spark):
     assert asked._jdf.queryExecution().analyzed().toString().count("array_intersect") == 1
     assert [r.s for r in asked.collect()] == [0.825, 1.0, 0.3333, 0.0, 0.0, 0.0]
     assert rows.limit(1).select(D.shingles("b").alias("g")).first().g == ["a b c", "b c d", "c d e", "d e f"]
+
+
+def test_page_changes_meet_their_pages_once(spark, monkeypatch):
+    docs = spark.createDataFrame([("a", "RG", "identificacao", "x"), ("b", "CPF", "identificacao", "x")], "md5 string, tipo_documento string, dominio string, outra string")
+    pages = spark.createDataFrame([("a", 2, "CPF"), ("a", 1, None), ("a", 2, "RG")], "md5 string, pagina int, tipo string")
+    changes = spark.createDataFrame([("a", 2, "CNH"), ("a", 3, "RG"), ("b", 2, None)], "md5 string, pagina long, tipo string")
+    out = R.reclassify(docs, pages, changes)
+    assert plan(out).count("Join") == 1 and plan(out).count("Aggregate [") == 1
+    got = {r.md5: [(p.pagina, p.tipo) for p in r.dossie_paginas] for r in out.collect()}
+    assert got == {"a": [(1, None), (2, "CNH"), (2, "CNH")], "b": [(1, "CPF"), (2, "Página 2")]}
+    monkeypatch.setattr(adapter, "kept", lambda *a: a[3]() if len(a) > 3 else None)
+    assert "texto_digital" not in plan(queries.reclassified(spark, SF))
