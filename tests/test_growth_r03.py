@@ -107,3 +107,14 @@ def test_page_changes_meet_their_pages_once(spark, monkeypatch):
     assert got == {"a": [(1, None), (2, "CNH"), (2, "CNH")], "b": [(1, "CPF"), (2, "Página 2")]}
     monkeypatch.setattr(adapter, "kept", lambda *a: a[3]() if len(a) > 3 else None)
     assert "texto_digital" not in plan(queries.reclassified(spark, SF))
+
+
+def test_an_index_is_made_from_tokens_read_once(spark):
+    docs = spark.createDataFrame([("a", "b a b", "a"), ("b", None, ""), ("c", "...", "x"), ("d", "", None)], "md5 string, um string, dois string")
+    made = S.build_index(docs, ["um", "dois"])
+    # one reading for each field, one sort
+    assert plan(made).count("regexp_extract_all") == 2 and plan(made).count("sort_array") == 1
+    assert sorted((r.term, r.md5, r.field, r.doc_len, r.tf, r.positions) for r in made.collect()) == [("a", "a", "dois", 4, 1, [0]), ("a", "a", "um", 4, 1, [1]), ("b", "a", "um", 4, 2, [0, 2]), ("x", "c", "dois", 1, 1, [0])]
+    for rows in (docs, docs.limit(0), docs.filter("md5 = 'b'")):
+        told = S.sizes_of(S.build_index(rows, ["um", "dois"]), rows)
+        assert told.collect() == S.sizes(rows, ["um", "dois"]).collect() and "regexp_extract_all" not in plan(S.sizes_of(docs.selectExpr("1 as tf"), rows))
